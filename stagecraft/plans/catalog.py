@@ -85,3 +85,155 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1]}
+
+
+# ---------------------------------------------------------------------------
+# X3-X6, X8-X11
+# ---------------------------------------------------------------------------
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(Q.lit(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+_RULE_QUESTIONS = list(X.EXTRACT_RULES)
+
+
+@query("extract_fields", " UNION ALL ".join(
+    f"SELECT doc_id, {Q.lit(q)} AS question, ans AS answer FROM "
+    f"(SELECT doc_id, nullif(regexp_extract(text, {Q.lit(p)}, {g}), '') AS ans FROM documents) t "
+    f"WHERE ans IS NOT NULL"
+    for q, (p, g) in X.EXTRACT_RULES.items()))
+def q_extract_fields(spark, sf_dir):
+    return X.extract(load(spark, sf_dir, "documents"), "doc_id", "text", _RULE_QUESTIONS)
+
+
+FREE_QUESTIONS = ["Under which license is the work released?", "What is the token value?"]
+
+
+@query("extract_sentence", f"""
+WITH q AS (SELECT * FROM (VALUES {_values(list(enumerate(FREE_QUESTIONS)))}) q(q_ord, question)),
+qt AS (SELECT DISTINCT question, token FROM (SELECT question, unnest({Q.tokens('question')}) AS token FROM q) a),
+idf AS (SELECT * FROM ({Q.idf_table('documents', 'doc_id', 'text')}) i WHERE token IN (SELECT token FROM qt)),
+s AS ({Q.sentences('documents', 'doc_id', 'text')}),
+st AS (SELECT DISTINCT doc_id, pos, sentence, token FROM (SELECT doc_id, pos, sentence, unnest({Q.tokens('sentence')}) AS token FROM s) a),
+sc AS (SELECT doc_id, pos, question, any_value(sentence) AS sentence, sum(idf) AS score
+       FROM st JOIN qt USING (token) JOIN idf USING (token) GROUP BY doc_id, pos, question),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY round(score, 9) DESC, pos) AS rk FROM sc)
+SELECT doc_id, question, sentence AS answer, round(score, 6) AS score FROM r WHERE rk = 1
+""")
+def q_extract_sentence(spark, sf_dir):
+    return X.answer_sentence(load(spark, sf_dir, "documents"), "doc_id", "text", FREE_QUESTIONS)
+
+
+# Fixed configuration of the registered classify query: categories and seeds.
+CLASSIFY_CATEGORIES = ["english", "french", "german", "spanish", "legal"]
+CLASSIFY_SEEDS = {
+    "english": ["the", "and", "of"],
+    "french": ["le", "la", "les", "des"],
+    "german": ["der", "die", "und"],
+    "spanish": ["el", "los", "las", "del"],
+    "legal": [],
+}
+_CFG_ROWS = [(i, c, w) for i, c in enumerate(CLASSIFY_CATEGORIES) for w in (CLASSIFY_SEEDS[c] or [c])]
+
+
+@query("classify_seeded", f"""
+WITH cfg AS (SELECT * FROM (VALUES {_values(_CFG_ROWS)}) c(c_ord, category, seed)),
+st AS (SELECT DISTINCT c_ord, category, token FROM (SELECT c_ord, category, unnest({Q.tokens('seed')}) AS token FROM cfg) a),
+idf AS (SELECT * FROM ({Q.idf_table('documents', 'doc_id', 'text')}) i WHERE token IN (SELECT token FROM st)),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({Q.tokens('text')}) AS token FROM documents) a
+       WHERE token IN (SELECT token FROM st) GROUP BY doc_id, token),
+pc AS (SELECT doc_id, c_ord, category, sum(tf * idf) AS score FROM tf JOIN st USING (token) JOIN idf USING (token)
+       GROUP BY doc_id, c_ord, category),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, c_ord) AS rk FROM pc)
+SELECT doc_id, category, round(score, 6) AS score FROM r WHERE rk = 1
+""")
+def q_classify_seeded(spark, sf_dir):
+    return X.classify(load(spark, sf_dir, "documents"), "doc_id", "text", CLASSIFY_CATEGORIES, CLASSIFY_SEEDS)
+
+
+@query("classify_trained", f"""
+WITH lab AS (SELECT doc_id, toxic::INT AS y FROM labels),
+occ AS (SELECT a.doc_id, a.token, lab.y FROM
+        (SELECT doc_id, unnest({Q.tokens('text')}) AS token FROM documents WHERE doc_id IN (SELECT doc_id FROM lab)) a
+        JOIN lab USING (doc_id)),
+counts AS (SELECT token, count(*) FILTER (WHERE y = 0) AS c0, count(*) FILTER (WHERE y = 1) AS c1 FROM occ GROUP BY token),
+tot AS (SELECT count(*) AS v, sum(c0) AS t0, sum(c1) AS t1 FROM counts),
+pri AS (SELECT count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM lab),
+model AS (SELECT token, ln((c0 + 1) / (t0 + v)) AS lp0, ln((c1 + 1) / (t1 + v)) AS lp1 FROM counts, tot),
+dt AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({Q.tokens('text')}) AS token FROM documents) a
+       GROUP BY doc_id, token),
+sums AS (SELECT doc_id, sum(n * lp0) AS s0, sum(n * lp1) AS s1 FROM dt JOIN model USING (token) GROUP BY doc_id),
+m AS (SELECT d.doc_id, (coalesce(s1, 0) + ln(n1 / (n0 + n1))) - (coalesce(s0, 0) + ln(n0 / (n0 + n1))) AS margin
+      FROM documents d LEFT JOIN sums USING (doc_id), pri)
+SELECT doc_id, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS label, round(margin, 6) AS margin FROM m
+""")
+def q_classify_trained(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    model = X.fit_nb(docs, load(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    return X.predict_nb(docs, model, "doc_id", "text")
+
+
+LEXICON_SQL = f"""
+SELECT token, round(w, 6) AS weight, round(w * 1000000)::BIGINT AS weight_micro FROM (
+  SELECT token, a, b, ln((b + 0.5) / (nb - b + 0.5)) - ln((a + 0.5) / (na - a + 0.5)) AS w FROM (
+    SELECT token, count(*) FILTER (WHERE bad = 1) AS a, count(*) FILTER (WHERE bad = 0) AS b
+    FROM (SELECT DISTINCT p.doc_id, p.token, lab.bad FROM
+          (SELECT doc_id, unnest({Q.tokens('text')}) AS token FROM documents
+           WHERE doc_id IN (SELECT doc_id FROM labels)) p
+          JOIN (SELECT doc_id, toxic::INT AS bad FROM labels) lab USING (doc_id)) x
+    GROUP BY token) c,
+  (SELECT count(*) FILTER (WHERE toxic = 1) AS na, count(*) FILTER (WHERE toxic = 0) AS nb FROM labels) n
+  WHERE a + b >= 5) t
+WHERE abs(w) >= 2.0"""
+
+
+def _lexicon(spark, sf_dir):
+    return X.learn_lexicon(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "doc_id", "text")
+
+
+@query("learn_lexicon", LEXICON_SQL)
+def q_learn_lexicon(spark, sf_dir):
+    return _lexicon(spark, sf_dir)
+
+
+def _sentiment_sql(source: str, id_col: str, text_col: str) -> str:
+    return f"""
+SELECT s.{id_col}, coalesce(sum(lex.weight_micro), 0)::BIGINT AS score_micro,
+       CASE WHEN coalesce(sum(lex.weight_micro), 0) > 0 THEN 'positive'
+            WHEN coalesce(sum(lex.weight_micro), 0) < 0 THEN 'negative' ELSE 'neutral' END AS sentiment
+FROM {source} s
+LEFT JOIN (SELECT DISTINCT {id_col}, token FROM (SELECT {id_col}, unnest({Q.tokens(text_col)}) AS token FROM {source}) a) t
+  ON s.{id_col} = t.{id_col}
+LEFT JOIN lex ON t.token = lex.token
+GROUP BY s.{id_col}"""
+
+
+@query("sentiment", f"WITH lex AS ({LEXICON_SQL}) {_sentiment_sql('documents', 'doc_id', 'text')}")
+def q_sentiment(spark, sf_dir):
+    return X.sentiment(load(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
+
+
+@query("text_chain", f"""
+WITH lex AS ({LEXICON_SQL}),
+summ AS ({Q.summarize('documents', 'doc_id', 'text')}),
+src AS (SELECT d.doc_id, summ.summary AS text FROM documents d LEFT JOIN summ USING (doc_id)),
+sent AS ({_sentiment_sql('src', 'doc_id', 'text')})
+SELECT doc_id, sentiment AS PROCESSED_DATA FROM sent
+""")
+def q_text_chain(spark, sf_dir):
+    from stagecraft.plans.pipeline import text_chain
+    docs = load(spark, sf_dir, "documents")
+    return text_chain(docs, "doc_id", "text",
+                      [("ai_summarize", {}), ("ai_sentiment", {"lexicon": _lexicon(spark, sf_dir)})])
+
+
+@query("model_apply", """
+SELECT conv_id, turn, 'Database: MY_DB, Schema: PUBLIC. Request: ' || text AS prompt,
+       'Database: MY_DB, Schema: PUBLIC. Request: ' || text AS response
+FROM conversations WHERE role = 'user'
+""")
+def q_model_apply(spark, sf_dir):
+    from stagecraft.functions.model import echo_model, model_apply, prompt_column
+    conv = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    prompts = conv.select("conv_id", "turn", prompt_column("text").alias("prompt"))
+    return model_apply(prompts, "prompt", echo_model)
