@@ -237,3 +237,123 @@ def q_model_apply(spark, sf_dir):
     conv = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     prompts = conv.select("conv_id", "turn", prompt_column("text").alias("prompt"))
     return model_apply(prompts, "prompt", echo_model)
+
+
+# ---------------------------------------------------------------------------
+# Graph tables
+# ---------------------------------------------------------------------------
+from stagecraft.operators import graph as GR  # noqa: E402
+from stagecraft.plans import fixtures as FX  # noqa: E402
+
+LEVELS_SQL = """
+lv AS (
+  WITH RECURSIVE walk(graph_id, id, level) AS (
+    SELECT n.graph_id, n.id, 0 FROM graph_nodes n
+    WHERE NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.graph_id = n.graph_id AND e.target = n.id)
+    UNION ALL
+    SELECT e.graph_id, e.target, w.level + 1 FROM walk w
+    JOIN graph_edges e ON e.graph_id = w.graph_id AND e.source = w.id)
+  SELECT graph_id, id, max(level) AS level FROM walk GROUP BY graph_id, id),
+ordr AS (
+  SELECT lv.graph_id, lv.id, lv.level,
+         row_number() OVER (PARTITION BY lv.graph_id ORDER BY lv.level, n.pos, lv.id) AS ord
+  FROM lv JOIN graph_nodes n ON n.graph_id = lv.graph_id AND n.id = lv.id)"""
+
+
+def _graph(spark, sf_dir):
+    nodes = FX.graph_nodes(spark, sf_dir)
+    return nodes, FX.graph_edges(spark, sf_dir, nodes)
+
+
+@query("topological_levels", f"WITH {FX.GRAPH_SQL}, {LEVELS_SQL} SELECT graph_id, id, level FROM lv")
+def q_topological_levels(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.topological_levels(nodes, edges)
+
+
+@query("topological_order", f"WITH {FX.GRAPH_SQL}, {LEVELS_SQL} SELECT graph_id, id, level, ord FROM ordr")
+def q_topological_order(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.topological_order(nodes, edges)
+
+
+@query("cyclic_nodes", f"""
+WITH RECURSIVE {FX.GRAPH_SQL},
+reach(graph_id, src, id) AS (
+  SELECT graph_id, source, target FROM cyclic_edges
+  UNION
+  SELECT r.graph_id, r.src, e.target FROM reach r JOIN cyclic_edges e ON e.graph_id = r.graph_id AND e.source = r.id),
+seeds AS (
+  SELECT graph_id, id FROM reach WHERE src = id
+  UNION
+  SELECT e.graph_id, e.target FROM cyclic_edges e
+  WHERE NOT EXISTS (SELECT 1 FROM graph_nodes n WHERE n.graph_id = e.graph_id AND n.id = e.source)),
+bad AS (
+  SELECT graph_id, id FROM seeds
+  UNION
+  SELECT r.graph_id, r.id FROM seeds s JOIN reach r ON r.graph_id = s.graph_id AND r.src = s.id)
+SELECT DISTINCT n.graph_id, n.id FROM graph_nodes n JOIN bad b ON b.graph_id = n.graph_id AND b.id = n.id
+""")
+def q_cyclic_nodes(spark, sf_dir):
+    nodes = FX.graph_nodes(spark, sf_dir)
+    return GR.cyclic_nodes(nodes, FX.cyclic_edges(spark, sf_dir, nodes))
+
+
+@query("in_degree", f"""
+WITH {FX.GRAPH_SQL}
+SELECT n.graph_id, n.id, count(e.target)::BIGINT AS in_degree
+FROM graph_nodes n LEFT JOIN graph_edges e ON e.graph_id = n.graph_id AND e.target = n.id
+GROUP BY n.graph_id, n.id
+""")
+def q_in_degree(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.in_degree(nodes, edges)
+
+
+_KIND_SQL = ("CASE WHEN type IN ('stage', 'table', 'task', 'stream') THEN type "
+             "WHEN starts_with(type, 'ai_') THEN 'ai' END")
+
+
+@query("nodes_by_kind", f"""
+WITH {FX.GRAPH_SQL}, {LEVELS_SQL}
+SELECT graph_id, kind, row_number() OVER (PARTITION BY graph_id, kind ORDER BY ord) AS rank, id, name FROM (
+  SELECT n.graph_id, n.id, {_KIND_SQL} AS kind, upper(regexp_replace(n.label, '\\s+', '_', 'g')) AS name, o.ord
+  FROM graph_nodes n JOIN ordr o ON o.graph_id = n.graph_id AND o.id = n.id) x
+WHERE kind IS NOT NULL
+""")
+def q_nodes_by_kind(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.nodes_by_kind(nodes, GR.topological_order(nodes, edges))
+
+
+@query("first_of_kind", f"""
+WITH {FX.GRAPH_SQL}, {LEVELS_SQL}
+SELECT graph_id, kind, arg_min(id, ord) AS id FROM (
+  SELECT n.graph_id, n.id, {_KIND_SQL} AS kind, o.ord
+  FROM graph_nodes n JOIN ordr o ON o.graph_id = n.graph_id AND o.id = n.id) x
+WHERE kind IN ('stage', 'table') GROUP BY graph_id, kind
+""")
+def q_first_of_kind(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.first_of_kind(nodes, GR.topological_order(nodes, edges))
+
+
+@query("upstream_nodes", f"""
+WITH {FX.GRAPH_SQL}
+SELECT e.graph_id, e.target AS id, arg_min(e.source, e.epos) AS upstream_id
+FROM graph_edges e JOIN graph_nodes n ON n.graph_id = e.graph_id AND n.id = e.source AND n.type = 'table'
+GROUP BY e.graph_id, e.target
+""")
+def q_upstream_nodes(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.first_upstream(nodes, edges, "table")
+
+
+@query("downstream_nodes", f"""
+WITH {FX.GRAPH_SQL}
+SELECT e.graph_id, e.source AS id, e.target AS downstream_id
+FROM graph_edges e JOIN graph_nodes n ON n.graph_id = e.graph_id AND n.id = e.target
+""")
+def q_downstream_nodes(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return GR.downstream(nodes, edges)
