@@ -357,3 +357,115 @@ FROM graph_edges e JOIN graph_nodes n ON n.graph_id = e.graph_id AND n.id = e.ta
 def q_downstream_nodes(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     return GR.downstream(nodes, edges)
+
+
+# ---------------------------------------------------------------------------
+# Prompt and reply tables
+# ---------------------------------------------------------------------------
+from stagecraft.operators import replies as RP  # noqa: E402
+
+_STRIP_SQL = ("trim(regexp_replace(regexp_replace(content, '(?i)^```(json)?[ \\t\\r\\n\\f]*', ''), "
+              "'\\n?```[ \\t\\r\\n\\f]*$', ''))")
+DECODE_SQL = f"""
+{FX.REPLIES_SQL},
+dec AS (SELECT reply_id, json_valid(raw) AS outer_json,
+               CASE WHEN NOT json_valid(raw) THEN raw
+                    ELSE coalesce(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.choices[0].messages'), '')
+               END AS content
+        FROM replies),
+st AS (SELECT *, {_STRIP_SQL} AS stripped FROM dec),
+parsed0 AS (SELECT *, outer_json AND json_valid(stripped) AS valid FROM st),
+parsed1 AS (SELECT *, CASE WHEN valid THEN stripped END AS sj FROM parsed0),
+parsed AS (SELECT *, coalesce(valid AND json_type(sj) = 'OBJECT', false) AS is_pipeline,
+                  CASE WHEN valid AND json_type(sj) = 'OBJECT' THEN sj END AS pj FROM parsed1),
+rnodes AS (SELECT reply_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS node
+           FROM (SELECT reply_id, CAST(json_extract(pj, '$.nodes') AS JSON[]) AS arr FROM parsed
+                 WHERE is_pipeline AND json_type(pj, '$.nodes') = 'ARRAY') a),
+redges AS (SELECT reply_id, n_nodes, json_extract(e, '$.source_index')::INT AS source_index,
+                  json_extract(e, '$.target_index')::INT AS target_index
+           FROM (SELECT reply_id, coalesce(json_array_length(pj, '$.nodes'), 0) AS n_nodes,
+                        unnest(CAST(json_extract(pj, '$.edges') AS JSON[])) AS e FROM parsed
+                 WHERE is_pipeline AND json_type(pj, '$.edges') = 'ARRAY') a)"""
+
+
+def _parsed(spark, sf_dir):
+    return RP.reply_to_pipeline(RP.decode_replies(FX.replies(spark, sf_dir)))
+
+
+@query("render_prompts", f"""
+SELECT conv_id, turn, to_json([struct_pack(role := 'system', content := {Q.lit(RP.SYSTEM_PROMPT)}),
+                               struct_pack(role := 'user', content := 'Database: MY_DB, Schema: PUBLIC. Request: ' || text)])
+       AS messages
+FROM conversations WHERE role = 'user'
+""")
+def q_render_prompts(spark, sf_dir):
+    conv = load(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return conv.select("conv_id", "turn", F.to_json(RP.render_prompts(conv, "text")).alias("messages"))
+
+
+@query("chat_transcripts", """
+SELECT conv_id, turn, row_number() OVER w AS ord, role, text, lag(role) OVER w AS prev_role
+FROM conversations WHERE role IN ('user', 'assistant')
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""")
+def q_chat_transcripts(spark, sf_dir):
+    return RP.transcripts(load(spark, sf_dir, "conversations"))
+
+
+@query("decode_replies", f"WITH {DECODE_SQL} SELECT reply_id, outer_json, content FROM dec")
+def q_decode_replies(spark, sf_dir):
+    return RP.decode_replies(FX.replies(spark, sf_dir)).select("reply_id", "outer_json", "content")
+
+
+@query("strip_fences", f"WITH {DECODE_SQL} SELECT reply_id, stripped FROM st")
+def q_strip_fences(spark, sf_dir):
+    from stagecraft.functions.scalars import strip_fences
+    d = RP.decode_replies(FX.replies(spark, sf_dir))
+    return d.select("reply_id", strip_fences("content").alias("stripped"))
+
+
+@query("reply_to_pipeline", f"""
+WITH {DECODE_SQL}
+SELECT reply_id, is_pipeline,
+       CASE WHEN is_pipeline THEN json_extract_string(pj, '$.message') ELSE content END AS message,
+       coalesce(CASE WHEN json_type(pj, '$.nodes') = 'ARRAY' THEN json_array_length(pj, '$.nodes') END, 0)::INT AS n_nodes,
+       coalesce(CASE WHEN json_type(pj, '$.edges') = 'ARRAY' THEN json_array_length(pj, '$.edges') END, 0)::INT AS n_edges
+FROM parsed
+""")
+def q_reply_to_pipeline(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return p.select("reply_id", "is_pipeline", "message", F.size("nodes").alias("n_nodes"),
+                    F.size("edges").alias("n_edges"))
+
+
+@query("replies_to_graph", f"""
+WITH {DECODE_SQL}
+SELECT reply_id, pos, 'chat_' || reply_id || '_' || pos AS node_id,
+       json_extract_string(node, '$.type') AS type, json_extract_string(node, '$.label') AS label,
+       json_extract(node, '$.config')::VARCHAR AS config
+FROM rnodes
+""")
+def q_replies_to_graph(spark, sf_dir):
+    return RP.reply_nodes(_parsed(spark, sf_dir))
+
+
+@query("edge_range_filter", f"""
+WITH {DECODE_SQL}
+SELECT reply_id, n_nodes, source_index, target_index FROM redges
+WHERE source_index >= 0 AND source_index < n_nodes AND target_index >= 0 AND target_index < n_nodes
+""")
+def q_edge_range_filter(spark, sf_dir):
+    return RP.edges_in_range(RP.index_edges(_parsed(spark, sf_dir)))
+
+
+@query("index_to_id_join", f"""
+WITH {DECODE_SQL}
+SELECT e.reply_id, s.node_id AS source, t.node_id AS target
+FROM redges e
+JOIN (SELECT reply_id, pos, 'chat_' || reply_id || '_' || pos AS node_id FROM rnodes) s
+  ON s.reply_id = e.reply_id AND s.pos = e.source_index
+JOIN (SELECT reply_id, pos, 'chat_' || reply_id || '_' || pos AS node_id FROM rnodes) t
+  ON t.reply_id = e.reply_id AND t.pos = e.target_index
+""")
+def q_index_to_id_join(spark, sf_dir):
+    return RP.replies_to_graph(FX.replies(spark, sf_dir))[1]

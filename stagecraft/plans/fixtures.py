@@ -164,11 +164,11 @@ REPLIES_SQL = """
 replies AS (
   SELECT event_id AS reply_id,
          CASE WHEN event_type = 'error' THEN 'upstream failure: ' || props
-              ELSE to_json(struct_pack(choices := [struct_pack(messages := content)])) END AS raw
+              ELSE to_json(struct_pack(choices := [struct_pack(messages := content)]))::VARCHAR END AS raw
   FROM (SELECT *,
-          CASE WHEN event_type = 'view' THEN '```json' || chr(10) || inner || chr(10) || '```'
-               WHEN event_type = 'purchase' THEN '```' || chr(10) || inner || chr(10) || '```'
-               WHEN event_type = 'click' THEN inner
+          CASE WHEN event_type = 'view' THEN '```json' || chr(10) || inner_reply || chr(10) || '```'
+               WHEN event_type = 'purchase' THEN '```' || chr(10) || inner_reply || chr(10) || '```'
+               WHEN event_type = 'click' THEN inner_reply
                ELSE 'Sorry, I can only build pipelines. Props were ' || props END AS content
         FROM (SELECT *,
                 '{"message": "Pipeline for user ' || user_id::VARCHAR ||
@@ -177,7 +177,7 @@ replies AS (
                 '"}}, {"type": "' || CASE WHEN event_type = 'purchase' THEN 'ai_classify' ELSE 'ai_extract' END ||
                 '", "label": "Step", "config": {}}, {"type": "table", "label": "Out table", "config": {}}], '
                 || '"edges": [{"source_index": 0, "target_index": 1}, {"source_index": 1, "target_index": 2}, '
-                || '{"source_index": 1, "target_index": ' || ((floor(value)::BIGINT % 5) - 1)::VARCHAR || '}]}' AS inner
+                || '{"source_index": 1, "target_index": ' || ((floor(value)::BIGINT % 5) - 1)::VARCHAR || '}]}' AS inner_reply
               FROM events) a) b)"""
 
 
