@@ -469,3 +469,220 @@ JOIN (SELECT reply_id, pos, 'chat_' || reply_id || '_' || pos AS node_id FROM rn
 """)
 def q_index_to_id_join(spark, sf_dir):
     return RP.replies_to_graph(FX.replies(spark, sf_dir))[1]
+
+
+# ---------------------------------------------------------------------------
+# Projections and scalar functions
+# ---------------------------------------------------------------------------
+from stagecraft.functions import scalars as S  # noqa: E402
+from stagecraft.functions import types as TY  # noqa: E402
+
+
+@query("derived_projection", f"""
+SELECT source || '/' || doc_id AS FILE_NAME, lang AS PROCESSED_DATA, TIMESTAMP '{AS_OF}' AS PROCESSED_AT FROM documents
+""")
+def q_derived_projection(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    return S.output_rows(d, F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), "lang", as_of=AS_OF)
+
+
+@query("chained_projection", f"""
+SELECT page_id, s1 AS STEP_1, s2 AS STEP_2, regexp_replace(s2, '#+', '#', 'g') AS PROCESSED_DATA FROM (
+  SELECT page_id, s1, regexp_replace(s1, '[0-9]', '#', 'g') AS s2 FROM (
+    SELECT page_id, {Q.parse_text('html')} AS s1 FROM pages) a) b
+""")
+def q_chained_projection(spark, sf_dir):
+    p = load(spark, sf_dir, "pages")
+    out = S.chain(p, "html", [X.parse_text, lambda c: F.regexp_replace(c, "[0-9]", "#"),
+                              lambda c: F.regexp_replace(c, "#+", "#")])
+    return out.select("page_id", "STEP_1", "STEP_2", "PROCESSED_DATA")
+
+
+@query("cast_to_string", """
+SELECT event_id::VARCHAR AS event_id_text, value::VARCHAR AS value_text, user_id::VARCHAR AS user_text,
+       json(props)::VARCHAR AS props_text FROM events
+""")
+def q_cast_to_string(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select(S.as_text("event_id").alias("event_id_text"), S.as_text("value").alias("value_text"),
+                    S.as_text("user_id").alias("user_text"),
+                    S.as_text(F.parse_json("props")).alias("props_text"))
+
+
+@query("json_parse_get", "SELECT event_id, (CAST(props AS JSON)->>'k')::INT AS k FROM events")
+def q_json_parse_get(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", S.json_get("props", "$.k", "int").alias("k"))
+
+
+def _json_string(c):
+    """Encode text as a JSON string literal (what a store does to a value it
+    saves as text)."""
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+@query("json_unwrap", """
+SELECT event_id, (CAST(props AS JSON)->>'k')::INT AS k, (CAST(props AS JSON)->>'k')::INT AS k_plain FROM events
+""")
+def q_json_unwrap(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    twice = _json_string(F.col("props"))
+    thrice = _json_string(twice)
+    enc = F.when(F.col("event_type") == "error", thrice).when(F.col("event_type") == "view", twice).otherwise(F.col("props"))
+    return e.select("event_id", F.try_variant_get(S.json_unwrap(enc), "$.k", "int").alias("k"),
+                    S.json_get("props", "$.k", "int").alias("k_plain"))
+
+
+@query("json_render", """
+SELECT event_id, to_json(struct_pack(event_id := event_id, event_type := event_type, user_id := user_id))::VARCHAR AS config_text
+FROM events
+""")
+def q_json_render(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", S.json_text(F.struct("event_id", "event_type", "user_id")).alias("config_text"))
+
+
+@query("object_name", """
+SELECT p_partkey, coalesce(nullif(CASE WHEN p_type = 'SMALL' THEN 'S_' || p_partkey ELSE '' END, ''),
+                           upper(regexp_replace(p_name, '\\s+', '_', 'g'))) AS object_name FROM part
+""")
+def q_object_name(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    name = F.when(F.col("p_type") == "SMALL", F.concat(F.lit("S_"), F.col("p_partkey").cast("string"))).otherwise(F.lit(""))
+    return p.select("p_partkey", S.object_name(name, "p_name").alias("object_name"))
+
+
+@query("valid_identifier", f"""
+WITH {FX.COLUMN_DEFS_SQL.strip()}
+SELECT ord, name, coalesce(regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_$]*$'), false) AS valid FROM column_defs
+""")
+def q_valid_identifier(spark, sf_dir):
+    c = FX.column_defs(spark, sf_dir)
+    return c.select("ord", "name", TY.is_identifier("name").alias("valid"))
+
+
+_TYPE_LIST = ", ".join(Q.lit(t) for t in TY.TYPE_NAMES)
+
+
+@query("normalize_type", f"""
+WITH {FX.COLUMN_DEFS_SQL.strip()}
+SELECT ord, type, trim(regexp_replace(upper(trim(type)), '\\(.*\\)', '')) AS type_name,
+       coalesce(regexp_matches(regexp_replace(upper(trim(type)), '[ \\t]+', '', 'g'), {Q.lit(TY.TYPE_SHAPE)})
+                AND trim(regexp_replace(upper(trim(type)), '\\(.*\\)', '')) IN ({_TYPE_LIST}), false) AS valid
+FROM column_defs
+""")
+def q_normalize_type(spark, sf_dir):
+    c = FX.column_defs(spark, sf_dir)
+    t = TY.normalize_type("type")
+    return c.select("ord", "type", t["name"].alias("type_name"), t["valid"].alias("valid"))
+
+
+_LINES_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query("split_lines", f"""
+SELECT doc_id, pos, line FROM (
+  SELECT doc_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS line
+  FROM (SELECT doc_id, {_LINES_SQL} AS arr FROM documents) a) b
+""")
+def q_split_lines(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(S.split_lines("text")).alias("pos", "line"))
+
+
+@query("join_strings", f"SELECT doc_id, array_to_string({_LINES_SQL}, ' / ') AS joined FROM documents")
+def q_join_strings(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", S.join_strings(S.split_lines("text"), " / ").alias("joined"))
+
+
+@query("state_label", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Final' WHEN 'O' THEN 'Open' ELSE 'Other' END AS state FROM orders
+""")
+def q_state_label(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select("o_orderkey", S.label("o_orderstatus", {"F": "Final", "O": "Open"}, "Other").alias("state"))
+
+
+@query("default_fill", """
+SELECT c_custkey, coalesce(nullif(nullif(c_mktsegment, 'AUTOMOBILE'), ''), nullif(c_name, ''), 'Y') AS filled FROM customer
+""")
+def q_default_fill(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    return c.select("c_custkey", S.first_filled(F.nullif("c_mktsegment", F.lit("AUTOMOBILE")), "c_name",
+                                                default="Y").alias("filled"))
+
+
+# ---------------------------------------------------------------------------
+# F1, F2, F4, J4, U1, U2, O1
+# ---------------------------------------------------------------------------
+from stagecraft.operators import filters as FI  # noqa: E402
+from stagecraft.operators import setops as SO  # noqa: E402
+
+
+@query("name_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
+def q_name_search(spark, sf_dir):
+    return FI.name_search(load(spark, sf_dir, "part"), "p_name", "RinG").select("p_partkey", "p_name")
+
+
+@query("filter_valid_columns", f"""
+WITH {FX.COLUMN_DEFS_SQL.strip()}
+SELECT table_name, ord, name, type FROM column_defs
+WHERE coalesce(name, '') <> '' AND regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_$]*$')
+""")
+def q_filter_valid_columns(spark, sf_dir):
+    return FI.valid_columns(FX.column_defs(spark, sf_dir)).select("table_name", "ord", "name", "type")
+
+
+USER_PREDICATE = "o_totalprice > 100000 AND o_orderstatus = 'F'"
+
+
+@query("user_predicate", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {USER_PREDICATE}")
+def q_user_predicate(spark, sf_dir):
+    return FI.where(load(spark, sf_dir, "orders"), USER_PREDICATE).select("o_orderkey", "o_totalprice")
+
+
+@query("prefer_draft_merge", f"""
+WITH {FX.COLUMN_DEFS_SQL.strip()},
+draft AS (SELECT name, 'VARIANT' AS type FROM column_defs WHERE nullable),
+existing AS (SELECT name, type FROM column_defs)
+SELECT * FROM draft UNION ALL
+SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM draft d WHERE d.name = e.name)
+""")
+def q_prefer_draft_merge(spark, sf_dir):
+    c = FX.column_defs(spark, sf_dir)
+    draft = c.filter("nullable").select("name", F.lit("VARIANT").alias("type"))
+    return SO.prefer(draft, c.select("name", "type"), "name")
+
+
+@query("append_sets", f"""
+WITH {FX.GRAPH_SQL}, {DECODE_SQL}
+SELECT graph_id, id, type, label FROM graph_nodes
+UNION ALL
+SELECT reply_id, 'chat_' || reply_id || '_' || pos, json_extract_string(node, '$.type'), json_extract_string(node, '$.label')
+FROM rnodes
+""")
+def q_append_sets(spark, sf_dir):
+    a = FX.graph_nodes(spark, sf_dir).select("graph_id", "id", "type", "label")
+    b = RP.reply_nodes(_parsed(spark, sf_dir)).select(F.col("reply_id").alias("graph_id"), F.col("node_id").alias("id"),
+                                                      "type", "label")
+    return SO.append_sets(a, b)
+
+
+@query("distinct_names", f"""
+WITH {FX.GRAPH_SQL}
+SELECT DISTINCT upper(regexp_replace(label, '\\s+', '_', 'g')) AS name FROM graph_nodes
+""")
+def q_distinct_names(spark, sf_dir):
+    n = FX.graph_nodes(spark, sf_dir).select(S.object_name(F.lit(""), "label").alias("name"))
+    return SO.distinct_names(n, "name")
+
+
+@query("recent_configs", """
+SELECT o_orderkey AS ID, o_orderpriority AS NAME, o_orderdate AS CREATED_AT FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50
+""")
+def q_recent_configs(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderpriority").alias("NAME"),
+                                             F.col("o_orderdate").alias("CREATED_AT"))
+    return SO.recent(o, "CREATED_AT", 50, tie="ID")
