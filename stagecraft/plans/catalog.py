@@ -686,3 +686,408 @@ def q_recent_configs(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderpriority").alias("NAME"),
                                              F.col("o_orderdate").alias("CREATED_AT"))
     return SO.recent(o, "CREATED_AT", 50, tie="ID")
+
+
+# ---------------------------------------------------------------------------
+# Inventory, profiles, validation
+# ---------------------------------------------------------------------------
+from stagecraft.operators import inventory as INV  # noqa: E402
+from stagecraft.operators import validate as VA  # noqa: E402
+from stagecraft.sources.tables import TABLES  # noqa: E402
+
+# The oracle runs at sf0.01 only; file listings there need the folder's path.
+ORACLE_DIR = "/root/testdata/sf0.01"
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES))
+def q_table_counts(spark, sf_dir):
+    return INV.table_counts(spark, sf_dir, TABLES)
+
+
+@query("table_inventory", f"""
+WITH c AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES)}),
+f AS (SELECT regexp_extract(replace(filename, '{ORACLE_DIR}/', ''), '^([^/]+)\\.parquet', 1) AS table_name,
+             count(*) AS files, sum(size)::BIGINT AS bytes, max(epoch(last_modified))::BIGINT AS newest_epoch
+      FROM read_blob('{ORACLE_DIR}/*.parquet') GROUP BY 1)
+SELECT c.table_name, c.rows, f.files, f.bytes, f.newest_epoch FROM c LEFT JOIN f USING (table_name)
+""")
+def q_table_inventory(spark, sf_dir):
+    return INV.table_inventory(spark, sf_dir, TABLES)
+
+
+_PROFILE_COLS = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                 ("c_acctbal", "double"), ("c_mktsegment", "string")]
+
+
+@query("column_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS type, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+    f"count(DISTINCT {c}) AS distinct_count, min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value FROM customer"
+    for c, t in _PROFILE_COLS))
+def q_column_profile(spark, sf_dir):
+    return INV.column_profile(load(spark, sf_dir, "customer"), exact=True)
+
+
+@query("validate_columns", f"""
+WITH {FX.COLUMN_DEFS_SQL.strip()},
+r AS (SELECT table_name, name,
+             coalesce(name, '') = '' AS empty_name,
+             coalesce(name, '') <> '' AND NOT coalesce(regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_$]*$'), false) AS invalid_name,
+             NOT coalesce(regexp_matches(regexp_replace(upper(trim(type)), '[ \\t]+', '', 'g'), {Q.lit(TY.TYPE_SHAPE)})
+                 AND trim(regexp_replace(upper(trim(type)), '\\(.*\\)', '')) IN ({_TYPE_LIST}), false) AS invalid_type
+      FROM column_defs)
+SELECT table_name, name, 'empty_name' AS violation FROM r WHERE empty_name
+UNION ALL SELECT table_name, name, 'invalid_name' FROM r WHERE invalid_name
+UNION ALL SELECT table_name, name, 'invalid_type' FROM r WHERE invalid_type
+""")
+def q_validate_columns(spark, sf_dir):
+    return VA.validate_columns(FX.column_defs(spark, sf_dir))
+
+
+def _specs(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("graph_id"),
+                    F.when(F.col("o_orderstatus") == "P", F.lit("MY DB")).otherwise(F.lit("MY_DB")).alias("database"),
+                    F.lit("PUBLIC").alias("schema"))
+
+
+@query("validate_pipelines", f"""
+WITH {FX.GRAPH_SQL},
+specs AS (SELECT o_orderkey AS graph_id, CASE WHEN o_orderstatus = 'P' THEN 'MY DB' ELSE 'MY_DB' END AS database,
+                 'PUBLIC' AS schema FROM orders),
+cnt AS (SELECT graph_id, count(*) AS n FROM graph_nodes GROUP BY graph_id),
+named AS (SELECT graph_id, id, type, upper(regexp_replace(label, '\\s+', '_', 'g')) AS obj_name FROM graph_nodes),
+dup AS (SELECT *, count(*) OVER (PARTITION BY graph_id, obj_name) > 1 AS dup FROM named)
+SELECT graph_id, NULL::VARCHAR AS id, 'invalid_database' AS violation FROM specs
+  WHERE NOT coalesce(regexp_matches(database, '^[A-Za-z_][A-Za-z0-9_$]*$'), false)
+UNION ALL SELECT graph_id, NULL, 'invalid_schema' FROM specs
+  WHERE NOT coalesce(regexp_matches(schema, '^[A-Za-z_][A-Za-z0-9_$]*$'), false)
+UNION ALL SELECT s.graph_id, NULL, 'empty_pipeline' FROM specs s LEFT JOIN cnt USING (graph_id) WHERE coalesce(n, 0) = 0
+UNION ALL SELECT graph_id, id, 'invalid_name' FROM dup WHERE NOT coalesce(regexp_matches(obj_name, '^[A-Za-z_][A-Za-z0-9_$]*$'), false)
+UNION ALL SELECT graph_id, id, 'duplicate_name' FROM dup WHERE dup
+UNION ALL SELECT graph_id, id, 'unknown_type' FROM dup WHERE type NOT IN
+  ('stage', 'table', 'task', 'stream', 'ai_extract', 'ai_classify', 'ai_parse_document', 'ai_summarize', 'ai_sentiment')
+""")
+def q_validate_pipelines(spark, sf_dir):
+    nodes = FX.graph_nodes(spark, sf_dir).withColumn("name", F.lit(""))
+    return VA.validate_pipelines(_specs(spark, sf_dir), nodes)
+
+
+# ---------------------------------------------------------------------------
+# Stages, scans, views, previews
+# ---------------------------------------------------------------------------
+from stagecraft.sources import stage as SG  # noqa: E402
+from stagecraft.sources import tables as TB  # noqa: E402
+
+
+@query("stage_directory", f"""
+SELECT replace(filename, '{ORACLE_DIR}/', '') AS relative_path, size::BIGINT AS size,
+       epoch(last_modified)::BIGINT AS modified_epoch FROM read_blob('{ORACLE_DIR}/*.parquet')
+""")
+def q_stage_directory(spark, sf_dir):
+    d = SG.stage_directory(spark, sf_dir, glob="*.parquet")
+    return d.select("relative_path", "size", F.unix_timestamp("last_modified").alias("modified_epoch"))
+
+
+@query("stage_files", f"""
+SELECT replace(filename, '{ORACLE_DIR}/', '') AS relative_path, size::BIGINT AS size, md5(content) AS md5
+FROM read_blob('{ORACLE_DIR}/*.parquet')
+""")
+def q_stage_files(spark, sf_dir):
+    d = SG.stage_files(spark, sf_dir, glob="*.parquet")
+    return d.select("relative_path", "size", F.md5("content").alias("md5"))
+
+
+@query("stage_read", "SELECT * FROM orders")
+def q_stage_read(spark, sf_dir):
+    import os
+    return SG.stage_read(spark, os.path.join(sf_dir, "orders.parquet"), "auto")
+
+
+@query("table_scan", "SELECT * FROM lineitem")
+def q_table_scan(spark, sf_dir):
+    return TB.table_scan(spark, "lineitem", sf_dir)
+
+
+@query("sql_view", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000
+""")
+def q_sql_view(spark, sf_dir):
+    TB.register_views(spark, sf_dir, ["orders"])
+    return TB.create_view(spark, "open_orders",
+                          "SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
+                          "WHERE o_orderstatus = 'O' AND o_totalprice > 50000", replace=True)
+
+
+@query("table_preview", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def q_table_preview(spark, sf_dir):
+    return TB.preview(load(spark, sf_dir, "orders"), 100, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+# ---------------------------------------------------------------------------
+# Tables and writes
+# ---------------------------------------------------------------------------
+from stagecraft.operators import sinks as SK  # noqa: E402
+
+
+def _scratch(spark, tag: str) -> tuple[str, str]:
+    """A fresh table name and folder under the shared checkpoint folder."""
+    import uuid
+    from stagecraft.session import checkpoint_dir
+    u = uuid.uuid4().hex[:12]
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"stagecraft_{tag}_{u}", f"{base}/stagecraft-tables/{tag}_{u}"
+
+
+DECLARED = [("CUSTOMER_NAME", "VARCHAR(25)"), ("BALANCE", "NUMBER(12,2)"), ("NATION", "INT"), ("SEGMENT", "TEXT")]
+
+
+@query("declared_table", """
+SELECT c_name::VARCHAR AS CUSTOMER_NAME, c_acctbal::DECIMAL(12,2) AS BALANCE, c_nationkey::INT AS NATION,
+       c_mktsegment AS SEGMENT FROM customer
+""")
+def q_declared_table(spark, sf_dir):
+    return SK.apply_schema(load(spark, sf_dir, "customer"), DECLARED,
+                           ["c_name", "c_acctbal", "c_nationkey", "c_mktsegment"])
+
+
+def _doc_rows(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    return S.output_rows(d, F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), "lang", as_of=AS_OF)
+
+
+_DOC_ROWS_SQL = f"SELECT source || '/' || doc_id AS FILE_NAME, lang AS PROCESSED_DATA, TIMESTAMP '{AS_OF}' AS PROCESSED_AT FROM documents"
+
+
+def _read_output(spark, table):
+    return spark.table(table).select("FILE_NAME", F.col("PROCESSED_DATA").cast("string").alias("PROCESSED_DATA"),
+                                     "PROCESSED_AT")
+
+
+@query("default_output_table", _DOC_ROWS_SQL)
+def q_default_output_table(spark, sf_dir):
+    name, loc = _scratch(spark, "k2")
+    SK.ensure_table(spark, name, None, location=loc)
+    SK.ensure_table(spark, name, None, location=loc)          # idempotent
+    SK.append_into(_doc_rows(spark, sf_dir), name)
+    return _read_output(spark, name)
+
+
+@query("append_select", f"{_DOC_ROWS_SQL} UNION ALL {_DOC_ROWS_SQL}")
+def q_append_select(spark, sf_dir):
+    name, loc = _scratch(spark, "k3")
+    SK.ensure_table(spark, name, None, location=loc)
+    rows = _doc_rows(spark, sf_dir)
+    SK.append_into(rows, name, ["FILE_NAME", "PROCESSED_DATA", "PROCESSED_AT"])
+    SK.append_into(rows, name, ["FILE_NAME", "PROCESSED_DATA", "PROCESSED_AT"])   # every run re-reads the stage
+    return _read_output(spark, name)
+
+
+@query("append_new_files", _DOC_ROWS_SQL)
+def q_append_new_files(spark, sf_dir):
+    name, loc = _scratch(spark, "k4")
+    SK.ensure_table(spark, name, None, location=loc)
+    rows = _doc_rows(spark, sf_dir)
+    SK.append_into(rows.filter(F.col("PROCESSED_DATA") == "en"), name)
+    SK.append_new(rows, name)
+    SK.append_new(rows, name)                                  # twice equals once
+    return _read_output(spark, name)
+
+
+def _config_rows(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    cfg = F.concat(F.lit('{"edges": [], "nodes": [{"id": "n1", "label": "'), F.col("o_orderpriority"),
+                   F.lit('", "type": "stage"}]}'))
+    return o.select(F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit(" pipeline "), F.col("o_orderkey").cast("string"),
+                             F.lit(" ")).alias("NAME"), cfg.alias("CONFIG"), "o_orderkey")
+
+
+@query("config_insert", f"""
+SELECT row_number() OVER (ORDER BY o_orderkey) AS ID,
+       trim(o_orderstatus || ' pipeline ' || o_orderkey) AS NAME,
+       json('{{"edges": [], "nodes": [{{"id": "n1", "label": "' || o_orderpriority || '", "type": "stage"}}]}}')::VARCHAR AS CONFIG,
+       TIMESTAMP '{AS_OF}' AS CREATED_AT
+FROM orders
+""")
+def q_config_insert(spark, sf_dir):
+    out = SK.save_configs(_config_rows(spark, sf_dir), None, order="o_orderkey", created_at=AS_OF)
+    return out.select("ID", "NAME", F.to_json("CONFIG").alias("CONFIG"), "CREATED_AT")
+
+
+@query("not_null_check", """
+SELECT 'segment' AS column_name, count(*) FILTER (WHERE nullif(c_mktsegment, 'AUTOMOBILE') IS NULL) AS failing_rows FROM customer
+UNION ALL
+SELECT 'nation', count(*) FILTER (WHERE nullif(c_nationkey, 0) IS NULL) FROM customer
+UNION ALL
+SELECT 'name', count(*) FILTER (WHERE c_name IS NULL) FROM customer
+""")
+def q_not_null_check(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.nullif("c_mktsegment", F.lit("AUTOMOBILE")).alias("segment"),
+                                              F.nullif("c_nationkey", F.lit(0)).alias("nation"),
+                                              F.col("c_name").alias("name"))
+    return SK.violations(c, ["segment", "nation", "name"])
+
+
+@query("add_column", "SELECT *, 0::INT AS c_rating FROM customer")
+def q_add_column(spark, sf_dir):
+    return SK.add_column(load(spark, sf_dir, "customer"), "c_rating", "INT", nullable=False, default=0)
+
+
+@query("drop_column", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def q_drop_column(spark, sf_dir):
+    return SK.drop_column(load(spark, sf_dir, "customer"), "c_acctbal")
+
+
+@query("rename_column", "SELECT c_custkey, c_name AS customer_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_rename_column(spark, sf_dir):
+    return SK.rename_column(load(spark, sf_dir, "customer"), "c_name", "customer_name")
+
+
+# ---------------------------------------------------------------------------
+# ST1-ST8: change tracking, stage streams, schedules
+# ---------------------------------------------------------------------------
+from stagecraft.streaming import changes as CH  # noqa: E402
+from stagecraft.streaming import live as LV  # noqa: E402
+
+_DIFF = " OR ".join(f"b.{c} IS DISTINCT FROM a.{c}" for c in FX.SNAP_COLS[1:])
+
+
+@query("changes_standard", f"""
+WITH {FX.SNAPSHOT_SQL.strip()}
+SELECT b.*, 'DELETE' AS action, a.o_orderkey IS NOT NULL AS is_update
+FROM before b LEFT JOIN after a ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR {_DIFF}
+UNION ALL
+SELECT a.*, 'INSERT' AS action, b.o_orderkey IS NOT NULL AS is_update
+FROM after a LEFT JOIN before b ON a.o_orderkey = b.o_orderkey
+WHERE b.o_orderkey IS NULL OR {_DIFF}
+""")
+def q_changes_standard(spark, sf_dir):
+    before, after = FX.snapshots(spark, sf_dir)
+    return CH.changes(before, after, "o_orderkey")
+
+
+@query("changes_compact", f"""
+WITH {FX.CHANGE_LOG_SQL.strip()},
+g AS (SELECT user_id, arg_min(op, seq) AS first_op, arg_max(op, seq) AS last_op, count(*) AS n_ops,
+             arg_max(value, seq) AS value, arg_max(props, seq) AS props FROM change_log GROUP BY user_id),
+a AS (SELECT *, CASE WHEN first_op = 'INSERT' AND last_op = 'DELETE' THEN NULL WHEN first_op = 'INSERT' THEN 'INSERT'
+                     WHEN last_op = 'DELETE' THEN 'DELETE' ELSE 'UPDATE' END AS action FROM g)
+SELECT user_id, action, n_ops, value, props FROM a WHERE action IS NOT NULL
+""")
+def q_changes_compact(spark, sf_dir):
+    return CH.compact_log(FX.change_log(spark, sf_dir), "user_id", "seq")
+
+
+@query("changes_append_only", f"""
+WITH {FX.SNAPSHOT_SQL.strip()}
+SELECT a.*, 'INSERT' AS action FROM after a WHERE a.o_orderkey NOT IN (SELECT o_orderkey FROM before)
+""")
+def q_changes_append_only(spark, sf_dir):
+    before, after = FX.snapshots(spark, sf_dir)
+    return CH.append_only(before, after, "o_orderkey")
+
+
+def _file_digest(batch):
+    return batch.select("FILE_NAME", "size", F.md5("content").alias("md5"))
+
+
+_LISTING_SQL = f"""
+SELECT replace(filename, '{ORACLE_DIR}/', '') AS FILE_NAME, size::BIGINT AS size, md5(content) AS md5
+FROM read_blob('{ORACLE_DIR}/*.parquet')"""
+
+
+@query("stage_stream", _LISTING_SQL)
+def q_stage_stream(spark, sf_dir):
+    name, loc = _scratch(spark, "st4")
+    q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet"), loc + "/out", loc + "/ckpt", _file_digest)
+    q.awaitTermination()
+    return spark.read.parquet(loc + "/out").select("FILE_NAME", "size", "md5")
+
+
+@query("consume_once", _LISTING_SQL)
+def q_consume_once(spark, sf_dir):
+    name, loc = _scratch(spark, "st5")
+    for _ in range(2):   # a second run of the task finds nothing new: no repeats
+        q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet"), loc + "/out", loc + "/ckpt", _file_digest)
+        q.awaitTermination()
+    return spark.read.parquet(loc + "/out").select("FILE_NAME", "size", "md5")
+
+
+@query("scheduled_runs", """
+SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS run_start, time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE AS run_end,
+       count(*) AS rows FROM events GROUP BY 1, 2
+""")
+def q_scheduled_runs(spark, sf_dir):
+    return LV.scheduled_runs(load(spark, sf_dir, "events"), "ts", "60 minutes")
+
+
+_SCHEDULE_SPARK = None
+
+
+def _schedule_text():
+    et = F.col("event_type")
+    return (F.when(et == "view", F.concat(F.floor("value").cast("bigint").cast("string"), F.lit(" MINUTE")))
+             .when(et == "click", F.lit("60 minutes"))
+             .when(et == "purchase", F.lit("USING CRON 0 9 * * * UTC"))
+             .when(et == "signup", F.lit(""))
+             .otherwise(F.lit("x MINUTE")))
+
+
+@query("schedule_parse", """
+SELECT event_id, schedule,
+       CASE WHEN s = '' THEN 60 WHEN regexp_matches(s, '(?i)^([0-9]+)[ \\t]*MINUTES?$')
+            THEN regexp_extract(s, '(?i)^([0-9]+)[ \\t]*MINUTES?$', 1)::INT END AS minutes,
+       nullif(regexp_extract(s, '(?i)^USING[ \\t]+CRON[ \\t]+(.+)$', 1), '') AS cron
+FROM (SELECT event_id, schedule, trim(coalesce(schedule, '')) AS s FROM (
+  SELECT event_id, CASE event_type WHEN 'view' THEN floor(value)::BIGINT || ' MINUTE' WHEN 'click' THEN '60 minutes'
+                   WHEN 'purchase' THEN 'USING CRON 0 9 * * * UTC' WHEN 'signup' THEN '' ELSE 'x MINUTE' END AS schedule
+  FROM events) a) b
+""")
+def q_schedule_parse(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", _schedule_text().alias("schedule"))
+    p = LV.parse_schedule("schedule")
+    return e.select("event_id", "schedule", p["minutes"].alias("minutes"), p["cron"].alias("cron"))
+
+
+@query("stale_streams", f"""
+SELECT user_id, max(ts) AS last_ts, max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY AS stale,
+       CASE WHEN max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY THEN 'Stale' ELSE 'Fresh' END AS state
+FROM events GROUP BY user_id
+""")
+def q_stale_streams(spark, sf_dir):
+    return CH.stale(load(spark, sf_dir, "events"), "user_id", "ts", AS_OF, "3 days")
+
+
+# ---------------------------------------------------------------------------
+# User functions
+# ---------------------------------------------------------------------------
+from stagecraft.functions import procedures as PR  # noqa: E402
+
+
+@query("sql_function", """
+SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net_price FROM lineitem
+""")
+def q_sql_function(spark, sf_dir):
+    PR.define_sql_function(spark, "net_price", [("price", "DOUBLE"), ("discount", "DOUBLE")], "DOUBLE",
+                           "price * (1 - discount)")
+    return load(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber",
+                                                      "net_price(l_extendedprice, l_discount) AS net_price")
+
+
+@query("sql_table_function", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def q_sql_table_function(spark, sf_dir):
+    TB.register_views(spark, sf_dir, ["orders"])
+    PR.define_table_function(spark, "orders_of", [("status", "VARCHAR")],
+                             [("o_orderkey", "BIGINT"), ("o_totalprice", "DOUBLE")],
+                             "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = status")
+    return spark.sql("SELECT * FROM orders_of('F')")
+
+
+def _name_length(s):
+    return s.str.len()
+
+
+@query("python_udf", "SELECT p_partkey, length(p_name)::INT AS name_length FROM part")
+def q_python_udf(spark, sf_dir):
+    f = PR.define_python_udf(_name_length, "INT")
+    return load(spark, sf_dir, "part").select("p_partkey", f("p_name").alias("name_length"))
