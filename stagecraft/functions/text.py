@@ -11,7 +11,9 @@ in SQL.  Shared building blocks:
 * ``idf(t) = ln((1 + N) / (1 + df(t))) + 1``.
 
 Plan shape at scale: documents are rows, so tokenising is a per-row
-``explode`` with no shuffle.  Corpus statistics (document frequency, N) are
+``explode`` with no shuffle.  The ``_outer`` generators are used on purpose:
+for a plain ``explode`` the optimizer infers a ``size(array) > 0`` filter and
+evaluates the whole split/regex expression twice per row.  Corpus statistics (document frequency, N) are
 combinable aggregates: Spark pre-aggregates them per partition before the
 shuffle, so a token found in every document costs one row per partition, not
 one per document.  Totals such as N are scalar subqueries (computed once,
@@ -76,7 +78,7 @@ def sentence_array(text: Column | str) -> Column:
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, sentence): one row per non-blank sentence, no shuffle."""
-    return (df.select(F.col(id_col), F.posexplode(sentence_array(text_col)).alias("pos", "raw"))
+    return (df.select(F.col(id_col), F.posexplode_outer(sentence_array(text_col)).alias("pos", "raw"))
               .select(id_col, "pos", F.trim("raw").alias("sentence"))
               .filter(F.col("sentence") != ""))
 
@@ -86,7 +88,7 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, distinct: bool = False
     arr = tokens(text_col)
     if distinct:
         arr = F.array_distinct(arr)
-    return df.select(F.col(id_col), F.explode(arr).alias("token"))
+    return df.select(F.col(id_col), F.explode_outer(arr).alias("token")).filter(F.col("token").isNotNull())
 
 
 def document_frequency(df: DataFrame, id_col: str, text_col: str,
@@ -148,7 +150,7 @@ def parse_blocks(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     next block tag.  Text before the first block has kind ``text``.  Row-local:
     no shuffle.
     """
-    pieces = df.select(F.col(id_col), F.posexplode(_block_pieces(F.col(html_col))).alias("pos", "piece"))
+    pieces = df.select(F.col(id_col), F.posexplode_outer(_block_pieces(F.col(html_col))).alias("pos", "piece"))
     has_tag = F.instr("piece", MARK_END) > 0
     return (pieces.select(
                 id_col, "pos",
@@ -221,7 +223,7 @@ def extract(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
         F.struct(F.lit(q).alias("question"),
                  F.nullif(F.regexp_extract(F.col(text_col), rules[q][0], rules[q][1]), F.lit("")).alias("answer"))
         for q in known])
-    return (df.select(F.col(id_col), F.inline(pairs))
+    return (df.select(F.col(id_col), F.inline_outer(pairs))
               .filter(F.col("answer").isNotNull()))
 
 
@@ -235,7 +237,7 @@ def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequen
     idf = document_frequency(df, id_col, text_col, vocabulary=q_tokens)
     weights = F.broadcast(q_tokens.join(idf, "token"))   # <= tokens of the given questions
     sent = sentences(df, id_col, text_col)
-    st = sent.select(id_col, "pos", "sentence", F.explode(F.array_distinct(tokens("sentence"))).alias("token"))
+    st = sent.select(id_col, "pos", "sentence", F.explode_outer(F.array_distinct(tokens("sentence"))).alias("token"))
     scored = (st.join(weights, "token")
                 .groupBy(id_col, "pos", "question")
                 .agg(F.sum("idf").alias("score"), F.any_value("sentence").alias("sentence")))
@@ -296,11 +298,13 @@ def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     occ = token_rows(docs.join(lab, id_col, "left_semi"), id_col, text_col).join(lab, id_col)
     counts = occ.groupBy("token").agg(
         F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
-    vocab = counts.select(F.count(F.lit(1))).scalar()
-    total0 = counts.select(F.sum("c0")).scalar()
-    total1 = counts.select(F.sum("c1")).scalar()
-    n0 = lab.select(F.count_if(F.col("y") == 0)).scalar()
-    n1 = lab.select(F.count_if(F.col("y") == 1)).scalar()
+    # One scalar subquery for the three totals, one for the two class sizes.
+    tot = counts.select(F.struct(F.count(F.lit(1)).alias("v"), F.sum("c0").alias("t0"),
+                                 F.sum("c1").alias("t1"))).scalar()
+    vocab, total0, total1 = tot.getField("v"), tot.getField("t0"), tot.getField("t1")
+    cls = lab.select(F.struct(F.count_if(F.col("y") == 0).alias("n0"),
+                              F.count_if(F.col("y") == 1).alias("n1"))).scalar()
+    n0, n1 = cls.getField("n0"), cls.getField("n1")
     return counts.select(
         "token",
         F.log((F.col("c0") + 1) / (total0 + vocab)).alias("lp0"),
@@ -315,9 +319,8 @@ def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) ->
     Tokens outside the model are ignored; a document with no known token takes
     the larger prior (``explode_outer`` keeps it, the left join keeps it).
     """
-    priors = model.select(F.first("prior0").alias("p0"), F.first("prior1").alias("p1"))
-    p0 = priors.select("p0").scalar()
-    p1 = priors.select("p1").scalar()
+    pri = model.select(F.struct(F.first("prior0").alias("p0"), F.first("prior1").alias("p1"))).scalar()
+    p0, p1 = pri.getField("p0"), pri.getField("p1")
     occ = docs.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("token"))
     per_doc_tok = occ.groupBy(id_col, "token").agg(F.count("token").alias("n"))
     joined = per_doc_tok.join(model.select("token", "lp0", "lp1"), "token", "left")
@@ -344,7 +347,8 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     the only exchange is one hash partitioning on the id.
     """
     sent = sentences(df, id_col, text_col)
-    st = sent.select(id_col, "pos", "sentence", F.explode(tokens("sentence")).alias("token"))
+    st = (sent.select(id_col, "pos", "sentence", F.explode_outer(tokens("sentence")).alias("token"))
+              .filter(F.col("token").isNotNull()))
     w_doc_tok = Window.partitionBy(id_col, "token")
     w_doc = Window.partitionBy(id_col)
     freq = (st.repartition(id_col)
@@ -388,8 +392,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     pres = token_rows(docs.join(lab, id_col, "left_semi"), id_col, text_col, distinct=True).join(lab, id_col)
     counts = pres.groupBy("token").agg(F.count_if(F.col("bad") == 1).alias("a"),
                                        F.count_if(F.col("bad") == 0).alias("b"))
-    na = lab.select(F.count_if(F.col("bad") == 1)).scalar()
-    nb = lab.select(F.count_if(F.col("bad") == 0)).scalar()
+    cls = lab.select(F.struct(F.count_if(F.col("bad") == 1).alias("na"),
+                              F.count_if(F.col("bad") == 0).alias("nb"))).scalar()
+    na, nb = cls.getField("na"), cls.getField("nb")
     w = (F.log((F.col("b") + 0.5) / (nb - F.col("b") + 0.5))
          - F.log((F.col("a") + 0.5) / (na - F.col("a") + 0.5)))
     out = (counts.filter(F.col("a") + F.col("b") >= min_count)

@@ -50,36 +50,45 @@ def transcripts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def decode_replies(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Adds ``content`` (choices[0].messages, "" when absent) and
     ``outer_json``.  When the outer text is not JSON, the raw text is the
-    message (and R4 gives no nodes or edges)."""
-    v = F.try_parse_json(F.col(raw_col))
+    message (and R4 gives no nodes or edges).  The text is parsed once into a
+    column that the other expressions reference."""
+    parsed = df.withColumn("__outer", F.try_parse_json(F.col(raw_col)))
+    v = F.col("__outer")
     msg = F.try_variant_get(v, "$.choices[0].messages", "string")
-    return df.withColumn("outer_json", v.isNotNull()).withColumn(
-        "content", F.when(v.isNull(), F.col(raw_col)).otherwise(F.coalesce(msg, F.lit(""))))
+    return (parsed.withColumn("outer_json", v.isNotNull())
+                  .withColumn("content", F.when(v.isNull(), F.col(raw_col)).otherwise(F.coalesce(msg, F.lit(""))))
+                  .drop("__outer"))
 
 
 def reply_to_pipeline(df: DataFrame, content_col: str = "content", outer_col: str | None = "outer_json") -> DataFrame:
     """Fences stripped, ``{message, nodes, edges}`` parsed.  Not JSON (or
     not an object, e.g. literal ``null``) -> the text is the message and
     nodes and edges are empty.  Adds ``message``, ``nodes`` (ARRAY<VARIANT>),
-    ``edges`` (ARRAY<VARIANT>) and ``is_pipeline``."""
-    stripped = strip_fences(F.col(content_col))
-    v = F.try_parse_json(stripped)
+    ``edges`` (ARRAY<VARIANT>) and ``is_pipeline``.  The reply is parsed once
+    (one column), so the optimizer does not repeat the parse per field."""
+    parsed = df.withColumn("__reply", F.try_parse_json(strip_fences(F.col(content_col))))
+    v = F.col("__reply")
     ok = v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT"))
     if outer_col is not None:
         ok = ok & F.col(outer_col)
+    flagged = parsed.withColumn("is_pipeline", ok)
     empty = F.array().cast("array<variant>")
+    good = F.col("is_pipeline")
     nodes = F.coalesce(F.try_variant_get(v, "$.nodes", "array<variant>"), empty)
     edges = F.coalesce(F.try_variant_get(v, "$.edges", "array<variant>"), empty)
-    return (df.withColumn("is_pipeline", ok)
-              .withColumn("message", F.when(ok, F.try_variant_get(v, "$.message", "string"))
-                                      .otherwise(F.col(content_col)))
-              .withColumn("nodes", F.when(ok, nodes).otherwise(empty))
-              .withColumn("edges", F.when(ok, edges).otherwise(empty)))
+    return (flagged.withColumn("message", F.when(good, F.try_variant_get(v, "$.message", "string"))
+                                           .otherwise(F.col(content_col)))
+                   .withColumn("nodes", F.when(good, nodes).otherwise(empty))
+                   .withColumn("edges", F.when(good, edges).otherwise(empty))
+                   .drop("__reply"))
 
 
 def reply_nodes(df: DataFrame, key: str = "reply_id") -> DataFrame:
     """R5, nodes: (key, pos, node_id, type, label, config) with generated ids."""
-    n = df.select(key, F.posexplode("nodes").alias("pos", "node"))
+    # The _outer generator keeps the optimizer from copying the whole parse
+    # into an inferred ``size(nodes) > 0`` filter below the explode.
+    n = (df.select(key, F.posexplode_outer("nodes").alias("pos", "node"))
+           .filter(F.col("pos").isNotNull()))
     return n.select(
         key, "pos",
         F.concat(F.lit("chat_"), F.col(key).cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("node_id"),
@@ -88,10 +97,12 @@ def reply_nodes(df: DataFrame, key: str = "reply_id") -> DataFrame:
         F.to_json(F.try_variant_get("node", "$.config", "variant")).alias("config"))
 
 
-def index_edges(df: DataFrame, key: str = "reply_id") -> DataFrame:
+def index_edges(df: DataFrame, key: str = "reply_id", keep: list[str] | None = None) -> DataFrame:
     """(key, n_nodes, source_index, target_index) of each reply's edges."""
-    e = df.select(key, F.size("nodes").alias("n_nodes"), F.explode("edges").alias("edge"))
-    return e.select(key, "n_nodes",
+    keep = keep or []
+    e = (df.select(key, *keep, F.size("nodes").alias("n_nodes"), F.explode_outer("edges").alias("edge"))
+           .filter(F.col("edge").isNotNull()))
+    return e.select(key, *keep, "n_nodes",
                     F.try_variant_get("edge", "$.source_index", "int").alias("source_index"),
                     F.try_variant_get("edge", "$.target_index", "int").alias("target_index"))
 
@@ -112,8 +123,18 @@ def resolve_edges(nodes: DataFrame, index_edges_df: DataFrame, key: str = "reply
 
 
 def replies_to_graph(df: DataFrame, key: str = "reply_id", raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Raw replies -> (nodes, edges) tables, F3 then J3."""
+    """Raw replies -> (nodes, edges) tables.
+
+    Ids are generated from (key, position), so F3 and the id lookup of J3 are
+    done inside each reply row (``element_at`` on the reply's id list): no
+    join and no shuffle.  ``resolve_edges`` is the join form for node tables
+    whose ids are not a function of the position."""
     parsed = reply_to_pipeline(decode_replies(df, raw_col))
     nodes = reply_nodes(parsed, key)
-    edges = resolve_edges(nodes, edges_in_range(index_edges(parsed, key)), key)
+    ids = F.transform(F.sequence(F.lit(0), F.size("nodes") - 1),
+                      lambda i: F.concat(F.lit("chat_"), F.col(key).cast("string"), F.lit("_"), i.cast("string")))
+    with_ids = parsed.filter(F.size("nodes") > 0).withColumn("__ids", ids)
+    e = edges_in_range(index_edges(with_ids.select(key, "nodes", "edges", "__ids"), key, keep=["__ids"]))
+    edges = e.select(key, F.element_at("__ids", F.col("source_index") + 1).alias("source"),
+                     F.element_at("__ids", F.col("target_index") + 1).alias("target"))
     return nodes, edges

@@ -468,6 +468,16 @@ JOIN (SELECT reply_id, pos, 'chat_' || reply_id || '_' || pos AS node_id FROM rn
   ON t.reply_id = e.reply_id AND t.pos = e.target_index
 """)
 def q_index_to_id_join(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return RP.resolve_edges(RP.reply_nodes(parsed), RP.edges_in_range(RP.index_edges(parsed)))
+
+
+@query("replies_to_edges", f"""
+WITH {DECODE_SQL}
+SELECT reply_id, 'chat_' || reply_id || '_' || source_index AS source, 'chat_' || reply_id || '_' || target_index AS target
+FROM redges WHERE source_index >= 0 AND source_index < n_nodes AND target_index >= 0 AND target_index < n_nodes
+""")
+def q_replies_to_edges(spark, sf_dir):
     return RP.replies_to_graph(FX.replies(spark, sf_dir))[1]
 
 
@@ -587,7 +597,8 @@ SELECT doc_id, pos, line FROM (
 """)
 def q_split_lines(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(S.split_lines("text")).alias("pos", "line"))
+    return (d.select("doc_id", F.posexplode_outer(S.split_lines("text")).alias("pos", "line"))
+             .filter(F.col("line").isNotNull()))
 
 
 @query("join_strings", f"SELECT doc_id, array_to_string({_LINES_SQL}, ' / ') AS joined FROM documents")
