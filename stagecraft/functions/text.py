@@ -295,7 +295,11 @@ def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     so frequent tokens do not skew the shuffle.
     """
     lab = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y"))
-    occ = token_rows(docs.join(lab, id_col, "left_semi"), id_col, text_col).join(lab, id_col)
+    # Labels are joined per document, before tokens are exploded, so the
+    # token rows never cross the network for the label.
+    occ = (docs.select(id_col, text_col).join(lab, id_col)
+               .select("y", F.explode_outer(tokens(text_col)).alias("token"))
+               .filter(F.col("token").isNotNull()))
     counts = occ.groupBy("token").agg(
         F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
     # One scalar subquery for the three totals, one for the two class sizes.
@@ -336,25 +340,36 @@ def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) ->
 # summarize
 # ---------------------------------------------------------------------------
 def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
-              prompt: str | None = None) -> DataFrame:
+              prompt: str | None = None, keep_all: bool = False) -> DataFrame:
     """(id, summary).  SumBasic weights (Nenkova & Vanderwende 2005)
     without the update step: a sentence's weight is the mean, over its tokens,
     of the token's relative frequency in the document.  The ``k`` best
     sentences (ties -> earlier) are joined in document order.  With a prompt a
     sentence holding one of its tokens has its weight doubled.
 
-    The per-document frequencies are windows partitioned by the document, so
-    the only exchange is one hash partitioning on the id.
+    Plan: the raw documents are hash-partitioned by id ONCE (one exchange of
+    the input size; none at all when the table is stored bucketed by id);
+    sentences, tokens, the frequency windows, the per-sentence aggregate, the
+    rank window and the final aggregate all reuse that partitioning.  A
+    document is one row, so no group is larger than one document.
+    ``keep_all`` keeps documents without any token (summary null) so a
+    pipeline step needs no join back.
     """
-    sent = sentences(df, id_col, text_col)
-    st = (sent.select(id_col, "pos", "sentence", F.explode_outer(tokens("sentence")).alias("token"))
-              .filter(F.col("token").isNotNull()))
+    docs = df.select(F.col(id_col), F.col(text_col)).repartition(id_col)
+    outer = keep_all
+    gen = F.posexplode_outer(sentence_array(text_col)).alias("pos", "raw")
+    sent = docs.select(id_col, gen).select(id_col, "pos", F.trim("raw").alias("sentence"))
+    if not outer:
+        sent = sent.filter(F.col("sentence") != "")
+    st = sent.select(id_col, "pos", "sentence", F.explode_outer(tokens("sentence")).alias("token"))
+    if not outer:
+        st = st.filter(F.col("token").isNotNull())
     w_doc_tok = Window.partitionBy(id_col, "token")
     w_doc = Window.partitionBy(id_col)
-    freq = (st.repartition(id_col)
-              .withColumn("tf", F.count(F.lit(1)).over(w_doc_tok))
-              .withColumn("n", F.count(F.lit(1)).over(w_doc)))
-    aggs = [F.sum("tf").alias("sum_tf"), F.count(F.lit(1)).alias("len"), F.any_value("n").alias("n"),
+    freq = (st.withColumn("tf", F.count("token").over(w_doc_tok))
+              .withColumn("n", F.count("token").over(w_doc)))
+    aggs = [F.sum(F.when(F.col("token").isNotNull(), F.col("tf"))).alias("sum_tf"),
+            F.count("token").alias("len"), F.any_value("n").alias("n"),
             F.any_value("sentence").alias("sentence")]
     if prompt:
         ptoks = sorted({t for t in _py_tokens(prompt)})
@@ -363,12 +378,19 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     weight = F.col("sum_tf") / (F.col("len") * F.col("n"))
     if prompt:
         weight = weight * (F.lit(1) + F.col("hit"))
+    has = F.col("len") > 0
     ranked = per_sent.withColumn(
-        "rk", F.row_number().over(Window.partitionBy(id_col).orderBy(F.round(weight, SCORE_DIGITS).desc(), "pos")))
-    top = ranked.filter(F.col("rk") <= k)
-    return top.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))),
-                                 lambda x: x["sentence"]), " ").alias("summary"))
+        "rk", F.row_number().over(Window.partitionBy(id_col).orderBy(
+            has.desc(), F.round(weight, SCORE_DIGITS).desc(), "pos")))
+    pick = F.when(has & (F.col("rk") <= k), F.struct("pos", "sentence"))
+    chosen = F.array_sort(F.collect_list(pick))        # at most k per document
+    out = ranked.groupBy(id_col).agg(chosen.alias("__c"))
+    summary = F.array_join(F.transform("__c", lambda x: x["sentence"]), " ")
+    if keep_all:
+        summary = F.when(F.size("__c") > 0, summary)
+    else:
+        out = out.filter(F.size("__c") > 0)
+    return out.select(id_col, summary.alias("summary"))
 
 
 def _py_tokens(s: str) -> list[str]:
@@ -389,7 +411,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     dropped.  ``weight_micro`` is the weight in BIGINT millionths, so document
     sums are exact."""
     lab = labels.select(F.col(id_col), F.col(bad_col).cast("int").alias("bad"))
-    pres = token_rows(docs.join(lab, id_col, "left_semi"), id_col, text_col, distinct=True).join(lab, id_col)
+    pres = (docs.select(id_col, text_col).join(lab, id_col)
+                .select("bad", F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
+                .filter(F.col("token").isNotNull()))
     counts = pres.groupBy("token").agg(F.count_if(F.col("bad") == 1).alias("a"),
                                        F.count_if(F.col("bad") == 0).alias("b"))
     cls = lab.select(F.struct(F.count_if(F.col("bad") == 1).alias("na"),

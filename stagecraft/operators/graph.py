@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import object_name
+from stagecraft.operators.ranking import row_numbers
 
 G, ID = "graph_id", "id"
 
@@ -28,23 +29,22 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     is never peeled (as in the reference, where such nodes vanish; T3 reports
     them).  Level = round = longest path from a root.
 
-    Each round's frontier is checkpointed (reliable checkpoint in the folder
-    named by ``spark.checkpoint.dir``): it is used four times, and the
-    checkpoint also cuts the lineage so round 50 does not replan rounds 1-49.
-    The driver sees one count per round, nothing else.
+    Each round's frontier is written once to the shared checkpoint folder
+    (``session.materialize``): it is used four times, and the written table
+    cuts the lineage so round 50 does not replan rounds 1-49 and a lost
+    executor does not replay them.  The driver sees one emptiness check per
+    round, nothing else.
     """
-    spark = nodes.sparkSession
-    from stagecraft.session import checkpoint_dir
-    checkpoint_dir(spark)
+    from stagecraft.session import materialize
     # Materialise the inputs once: every round reads them.
-    remaining = nodes.select(G, ID).distinct().checkpoint()
-    live = edges.select(G, "source", "target").checkpoint()
+    remaining = materialize(nodes.select(G, ID).distinct(), "t1-nodes")
+    live = materialize(edges.select(G, "source", "target"), "t1-edges")
     parts = []
     level = 0
     while max_rounds is None or level < max_rounds:
         blocked = live.select(G, F.col("target").alias(ID))
-        frontier = (remaining.join(blocked, [G, ID], "left_anti")
-                    .withColumn("level", F.lit(level)).checkpoint())
+        frontier = materialize(remaining.join(blocked, [G, ID], "left_anti")
+                               .withColumn("level", F.lit(level)), "t1-frontier")
         if frontier.isEmpty():
             break
         parts.append(frontier)
@@ -53,8 +53,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
         level += 1
         if level % checkpoint_every == 0:
             # cut the growing chain of anti joins
-            remaining = remaining.checkpoint()
-            live = live.checkpoint()
+            remaining = materialize(remaining, "t1-nodes")
+            live = materialize(live, "t1-edges")
     if not parts:
         return nodes.select(G, ID).limit(0).withColumn("level", F.lit(0))
     out = parts[0]
@@ -67,10 +67,10 @@ def topological_order(nodes: DataFrame, edges: DataFrame, levels: DataFrame | No
     """(graph_id, id, level, ord): a valid order -- by level, then by
     position -- numbered per graph from 1."""
     lv = levels if levels is not None else topological_levels(nodes, edges)
-    w = Window.partitionBy(G).orderBy("level", "pos", ID)
-    return (lv.join(nodes.select(G, ID, "pos"), [G, ID])
-              .withColumn("ord", F.row_number().over(w).cast("bigint"))
-              .select(G, ID, "level", "ord"))
+    # Numbered by a distributed sort, not a window per graph: a graph holding
+    # a large share of all nodes is spread over many tasks.
+    return row_numbers(lv.join(nodes.select(G, ID, "pos"), [G, ID]), [G], ["level", "pos", ID], "ord") \
+        .select(G, ID, "level", "ord")
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
@@ -102,10 +102,8 @@ def nodes_by_kind(nodes: DataFrame, order: DataFrame) -> DataFrame:
     inside each bucket.  One row per node -- no list is collected per group."""
     named = nodes.select(G, ID, kind_of("type").alias("kind"),
                          object_name(F.lit(""), F.col("label")).alias("name"))
-    w = Window.partitionBy(G, "kind").orderBy("ord")
-    return (named.filter(F.col("kind").isNotNull()).join(order.select(G, ID, "ord"), [G, ID])
-                 .withColumn("rank", F.row_number().over(w).cast("bigint"))
-                 .select(G, "kind", "rank", ID, "name"))
+    kept = named.filter(F.col("kind").isNotNull()).join(order.select(G, ID, "ord"), [G, ID])
+    return row_numbers(kept, [G, "kind"], ["ord", ID], "rank").select(G, "kind", "rank", ID, "name")
 
 
 def first_of_kind(nodes: DataFrame, order: DataFrame, kinds=("stage", "table")) -> DataFrame:

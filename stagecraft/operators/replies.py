@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import strip_fences
+from stagecraft.operators.ranking import row_numbers
 
 # Our system message (node types and reply shape) and the
 # defaults for database and schema.
@@ -38,13 +39,14 @@ def render_prompts(df: DataFrame, user_col: str, system: str = SYSTEM_PROMPT,
 def transcripts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text", roles=("user", "assistant")) -> DataFrame:
     """R2: user and assistant messages in order: (conv, turn, ord, role, text,
-    prev_role).  One row per message (no list per conversation); ``ord`` and
-    ``prev_role`` come from a window partitioned by the conversation."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    return (df.filter(F.col(role).isin(*roles))
-              .withColumn("ord", F.row_number().over(w).cast("bigint"))
-              .withColumn("prev_role", F.lag(role).over(w))
-              .select(conv, turn, "ord", role, text, "prev_role"))
+    prev_role).  One row per message (no list per conversation).  ``ord`` is
+    numbered by a distributed sort (a long conversation is not one task) and
+    ``prev_role`` is an equi-join on (conv, ord - 1)."""
+    kept = df.filter(F.col(role).isin(*roles)).select(conv, turn, role, text)
+    numbered = row_numbers(kept, [conv], [turn], "ord")
+    prev = numbered.select(conv, (F.col("ord") + 1).alias("ord"), F.col(role).alias("prev_role"))
+    return (numbered.join(prev, [conv, "ord"], "left")
+                    .select(conv, turn, "ord", role, text, "prev_role"))
 
 
 def decode_replies(df: DataFrame, raw_col: str = "raw") -> DataFrame:

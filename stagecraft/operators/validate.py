@@ -52,8 +52,12 @@ def validate_pipelines(specs: DataFrame, nodes: DataFrame, key: str = "graph_id"
     known = ["stage", "table", "task", "stream", "ai_extract", "ai_classify", "ai_parse_document",
              "ai_summarize", "ai_sentiment"]
     named = nodes.withColumn("obj_name", object_name(F.col("name"), F.col("label")))
-    dup = F.count(F.lit(1)).over(Window.partitionBy(key, "obj_name")) > 1
-    node_v = _violations(named.withColumn("dup", dup), [key, "id"], [
+    # Duplicates from a combinable count per (pipeline, name), joined back;
+    # no window has to hold one pipeline's nodes in one task.
+    dups = (named.groupBy(key, "obj_name").agg(F.count(F.lit(1)).alias("__n"))
+                 .filter(F.col("__n") > 1).select(key, "obj_name", F.lit(True).alias("dup")))
+    flagged = named.join(dups, [key, "obj_name"], "left").withColumn("dup", F.coalesce("dup", F.lit(False)))
+    node_v = _violations(flagged, [key, "id"], [
         ("invalid_name", ~is_identifier("obj_name")),
         ("duplicate_name", F.col("dup")),
         ("unknown_type", ~F.col("type").isin(*known)),

@@ -53,8 +53,8 @@ def step_summarize(config: dict) -> Step:
     k = int(config.get("k", 3))
 
     def run(df: DataFrame) -> DataFrame:
-        s = X.summarize(df, KEY, TEXT, k=k, prompt=prompt)
-        return _keep_all(df, s, F.col("summary"))
+        s = X.summarize(df, KEY, TEXT, k=k, prompt=prompt, keep_all=True)
+        return s.select(KEY, F.col("summary").alias(TEXT))
     return run
 
 

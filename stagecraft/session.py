@@ -66,3 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="stagecraft-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, tag: str = "t"):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it
+    back: the lineage is cut (a lost executor does not replay earlier rounds)
+    and, unlike an eager ``checkpoint()``, the input is computed only once."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stagecraft-mat/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
