@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import DEFAULT_COLUMNS
 from stagecraft.functions.types import IDENTIFIER, spark_type
@@ -117,18 +116,12 @@ def append_new(df: DataFrame, table: str, key: str = "FILE_NAME") -> None:
 
 def dense_ids(df: DataFrame, order: str, start: Column | int = 0, name: str = "ID") -> DataFrame:
     """Dense ids ``start+1 ..`` in ``order`` without a single-partition window:
-    a distributed sort, per-partition counts (one small row per partition),
-    their running offsets, then row numbers inside each partition."""
-    spark = df.sparkSession
-    sorted_df = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    sorted_df = sorted_df.checkpoint()   # fix the partition layout the offsets refer to
-    counts = sorted_df.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    a distributed sort, numbers inside each partition and one offset per
+    partition (``ranking.row_numbers`` with no group key)."""
+    from stagecraft.operators.ranking import row_numbers
     base = F.lit(start) if isinstance(start, int) else start
-    return (sorted_df.join(F.broadcast(offsets), "__p")   # one row per partition
-                     .withColumn(name, (base + F.col("__off") + within).cast("bigint"))
-                     .drop("__p", "__off"))
+    numbered = row_numbers(df.withColumn("__all", F.lit(0)), ["__all"], [order], "__rn")
+    return numbered.withColumn(name, (base + F.col("__rn")).cast("bigint")).drop("__all", "__rn")
 
 
 def save_configs(df: DataFrame, table: str | None = None, name_col: str = "NAME",
