@@ -92,20 +92,36 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, distinct: bool = False
 
 
 def document_frequency(df: DataFrame, id_col: str, text_col: str,
-                       vocabulary: DataFrame | None = None) -> DataFrame:
+                       vocabulary: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """(token, df, idf) over the corpus ``df``.
 
-    ``vocabulary`` (one ``token`` column, small) restricts the work to the
-    tokens that matter before the shuffle.
+    ``vocabulary`` restricts the work to the tokens that matter.  A Python
+    list (built from a call's configuration, so its size is known) is
+    intersected with each document's tokens BEFORE the explode, so only the
+    matching tokens become rows; a DataFrame is applied as a broadcast semi
+    join after the explode.
     """
-    rows = token_rows(df, id_col, text_col, distinct=True)
-    if vocabulary is not None:
-        rows = rows.join(F.broadcast(vocabulary.select("token").distinct()), "token", "left_semi")
+    if isinstance(vocabulary, (list, tuple)):
+        lit_vocab = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
+        rows = (df.select(F.col(id_col), F.explode_outer(F.array_intersect(tokens(text_col), lit_vocab)).alias("token"))
+                  .filter(F.col("token").isNotNull()))
+    else:
+        rows = token_rows(df, id_col, text_col, distinct=True)
+        if vocabulary is not None:
+            rows = rows.join(F.broadcast(vocabulary.select("token").distinct()), "token", "left_semi")
     n_docs = df.select(F.count(F.lit(1))).scalar()
     return (rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
                 .withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0)))
 
 
+def config_tokens(df: DataFrame, col: str) -> list[str]:
+    """Distinct tokens of a small configuration table (questions, seeds),
+    tokenised by the same Spark expression as the data.  The table is built
+    from a call's arguments, so bringing its tokens to the driver is bounded
+    by the configuration, not by the data."""
+    return sorted({r[0] for r in df.select(F.explode(tokens(col))).distinct().collect()})
+
+
 # ---------------------------------------------------------------------------
 # Parse marked-up documents
 # ---------------------------------------------------------------------------
@@ -197,6 +213,13 @@ EXTRACT_RULES = {
     "What is the title?": (r"^[ \t]*([^\n]*[^ \t\n])", 1),
     "What is the document ID?": (r"(?i)(?:document|doc)[ _-]?(?:id|no|number)[ \t]*[:#=][ \t]*([A-Za-z0-9_-]+)", 1),
 }
+# A rule can only match when the text holds this literal; the cheap substring
+# test skips the regex scan on the other documents (same result).
+EXTRACT_GUARDS = {
+    "What is the e-mail address?": "@",
+    "What is the token?": '"',
+    "Which licence applies?": " License",
+}
 DEFAULT_QUESTIONS = ["What is the document ID?"]
 
 
@@ -219,10 +242,12 @@ def extract(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
     known = [q for q in questions if q in rules]
     if not known:
         return df.sparkSession.createDataFrame([], f"{id_col} bigint, question string, answer string")
-    pairs = F.array(*[
-        F.struct(F.lit(q).alias("question"),
-                 F.nullif(F.regexp_extract(F.col(text_col), rules[q][0], rules[q][1]), F.lit("")).alias("answer"))
-        for q in known])
+    def answer(q):
+        got = F.nullif(F.regexp_extract(F.col(text_col), rules[q][0], rules[q][1]), F.lit(""))
+        guard = EXTRACT_GUARDS.get(q) if rules is EXTRACT_RULES else None
+        return F.when(F.instr(F.col(text_col), guard) > 0, got) if guard else got
+
+    pairs = F.array(*[F.struct(F.lit(q).alias("question"), answer(q).alias("answer")) for q in known])
     return (df.select(F.col(id_col), F.inline_outer(pairs))
               .filter(F.col("answer").isNotNull()))
 
@@ -230,14 +255,21 @@ def extract(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
 def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str]) -> DataFrame:
     """(id, question, answer, score) -- the sentence with the largest sum of
     idf over the distinct question tokens it holds; ties -> earlier sentence;
-    score 0 -> no row."""
+    score 0 -> no row.
+
+    Each sentence's tokens are intersected with the (config-sized) question
+    vocabulary before the explode, so only matching tokens become rows."""
     spark = df.sparkSession
     q = spark.createDataFrame([(i, s) for i, s in enumerate(questions)], "q_ord int, question string")
     q_tokens = q.select("question", F.explode(F.array_distinct(tokens("question"))).alias("token"))
-    idf = document_frequency(df, id_col, text_col, vocabulary=q_tokens)
+    vocab = config_tokens(q, "question")
+    idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
     weights = F.broadcast(q_tokens.join(idf, "token"))   # <= tokens of the given questions
+    lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
     sent = sentences(df, id_col, text_col)
-    st = sent.select(id_col, "pos", "sentence", F.explode_outer(F.array_distinct(tokens("sentence"))).alias("token"))
+    st = (sent.select(id_col, "pos", "sentence",
+                      F.explode_outer(F.array_intersect(tokens("sentence"), lit_vocab)).alias("token"))
+              .filter(F.col("token").isNotNull()))
     scored = (st.join(weights, "token")
                 .groupBy(id_col, "pos", "question")
                 .agg(F.sum("idf").alias("score"), F.any_value("sentence").alias("sentence")))
@@ -268,11 +300,15 @@ def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str
             rows.append((i, c, w))
     cfg = spark.createDataFrame(rows, "c_ord int, category string, seed string")
     seed_tokens = cfg.select("c_ord", "category", F.explode(tokens("seed")).alias("token")).distinct()
-    idf = document_frequency(df, id_col, text_col, vocabulary=seed_tokens)
+    vocab = config_tokens(cfg, "seed")
+    idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
     weights = F.broadcast(seed_tokens.join(idf, "token"))   # <= seeds of the call
-    tf = (token_rows(df, id_col, text_col)
-          .join(F.broadcast(seed_tokens.select("token").distinct()), "token", "left_semi")
-          .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
+    # Only seed-token occurrences become rows (filtered inside the array).
+    seed_occ = F.filter(tokens(text_col), lambda t: F.array_contains(lit_vocab, t))
+    tf = (df.select(F.col(id_col), F.explode_outer(seed_occ).alias("token"))
+            .filter(F.col("token").isNotNull())
+            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
     per_cat = (tf.join(weights, "token")
                  .groupBy(id_col, "c_ord", "category")
                  .agg(F.sum(F.col("tf") * F.col("idf")).alias("score")))

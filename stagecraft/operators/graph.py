@@ -96,23 +96,27 @@ def kind_of(type_col) -> F.Column:
     return (F.when(t.isin(*KINDS), t).when(t.startswith("ai_"), F.lit("ai")))
 
 
-def nodes_by_kind(nodes: DataFrame, order: DataFrame) -> DataFrame:
+def nodes_by_kind(nodes: DataFrame, levels: DataFrame) -> DataFrame:
     """(graph_id, kind, rank, id, name): nodes put in buckets by kind
-    (``ai_*`` by prefix, unknown kinds ignored), ranked by topological order
-    inside each bucket.  One row per node -- no list is collected per group."""
-    named = nodes.select(G, ID, kind_of("type").alias("kind"),
+    (``ai_*`` by prefix, unknown kinds ignored), ranked inside each bucket in
+    topological order (level, then position).  One row per node -- no list is
+    collected per group -- and numbered by a distributed sort, so a large
+    graph is not one task.  ``levels`` is T1's output (or T2's: any table
+    with ``level``)."""
+    named = nodes.select(G, ID, "pos", kind_of("type").alias("kind"),
                          object_name(F.lit(""), F.col("label")).alias("name"))
-    kept = named.filter(F.col("kind").isNotNull()).join(order.select(G, ID, "ord"), [G, ID])
-    return row_numbers(kept, [G, "kind"], ["ord", ID], "rank").select(G, "kind", "rank", ID, "name")
+    kept = named.filter(F.col("kind").isNotNull()).join(levels.select(G, ID, "level"), [G, ID])
+    return row_numbers(kept, [G, "kind"], ["level", "pos", ID], "rank").select(G, "kind", "rank", ID, "name")
 
 
-def first_of_kind(nodes: DataFrame, order: DataFrame, kinds=("stage", "table")) -> DataFrame:
+def first_of_kind(nodes: DataFrame, levels: DataFrame, kinds=("stage", "table")) -> DataFrame:
     """(graph_id, kind, id): the first node of each kind in topological
-    order -- a combinable ``min_by``, pre-aggregated before the shuffle."""
-    return (nodes.select(G, ID, kind_of("type").alias("kind"))
+    order -- a combinable ``min_by`` over (level, position, id), pre-aggregated
+    before the shuffle; no numbering needed."""
+    return (nodes.select(G, ID, "pos", kind_of("type").alias("kind"))
                  .filter(F.col("kind").isin(*kinds))
-                 .join(order.select(G, ID, "ord"), [G, ID])
-                 .groupBy(G, "kind").agg(F.min_by(ID, "ord").alias(ID)))
+                 .join(levels.select(G, ID, "level"), [G, ID])
+                 .groupBy(G, "kind").agg(F.min_by(ID, F.struct("level", "pos", ID)).alias(ID)))
 
 
 def upstream(nodes: DataFrame, edges: DataFrame, kind: str | None = None) -> DataFrame:

@@ -133,9 +133,13 @@ def replies_to_graph(df: DataFrame, key: str = "reply_id", raw_col: str = "raw")
     whose ids are not a function of the position."""
     parsed = reply_to_pipeline(decode_replies(df, raw_col))
     nodes = reply_nodes(parsed, key)
-    ids = F.transform(F.sequence(F.lit(0), F.size("nodes") - 1),
-                      lambda i: F.concat(F.lit("chat_"), F.col(key).cast("string"), F.lit("_"), i.cast("string")))
-    with_ids = parsed.filter(F.size("nodes") > 0).withColumn("__ids", ids)
+    # No filter on the parsed columns here: it would be pushed below the
+    # projection and repeat the parse.  Rows without edges vanish at the
+    # explode in ``index_edges``.
+    ids = F.when(F.size("nodes") > 0, F.transform(
+        F.sequence(F.lit(0), F.size("nodes") - 1),
+        lambda i: F.concat(F.lit("chat_"), F.col(key).cast("string"), F.lit("_"), i.cast("string"))))
+    with_ids = parsed.withColumn("__ids", ids)
     e = edges_in_range(index_edges(with_ids.select(key, "nodes", "edges", "__ids"), key, keep=["__ids"]))
     edges = e.select(key, F.element_at("__ids", F.col("source_index") + 1).alias("source"),
                      F.element_at("__ids", F.col("target_index") + 1).alias("target"))

@@ -39,20 +39,20 @@ def _type_expr() -> F.Column:
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (load(spark, sf_dir, "lineitem")
           .groupBy(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("pos"))
-          .agg(F.min("l_partkey").alias("partkey"), F.max("l_returnflag").alias("flag")))
+          .agg(F.min("l_partkey").alias("partkey"), F.bool_or(F.col("l_returnflag") == "R").alias("flag_r")))
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_name").alias("label"))
     return (li.join(part, "partkey", "left")
               .select("graph_id", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("id"), "pos",
-                      _type_expr().alias("type"), "label", "flag"))
+                      _type_expr().alias("type"), "label", "flag_r"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     n = nodes if nodes is not None else graph_nodes(spark, sf_dir)
     a = n.select("graph_id", F.col("id").alias("source"), F.col("pos").alias("spos"))
-    b = n.select("graph_id", F.col("id").alias("target"), F.col("pos").alias("tpos"), "flag")
+    b = n.select("graph_id", F.col("id").alias("target"), F.col("pos").alias("tpos"), "flag_r")
     nxt = a.join(b, (a.graph_id == b.graph_id) & (b.tpos == a.spos + 1)).select(a.graph_id, "source", "target", "spos", "tpos")
     a1 = a.filter(F.col("spos") == 1)
-    fan = (a1.join(b.filter((F.col("tpos") >= 3) & (F.col("flag") == "R")), "graph_id")
+    fan = (a1.join(b.filter((F.col("tpos") >= 3) & F.col("flag_r")), "graph_id")
              .select("graph_id", "source", "target", "spos", "tpos"))
     return (nxt.unionByName(fan)
                .select("graph_id", "source", "target", (F.col("spos") * 16 + F.col("tpos")).alias("epos")))
@@ -76,8 +76,9 @@ def _type_sql() -> str:
 
 GRAPH_SQL = f"""
 graph_nodes AS (
-  SELECT graph_id, 'n' || pos AS id, pos, {_type_sql()} AS type, p.p_name AS label, flag
-  FROM (SELECT l_orderkey AS graph_id, l_linenumber AS pos, min(l_partkey) AS partkey, max(l_returnflag) AS flag
+  SELECT graph_id, 'n' || pos AS id, pos, {_type_sql()} AS type, p.p_name AS label, flag_r
+  FROM (SELECT l_orderkey AS graph_id, l_linenumber AS pos, min(l_partkey) AS partkey,
+               bool_or(l_returnflag = 'R') AS flag_r
         FROM lineitem GROUP BY l_orderkey, l_linenumber) li
   LEFT JOIN part p ON p.p_partkey = li.partkey),
 graph_edges AS (
@@ -85,7 +86,7 @@ graph_edges AS (
   FROM graph_nodes a JOIN graph_nodes b ON a.graph_id = b.graph_id AND b.pos = a.pos + 1
   UNION ALL
   SELECT a.graph_id, a.id, b.id, a.pos * 16 + b.pos
-  FROM graph_nodes a JOIN graph_nodes b ON a.graph_id = b.graph_id AND a.pos = 1 AND b.pos >= 3 AND b.flag = 'R'),
+  FROM graph_nodes a JOIN graph_nodes b ON a.graph_id = b.graph_id AND a.pos = 1 AND b.pos >= 3 AND b.flag_r),
 cyclic_edges AS (
   SELECT * FROM graph_edges
   UNION ALL

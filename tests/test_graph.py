@@ -63,8 +63,10 @@ def test_degree_kinds_and_lookups(spark):
     nodes, edges = _frames(spark)
     deg = {(r.graph_id, r.id): r.in_degree for r in GR.in_degree(nodes, edges).collect()}
     assert deg[(1, "a")] == 0 and deg[(3, "d")] == 2 and deg[(5, "b")] == 2
-    order = GR.topological_order(nodes, edges)
-    first = {(r.graph_id, r.kind): r.id for r in GR.first_of_kind(nodes, order).collect()}
+    levels = GR.topological_levels(nodes, edges)
+    first = {(r.graph_id, r.kind): r.id for r in GR.first_of_kind(nodes, levels).collect()}
+    ranks = {(r.graph_id, r.id): r.rank for r in GR.nodes_by_kind(nodes, levels).collect()}
+    assert ranks[(4, "a")] == 1 and ranks[(4, "b")] == 2 and ranks[(3, "b")] == 1 and ranks[(3, "c")] == 2
     assert first[(4, "stage")] == "a" and first[(3, "table")] == "d"
     up = {(r.graph_id, r.id): r.upstream_id for r in GR.first_upstream(nodes, edges, "stage").collect()}
     assert up[(4, "c")] == "a"
