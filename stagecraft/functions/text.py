@@ -213,6 +213,7 @@ EXTRACT_RULES = {
     "What is the title?": (r"^[ \t]*([^\n]*[^ \t\n])", 1),
     "What is the document ID?": (r"(?i)(?:document|doc)[ _-]?(?:id|no|number)[ \t]*[:#=][ \t]*([A-Za-z0-9_-]+)", 1),
 }
+# The default question of an extract step.
 # A rule can only match when the text holds this literal; the cheap substring
 # test skips the regex scan on the other documents (same result).
 EXTRACT_GUARDS = {
@@ -283,6 +284,7 @@ def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequen
 # ---------------------------------------------------------------------------
 # Seeded classification
 # ---------------------------------------------------------------------------
+# The default categories of a classify step.
 DEFAULT_CATEGORIES = ["invoice", "contract", "receipt"]
 
 

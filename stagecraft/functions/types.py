@@ -17,6 +17,10 @@ TYPE_NAMES = [
     "BINARY", "VARBINARY",
     "GEOGRAPHY", "GEOMETRY",
 ]
+# The node types a pipeline graph may hold.
+NODE_TYPES = ["stage", "table", "task", "stream", "ai_extract", "ai_classify",
+              "ai_parse_document", "ai_summarize", "ai_sentiment"]
+
 # Our stricter shape: a name with at most one bracket of one or two integers
 # (the greedy bracket removal of the original accepted ``VARCHAR(1) x (y)``).
 TYPE_SHAPE = r"^[A-Z_]+(\([0-9]+(,[0-9]+)?\))?$"

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import object_name
-from stagecraft.functions.types import is_identifier, is_valid_type
+from stagecraft.functions.types import NODE_TYPES, is_identifier, is_valid_type
 
 
 def _violations(df: DataFrame, keys: list[str], rules: list[tuple[str, F.Column]]) -> DataFrame:
@@ -49,8 +48,7 @@ def validate_pipelines(specs: DataFrame, nodes: DataFrame, key: str = "graph_id"
     s = specs.join(counts, key, "left")
     spec_v = _violations(s.withColumn("id", F.lit(None).cast("string")), [key, "id"],
                          spec_rules + [("empty_pipeline", F.coalesce(F.col("n_nodes"), F.lit(0)) == 0)])
-    known = ["stage", "table", "task", "stream", "ai_extract", "ai_classify", "ai_parse_document",
-             "ai_summarize", "ai_sentiment"]
+    known = NODE_TYPES
     named = nodes.withColumn("obj_name", object_name(F.col("name"), F.col("label")))
     # Duplicates from a combinable count per (pipeline, name), joined back;
     # no window has to hold one pipeline's nodes in one task.

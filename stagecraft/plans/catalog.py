@@ -775,8 +775,7 @@ UNION ALL SELECT graph_id, NULL, 'invalid_schema' FROM specs
 UNION ALL SELECT s.graph_id, NULL, 'empty_pipeline' FROM specs s LEFT JOIN cnt USING (graph_id) WHERE coalesce(n, 0) = 0
 UNION ALL SELECT graph_id, id, 'invalid_name' FROM dup WHERE NOT coalesce(regexp_matches(obj_name, '^[A-Za-z_][A-Za-z0-9_$]*$'), false)
 UNION ALL SELECT graph_id, id, 'duplicate_name' FROM dup WHERE dup
-UNION ALL SELECT graph_id, id, 'unknown_type' FROM dup WHERE type NOT IN
-  ('stage', 'table', 'task', 'stream', 'ai_extract', 'ai_classify', 'ai_parse_document', 'ai_summarize', 'ai_sentiment')
+UNION ALL SELECT graph_id, id, 'unknown_type' FROM dup WHERE type NOT IN ({", ".join(Q.lit(t) for t in TY.NODE_TYPES)})
 """)
 def q_validate_pipelines(spark, sf_dir):
     nodes = FX.graph_nodes(spark, sf_dir).withColumn("name", F.lit(""))
