@@ -34,23 +34,29 @@ from pyspark.sql.window import Window
 
 
 def _number_within_partition(by: list[str]):
+    """Per-partition numbering of rows sorted by (by, order), vectorised with
+    numpy; the last group of a batch carries over into the next batch."""
     def run(batches):
-        import pandas as pd
+        import numpy as np
         last_key, last_n = None, 0
         for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(__r=pd.Series([], dtype="int64"))
+            n = len(pdf)
+            if n == 0:
+                yield pdf.assign(__r=np.zeros(0, dtype="int64"))
                 continue
-            key = pd.Series(list(zip(*[pdf[c] for c in by])), index=pdf.index)
-            new = key.ne(key.shift())
-            grp = new.cumsum()
-            r = pdf.groupby(grp.values).cumcount().to_numpy() + 1
-            if last_key is not None:
-                cont = (grp == 1).to_numpy() & (key.iloc[0] == last_key)
-                r = r + cont * last_n
-            last_key = key.iloc[-1]
+            keys = pdf[by].astype(object).where(pdf[by].notna(), "\u0000null")
+            change = np.ones(n, dtype=bool)
+            if n > 1:
+                change[1:] = keys.iloc[1:].to_numpy() .__ne__(keys.iloc[:-1].to_numpy()).any(axis=1)
+            starts = np.flatnonzero(change)
+            grp = np.cumsum(change) - 1
+            r = np.arange(n, dtype="int64") - starts[grp] + 1
+            first = tuple(keys.iloc[0])
+            if last_key is not None and first == last_key:
+                r[grp == 0] += last_n
+            last_key = tuple(keys.iloc[-1])
             last_n = int(r[-1])
-            yield pdf.assign(__r=r.astype("int64"))
+            yield pdf.assign(__r=r)
     return run
 
 
