@@ -32,8 +32,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     Each round's frontier is written once to the shared checkpoint folder
     (``session.materialize``): it is used four times, and the written table
     cuts the lineage so round 50 does not replan rounds 1-49 and a lost
-    executor does not replay them.  The driver sees one emptiness check per
-    round, nothing else.
+    executor does not replay them.  The driver sees one number per round --
+    the frontier's size, observed during its write -- nothing else.
     """
     from stagecraft.session import materialize
     # Materialise the inputs once: every round reads them.
@@ -43,9 +43,9 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     level = 0
     while max_rounds is None or level < max_rounds:
         blocked = live.select(G, F.col("target").alias(ID))
-        frontier = materialize(remaining.join(blocked, [G, ID], "left_anti")
-                               .withColumn("level", F.lit(level)), "t1-frontier")
-        if frontier.isEmpty():
+        frontier, size = materialize(remaining.join(blocked, [G, ID], "left_anti")
+                                     .withColumn("level", F.lit(level)), "t1-frontier", with_count=True)
+        if size == 0:
             break
         parts.append(frontier)
         remaining = remaining.join(frontier.select(G, ID), [G, ID], "left_anti")

@@ -68,12 +68,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, tag: str = "t"):
+def materialize(df, tag: str = "t", with_count: bool = False):
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: the lineage is cut (a lost executor does not replay earlier rounds)
-    and, unlike an eager ``checkpoint()``, the input is computed only once."""
+    and, unlike an eager ``checkpoint()``, the input is computed only once.
+
+    ``with_count=True`` also returns the number of rows written, observed
+    during the write itself (``DataFrame.observe``), so no second job runs.
+    """
     import uuid
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stagecraft-mat/{tag}-{uuid.uuid4().hex[:12]}"
+    if with_count:
+        obs = Observation(f"rows_{tag}")
+        df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path), int(obs.get["n"])
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

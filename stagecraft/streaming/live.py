@@ -6,7 +6,7 @@
   difference of two listings (ST1 on path + modification time).
 * ST5 ``consume``: a task that reads a stream and appends to a table,
   exactly once: the checkpoint records processed files and batch ids, and
-  ``foreachBatch`` skips a batch id it has already committed.
+  each batch overwrites its own batch folder, so a replay is idempotent.
 * ST6 ``scheduled_runs``: rows handled by each run of an ``N MINUTE``
   schedule = tumbling windows; live, the same grouping runs with a
   processing-time trigger and a watermark.
@@ -15,12 +15,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stagecraft.sources.stage import _base
+
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -34,7 +34,7 @@ def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    base = ("file:" + os.path.abspath(path)).rstrip("/") + "/"
+    base = _base(path)
     df = r.load(path)
     return df.select(F.regexp_replace("path", "^\\Q" + base + "\\E", "").alias("FILE_NAME"),
                      F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
@@ -44,19 +44,16 @@ def consume(stream: DataFrame, target_path: str, checkpoint: str, transform=None
             fmt: str = "parquet", available_now: bool = True, processing_time: str | None = None):
     """ST5: run a task over a stream into a table folder, exactly once.
 
-    Each micro-batch is written to ``target_path/batch_id=<id>``; a batch
-    whose folder holds a commit marker is skipped, so a batch replayed after a
-    failure (Spark re-runs the last uncommitted batch with the same id and
-    the same files) is not appended twice.  Returns the started query.
+    The checkpoint records which files each batch took; a batch replayed
+    after a failure keeps its id and its files.  Each batch is written with
+    ``overwrite`` into its own ``batch_id=<id>`` folder, so a replay replaces
+    its own output instead of appending it twice (idempotent write).  Readers
+    see the table as the union of the batch folders.  Returns the started
+    query.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform is not None else batch
-        dest = os.path.join(target_path, f"batch_id={batch_id}")
-        jvm_path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(dest)
-        fs = jvm_path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
-        if fs.exists(batch.sparkSession._jvm.org.apache.hadoop.fs.Path(dest + "/_SUCCESS")):
-            return
-        out.write.mode("overwrite").format(fmt).save(dest)
+        out.write.mode("overwrite").format(fmt).save(f"{target_path.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if processing_time:
