@@ -80,3 +80,13 @@ def stale(df: DataFrame, group: str, ts: str, as_of: str, retention: str = "14 d
     st = F.col("last_ts") < cut
     return g.select(group, "last_ts", st.alias("stale"),
                     F.when(st, "Stale").otherwise("Fresh").alias("state"))
+
+
+def stage_changes(before_listing: DataFrame, after_listing: DataFrame) -> DataFrame:
+    """STANDARD stream on a stage: the difference of two stage listings
+    keyed by path.  A new file is an INSERT, a deleted file a DELETE, and a
+    file rewritten under the same path (new size or modification time) an
+    update (DELETE + INSERT with ``is_update``) -- the case the file stream
+    source (INSERT_ONLY) does not see."""
+    cols = ["relative_path", "size", "last_modified"]
+    return changes(before_listing.select(*cols), after_listing.select(*cols), "relative_path")

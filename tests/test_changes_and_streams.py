@@ -87,3 +87,27 @@ def test_scheduled_runs_stream_matches_batch(spark, tmpdir_fresh):
     q.stop()
     live = {str(r.run_start): r.rows for r in spark.sql("SELECT * FROM runs_test").collect()}
     assert sum(live.values()) == sum(batch.values()) and len(live) == len(batch)
+
+
+def test_stage_changes_standard(spark, tmpdir_fresh):
+    import time
+    from stagecraft.sources.stage import stage_directory
+    stage = os.path.join(tmpdir_fresh, "st")
+    os.makedirs(os.path.join(stage, "sub"))
+    empty = stage_directory(spark, stage)                       # empty directory
+    assert empty.count() == 0
+    for n, body in (("a.txt", "a"), ("b.txt", "b"), ("sub/c.txt", "c")):
+        with open(os.path.join(stage, n), "w") as f:
+            f.write(body)
+    # snapshot of the first listing (a tiny test directory)
+    before = spark.createDataFrame(stage_directory(spark, stage).collect())
+    time.sleep(1.1)
+    with open(os.path.join(stage, "a.txt"), "w") as f:          # overwritten
+        f.write("a changed")
+    os.remove(os.path.join(stage, "b.txt"))                      # deleted
+    with open(os.path.join(stage, "sub", "d.txt"), "w") as f:   # new, nested
+        f.write("d")
+    after = stage_directory(spark, stage)
+    got = sorted((r.relative_path, r.action, r.is_update) for r in CH.stage_changes(before, after).collect())
+    assert got == [("a.txt", "DELETE", True), ("a.txt", "INSERT", True), ("b.txt", "DELETE", False),
+                   ("sub/d.txt", "INSERT", False)]
