@@ -40,6 +40,13 @@ def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
                      F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
 
 
+def table_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """ST3 live (APPEND_ONLY on a table): rows of files added to a table
+    folder since the stream's checkpoint, as a Structured Streaming source.
+    Rewrites of old files are not re-read (insert-only semantics)."""
+    return spark.readStream.format(fmt).schema(schema).load(path)
+
+
 def consume(stream: DataFrame, target_path: str, checkpoint: str, transform=None,
             fmt: str = "parquet", available_now: bool = True, processing_time: str | None = None):
     """ST5: run a task over a stream into a table folder, exactly once.

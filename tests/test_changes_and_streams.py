@@ -111,3 +111,19 @@ def test_stage_changes_standard(spark, tmpdir_fresh):
     got = sorted((r.relative_path, r.action, r.is_update) for r in CH.stage_changes(before, after).collect())
     assert got == [("a.txt", "DELETE", True), ("a.txt", "INSERT", True), ("b.txt", "DELETE", False),
                    ("sub/d.txt", "INSERT", False)]
+
+
+def test_table_stream_append_only(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "tbl")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows.write.parquet(src)
+    out, ckpt = os.path.join(tmpdir_fresh, "o"), os.path.join(tmpdir_fresh, "c")
+
+    def run():
+        LV.consume(LV.table_stream(spark, src, rows.schema), out, ckpt).awaitTermination()
+        return sorted(r.k for r in spark.read.parquet(out).collect())
+
+    assert run() == [1, 2]
+    spark.createDataFrame([(3, "c")], "k int, v string").write.mode("append").parquet(src)
+    assert run() == [1, 2, 3]
+    assert run() == [1, 2, 3]
