@@ -87,3 +87,18 @@ def materialize(df, tag: str = "t", with_count: bool = False):
         return spark.read.parquet(path), int(obs.get["n"])
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def size_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20,
+                    min_partitions: int | None = None) -> int:
+    """Size shuffles for the data: about one shuffle partition per
+    ``target_bytes`` of input (at least two per core), with AQE coalescing
+    small partitions back to ``target_bytes`` and splitting skewed ones.
+    At 100 TB this gives ~800k partitions of 128 MB; at sf0.1 the floor."""
+    cores = spark.sparkContext.defaultParallelism
+    floor = min_partitions if min_partitions is not None else 2 * cores
+    n = max(floor, -(-int(input_bytes) // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return n
