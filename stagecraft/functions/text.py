@@ -358,17 +358,19 @@ def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, label, margin): margin = log P(1|d) - log P(0|d) up to a constant.
 
-    Tokens outside the model are ignored; a document with no known token takes
-    the larger prior (``explode_outer`` keeps it, the left join keeps it).
+    Token occurrences join the model directly and are summed per document:
+    one exchange of the token rows when the model is large (AQE splits hot
+    tokens), none when AQE finds the model small enough to broadcast.  Tokens
+    outside the model are ignored; a document with no known token takes the
+    larger prior (``explode_outer`` and the left join keep it).
     """
     pri = model.select(F.struct(F.first("prior0").alias("p0"), F.first("prior1").alias("p1"))).scalar()
     p0, p1 = pri.getField("p0"), pri.getField("p1")
     occ = docs.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("token"))
-    per_doc_tok = occ.groupBy(id_col, "token").agg(F.count("token").alias("n"))
-    joined = per_doc_tok.join(model.select("token", "lp0", "lp1"), "token", "left")
+    joined = occ.join(model.select("token", "lp0", "lp1"), "token", "left")
     sums = joined.groupBy(id_col).agg(
-        F.sum(F.coalesce(F.col("n") * F.col("lp0"), F.lit(0.0))).alias("s0"),
-        F.sum(F.coalesce(F.col("n") * F.col("lp1"), F.lit(0.0))).alias("s1"))
+        F.sum(F.coalesce("lp0", F.lit(0.0))).alias("s0"),
+        F.sum(F.coalesce("lp1", F.lit(0.0))).alias("s1"))
     margin = (F.col("s1") + p1) - (F.col("s0") + p0)
     return sums.select(id_col, F.when(margin > 0, 1).otherwise(0).alias("label"),
                        F.round(margin, OUT_DIGITS).alias("margin"))
