@@ -20,7 +20,7 @@ G, ID = "graph_id", "id"
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
-                       checkpoint_every: int = 3) -> DataFrame:
+                       checkpoint_every: int = 4) -> DataFrame:
     """Kahn's algorithm as an iterated peel over all graphs at once.
 
     Round r takes every remaining node with no live in-edge (level r), then
@@ -37,16 +37,17 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     """
     from stagecraft.session import materialize
     # Materialise the inputs once: every round reads them.
-    remaining = materialize(nodes.select(G, ID).distinct(), "t1-nodes")
+    remaining, left = materialize(nodes.select(G, ID).distinct(), "t1-nodes", with_count=True)
     live = materialize(edges.select(G, "source", "target"), "t1-edges")
     parts = []
     level = 0
-    while max_rounds is None or level < max_rounds:
+    while left > 0 and (max_rounds is None or level < max_rounds):
         blocked = live.select(G, F.col("target").alias(ID))
         frontier, size = materialize(remaining.join(blocked, [G, ID], "left_anti")
                                      .withColumn("level", F.lit(level)), "t1-frontier", with_count=True)
         if size == 0:
-            break
+            break                      # the rest is in or behind a cycle
+        left -= size                   # all peeled: no empty round needed
         parts.append(frontier)
         remaining = remaining.join(frontier.select(G, ID), [G, ID], "left_anti")
         live = live.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"], "left_anti")
