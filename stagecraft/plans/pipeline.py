@@ -219,3 +219,37 @@ def spec_from_json(text: str) -> dict:
         if isinstance(v, str):
             v = json.loads(v)
     return v
+
+
+def schedule_minutes(schedule: str | None) -> int:
+    """Task schedule text (``N MINUTE``; empty -> 60) to minutes.  ``USING CRON``
+    has no Structured Streaming trigger and is refused."""
+    s = (schedule or "").strip()
+    if not s:
+        return 60
+    m = re.match(r"(?i)^([0-9]+)[ \t]*MINUTES?$", s)
+    if not m:
+        raise ValueError(f"unsupported schedule {schedule!r}: use 'N MINUTE'")
+    return int(m.group(1))
+
+
+def start_pipeline_task(spec: dict, stage_path: str, target_path: str, checkpoint: str,
+                        schedule: str | None = None, available_now: bool = False,
+                        as_of: str | None = None):
+    """U6 + ST4 + ST5 + ST7: the pipeline's task.  New files of the stage
+    (a file stream, INSERT_ONLY) are processed each ``schedule`` interval:
+    every micro-batch runs the pipeline's text chain as a batch plan (its
+    windows and aggregates are not streaming operators) and is appended
+    exactly once.  ``available_now`` processes what is there and stops."""
+    from pyspark.sql import SparkSession
+    from stagecraft.streaming.live import consume, stage_stream
+    spark = SparkSession.active()
+    stage = next(n for n in spec["nodes"] if n["type"] == "stage")
+    files = stage_stream(spark, stage_path).select("FILE_NAME", F.decode("content", "UTF-8").alias("content"))
+
+    def run_batch(batch: DataFrame) -> DataFrame:
+        return run_pipeline(spec, {node_name(stage): batch}, as_of=as_of)
+
+    every = None if available_now else f"{schedule_minutes(schedule)} minutes"
+    return consume(files, target_path, checkpoint, transform=run_batch,
+                   available_now=available_now, processing_time=every)

@@ -78,3 +78,27 @@ def test_validate_columns_cases(spark):
                                   ("t", "_x$1", "VARCHAR(1) x (y)")], "table_name string, name string, type string")
     got = sorted((r.name, r.violation) for r in VA.validate_columns(cols).collect())
     assert got == [("", "empty_name"), ("_x$1", "invalid_type"), ("a b", "invalid_name"), ("a b", "invalid_type")]
+
+
+def test_pipeline_task_over_new_files(spark, tmpdir_fresh):
+    from stagecraft.plans.pipeline import schedule_minutes, start_pipeline_task
+    stage = os.path.join(tmpdir_fresh, "pages")
+    os.makedirs(stage)
+    page = "<html><body><h1>Title {0}</h1><p>First words here. Second words here. Third one.</p></body></html>"
+    for i in (1, 2):
+        with open(os.path.join(stage, f"p{i}.html"), "w") as f:
+            f.write(page.format(i))
+    out, ckpt = os.path.join(tmpdir_fresh, "out"), os.path.join(tmpdir_fresh, "ckpt")
+
+    def run():
+        start_pipeline_task(C.FLAGSHIP_SPEC, stage, out, ckpt, available_now=True, as_of=C.AS_OF).awaitTermination()
+        return sorted((r.FILE_NAME, r.PROCESSED_DATA) for r in spark.read.parquet(out).collect())
+
+    got = run()
+    assert [g[0] for g in got] == ["p1.html", "p2.html"] and got[0][1].startswith("Title 1")
+    with open(os.path.join(stage, "p3.html"), "w") as f:
+        f.write(page.format(3))
+    assert [g[0] for g in run()] == ["p1.html", "p2.html", "p3.html"]
+    assert schedule_minutes("5 MINUTE") == 5 and schedule_minutes("") == 60
+    with pytest.raises(ValueError):
+        schedule_minutes("USING CRON 0 9 * * * UTC")
