@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import object_name
 from stagecraft.operators.ranking import row_numbers

@@ -59,3 +59,13 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
         f"'{f.name}', '{f.dataType.simpleString()}', `{f.name}__nulls`, `{f.name}__distinct`, "
         f"`{f.name}__min`, `{f.name}__max`" for f in cols)
     return one.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, type, nulls, distinct_count, min_value, max_value)")
+
+
+def describe_columns(df: DataFrame) -> DataFrame:
+    """Column description rows (name, type, nullable Y/N, default, comment)
+    from a DataFrame's schema -- metadata only, no data is read.  The
+    ``comment`` comes from the field metadata when a table carries one."""
+    spark = df.sparkSession
+    rows = [(f.name, f.dataType.simpleString(), "Y" if f.nullable else "N", "",
+             str((f.metadata or {}).get("comment", ""))) for f in df.schema.fields]
+    return spark.createDataFrame(rows, "name string, type string, nullable string, default string, comment string")

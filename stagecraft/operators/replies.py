@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stagecraft.functions.scalars import strip_fences
 from stagecraft.operators.ranking import row_numbers

@@ -1031,7 +1031,6 @@ def q_scheduled_runs(spark, sf_dir):
     return LV.scheduled_runs(load(spark, sf_dir, "events"), "ts", "60 minutes")
 
 
-_SCHEDULE_SPARK = None
 
 
 def _schedule_text():

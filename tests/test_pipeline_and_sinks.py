@@ -102,3 +102,10 @@ def test_pipeline_task_over_new_files(spark, tmpdir_fresh):
     assert schedule_minutes("5 MINUTE") == 5 and schedule_minutes("") == 60
     with pytest.raises(ValueError):
         schedule_minutes("USING CRON 0 9 * * * UTC")
+
+
+def test_describe_columns(spark):
+    from stagecraft.operators.inventory import describe_columns
+    df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    rows = {r.name: (r.type, r.nullable) for r in describe_columns(df).collect()}
+    assert rows["c_custkey"] == ("bigint", "Y") and rows["c_acctbal"] == ("double", "Y")
