@@ -378,12 +378,12 @@ parsed0 AS (SELECT *, outer_json AND json_valid(stripped) AS valid FROM st),
 parsed1 AS (SELECT *, CASE WHEN valid THEN stripped END AS sj FROM parsed0),
 parsed AS (SELECT *, coalesce(valid AND json_type(sj) = 'OBJECT', false) AS is_pipeline,
                   CASE WHEN valid AND json_type(sj) = 'OBJECT' THEN sj END AS pj FROM parsed1),
-rnodes AS (SELECT reply_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS node
+rnodes AS (SELECT reply_id, (generate_subscripts(arr, 1) - 1)::INTEGER AS pos, unnest(arr) AS node
            FROM (SELECT reply_id, CAST(json_extract(pj, '$.nodes') AS JSON[]) AS arr FROM parsed
                  WHERE is_pipeline AND json_type(pj, '$.nodes') = 'ARRAY') a),
 redges AS (SELECT reply_id, n_nodes, json_extract(e, '$.source_index')::INT AS source_index,
                   json_extract(e, '$.target_index')::INT AS target_index
-           FROM (SELECT reply_id, coalesce(json_array_length(pj, '$.nodes'), 0) AS n_nodes,
+           FROM (SELECT reply_id, coalesce(json_array_length(pj, '$.nodes'), 0)::INTEGER AS n_nodes,
                         unnest(CAST(json_extract(pj, '$.edges') AS JSON[])) AS e FROM parsed
                  WHERE is_pipeline AND json_type(pj, '$.edges') = 'ARRAY') a)"""
 
@@ -394,7 +394,7 @@ def _parsed(spark, sf_dir):
 
 @query("render_prompts", f"""
 SELECT conv_id, turn, to_json([struct_pack(role := 'system', content := {Q.lit(RP.SYSTEM_PROMPT)}),
-                               struct_pack(role := 'user', content := 'Database: MY_DB, Schema: PUBLIC. Request: ' || text)])
+                               struct_pack(role := 'user', content := 'Database: MY_DB, Schema: PUBLIC. Request: ' || text)])::VARCHAR
        AS messages
 FROM conversations WHERE role = 'user'
 """)
@@ -592,7 +592,7 @@ _LINES_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x:
 
 @query("split_lines", f"""
 SELECT doc_id, pos, line FROM (
-  SELECT doc_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS line
+  SELECT doc_id, (generate_subscripts(arr, 1) - 1)::INTEGER AS pos, unnest(arr) AS line
   FROM (SELECT doc_id, {_LINES_SQL} AS arr FROM documents) a) b
 """)
 def q_split_lines(spark, sf_dir):

@@ -65,7 +65,7 @@ SELECT {id_col}, pos, kind, text FROM (
   SELECT {id_col}, pos,
          CASE WHEN strpos(piece, chr(2)) > 0 THEN {kind_of("split_part(piece, chr(2), 1)")} ELSE 'text' END AS kind,
          {piece_text('piece')} AS text
-  FROM (SELECT {id_col}, unnest(arr) AS piece, generate_subscripts(arr, 1) - 1 AS pos
+  FROM (SELECT {id_col}, unnest(arr) AS piece, (generate_subscripts(arr, 1) - 1)::INTEGER AS pos
         FROM (SELECT {id_col}, {block_pieces(html_col)} AS arr FROM {source}) a) b
 ) c WHERE text <> ''"""
 
