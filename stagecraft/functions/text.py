@@ -411,7 +411,8 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
             F.count("token").alias("len"), F.any_value("n").alias("n"),
             F.any_value("sentence").alias("sentence")]
     if prompt:
-        ptoks = sorted({t for t in _py_tokens(prompt)})
+        spark = df.sparkSession
+        ptoks = config_tokens(spark.createDataFrame([(prompt,)], "p string"), "p")
         aggs.append(F.max(F.col("token").isin(ptoks).cast("int")).alias("hit"))
     per_sent = freq.groupBy(id_col, "pos").agg(*aggs)
     weight = F.col("sum_tf") / (F.col("len") * F.col("n"))
@@ -432,12 +433,6 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     return out.select(id_col, summary.alias("summary"))
 
 
-def _py_tokens(s: str) -> list[str]:
-    """Driver-side tokeniser for configuration strings only (prompts, seeds)."""
-    import regex
-    return [t for t in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if t]
-
-
 # ---------------------------------------------------------------------------
 # Sentiment with a lexicon
 # ---------------------------------------------------------------------------

@@ -64,3 +64,31 @@ def test_extract_and_answer(spark):
     assert ex[(1, "What is the token?")] == "abc123"
     ans = X.answer_sentence(docs, "doc_id", "text", ["Which license is used?"]).collect()
     assert [r.answer for r in ans] == ["Licensed under the Apache License, Version 2"]
+
+
+def test_summarize_with_prompt_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    prompt = "The licence and the token"
+    ptoks = {"the", "licence", "and", "token"}
+    got = {r.doc_id: r.summary for r in X.summarize(docs, "doc_id", "text", prompt=prompt).collect()}
+
+    def brute(text, k=3):
+        sents = [(i, s.strip()) for i, s in enumerate(regex.split(r"[.!?\n]+", text)) if s.strip()]
+        toks = {i: [t for t in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if t] for i, s in sents}
+        alltoks = [t for ts in toks.values() for t in ts]
+        if not alltoks:
+            return None
+        cnt = {}
+        for t in alltoks:
+            cnt[t] = cnt.get(t, 0) + 1
+        scored = []
+        for i, s in sents:
+            if toks[i]:
+                w = sum(cnt[t] for t in toks[i]) / (len(toks[i]) * len(alltoks))
+                w *= 2 if ptoks & set(toks[i]) else 1
+                scored.append((round(w, 9), i, s))
+        best = sorted(scored, key=lambda x: (-x[0], x[1]))[:k]
+        return " ".join(s for _, _, s in sorted(best, key=lambda x: x[1]))
+
+    for r in docs.collect():
+        assert got.get(r.doc_id) == brute(r.text)
