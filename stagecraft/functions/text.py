@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stagecraft.session import broadcast_if_bounded
+
 # ---------------------------------------------------------------------------
 # Fixed values (must match the SQL oracle exactly)
 # ---------------------------------------------------------------------------
@@ -107,7 +109,7 @@ def document_frequency(df: DataFrame, id_col: str, text_col: str,
     else:
         rows = token_rows(df, id_col, text_col, distinct=True)
         if vocabulary is not None:
-            rows = rows.join(F.broadcast(vocabulary.select("token").distinct()), "token", "left_semi")
+            rows = rows.join(vocabulary.select("token").distinct(), "token", "left_semi")
     n_docs = df.select(F.count(F.lit(1))).scalar()
     return (rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
                 .withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0)))
@@ -264,7 +266,8 @@ def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequen
     q_tokens = q.select("question", F.explode(F.array_distinct(tokens("question"))).alias("token"))
     vocab = config_tokens(q, "question")
     idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
-    weights = F.broadcast(q_tokens.join(idf, "token"))   # <= tokens of the given questions
+    # <= (questions x their tokens) rows, known from the configuration
+    weights = broadcast_if_bounded(q_tokens.join(idf, "token"), len(questions) * max(1, len(vocab)))
     lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
     sent = sentences(df, id_col, text_col)
     st = (sent.select(id_col, "pos", "sentence",
@@ -303,7 +306,8 @@ def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str
     seed_tokens = cfg.select("c_ord", "category", F.explode(tokens("seed")).alias("token")).distinct()
     vocab = config_tokens(cfg, "seed")
     idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
-    weights = F.broadcast(seed_tokens.join(idf, "token"))   # <= seeds of the call
+    # <= (categories x seed tokens) rows, known from the configuration
+    weights = broadcast_if_bounded(seed_tokens.join(idf, "token"), len(rows) * max(1, len(vocab)))
     lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
     # Only seed-token occurrences become rows (filtered inside the array).
     seed_occ = F.filter(tokens(text_col), lambda t: F.array_contains(lit_vocab, t))

@@ -62,7 +62,7 @@ def _number_within_partition(by: list[str]):
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     by, keys = list(by), [*by, *order]
-    from stagecraft.session import materialize
+    from stagecraft.session import broadcast_if_bounded, materialize
     s = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
            .withColumn("__p", F.spark_partition_id()))
     schema = T.StructType(list(s.schema.fields) + [T.StructField("__r", T.LongType(), False)])
@@ -76,6 +76,8 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: st
     w = Window.partitionBy(*by).orderBy("__p")
     offsets = (pieces.withColumn("__off", F.sum("__n").over(w) - F.col("__n"))
                      .filter(F.col("__off") > 0).drop("__n"))       # <= one row per partition
-    return (numbered.join(F.broadcast(offsets), ["__p", *by], "left")
+    # offsets hold at most one row per range partition of the sort
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (numbered.join(broadcast_if_bounded(offsets, n_parts), ["__p", *by], "left")
                     .withColumn(name, (F.coalesce("__off", F.lit(0)) + F.col("__r")).cast("bigint"))
                     .drop("__p", "__r", "__off"))
