@@ -139,6 +139,10 @@ def save_configs(df: DataFrame, table: str | None = None, name_col: str = "NAME"
                      at.alias("CREATED_AT"), F.col(order or name_col).alias("__ord"))
     out = dense_ids(rows, "__ord", start).select("ID", "NAME", "CONFIG", "CREATED_AT")
     if table is not None:
+        # The ids depend on the table's current largest id: fix the new rows
+        # once, so the rows returned are the rows appended.
+        from stagecraft.session import materialize
+        out = materialize(out, "k5")
         out.write.mode("append").saveAsTable(table)
     return out
 

@@ -109,3 +109,37 @@ def test_describe_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     rows = {r.name: (r.type, r.nullable) for r in describe_columns(df).collect()}
     assert rows["c_custkey"] == ("bigint", "Y") and rows["c_acctbal"] == ("double", "Y")
+
+
+def test_stage_read_formats_and_views(spark, tmpdir_fresh):
+    from stagecraft.sources.stage import stage_read
+    from stagecraft.sources.tables import create_view
+    csv_dir = os.path.join(tmpdir_fresh, "csv")
+    os.makedirs(csv_dir)
+    with open(os.path.join(csv_dir, "a.csv"), "w") as f:
+        f.write("k,v\n1,x\n2,y\n")
+    got = stage_read(spark, csv_dir, "auto", schema="k int, v string", glob="*.csv")
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y")]
+    js = os.path.join(tmpdir_fresh, "j.json")
+    with open(js, "w") as f:
+        f.write('{"k": 3, "v": "z"}\n')
+    assert stage_read(spark, js, "JSON", schema="k int, v string").first().v == "z"
+    with pytest.raises(ValueError):
+        stage_read(spark, js, "XML")
+    spark.range(3).createOrReplaceTempView("base_t")
+    create_view(spark, "v_once", "SELECT id FROM base_t WHERE id > 0")
+    with pytest.raises(ValueError):
+        create_view(spark, "v_once", "SELECT id FROM base_t")          # no OR REPLACE
+    assert spark.table("v_once").count() == 2
+
+
+def test_save_configs_continue_ids(spark, tmpdir_fresh):
+    cfg = spark.createDataFrame([("  a ", '{"nodes": []}', 1), ("b", '{"nodes": [1]}', 2)],
+                                "NAME string, CONFIG string, o int")
+    first = SK.save_configs(cfg, None, order="o", created_at="2024-01-01 00:00:00")
+    first.write.option("path", os.path.join(tmpdir_fresh, "cfg")).saveAsTable("saved_cfg_test")
+    more = spark.createDataFrame([("c", '"{\\"nodes\\": []}"', 3)], "NAME string, CONFIG string, o int")
+    new = SK.save_configs(more, "saved_cfg_test", order="o", created_at="2024-01-02 00:00:00")
+    rows = sorted((r.ID, r.NAME) for r in spark.table("saved_cfg_test").collect())
+    assert rows == [(1, "a"), (2, "b"), (3, "c")]
+    assert [(r.ID, r.NAME) for r in new.collect()] == [(3, "c")]     # stable after the append
