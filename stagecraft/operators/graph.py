@@ -18,43 +18,65 @@ from stagecraft.operators.ranking import row_numbers
 G, ID = "graph_id", "id"
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
-                       checkpoint_every: int = 4) -> DataFrame:
-    """Kahn's algorithm as an iterated peel over all graphs at once.
-
-    Round r takes every remaining node with no live in-edge (level r), then
-    drops those nodes and their out-edges.  An edge whose source is not a
-    node never dies, so its target -- like every node in or behind a cycle --
-    is never peeled (as in the reference, where such nodes vanish; T3 reports
-    them).  Level = round = longest path from a root.
-
-    Each round's frontier is written once to the shared checkpoint folder
-    (``session.materialize``): it is used four times, and the written table
-    cuts the lineage so round 50 does not replan rounds 1-49 and a lost
-    executor does not replay them.  The driver sees one number per round --
-    the frontier's size, observed during its write -- nothing else.
+def _bucketed(df: DataFrame, cols: list[str], n: int, tag: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``cols`` into ``n`` buckets in
+    the shared checkpoint folder and read it back.  Joins and aggregates on
+    those columns against other tables or exchanges hashed the same way then
+    need no shuffle of this side."""
+    import uuid
+    from stagecraft.session import checkpoint_dir
+    spark = df.sparkSession
+    u = uuid.uuid4().hex[:12]
+    name = f"stagecraft_{tag}_{u}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stagecraft-mat/{tag}-{u}"
+    df.write.bucketBy(n, *cols).mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Kahn's algorithm, breadth first, over all graphs at once.
+
+    Each node keeps the number of its in-edges whose source has not been
+    peeled yet (``pr``; edges from unknown nodes never count down, so their
+    targets -- like every node in or behind a cycle -- are never peeled, as in
+    the reference, where they vanish; T3 reports them).  Round r peels the
+    nodes with ``pr = 0`` (level r) and subtracts, for each target, the
+    number of edges coming from them.  Level = round = longest path from a
+    root.
+
+    Plan at scale: the edges are written once bucketed by (graph, source) and
+    the node state is rewritten each round bucketed by (graph, node), both in
+    the folder named by ``spark.checkpoint.dir``.  The frontier joins its
+    out-edges and the per-target decrements join the node state without
+    shuffling either table; the only exchange per round is the count of the
+    frontier's out-edges by target.  Over all rounds that is O(edges), like
+    sequential Kahn.  Each round is one job; the driver sees one number per
+    round -- the next frontier's size, observed during the write.
     """
-    from stagecraft.session import materialize
-    # Materialise the inputs once: every round reads them.
-    remaining, left = materialize(nodes.select(G, ID).distinct(), "t1-nodes", with_count=True)
-    live = materialize(edges.select(G, "source", "target"), "t1-edges")
+    from pyspark.sql import Observation
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.select(G, "source", "target")
+    indeg = e.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("indeg"))
+    state0 = (nodes.select(G, ID).distinct().join(indeg, [G, ID], "left")
+                   .select(G, ID, F.coalesce("indeg", F.lit(0)).alias("pr")))
+    out_edges = _bucketed(e, [G, "source"], n, "t1_edges")
+    obs = Observation("t1_state0")
+    state = _bucketed(state0.observe(obs, F.count_if(F.col("pr") == 0).alias("ready")), [G, ID], n, "t1_state")
+    ready = int(obs.get["ready"])
     parts = []
     level = 0
-    while left > 0 and (max_rounds is None or level < max_rounds):
-        blocked = live.select(G, F.col("target").alias(ID))
-        frontier, size = materialize(remaining.join(blocked, [G, ID], "left_anti")
-                                     .withColumn("level", F.lit(level)), "t1-frontier", with_count=True)
-        if size == 0:
-            break                      # the rest is in or behind a cycle
-        left -= size                   # all peeled: no empty round needed
-        parts.append(frontier)
-        remaining = remaining.join(frontier.select(G, ID), [G, ID], "left_anti")
-        live = live.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"], "left_anti")
+    while ready > 0 and (max_rounds is None or level < max_rounds):
+        frontier = state.filter(F.col("pr") == 0).select(G, ID)
+        parts.append(frontier.withColumn("level", F.lit(level)))
+        dec = (out_edges.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"])
+                        .groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("dec")))
+        nxt = (state.filter(F.col("pr") > 0).join(dec, [G, ID], "left")
+                    .select(G, ID, (F.col("pr") - F.coalesce("dec", F.lit(0))).alias("pr")))
+        obs = Observation(f"t1_state{level + 1}")
+        state = _bucketed(nxt.observe(obs, F.count_if(F.col("pr") == 0).alias("ready")), [G, ID], n, "t1_state")
+        ready = int(obs.get["ready"])
         level += 1
-        if level % checkpoint_every == 0:
-            # cut the growing chain of anti joins
-            remaining = materialize(remaining, "t1-nodes")
-            live = materialize(live, "t1-edges")
     if not parts:
         return nodes.select(G, ID).limit(0).withColumn("level", F.lit(0))
     out = parts[0]
