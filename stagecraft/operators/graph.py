@@ -61,21 +61,25 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     state0 = (nodes.select(G, ID).distinct().join(indeg, [G, ID], "left")
                    .select(G, ID, F.coalesce("indeg", F.lit(0)).alias("pr")))
     out_edges = _bucketed(e, [G, "source"], n, "t1_edges")
-    obs = Observation("t1_state0")
-    state = _bucketed(state0.observe(obs, F.count_if(F.col("pr") == 0).alias("ready")), [G, ID], n, "t1_state")
-    ready = int(obs.get["ready"])
+    def write_state(df: DataFrame, tag: str):
+        obs = Observation(tag)
+        st = _bucketed(df.observe(obs, F.count_if(F.col("pr") == 0).alias("ready"),
+                                  F.count(F.lit(1)).alias("rows")), [G, ID], n, "t1_state")
+        return st, int(obs.get["ready"]), int(obs.get["rows"])
+
+    state, ready, rows = write_state(state0, "t1_state0")
     parts = []
     level = 0
     while ready > 0 and (max_rounds is None or level < max_rounds):
         frontier = state.filter(F.col("pr") == 0).select(G, ID)
         parts.append(frontier.withColumn("level", F.lit(level)))
+        if ready == rows:
+            break                          # everything left is peeled now
         dec = (out_edges.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"])
                         .groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("dec")))
         nxt = (state.filter(F.col("pr") > 0).join(dec, [G, ID], "left")
                     .select(G, ID, (F.col("pr") - F.coalesce("dec", F.lit(0))).alias("pr")))
-        obs = Observation(f"t1_state{level + 1}")
-        state = _bucketed(nxt.observe(obs, F.count_if(F.col("pr") == 0).alias("ready")), [G, ID], n, "t1_state")
-        ready = int(obs.get["ready"])
+        state, ready, rows = write_state(nxt, f"t1_state{level + 1}")
         level += 1
     if not parts:
         return nodes.select(G, ID).limit(0).withColumn("level", F.lit(0))
