@@ -143,3 +143,26 @@ def test_save_configs_continue_ids(spark, tmpdir_fresh):
     rows = sorted((r.ID, r.NAME) for r in spark.table("saved_cfg_test").collect())
     assert rows == [(1, "a"), (2, "b"), (3, "c")]
     assert [(r.ID, r.NAME) for r in new.collect()] == [(3, "c")]     # stable after the append
+
+
+def test_validate_pipelines_cases(spark):
+    specs = spark.createDataFrame([(1, "MY_DB", "PUBLIC"), (2, "my db", "PUBLIC"), (3, "DB", "1x")],
+                                  "graph_id long, database string, schema string")
+    nodes = spark.createDataFrame([
+        (1, "a", "stage", "Files", ""), (1, "b", "table", "files", "FILES"),    # duplicate name FILES
+        (1, "c", "ai_magic", "Step", ""),                                      # unknown type
+        (2, "a", "stage", "a-b", ""),                                          # invalid name
+    ], "graph_id long, id string, type string, label string, name string")
+    got = sorted((r.graph_id, r.id or "", r.violation) for r in VA.validate_pipelines(specs, nodes).collect())
+    assert got == [(1, "a", "duplicate_name"), (1, "b", "duplicate_name"), (1, "c", "unknown_type"),
+                   (2, "", "invalid_database"), (2, "a", "invalid_name"),
+                   (3, "", "empty_pipeline"), (3, "", "invalid_schema")]
+
+
+def test_parse_modes(spark):
+    from stagecraft.functions import text as X
+    df = spark.createDataFrame([(1, "<p>a &lt; b</p><script>x</script>")], "id int, html string")
+    assert X.parse_document(df, "id", "html", "OCR").first().text == "a < b"
+    assert X.parse_document(df, "id", "html", "layout").first().kind == "paragraph"
+    with pytest.raises(ValueError):
+        X.parse_document(df, "id", "html", "VISION")
