@@ -127,3 +127,31 @@ def test_table_stream_append_only(spark, tmpdir_fresh):
     spark.createDataFrame([(3, "c")], "k int, v string").write.mode("append").parquet(src)
     assert run() == [1, 2, 3]
     assert run() == [1, 2, 3]
+
+
+def test_consume_replay_after_failure_is_exactly_once(spark, tmpdir_fresh):
+    stage = os.path.join(tmpdir_fresh, "stage")
+    os.makedirs(stage)
+    for n in ("a.txt", "b.txt"):
+        with open(os.path.join(stage, n), "w") as f:
+            f.write(n)
+    out, ckpt = os.path.join(tmpdir_fresh, "out"), os.path.join(tmpdir_fresh, "ckpt")
+    flag = os.path.join(tmpdir_fresh, "failed_once")
+
+    def flaky(batch):
+        # the output is written, then the task dies before the batch commits
+        if not os.path.exists(flag):
+            batch.select("FILE_NAME", "size").write.mode("overwrite").parquet(os.path.join(out, "batch_id=0"))
+            open(flag, "w").close()
+            raise RuntimeError("simulated loss after the write")
+        return batch.select("FILE_NAME", "size")
+
+    q = LV.consume(LV.stage_stream(spark, stage), out, ckpt, flaky)
+    try:
+        q.awaitTermination()
+    except Exception:  # noqa: BLE001 - the simulated failure
+        pass
+    q = LV.consume(LV.stage_stream(spark, stage), out, ckpt, flaky)   # restart on the same checkpoint
+    q.awaitTermination()
+    got = sorted(r.FILE_NAME for r in spark.read.parquet(out).collect())
+    assert got == ["a.txt", "b.txt"]
