@@ -81,9 +81,15 @@ def object_name(name: Column | str, label: Column | str) -> Column:
                       F.upper(F.regexp_replace(_c(label), r"\s+", "_")))
 
 
+# Whitespace trimmed around a line (carriage returns of CRLF text included),
+# written without \s or \v so Java regex and RE2 read it the same way.
+LINE_TRIM = r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$"
+
+
 def split_lines(c: Column | str) -> Column:
-    """P10: ARRAY of trimmed non-blank lines."""
-    return F.filter(F.transform(F.split(_c(c), "\n"), lambda x: F.trim(x)), lambda x: x != F.lit(""))
+    """P10: ARRAY of non-blank lines, each trimmed of surrounding whitespace."""
+    return F.filter(F.transform(F.split(_c(c), "\n"), lambda x: F.regexp_replace(x, LINE_TRIM, "")),
+                    lambda x: x != F.lit(""))
 
 
 def strip_fences(c: Column | str) -> Column:

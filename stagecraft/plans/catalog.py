@@ -587,7 +587,8 @@ def q_normalize_type(spark, sf_dir):
     return c.select("ord", "type", t["name"].alias("type_name"), t["valid"].alias("valid"))
 
 
-_LINES_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_LINES_SQL = (f"list_filter(list_transform(string_split(text, chr(10)), "
+              f"lambda x: regexp_replace(x, {Q.lit(S.LINE_TRIM)}, '', 'g')), lambda x: x <> '')")
 
 
 @query("split_lines", f"""

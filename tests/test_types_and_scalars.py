@@ -64,3 +64,8 @@ def test_first_filled_and_label(spark):
     lab = [r[0] for r in spark.createDataFrame([("true",), ("false",)], "s string")
            .select(S.label("s", {"true": "Stale"}, "Fresh")).collect()]
     assert lab == ["Stale", "Fresh"]
+
+
+def test_split_lines_crlf(spark):
+    df = spark.createDataFrame([("a\r\n  b \t\r\n\r\n",)], "t string")
+    assert df.select(S.split_lines("t")).first()[0] == ["a", "b"]
