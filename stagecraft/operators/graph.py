@@ -56,11 +56,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     from pyspark.sql import Observation
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select(G, "source", "target")
-    indeg = e.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("indeg"))
+    out_edges = _bucketed(edges.select(G, "source", "target"), [G, "source"], n, "t1_edges")
+    # in-degrees from the written edges (the input's lineage is not replayed)
+    indeg = out_edges.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("indeg"))
     state0 = (nodes.select(G, ID).distinct().join(indeg, [G, ID], "left")
                    .select(G, ID, F.coalesce("indeg", F.lit(0)).alias("pr")))
-    out_edges = _bucketed(e, [G, "source"], n, "t1_edges")
     def write_state(df: DataFrame, tag: str):
         obs = Observation(tag)
         st = _bucketed(df.observe(obs, F.count_if(F.col("pr") == 0).alias("ready"),
