@@ -44,8 +44,12 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """(column, type, nulls, distinct, min, max) for every column, from ONE
     aggregate pass over the table, then unpivoted with ``stack``.
 
-    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``), which
-    pre-aggregates per partition; ``exact=True`` counts distinct values.
+    ``exact=False`` (the default) uses HyperLogLog++ (``approx_count_distinct``):
+    fixed-size sketches merged per partition, one pass, no extra shuffle.
+    ``exact=True`` counts distinct values; Spark plans several distinct
+    aggregates with an Expand that copies every row once per column before the
+    shuffle, so keep it for narrow tables or checks (the registered query uses
+    it to compare with SQL).
     """
     aggs = []
     cols = [f for f in df.schema.fields if f.dataType.simpleString() not in ("variant",)]
