@@ -33,7 +33,8 @@ def _bucketed(df: DataFrame, cols: list[str], n: int, tag: str) -> DataFrame:
     return spark.table(name)
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
+                       carry: list[str] | None = None) -> DataFrame:
     """Kahn's algorithm, breadth first, over all graphs at once.
 
     Each node keeps the number of its in-edges whose source has not been
@@ -52,6 +53,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     frontier's out-edges by target.  Over all rounds that is O(edges), like
     sequential Kahn.  Each round is one job; the driver sees one number per
     round -- the next frontier's size, observed during the write.
+    ``carry`` names node columns to keep in the state and the output (so a
+    caller needs no join back to the nodes).
     """
     from pyspark.sql import Observation
     spark = nodes.sparkSession
@@ -59,8 +62,9 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     out_edges = _bucketed(edges.select(G, "source", "target"), [G, "source"], n, "t1_edges")
     # in-degrees from the written edges (the input's lineage is not replayed)
     indeg = out_edges.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("indeg"))
-    state0 = (nodes.select(G, ID).distinct().join(indeg, [G, ID], "left")
-                   .select(G, ID, F.coalesce("indeg", F.lit(0)).alias("pr")))
+    carry = list(carry or [])
+    state0 = (nodes.select(G, ID, *carry).dropDuplicates([G, ID]).join(indeg, [G, ID], "left")
+                   .select(G, ID, *carry, F.coalesce("indeg", F.lit(0)).alias("pr")))
     def write_state(df: DataFrame, tag: str):
         obs = Observation(tag)
         st = _bucketed(df.observe(obs, F.count_if(F.col("pr") == 0).alias("ready"),
@@ -71,18 +75,18 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     parts = []
     level = 0
     while ready > 0 and (max_rounds is None or level < max_rounds):
-        frontier = state.filter(F.col("pr") == 0).select(G, ID)
+        frontier = state.filter(F.col("pr") == 0).select(G, ID, *carry)
         parts.append(frontier.withColumn("level", F.lit(level)))
         if ready == rows:
             break                          # everything left is peeled now
         dec = (out_edges.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"])
                         .groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("dec")))
         nxt = (state.filter(F.col("pr") > 0).join(dec, [G, ID], "left")
-                    .select(G, ID, (F.col("pr") - F.coalesce("dec", F.lit(0))).alias("pr")))
+                    .select(G, ID, *carry, (F.col("pr") - F.coalesce("dec", F.lit(0))).alias("pr")))
         state, ready, rows = write_state(nxt, f"t1_state{level + 1}")
         level += 1
     if not parts:
-        return nodes.select(G, ID).limit(0).withColumn("level", F.lit(0))
+        return nodes.select(G, ID, *carry).limit(0).withColumn("level", F.lit(0))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -92,11 +96,15 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
 def topological_order(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """(graph_id, id, level, ord): a valid order -- by level, then by
     position -- numbered per graph from 1."""
-    lv = levels if levels is not None else topological_levels(nodes, edges)
+    if levels is None:
+        lv = topological_levels(nodes, edges, carry=["pos"])
+    elif "pos" in levels.columns:
+        lv = levels
+    else:
+        lv = levels.join(nodes.select(G, ID, "pos"), [G, ID])
     # Numbered by a distributed sort, not a window per graph: a graph holding
     # a large share of all nodes is spread over many tasks.
-    return row_numbers(lv.join(nodes.select(G, ID, "pos"), [G, ID]), [G], ["level", "pos", ID], "ord") \
-        .select(G, ID, "level", "ord")
+    return row_numbers(lv, [G], ["level", "pos", ID], "ord").select(G, ID, "level", "ord")
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
@@ -127,11 +135,14 @@ def nodes_by_kind(nodes: DataFrame, levels: DataFrame) -> DataFrame:
     (``ai_*`` by prefix, unknown kinds ignored), ranked inside each bucket in
     topological order (level, then position).  One row per node -- no list is
     collected per group -- and numbered by a distributed sort, so a large
-    graph is not one task.  ``levels`` is T1's output (or T2's: any table
-    with ``level``)."""
-    named = nodes.select(G, ID, "pos", kind_of("type").alias("kind"),
-                         object_name(F.lit(""), F.col("label")).alias("name"))
-    kept = named.filter(F.col("kind").isNotNull()).join(levels.select(G, ID, "level"), [G, ID])
+    graph is not one task.  ``levels`` is T1's output; when it carries
+    ``pos``, ``type`` and ``label`` no join back to ``nodes`` is needed."""
+    need = ["pos", "type", "label"]
+    src = levels if all(c in levels.columns for c in need) else \
+        levels.select(G, ID, "level").join(nodes.select(G, ID, *need), [G, ID])
+    named = src.select(G, ID, "pos", "level", kind_of("type").alias("kind"),
+                       object_name(F.lit(""), F.col("label")).alias("name"))
+    kept = named.filter(F.col("kind").isNotNull())
     return row_numbers(kept, [G, "kind"], ["level", "pos", ID], "rank").select(G, "kind", "rank", ID, "name")
 
 
@@ -139,10 +150,12 @@ def first_of_kind(nodes: DataFrame, levels: DataFrame, kinds=("stage", "table"))
     """(graph_id, kind, id): the first node of each kind in topological
     order -- a combinable ``min_by`` over (level, position, id), pre-aggregated
     before the shuffle; no numbering needed."""
-    return (nodes.select(G, ID, "pos", kind_of("type").alias("kind"))
-                 .filter(F.col("kind").isin(*kinds))
-                 .join(levels.select(G, ID, "level"), [G, ID])
-                 .groupBy(G, "kind").agg(F.min_by(ID, F.struct("level", "pos", ID)).alias(ID)))
+    need = ["pos", "type"]
+    src = levels if all(c in levels.columns for c in need) else \
+        levels.select(G, ID, "level").join(nodes.select(G, ID, *need), [G, ID])
+    return (src.select(G, ID, "pos", "level", kind_of("type").alias("kind"))
+               .filter(F.col("kind").isin(*kinds))
+               .groupBy(G, "kind").agg(F.min_by(ID, F.struct("level", "pos", ID)).alias(ID)))
 
 
 def upstream(nodes: DataFrame, edges: DataFrame, kind: str | None = None) -> DataFrame:

@@ -323,7 +323,7 @@ WHERE kind IS NOT NULL
 """)
 def q_nodes_by_kind(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return GR.nodes_by_kind(nodes, GR.topological_levels(nodes, edges))
+    return GR.nodes_by_kind(nodes, GR.topological_levels(nodes, edges, carry=["pos", "type", "label"]))
 
 
 @query("first_of_kind", f"""
@@ -335,7 +335,7 @@ WHERE kind IN ('stage', 'table') GROUP BY graph_id, kind
 """)
 def q_first_of_kind(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return GR.first_of_kind(nodes, GR.topological_levels(nodes, edges))
+    return GR.first_of_kind(nodes, GR.topological_levels(nodes, edges, carry=["pos", "type"]))
 
 
 @query("upstream_nodes", f"""
