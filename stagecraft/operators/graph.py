@@ -35,6 +35,12 @@ def _bucketed(df: DataFrame, cols: list[str], n: int, tag: str) -> DataFrame:
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
                        carry: list[str] | None = None) -> DataFrame:
+    """(graph_id, id, [carry...], level) -- see ``_kahn``."""
+    return _kahn(nodes, edges, max_rounds, carry)[0]
+
+
+def _kahn(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
+          carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Kahn's algorithm, breadth first, over all graphs at once.
 
     Each node keeps the number of its in-edges whose source has not been
@@ -54,7 +60,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     sequential Kahn.  Each round is one job; the driver sees one number per
     round -- the next frontier's size, observed during the write.
     ``carry`` names node columns to keep in the state and the output (so a
-    caller needs no join back to the nodes).
+    caller needs no join back to the nodes).  Returns (levels, unpeeled): the
+    last node state holds exactly the nodes no round reached (T3).
     """
     from pyspark.sql import Observation
     spark = nodes.sparkSession
@@ -74,10 +81,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
     state, ready, rows = write_state(state0, "t1_state0")
     parts = []
     level = 0
+    all_peeled = rows == 0
     while ready > 0 and (max_rounds is None or level < max_rounds):
         frontier = state.filter(F.col("pr") == 0).select(G, ID, *carry)
         parts.append(frontier.withColumn("level", F.lit(level)))
         if ready == rows:
+            all_peeled = True
             break                          # everything left is peeled now
         dec = (out_edges.join(frontier.select(G, F.col(ID).alias("source")), [G, "source"])
                         .groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("dec")))
@@ -85,12 +94,13 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | Non
                     .select(G, ID, *carry, (F.col("pr") - F.coalesce("dec", F.lit(0))).alias("pr")))
         state, ready, rows = write_state(nxt, f"t1_state{level + 1}")
         level += 1
+    unpeeled = state.select(G, ID).limit(0) if all_peeled else state.select(G, ID)
     if not parts:
-        return nodes.select(G, ID, *carry).limit(0).withColumn("level", F.lit(0))
+        return nodes.select(G, ID, *carry).limit(0).withColumn("level", F.lit(0)), unpeeled
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, unpeeled
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
@@ -110,8 +120,9 @@ def topological_order(nodes: DataFrame, edges: DataFrame, levels: DataFrame | No
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Nodes that no order reaches: in a cycle, behind one, or fed by an
     edge from an unknown node."""
-    lv = levels if levels is not None else topological_levels(nodes, edges)
-    return nodes.select(G, ID).join(lv.select(G, ID), [G, ID], "left_anti")
+    if levels is None:
+        return _kahn(nodes, edges)[1]       # the state Kahn could not peel
+    return nodes.select(G, ID).join(levels.select(G, ID), [G, ID], "left_anti")
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
