@@ -72,3 +72,17 @@ def test_degree_kinds_and_lookups(spark):
     assert up[(4, "c")] == "a"
     down = {(r.graph_id, r.downstream_id) for r in GR.downstream(nodes, edges).filter("id = 'a'").collect()}
     assert (3, "b") in down and (3, "c") in down
+
+
+def test_self_loop_and_max_rounds(spark):
+    nodes = spark.createDataFrame([(1, "a", 1, "stage", "A"), (1, "b", 2, "table", "B"), (1, "c", 3, "task", "C"),
+                                   (2, "x", 1, "stage", "X")],
+                                  "graph_id long, id string, pos int, type string, label string")
+    edges = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 2), (2, "x", "x", 1)],
+                                  "graph_id long, source string, target string, epos int")
+    lv = {(r.graph_id, r.id): r.level for r in GR.topological_levels(nodes, edges).collect()}
+    assert lv == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2}            # x loops onto itself
+    assert {(r.graph_id, r.id) for r in GR.cyclic_nodes(nodes, edges).collect()} == {(2, "x")}
+    levels, unpeeled = GR._kahn(nodes, edges, max_rounds=1)
+    assert {(r.graph_id, r.id) for r in levels.collect()} == {(1, "a")}
+    assert {(r.graph_id, r.id) for r in unpeeled.collect()} == {(1, "b"), (1, "c"), (2, "x")}
