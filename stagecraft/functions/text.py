@@ -254,6 +254,26 @@ def extract(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
               .filter(F.col("answer").isNotNull()))
 
 
+def extract_map(text: Column | str, questions: Sequence[str], rules: dict | None = None) -> Column:
+    """X3 as one value per row: JSON text of {question: answer} for the
+    questions with a rule and a match (keys sorted), null when none matched.
+    Row-local: no aggregation and no join."""
+    rules = EXTRACT_RULES if rules is None else rules
+    col = F.col(text) if isinstance(text, str) else text
+    known = [q for q in questions if q in rules]
+    if not known:
+        return F.lit(None).cast("string")
+
+    def answer(q):
+        got = F.nullif(F.regexp_extract(col, rules[q][0], rules[q][1]), F.lit(""))
+        guard = EXTRACT_GUARDS.get(q) if rules is EXTRACT_RULES else None
+        return F.when(F.instr(col, guard) > 0, got) if guard else got
+
+    entries = F.filter(F.array(*[F.struct(F.lit(q).alias("question"), answer(q).alias("answer")) for q in known]),
+                       lambda e: e["answer"].isNotNull())
+    return F.when(F.size(entries) > 0, F.to_json(F.map_from_entries(F.array_sort(entries))))
+
+
 def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str]) -> DataFrame:
     """(id, question, answer, score) -- the sentence with the largest sum of
     idf over the distinct question tokens it holds; ties -> earlier sentence;

@@ -60,13 +60,14 @@ def step_summarize(config: dict) -> Step:
 
 def step_extract(config: dict) -> Step:
     questions = X.split_questions(config.get("prompts"))
+    free = [q for q in questions if q not in X.EXTRACT_RULES]
 
     def run(df: DataFrame) -> DataFrame:
+        if not free:
+            # every question has a rule: one row-local projection
+            return df.select(KEY, X.extract_map(F.col(TEXT), questions).alias(TEXT))
         ruled = X.extract(df, KEY, TEXT, questions)
-        free = [q for q in questions if q not in X.EXTRACT_RULES]
-        parts = ruled
-        if free:
-            parts = parts.unionByName(X.answer_sentence(df, KEY, TEXT, free).drop("score"))
+        parts = ruled.unionByName(X.answer_sentence(df, KEY, TEXT, free).drop("score"))
         answers = parts.groupBy(KEY).agg(
             F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("question", "answer"))))).alias("a"))
         return _keep_all(df, answers, F.col("a"))

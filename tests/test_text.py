@@ -92,3 +92,17 @@ def test_summarize_with_prompt_brute_force(spark):
 
     for r in docs.collect():
         assert got.get(r.doc_id) == brute(r.text)
+
+
+def test_extract_step_row_local_equals_grouped(spark):
+    from pyspark.sql import functions as F
+    from stagecraft.plans.pipeline import text_chain
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    qs = ["What is the e-mail address?", "What is the token?", "Which licence applies?"]
+    got = {r.doc_id: r.PROCESSED_DATA for r in
+           text_chain(docs, "doc_id", "text", [("ai_extract", {"prompts": "\n".join(qs)})]).collect()}
+    grouped = (X.extract(docs, "doc_id", "text", qs).groupBy("doc_id")
+               .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("question", "answer"))))).alias("a")))
+    want = {r.doc_id: r.a for r in grouped.collect()}
+    assert len(got) == docs.count()
+    assert {k: v for k, v in got.items() if v is not None} == want
