@@ -90,8 +90,9 @@ def step_sentiment(config: dict) -> Step:
     def run(df: DataFrame) -> DataFrame:
         if lexicon is None:
             raise ValueError("ai_sentiment needs a lexicon DataFrame in its config")
-        s = X.sentiment(df, KEY, TEXT, lexicon)
-        return df.select(KEY).join(s.select(KEY, F.col("sentiment").alias(TEXT)), KEY, "left")
+        # sentiment() keeps every input row (explode_outer + left join), so
+        # no join back to the keys is needed
+        return X.sentiment(df, KEY, TEXT, lexicon).select(KEY, F.col("sentiment").alias(TEXT))
     return run
 
 
