@@ -5,12 +5,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from stagecraft.plans import catalog
 from stagecraft.sources.tables import TABLES
 from tools.check import digest
 
 from conftest import SF_SMALL
 
-SQL = E.oracle_sql()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -40,7 +41,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle():
-    missing = set(E.queries()) - set(SQL)
+    missing = set(catalog.queries()) - set(SQL)
     assert not missing
 
 
