@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import substring, suffix
+from stagecraft.llm import decontam, neardup, substring, suffix
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,16 @@ def q_substring(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op2_near_duplicates")
+def q_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def q_decontamination(spark, sf_dir):
+    return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_suffix_dedup")
 def q_suffix(spark, sf_dir):
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))

@@ -14,8 +14,8 @@ run of windows that it owns.
    their own tokens, inside their bucket.  Buckets with more than ``HOT`` blocks
    are dealt by window hash instead, so no bucket has to fit one task.
 
-Blocks are pre-aggregated in each Arrow batch, so a passage that a third of all
-documents share sends one row per batch.
+Blocks are pre-aggregated by the quarter million, so a passage that a third of all
+documents share sends one row for each of these.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from stagecraft.llm import common as C
 HOT = 2048
 #: Tokens of a document that are handled at once; longer ones are cut with overlap.
 SEGMENT = 1 << 19
+#: Blocks that are pre-aggregated and sent together.
+FLUSH = 1 << 18
 ANCHOR_SCHEMA = "ah long, ch long, doc long, p long, n int, full boolean"
 BLOCK_SCHEMA = "ah long, doc long, p long, n int, body binary"
 SPAN_SCHEMA = "doc long, s long, e long"
@@ -109,26 +111,32 @@ def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            found = []
+            found, size = [], 0
             for lo, hi, data, off in C.chunks(batch.column("text")):
                 tokens, toff = tokenise(data, off)
                 for doc, base, part, poff in segments(tokens, toff, length):
                     piece, start, count, ah, ch = owned_blocks(_values(part), poff, length, gram)
                     found.append((ah, ch, ids[lo + doc[piece]], start + base[piece], count))
-            if not found:
-                continue
-            ah, ch, doc, p, n = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((p, doc, ch, ah))
-            ah, ch, doc, p, n = ah[order], ch[order], doc[order], p[order], n[order]
-            new = np.ones(len(ah), bool)
-            new[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            full = (doc > doc[head]) if across else ~new & ((doc != doc[head]) | (p != p[head]))
-            # A row that is already judged goes anywhere: it must not make its bucket hot.
-            ah = np.where(full, C.mix(ah + C.mix(doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))), ah)
-            back = np.lexsort((p, doc))
-            cols = [C.signed(ah)[back], C.signed(ch)[back], doc[back], p[back], n[back].astype(np.int32), full[back]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+                    size += len(ah)
+                    if size >= FLUSH:
+                        yield rows(found)
+                        found, size = [], 0
+            if found:
+                yield rows(found)
+
+    def rows(found):
+        ah, ch, doc, p, n = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((p, doc, ch, ah))
+        ah, ch, doc, p, n = ah[order], ch[order], doc[order], p[order], n[order]
+        new = np.ones(len(ah), bool)
+        new[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        full = (doc > doc[head]) if across else ~new & ((doc != doc[head]) | (p != p[head]))
+        # A row that is already judged goes anywhere: it must not make its bucket hot.
+        ah = np.where(full, C.mix(ah + C.mix(doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))), ah)
+        back = np.lexsort((p, doc))
+        cols = [C.signed(ah)[back], C.signed(ch)[back], doc[back], p[back], n[back].astype(np.int32), full[back]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
 
