@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import decontam, neardup, substring, suffix
+from stagecraft.llm import bpe, decontam, langid, neardup, substring, suffix, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +35,21 @@ def q_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity")
+def q_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_byte_bpe")
+def q_byte_bpe(spark, sf_dir):
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_language")
+def q_language(spark, sf_dir):
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
 @query("op8_decontamination")
 def q_decontamination(spark, sf_dir):
     return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
