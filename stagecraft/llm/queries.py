@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import bpe, decontam, langid, neardup, substring, suffix, toxicity
+from stagecraft.llm import bpe, decontam, langid, license, neardup, quality, sharding, substring, suffix, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_quality")
+def q_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_quality"] = quality.SQL
+
+
+@query("op4_licenses")
+def q_licenses(spark, sf_dir):
+    return license.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sharding")
+def q_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 @query("op3_substring_dedup")
 def q_substring(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
