@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
 def covered(spans, n: int) -> list[tuple[int, int]]:
     """Disjoint, sorted spans (touching ones merged) within [0, n)."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if spans is None else spans)):
         e = min(e, n)
         if s >= e:
             continue
