@@ -11,16 +11,21 @@ Documents with the same shingle set form one class; its smallest id stands for
 it.  Class signatures are cut into ``BANDS`` x ``ROWS``; a pair at similarity
 0.85 shares no band with probability (1 - 0.85**5)**24 < 1e-6.  In each band
 bucket members are first compared with the smallest one (a star, linear), on
-full shingle sets.  Only members that are then still in different components are
-compared pair by pair, so no link between components is lost.  Components come
-from min-label hooking and pointer jumping on written tables.
+full shingle sets.  What then is still in different components of one bucket
+goes through an exact prefix join: shingles are ordered by rarity among these
+documents, and two documents at the threshold must share one of the rarest
+shingles of each (of the shorter n - ceil(170 n / 185) + 1, of the longer
+n - ceil(85 n / 100) + 1).  Families of thousands whose members differ too much
+meet in common shingles only, so they make no pairs, and no link
+between components is lost.  Components come from min-label hooking and pointer
+jumping on written tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecraft.llm import common as C
@@ -146,6 +151,50 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"))
 
 
+def _joined(part: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """(b, label) after the links' components are joined, and whether any were."""
+    far = part.select(F.col("b").alias("b_"), F.col("label").alias("far"))
+    ends = C.save(links.join(part.select(F.col("b").alias("a"), "label"), "a").join(far, F.col("b") == F.col("b_"))
+                  .select(F.col("label").alias("a"), F.col("far").alias("b")).filter("a != b").distinct(), "ends")
+    if ends.isEmpty():
+        return part, False
+    roots = components(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct(), ends)
+    moved = part.join(roots.select("node", F.col("label").alias("to")), part["label"] == F.col("node"), "left")
+    return C.save(moved.select("b", F.coalesce("to", "label").alias("label")), "part"), True
+
+
+def _shingle_lists(batches):
+    schema = pa.schema([("b", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64()))])
+    for batch in batches:
+        for lo, hi, data, off in C.chunks(batch.column("text")):
+            sets = list(shingle_sets(data, off))
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("b").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(C.signed(np.concatenate(sets))))], schema=schema)
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of ``rest`` (b, label) in different components that share one of
+    their rarest shingles; every pair at the threshold is among them."""
+    lists = rest.join(texts, F.col("b") == F.col("doc")).select("b", "label", "text") \
+        .mapInArrow(_shingle_lists, "b long, label long, n long, s array<long>")
+    rows = C.save(lists.select("b", "label", "n", F.explode("s").alias("s")), "shingles")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    order = Window.partitionBy("b").orderBy(F.coalesce("often", F.lit(1).cast("long")), "s")
+    rare = rows.join(often, "s", "left").withColumn("k", F.row_number().over(order))
+    longer = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0 - 1e-9) + 1
+    shorter = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / float(100 + PERCENT) - 1e-9) + 1
+    # A shingle of one document only keeps its place in the order but meets nothing.
+    rare = C.save(rare.filter((F.col("k") <= longer) & F.col("often").isNotNull())
+                  .select("b", "label", "n", "s", "k", (F.col("k") <= shorter).alias("short")), "prefixes")
+    # At the first shingle that two share, what follows must still suffice.
+    x, y = rare.filter("short").alias("x"), rare.alias("y")
+    met = x.join(y, F.expr(f"x.s = y.s and x.label != y.label and (x.n < y.n or x.n = y.n and x.b < y.b) "
+                         f"and 100 * x.n >= {PERCENT} * y.n and {100 + PERCENT} * (1 + least(x.n - x.k, y.n - y.k)) >= {PERCENT} * (x.n + y.n)"))
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over
     links), kept (doc_id = component_id).
@@ -155,32 +204,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     get that id's component.  An empty table gives an empty result.
     """
     base = C.keyed(docs, id_col, text_col)
-    signed = C.save(base.mapInArrow(_signatures, "doc long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    schema = "doc long, n long, d1 long, d2 long, bands array<long>"
+    signed = C.save(base.mapInArrow(_signatures, schema), "signatures")
     real = signed.filter((F.col("n") > 0) & (F.col("doc") != C.NULL_ID))
     classes = C.save(real.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc", "bands")).alias("m"))
-                     .select("n", "d1", "d2", F.col("m.doc").alias("rep"), F.col("m.bands").alias("bands")), "classes")
-    # A document whose id stands for several classes (repeated ids) joins them.
+                     .select("n", "d1", "d2", F.col("m.doc").alias("rep"), "m.bands"), "classes")
     bands = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = (bands.groupBy("band", "hash").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("size"))
                .filter("size > 1"))
     member = C.save(bands.join(buckets, ["band", "hash"]).select("band", "hash", "a", F.col("rep").alias("b")), "buckets")
     wanted = member.select(F.col("b").alias("doc")).distinct()
     texts = C.save(base.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    star = C.save(_verified(member.filter("a < b").select("a", "b").distinct(), texts), "star")
-    part = C.save(components(wanted.withColumnRenamed("doc", "node"), star), "part")
-    # Buckets that the star did not join: all pairs across components, once each.
-    labelled = member.join(part.select(F.col("node").alias("b"), "label"), "b")
+    part = C.save(wanted.select(F.col("doc").alias("b"), F.col("doc").alias("label")), "part")
+    part = _joined(part, _verified(member.filter("a < b").select("a", "b").distinct(), texts))[0]
+    labelled = member.select("band", "hash", "b").join(part, "b")
     open_ = labelled.groupBy("band", "hash").agg((F.min("label") != F.max("label")).alias("open")).filter("open")
-    rest = C.save(labelled.join(open_.select("band", "hash"), ["band", "hash"]).select("band", "hash", "a", "b", "label"), "open")
-    links = star
+    rest = C.save(labelled.join(open_, ["band", "hash"]).select("b", "label").distinct(), "open")
     if not rest.isEmpty():
-        x = rest.select("band", "hash", F.col("a").alias("pivot"), F.col("b").alias("a"), F.col("label").alias("la"))
-        y = rest.select("band", "hash", "b", F.col("label").alias("lb"))
-        pairs = (x.join(y, ["band", "hash"]).filter("a < b and la != lb and a != pivot").select("a", "b").distinct())
-        links = C.save(star.union(_verified(pairs, texts)), "links")
-        part = C.save(components(wanted.withColumnRenamed("doc", "node"), links), "part")
+        part = _joined(part, _verified(_prefix_pairs(rest, texts), texts))[0]
     # Copies take the component of their class; a class alone is its own.
-    whole = (classes.join(part.withColumnRenamed("node", "rep"), "rep", "left")
+    whole = (classes.join(part.withColumnRenamed("b", "rep"), "rep", "left")
              .select("n", "d1", "d2", F.coalesce("label", "rep").alias("component")))
     return (signed.select("doc", "n", "d1", "d2").join(whole, ["n", "d1", "d2"], "left")
             .select(C.original_id(), F.col("n").alias("n_shingles"),
