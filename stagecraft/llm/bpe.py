@@ -4,8 +4,8 @@ The merges are compiled into two facts: the trie of tokens, and which token may
 follow which (a pair is allowed if the merges leave it as it is).  A prefix of a
 piece then has exactly one last token that fits.  The transducer's state is the
 set of tokens that are under way: (trie node, last token before it).  States and
-moves are made when first met and kept in a bounded table, so a byte costs one
-lookup.  A token is emitted once all tokens under way agree on what stands before
+moves are made when first met and kept in a bounded table, where a byte costs one
+lookup; beyond the table the tokens under way are followed one by one.  A token is emitted once all tokens under way agree on what stands before
 them, or at the piece's end.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from stagecraft.llm import common as C
 
-#: Pieces and states kept per worker before the tables are emptied.
-CACHE = 1 << 17
+#: Pieces kept per worker, in each of two generations, and states in the table.
+CACHE, STATES = 1 << 18, 1 << 16
 #: Positions that may wait before agreed tokens are emitted.
 LOOKAHEAD = 1 << 10
 
@@ -37,6 +37,7 @@ class Transducer:
         self.token = {i: t for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
         for t, i in ranks.items():
             node = 0
             for b in t:
@@ -46,16 +47,15 @@ class Transducer:
                     self.children[node][b] = nxt
                     self.children.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = i
         self.length = {i: len(t) for t, i in ranks.items()}
         self._fits: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self._reset()
-
-    def _reset(self):
-        start = ((0, 0, -1),)  # (trie node, bytes so far, token before)
-        self.ids = {start: 0}
+        self._older: dict[str, tuple[tuple[int, ...], str]] = {}
+        start = ((0, -1),)  # (trie node, token before)
+        self.ids: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
@@ -73,63 +73,72 @@ class Transducer:
         key = (before, token)
         ok = self._fits.get(key)
         if ok is None:
-            if len(self._fits) >= 8 * CACHE:
+            if len(self._fits) >= 4 * CACHE:
                 self._fits.clear()
             if before < 0:
                 ok = self.merged(self.token[token]) == [token]
             else:
-                ok = self.merged(self.token[before] + self.token[token]) == [before, token]
+                ok = self.fits(-1, token) and self.merged(self.token[before] + self.token[token]) == [before, token]
             self._fits[key] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """Next state and the last token of the longer prefix."""
-        last, under_way = -1, []
-        for node, n, before in self.states[state]:
-            child = self.children[node].get(byte)
+    def _step(self, under_way: tuple, byte: int) -> tuple[tuple, int]:
+        """Tokens under way after one more byte, and the last token of the longer prefix."""
+        last, out = -1, []
+        children, ends, known = self.children, self.ends, self._fits
+        for node, before in under_way:
+            child = children[node].get(byte)
             if child is None:
                 continue
-            if self.children[child]:
-                under_way.append((child, n + 1, before))
-            t = self.ends[child]
-            if t >= 0 and last < 0 and self.fits(-1, t) and (before < 0 or self.fits(before, t)):
-                last = t
-        key = tuple(under_way) + ((0, 0, last),)
-        nxt = self.ids.get(key)
-        if nxt is None:
-            nxt = len(self.states)
-            self.ids[key] = nxt
-            self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = (nxt, last)
-        return nxt, last
+            if children[child]:
+                out.append((child, before))
+            t = ends[child]
+            if t >= 0 and last < 0:
+                ok = known.get((before, t))
+                if ok is None:
+                    ok = self.fits(before, t)
+                if ok:
+                    last = t
+        out.append((0, last))
+        return tuple(out), last
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > CACHE:
-            self._reset()
         moves, out = self.moves, []
         state, done, last = 0, 0, []  # last[i]: last token of data[:done + i + 1]
+        under_way = self.states[0]
         for i, b in enumerate(data):
-            m = moves[state].get(b)
-            state, t = m if m is not None else self._move(state, b)
+            if state >= 0:
+                m = moves[state].get(b)
+                if m is None:
+                    under_way, t = self._step(self.states[state], b)
+                    m = self._learn(state, b, under_way, t)
+                state, t = m
+            else:  # the table is full: go on with the tokens under way themselves
+                under_way, t = self._step(under_way, b)
             last.append(t)
             if len(last) >= LOOKAHEAD and len(last) % LOOKAHEAD == 0:
-                agreed = self._agreed(state, i + 1, done, last)
+                agreed = self._agreed(self.states[state] if state >= 0 else under_way, i + 1, done, last)
                 out += self._back(agreed, done, last)
                 del last[:agreed - done]
                 done = agreed
-                if len(self.states) > 4 * CACHE:  # a long piece: keep only where it stands
-                    here = self.states[state]
-                    self._reset()
-                    moves = self.moves
-                    self.ids[here] = state = len(self.states)
-                    self.states.append(here)
-                    moves.append({})
         return out + self._back(len(data), done, last)
 
+    def _learn(self, state: int, byte: int, under_way: tuple, last: int) -> tuple[int, int]:
+        """Adds the move; -1 stands for a state that the full table does not take."""
+        nxt = self.ids.get(under_way)
+        if nxt is None:
+            if len(self.states) >= STATES:
+                return -1, last
+            nxt = len(self.states)
+            self.ids[under_way] = nxt
+            self.states.append(under_way)
+            self.moves.append({})
+        self.moves[state][byte] = (nxt, last)
+        return nxt, last
+
     def _back(self, end: int, done: int, last: list[int]) -> list[int]:
         tokens = []
         while end > done:
@@ -138,9 +147,9 @@ class Transducer:
             end -= self.length[t]
         return tokens[::-1]
 
-    def _agreed(self, state: int, at: int, done: int, last: list[int]) -> int:
+    def _agreed(self, under_way: tuple, at: int, done: int, last: list[int]) -> int:
         """The furthest token end that every token under way builds on."""
-        starts = [at - n for _, n, _ in self.states[state]]
+        starts = [at - self.depth[node] for node, _ in under_way]
         chain, p = [], starts[0]
         while p > done:
             chain.append(p)
@@ -155,14 +164,14 @@ class Transducer:
         return max(limit, done)
 
     def piece(self, text: str) -> tuple[tuple[int, ...], str]:
-        got = self._pieces.get(text)
+        got = self._pieces.get(text) or self._older.get(text)
         if got is None:
             ids = tuple(self.encode_piece(text.encode("utf-8")))
             got = (ids, " ".join(map(str, ids)))
-            if len(text) <= 64:
-                if len(self._pieces) >= CACHE:
-                    self._pieces.clear()
-                self._pieces[text] = got
+        if len(text) <= 64:
+            if len(self._pieces) >= CACHE:
+                self._older, self._pieces = self._pieces, {}
+            self._pieces[text] = got
         return got
 
     def decode(self, ids) -> str:
