@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from stagecraft.llm import common as C
 
 #: Pieces kept per worker, in each of two generations, and states in the table.
-CACHE, STATES = 1 << 18, 1 << 16
+CACHE, STATES = 1 << 17, 1 << 15
+#: Token pairs whose fit is remembered.
+PAIRS = 1 << 18
 #: Positions that may wait before agreed tokens are emitted.
 LOOKAHEAD = 1 << 10
 
@@ -50,10 +52,11 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = i
+        self.digits = {i: str(i) for i in self.token}
         self.length = {i: len(t) for t, i in ranks.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self._older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._fits: dict[int, bool] = {}
+        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         start = ((0, -1),)  # (trie node, token before)
         self.ids: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
@@ -70,10 +73,10 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def fits(self, before: int, token: int) -> bool:
-        key = (before, token)
+        key = (before << 20) + token
         ok = self._fits.get(key)
         if ok is None:
-            if len(self._fits) >= 4 * CACHE:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             if before < 0:
                 ok = self.merged(self.token[token]) == [token]
@@ -94,7 +97,7 @@ class Transducer:
                 out.append((child, before))
             t = ends[child]
             if t >= 0 and last < 0:
-                ok = known.get((before, t))
+                ok = known.get((before << 20) + t)
                 if ok is None:
                     ok = self.fits(before, t)
                 if ok:
@@ -163,11 +166,10 @@ class Transducer:
             limit = min(limit, p)
         return max(limit, done)
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
+    def piece(self, text: str) -> tuple[int, ...]:
         got = self._pieces.get(text) or self._older.get(text)
         if got is None:
-            ids = tuple(self.encode_piece(text.encode("utf-8")))
-            got = (ids, " ".join(map(str, ids)))
+            got = tuple(self.encode_piece(text.encode("utf-8")))
         if len(text) <= 64:
             if len(self._pieces) >= CACHE:
                 self._older, self._pieces = self._pieces, {}
@@ -231,9 +233,9 @@ def _digest(path: str, pattern: str):
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
                 n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
                 stream, gap = Utf8Stream(), ""
-                for ids, words in _pieces(t, split, text.as_py() or ""):
+                for ids in _pieces(t, split, text.as_py() or ""):
                     n += len(ids)
-                    ids_hash.update((gap + words).encode())
+                    ids_hash.update((gap + " ".join(map(t.digits.__getitem__, ids))).encode())
                     gap = " "
                     text_hash.update(stream.feed(b"".join(map(t.token.__getitem__, ids))).encode())
                 text_hash.update(stream.close().encode())
@@ -245,20 +247,17 @@ def _digest(path: str, pattern: str):
 
 
 def _pieces(t: Transducer, split, text: str, limit: int = 1 << 17):
-    """(ids, ids as text) of about ``limit`` pieces at a time."""
+    """Ids of the text, those of about ``limit`` pieces at a time."""
     known, get = t._pieces, t.piece
     pieces = split.findall(text) if len(text) < 8 * limit else (m.group() for m in split.finditer(text))
     ids: list[int] = []
-    words: list[str] = []
-    for p in pieces:
-        got = known.get(p) or get(p)
-        ids += got[0]
-        words.append(got[1])
-        if len(words) >= limit:
-            yield ids, " ".join(words)
-            ids, words = [], []
-    if words:
-        yield ids, " ".join(words)
+    for n, p in enumerate(pieces, 1):
+        ids += known.get(p) or get(p)
+        if n % limit == 0:
+            yield ids
+            ids = []
+    if ids:
+        yield ids
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         t, split = transducer(path), regex.compile(pattern)
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                ids = [i for part, _ in _pieces(t, split, text.as_py() or "") for i in part]
+                ids = [i for part in _pieces(t, split, text.as_py() or "") for i in part]
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], schema=schema)
 
     return C.keyed(docs, id_col, text_col).mapInArrow(run, "doc long, ids array<int>").select(C.original_id(), "ids")

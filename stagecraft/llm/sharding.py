@@ -1,14 +1,14 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
 Documents with equal texts are linked.  A group's label state is how many of its
-documents each shard holds, so a group of any size is one row.  Documents start
-dealt round robin, which fills every shard to its capacity.  In each round a
-group picks, among the shards with room, the one that holds most of it; its
-documents in shards that hold fewer ask to move there.  Requests for a shard are
-granted in a fixed random order until its room is used.  Every granted move joins
-a smaller part with a larger one, so fewer links are cut each round.  Documents
-without links then fill the room that is left: counts are at most one apart (the
-law ``rows``).
+documents each shard holds, and a group of any size is one row.  Linked documents
+start in group order, in blocks that follow the shards' capacities, so most
+groups start whole.  In each round a group that is split picks, among the shards
+with room, the one that holds most of it; its documents in shards that hold fewer
+ask to move there.  Requests for a shard are granted in a fixed random order until
+its room is used.  Every granted move joins a smaller part with a larger one, so
+fewer links are cut each round.  Documents without links then fill the room that
+is left: counts are at most one apart (the law ``rows``).
 
 Running sums over groups and documents go by hash bucket: sums per bucket, then
 within a bucket, so no group and no shard has to fit one task.
@@ -96,9 +96,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     groups = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     groups = C.save(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))).withColumn("one", F.lit(0)), "groups")
     dealt = _offsets(groups, ["one"], ["m"], ["k1", "k2"])
-    # Dealt round robin: of m documents from number b on, shard s gets those with number = s (mod shards).
-    upto = lambda x, s: F.floor((x - s + shards - 1) / shards)
-    held = F.array(*[(upto(F.col("before_m") + F.col("m"), s) - upto(F.col("before_m"), s)).cast("long") for s in range(shards)])
+    # Blocks in proportion to the capacities: none holds more than its shard can.
+    total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    bounds = [sum(capacity[:s]) * total // max(n, 1) for s in range(shards + 1)]
+    held = F.array(*[F.greatest(F.lit(0), F.least(F.col("before_m") + F.col("m"), F.lit(hi)) - F.greatest(F.col("before_m"), F.lit(lo))).cast("long")
+                     for lo, hi in zip(bounds, bounds[1:])])
     state = propagate(dealt.select("k1", "k2", "m", "bucket", held.alias("held")), capacity, rounds)
 
     # Where each group's part of a shard begins, and where the unlinked documents begin.
