@@ -21,7 +21,7 @@ from stagecraft.functions.types import IDENTIFIER, spark_type
 def _args(args: Sequence[tuple[str, str]]) -> str:
     out = []
     for name, typ in args:
-        if not re.match(IDENTIFIER, name):
+        if not re.fullmatch(IDENTIFIER, name):
             raise ValueError(f"Invalid argument name: {name}")
         out.append(f"{name} {spark_type(typ)}")
     return ", ".join(out)
@@ -30,7 +30,7 @@ def _args(args: Sequence[tuple[str, str]]) -> str:
 def define_sql_function(spark: SparkSession, name: str, args: Sequence[tuple[str, str]],
                         returns: str, body: str) -> str:
     """CREATE TEMPORARY FUNCTION name(args) RETURNS type RETURN body."""
-    if not re.match(IDENTIFIER, name):
+    if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"Invalid function name: {name}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_args(args)}) "
               f"RETURNS {spark_type(returns)} RETURN {body}")
@@ -40,7 +40,7 @@ def define_sql_function(spark: SparkSession, name: str, args: Sequence[tuple[str
 def define_table_function(spark: SparkSession, name: str, args: Sequence[tuple[str, str]],
                           columns: Sequence[tuple[str, str]], select: str) -> str:
     """U4: CREATE TEMPORARY FUNCTION name(args) RETURNS TABLE (cols) RETURN select."""
-    if not re.match(IDENTIFIER, name):
+    if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"Invalid function name: {name}")
     cols = _args(columns)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_args(args)}) "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ SPARK_TYPES = {
 def is_identifier(c: Column | str) -> Column:
     """True when the value is a valid unquoted identifier (null -> false)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(col.rlike(IDENTIFIER), F.lit(False))
+    return F.coalesce(col.rlike(IDENTIFIER) & ~col.endswith("\n"), F.lit(False))  # $ also stands before a last newline
 
 
 def type_name(c: Column | str) -> Column:
@@ -69,6 +71,8 @@ def normalize_type(c: Column | str) -> Column:
 def spark_type(declared: str) -> str:
     """Spark SQL type for a declared type string (driver-side, for schemas)."""
     s = declared.strip().upper()
+    if not re.fullmatch(TYPE_SHAPE, re.sub(r"[ \t]+", "", s)):
+        raise ValueError(f"type not usable: {declared!r}")
     base = s.split("(")[0].strip()
     if base not in SPARK_TYPES:
         raise ValueError(f"unknown type {declared!r}")

@@ -33,14 +33,16 @@ def _bucketed(df: DataFrame, cols: list[str], n: int, tag: str) -> DataFrame:
     return spark.table(name)
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
-                       carry: list[str] | None = None) -> DataFrame:
+#: Spark refuses bucketed tables above 100,000 buckets.
+MAX_BUCKETS = 50_000
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """(graph_id, id, [carry...], level) -- see ``_kahn``."""
-    return _kahn(nodes, edges, max_rounds, carry)[0]
+    return _kahn(nodes, edges, carry)[0]
 
 
-def _kahn(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
-          carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _kahn(nodes: DataFrame, edges: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Kahn's algorithm, breadth first, over all graphs at once.
 
     Each node keeps the number of its in-edges whose source has not been
@@ -65,7 +67,7 @@ def _kahn(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
     """
     from pyspark.sql import Observation
     spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     out_edges = _bucketed(edges.select(G, "source", "target"), [G, "source"], n, "t1_edges")
     # in-degrees from the written edges (the input's lineage is not replayed)
     indeg = out_edges.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("indeg"))
@@ -82,7 +84,7 @@ def _kahn(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None,
     parts = []
     level = 0
     all_peeled = rows == 0
-    while ready > 0 and (max_rounds is None or level < max_rounds):
+    while ready > 0:
         frontier = state.filter(F.col("pr") == 0).select(G, ID, *carry)
         parts.append(frontier.withColumn("level", F.lit(level)))
         if ready == rows:

@@ -44,7 +44,7 @@ def _number_within_partition(by: list[str]):
             if n == 0:
                 yield pdf.assign(__r=np.zeros(0, dtype="int64"))
                 continue
-            keys = pdf[by].astype(object).where(pdf[by].notna(), "\u0000null")
+            keys = pdf[by].astype(object).where(pdf[by].notna(), None)
             change = np.ones(n, dtype=bool)
             if n > 1:
                 change[1:] = keys.iloc[1:].to_numpy() .__ne__(keys.iloc[:-1].to_numpy()).any(axis=1)
@@ -62,7 +62,7 @@ def _number_within_partition(by: list[str]):
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     by, keys = list(by), [*by, *order]
-    from stagecraft.session import broadcast_if_bounded, materialize
+    from stagecraft.session import materialize
     s = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
            .withColumn("__p", F.spark_partition_id()))
     schema = T.StructType(list(s.schema.fields) + [T.StructField("__r", T.LongType(), False)])
@@ -76,8 +76,11 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: st
     w = Window.partitionBy(*by).orderBy("__p")
     offsets = (pieces.withColumn("__off", F.sum("__n").over(w) - F.col("__n"))
                      .filter(F.col("__off") > 0).drop("__n"))       # <= one row per partition
-    # offsets hold at most one row per range partition of the sort
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (numbered.join(broadcast_if_bounded(offsets, n_parts), ["__p", *by], "left")
-                    .withColumn(name, (F.coalesce("__off", F.lit(0)) + F.col("__r")).cast("bigint"))
-                    .drop("__p", "__r", "__off"))
+    # Offsets hold at most one row per range partition of the sort; the join is
+    # null-safe, so a null group is a group like any other.
+    o = offsets.select(F.col("__p").alias("__op"), *[F.col(b).alias(f"__o{i}") for i, b in enumerate(by)], "__off")
+    on = F.col("__p") == F.col("__op")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"__o{i}"))
+    return numbered.join(o, on, "left").select(
+        *df.columns, (F.coalesce("__off", F.lit(0)) + F.col("__r")).cast("bigint").alias(name))

@@ -71,12 +71,12 @@ def create_table(spark: SparkSession, name: str, columns, comment: str | None =
     when none are given, as the reference does."""
     cols = _cols(columns) if columns else _cols(DEFAULT_COLUMNS)
     if if_not_exists:
-        cols = [c for c in cols if c["name"] and re.match(IDENTIFIER, c["name"])]
+        cols = [c for c in cols if c["name"] and re.fullmatch(IDENTIFIER, c["name"])]
     if not cols:
-        raise ValueError("At least one column is required")
+        raise ValueError("a table needs one or more columns")
     for c in cols:
-        if not c["name"] or not re.match(IDENTIFIER, c["name"]):
-            raise ValueError(f"Invalid column name: {c['name']}")
+        if not c["name"] or not re.fullmatch(IDENTIFIER, c["name"]):
+            raise ValueError(f"column name not usable: {c['name']!r}")
     defs = ", ".join(f"`{c['name']}` {spark_type(c['type'])}" for c in cols)
     sql = f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{name} ({defs}) USING parquet"
     if location:
@@ -149,8 +149,8 @@ def save_configs(df: DataFrame, table: str | None = None, name_col: str = "NAME"
 
 def add_column(df: DataFrame, name: str, type_: str, nullable: bool = True, default=None) -> DataFrame:
     """A1: ALTER TABLE ADD COLUMN; a NOT NULL column needs a default."""
-    if not re.match(IDENTIFIER, name):
-        raise ValueError(f"Invalid column name: {name}")
+    if not re.fullmatch(IDENTIFIER, name):
+        raise ValueError(f"column name not usable: {name!r}")
     if not nullable and default is None:
         raise ValueError("a NOT NULL column needs a default")
     return df.withColumn(name, F.lit(default).cast(spark_type(type_)))
@@ -167,6 +167,6 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     """A3: rename a column."""
     if old not in df.columns:
         raise ValueError(f"no column {old}")
-    if not re.match(IDENTIFIER, new):
-        raise ValueError(f"Invalid column name: {new}")
+    if not re.fullmatch(IDENTIFIER, new):
+        raise ValueError(f"column name not usable: {new!r}")
     return df.withColumnRenamed(old, new)

@@ -14,8 +14,11 @@ on the driver.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 from collections.abc import Callable, Sequence
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,6 @@ from stagecraft.functions import text as X
 from stagecraft.functions.scalars import output_rows
 from stagecraft.functions.types import IDENTIFIER
 
-import re
 
 KEY = "__key"
 TEXT = "__text"
@@ -129,26 +131,20 @@ def node_name(node: dict) -> str:
 
 
 def _order(nodes: list[dict], edges: list[dict]) -> list[dict]:
-    """Breadth-first topological order of one small spec; nodes in or behind
-    a cycle are left out (T3 reports them on tables of specs)."""
-    ids = [n["id"] for n in nodes]
-    indeg = {i: 0 for i in ids}
-    adj: dict[str, list[str]] = {i: [] for i in ids}
+    """Topological order of one small spec, level by level in the spec's order.
+    Nodes in or behind a cycle, or behind an unknown node, are left out (T3
+    reports them on tables of specs)."""
+    known = {n["id"]: n for n in nodes}
+    place = {i: k for k, i in enumerate(known)}
+    sorter = TopologicalSorter({i: () for i in known})
     for e in edges:
-        if e["source"] in adj:
-            adj[e["source"]].append(e["target"])
-        indeg[e["target"]] = indeg.get(e["target"], 0) + 1
-    queue = [i for i in ids if indeg[i] == 0]
-    by_id = {n["id"]: n for n in nodes}
-    out = []
-    while queue:
-        i = queue.pop(0)
-        if i in by_id:
-            out.append(by_id[i])
-        for t in adj.get(i, []):
-            indeg[t] -= 1
-            if indeg[t] == 0:
-                queue.append(t)
+        sorter.add(e["target"], e["source"])
+    with contextlib.suppress(CycleError):  # what stands before a cycle can still be taken
+        sorter.prepare()
+    out: list[dict] = []
+    while level := sorted((i for i in sorter.get_ready() if i in known), key=place.get):
+        out += [known[i] for i in level]
+        sorter.done(*level)
     return out
 
 
@@ -187,7 +183,7 @@ def run_pipeline(spec: dict, stages: dict[str, DataFrame], as_of: str | None = N
     on the path from the stage to ``target`` (default: the first table).
     """
     db, schema = spec.get("database") or "", spec.get("schema") or ""
-    if not re.match(IDENTIFIER, db) or not re.match(IDENTIFIER, schema):
+    if not re.fullmatch(IDENTIFIER, db) or not re.fullmatch(IDENTIFIER, schema):
         raise ValueError("Invalid database or schema")
     nodes = spec.get("nodes") or []
     if not nodes:
@@ -196,7 +192,7 @@ def run_pipeline(spec: dict, stages: dict[str, DataFrame], as_of: str | None = N
     if len(ordered) != len(nodes):
         raise ValueError("pipeline graph has a cycle")
     for n in ordered:
-        if not re.match(IDENTIFIER, node_name(n)):
+        if not re.fullmatch(IDENTIFIER, node_name(n)):
             raise ValueError(f"Invalid name {node_name(n)!r} for {n['type']}")
     stage_nodes = [n for n in ordered if n["type"] == "stage"]
     tables = [n for n in ordered if n["type"] == "table"]

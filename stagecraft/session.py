@@ -27,17 +27,16 @@ def get_session(master: str | None = None, partitions: int | None = None,
                 app: str = "stagecraft") -> SparkSession:
     """Build (or reuse) a session with the package defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured from outside (spark-submit sets one on a cluster).
+    The master comes from the deployment (spark-submit, spark-defaults); only a
+    caller that passes one, such as the bench, sets it.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_HOME_CLUSTER"):
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    if os.environ.get("SPARK_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", os.environ["SPARK_DRIVER_MEMORY"])
     if partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
@@ -63,6 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             configured = None
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stagecraft-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -74,7 +74,7 @@ def test_degree_kinds_and_lookups(spark):
     assert (3, "b") in down and (3, "c") in down
 
 
-def test_self_loop_and_max_rounds(spark):
+def test_self_loop(spark):
     nodes = spark.createDataFrame([(1, "a", 1, "stage", "A"), (1, "b", 2, "table", "B"), (1, "c", 3, "task", "C"),
                                    (2, "x", 1, "stage", "X")],
                                   "graph_id long, id string, pos int, type string, label string")
@@ -83,6 +83,12 @@ def test_self_loop_and_max_rounds(spark):
     lv = {(r.graph_id, r.id): r.level for r in GR.topological_levels(nodes, edges).collect()}
     assert lv == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2}            # x loops onto itself
     assert {(r.graph_id, r.id) for r in GR.cyclic_nodes(nodes, edges).collect()} == {(2, "x")}
-    levels, unpeeled = GR._kahn(nodes, edges, max_rounds=1)
-    assert {(r.graph_id, r.id) for r in levels.collect()} == {(1, "a")}
-    assert {(r.graph_id, r.id) for r in unpeeled.collect()} == {(1, "b"), (1, "c"), (2, "x")}
+
+
+def test_long_chain(spark):
+    n = 12
+    nodes = spark.createDataFrame([(1, f"n{i:02d}", i, "stage", "S") for i in range(n)], "graph_id long, id string, pos int, type string, label string")
+    edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}", i) for i in range(n - 1)],
+                                  "graph_id long, source string, target string, epos int")
+    lv = {r.id: r.level for r in GR.topological_levels(nodes, edges).collect()}
+    assert lv == {f"n{i:02d}": i for i in range(n)}

@@ -26,3 +26,12 @@ def test_matches_window_with_hot_group(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g int, o int")
     assert row_numbers(df, ["g"], ["o"]).count() == 0
+
+
+def test_null_group_is_numbered_once(spark):
+    from pyspark.sql import functions as F
+    from stagecraft.operators.ranking import row_numbers
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.lit("\u0000null")).alias("g"), "id")
+    got = row_numbers(df.repartition(8), ["g"], ["id"]).collect()
+    for g, n in ((None, 3000), ("\u0000null", 1000)):
+        assert sorted(r.rn for r in got if r.g == g) == list(range(1, n + 1))
