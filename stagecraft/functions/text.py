@@ -214,22 +214,22 @@ EXTRACT_RULES = {
     "What is the title?": (r"^[ \t]*([^\n]*[^ \t\n])", 1),
     "What is the document ID?": (r"(?i)(?:document|doc)[ _-]?(?:id|no|number)[ \t]*[:#=][ \t]*([A-Za-z0-9_-]+)", 1),
 }
-# The default question of an extract step.
-# A rule can only match when the text holds this literal; the cheap substring
+# A rule can only match when the text holds this literal; the cheap substring
 # test skips the regex scan on the other documents (same result).
 EXTRACT_GUARDS = {
     "What is the e-mail address?": "@",
     "What is the token?": '"',
     "Which licence applies?": " License",
 }
+# The default question of an extract step.
 DEFAULT_QUESTIONS = ["What is the document ID?"]
 
 
 def split_questions(text: str | None, default: Sequence[str] = DEFAULT_QUESTIONS) -> list[str]:
-    """Config form: one question per line, blanks dropped, trimmed."""
+    """Config form: one question per line, blanks dropped, trimmed, each once."""
     if not text:
         return list(default)
-    out = [q.strip() for q in text.split("\n") if q.strip()]
+    out = list(dict.fromkeys(q.strip() for q in text.split("\n") if q.strip()))
     return out or list(default)
 
 
@@ -241,9 +241,11 @@ def extract(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
     row-local, no shuffle.  Questions without a rule are answered by X4.
     """
     rules = EXTRACT_RULES if rules is None else rules
-    known = [q for q in questions if q in rules]
+    known = [q for q in dict.fromkeys(questions) if q in rules]
     if not known:
-        return df.sparkSession.createDataFrame([], f"{id_col} bigint, question string, answer string")
+        none = F.lit(None).cast("string")
+        return df.select(F.col(id_col), none.alias("question"), none.alias("answer")).filter(F.lit(False))
+
     def answer(q):
         got = F.nullif(F.regexp_extract(F.col(text_col), rules[q][0], rules[q][1]), F.lit(""))
         guard = EXTRACT_GUARDS.get(q) if rules is EXTRACT_RULES else None
@@ -260,7 +262,7 @@ def extract_map(text: Column | str, questions: Sequence[str], rules: dict | None
     Row-local: no aggregation and no join."""
     rules = EXTRACT_RULES if rules is None else rules
     col = F.col(text) if isinstance(text, str) else text
-    known = [q for q in questions if q in rules]
+    known = [q for q in dict.fromkeys(questions) if q in rules]
     if not known:
         return F.lit(None).cast("string")
 
@@ -282,6 +284,7 @@ def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequen
     Each sentence's tokens are intersected with the (config-sized) question
     vocabulary before the explode, so only matching tokens become rows."""
     spark = df.sparkSession
+    questions = list(dict.fromkeys(questions))
     q = spark.createDataFrame([(i, s) for i, s in enumerate(questions)], "q_ord int, question string")
     q_tokens = q.select("question", F.explode(F.array_distinct(tokens("question"))).alias("token"))
     vocab = config_tokens(q, "question")
@@ -424,7 +427,9 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     sent = docs.select(id_col, gen).select(id_col, "pos", F.trim("raw").alias("sentence"))
     if not outer:
         sent = sent.filter(F.col("sentence") != "")
-    st = sent.select(id_col, "pos", "sentence", F.explode_outer(tokens("sentence")).alias("token"))
+    # A sentence's first token row alone carries its text, so rows stay linear in its length.
+    st = (sent.select(id_col, "pos", "sentence", F.posexplode_outer(tokens("sentence")).alias("i", "token"))
+              .select(id_col, "pos", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("sentence")).alias("sentence"), "token"))
     if not outer:
         st = st.filter(F.col("token").isNotNull())
     w_doc_tok = Window.partitionBy(id_col, "token")
@@ -433,7 +438,7 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
               .withColumn("n", F.count("token").over(w_doc)))
     aggs = [F.sum(F.when(F.col("token").isNotNull(), F.col("tf"))).alias("sum_tf"),
             F.count("token").alias("len"), F.any_value("n").alias("n"),
-            F.any_value("sentence").alias("sentence")]
+            F.any_value("sentence", True).alias("sentence")]
     if prompt:
         spark = df.sparkSession
         ptoks = config_tokens(spark.createDataFrame([(prompt,)], "p string"), "p")

@@ -106,3 +106,23 @@ def test_extract_step_row_local_equals_grouped(spark):
     want = {r.doc_id: r.a for r in grouped.collect()}
     assert len(got) == docs.count()
     assert {k: v for k, v in got.items() if v is not None} == want
+
+
+def test_extract_step_free_and_repeated_questions(spark):
+    """Questions without a rule on text keys, and a question given twice."""
+    from stagecraft.plans.pipeline import text_chain
+    df = spark.createDataFrame([("a.txt", "Anna Berg signed the contract. It rained."), ("b.txt", "")], "f string, t string")
+    assert X.extract(df, "f", "t", ["Who signed the contract?"]).collect() == []
+    got = dict(text_chain(df, "f", "t", [("ai_extract", {"prompts": "Who signed the contract?\n Who signed the contract?"})]).collect())
+    assert got == {"a.txt": '{"Who signed the contract?":"Anna Berg signed the contract"}', "b.txt": None}
+    mixed = dict(text_chain(df, "f", "t", [("ai_extract", {"prompts": "What is the title?\nWhat is the title?"})]).collect())
+    assert mixed == {"a.txt": '{"What is the title?":"Anna Berg signed the contract. It rained."}', "b.txt": None}
+
+
+def test_summarize_long_sentence(spark):
+    """One sentence of 20,000 words next to a short one; the rows of a sentence
+    do not repeat its text."""
+    long = " ".join(f"w{i % 700}" for i in range(20_000))
+    df = spark.createDataFrame([(1, f"{long}. w1 w1 w1.")], "id long, t string")
+    assert X.summarize(df, "id", "t", k=1).collect()[0]["summary"] == _py_summary(f"{long}. w1 w1 w1.", 1)
+    assert X.summarize(df, "id", "t", k=2).collect()[0]["summary"] == f"{long} w1 w1 w1"
