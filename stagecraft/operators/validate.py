@@ -58,6 +58,6 @@ def validate_pipelines(specs: DataFrame, nodes: DataFrame, key: str = "graph_id"
     node_v = _violations(flagged, [key, "id"], [
         ("invalid_name", ~is_identifier("obj_name")),
         ("duplicate_name", F.col("dup")),
-        ("unknown_type", ~F.col("type").isin(*known)),
+        ("unknown_type", F.col("type").isNull() | ~F.col("type").isin(*known)),
     ])
     return spec_v.unionByName(node_v)

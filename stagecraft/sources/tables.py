@@ -37,11 +37,13 @@ def create_view(spark: SparkSession, name: str, definition: str, replace: bool =
 
     Like the reference there is no OR REPLACE by default, so a second creation
     with the same name fails.  The view is temporary (session scoped); its body
-    is planned by Catalyst together with the query that reads it.
+    is planned by Catalyst together with the query that reads it.  Only a query
+    is accepted as the definition, no other statement.
     """
     if not replace and spark.catalog.tableExists(name):
         raise ValueError(f"view {name} already exists")
-    spark.sql(definition).createOrReplaceTempView(name)
+    quoted = name.replace("`", "``")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{quoted}` AS {definition}")  # only a query parses here
     return spark.table(name)
 
 

@@ -152,10 +152,11 @@ def test_validate_pipelines_cases(spark):
         (1, "a", "stage", "Files", ""), (1, "b", "table", "files", "FILES"),    # duplicate name FILES
         (1, "c", "ai_magic", "Step", ""),                                      # unknown type
         (2, "a", "stage", "a-b", ""),                                          # invalid name
+        (2, "b", None, "Other", ""),                                           # no type
     ], "graph_id long, id string, type string, label string, name string")
     got = sorted((r.graph_id, r.id or "", r.violation) for r in VA.validate_pipelines(specs, nodes).collect())
     assert got == [(1, "a", "duplicate_name"), (1, "b", "duplicate_name"), (1, "c", "unknown_type"),
-                   (2, "", "invalid_database"), (2, "a", "invalid_name"),
+                   (2, "", "invalid_database"), (2, "a", "invalid_name"), (2, "b", "unknown_type"),
                    (3, "", "empty_pipeline"), (3, "", "invalid_schema")]
 
 
@@ -166,3 +167,12 @@ def test_parse_modes(spark):
     assert X.parse_document(df, "id", "html", "layout").first().kind == "paragraph"
     with pytest.raises(ValueError):
         X.parse_document(df, "id", "html", "VISION")
+
+
+def test_view_takes_only_queries(spark):
+    import pytest
+    from pyspark.errors import ParseException
+    from stagecraft.sources.tables import create_view
+    with pytest.raises(ParseException):
+        create_view(spark, "v_statement", "DROP TABLE no_such_table")
+    assert not spark.catalog.tableExists("v_statement")
