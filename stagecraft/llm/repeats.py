@@ -14,8 +14,11 @@ run of windows that it owns.
    their own tokens, inside their bucket.  Buckets with more than ``HOT`` blocks
    are dealt by window hash instead, so no bucket has to fit one task.
 
-Blocks are pre-aggregated by the quarter million, so a passage that a third of all
-documents share sends one row for each of these.
+Blocks are pre-aggregated by the quarter million (a lot), so a passage that a third
+of all documents share sends one row for each of these.  Where a passage ends, each
+document has a block of its own: a bucket with more than ``SPLIT`` kinds of blocks
+in one lot is split, its blocks are dealt one by one and a single mark goes to the
+bucket, whose other blocks are then dealt by window hash too.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from stagecraft.llm import common as C
 
 #: Blocks of one bucket that one task refines; larger buckets are dealt by window.
 HOT = 2048
+#: Kinds of blocks of one bucket in one lot that are sent to the bucket; more are dealt singly.
+SPLIT = 64
 #: Tokens of a document that are handled at once; longer ones are cut with overlap.
 SEGMENT = 1 << 19
 #: Blocks that are pre-aggregated and sent together.
 FLUSH = 1 << 18
-ANCHOR_SCHEMA = "ah long, ch long, doc long, p long, n int, full boolean"
+ANCHOR_SCHEMA = "ah long, ch long, doc long, p long, n int, full boolean, wide boolean"
 BLOCK_SCHEMA = "ah long, doc long, p long, n int, body binary"
 SPAN_SCHEMA = "doc long, s long, e long"
 
@@ -104,9 +109,10 @@ def owned_blocks(values: np.ndarray, off: np.ndarray, length: int, gram: int):
     return piece, start - off[piece], count, g[own], body
 
 
-def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool):
+def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split: int):
+    """One row for each block; ``n`` is 0 for the mark of a bucket that was split."""
     schema = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()),
-                        ("n", pa.int32()), ("full", pa.bool_())])
+                        ("n", pa.int32()), ("full", pa.bool_()), ("wide", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -133,9 +139,16 @@ def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool):
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         full = (doc > doc[head]) if across else ~new & ((doc != doc[head]) | (p != p[head]))
         # A row that is already judged goes anywhere: it must not make its bucket hot.
-        ah = np.where(full, C.mix(ah + C.mix(doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))), ah)
-        back = np.lexsort((p, doc))
-        cols = [C.signed(ah)[back], C.signed(ch)[back], doc[back], p[back], n[back].astype(np.int32), full[back]]
+        key = np.where(full, C.mix(ah + C.mix(doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))), ah)
+        bucket = np.ones(len(ah), bool)
+        bucket[1:] = ah[1:] != ah[:-1]
+        wide = (np.bincount(np.cumsum(bucket) - 1, weights=new) > split)[np.cumsum(bucket) - 1]
+        key = np.where(wide & ~full, C.mix(ah ^ C.mix(ch)), key)
+        mark = np.flatnonzero(bucket & wide)
+        at = np.concatenate([np.lexsort((p, doc)), mark])
+        key = np.concatenate([key[at[:len(ah)]], ah[mark]])
+        marked = np.arange(len(at)) >= len(ah)
+        cols = [C.signed(key), C.signed(ch)[at], doc[at], p[at], np.where(marked, 0, n[at]).astype(np.int32), full[at] & ~marked, wide[at]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
@@ -166,7 +179,7 @@ def _block_rows(tokenise: Callable, length: int):
     return run
 
 
-def _window_hashes(doc, p, n, body, ah, length: int, dtype):
+def _window_hashes(doc, p, n, body, length: int, dtype):
     """Per window: row index, document, start, two hashes."""
     tokens = np.frombuffer(b"".join(body), dtype=dtype)
     off = np.cumsum([0, *(len(b) // np.dtype(dtype).itemsize for b in body)])
@@ -175,7 +188,7 @@ def _window_hashes(doc, p, n, body, ah, length: int, dtype):
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     start = off[row] + k
     h = C.mix(C.span(C.prefix(values), start, start + length))
-    h2 = C.mix(C.span(C.prefix(C.mix(values + np.uint64(1))), start, start + length) + ah[row].view(np.uint64))
+    h2 = C.mix(C.span(C.prefix(C.mix(values + np.uint64(1))), start, start + length))
     return row, doc[row], p[row] + k, h, h2
 
 
@@ -195,7 +208,7 @@ def _refine(length: int, across: bool, dtype, limit: int = 8192):
 
     def judge(rows):
         ah, doc, p, n, body = rows
-        row, d, s, h, h2 = _window_hashes(doc, p, n, body, ah, length, dtype)
+        row, d, s, h, h2 = _window_hashes(doc, p, n, body, length, dtype)
         order = np.lexsort((s, d, h2, h))
         h, h2, d, s = h[order], h2[order], d[order], s[order]
         new = np.ones(len(h), bool)
@@ -239,7 +252,7 @@ def _window_rows(length: int, dtype):
             for lo in range(0, batch.num_rows, 2048):
                 b = batch.slice(lo, 2048)
                 _, d, s, h, h2 = _window_hashes(b.column("doc").to_numpy(), b.column("p").to_numpy(), b.column("n").to_numpy(),
-                                                b.column("body").to_pylist(), b.column("ah").to_numpy(), length, dtype)
+                                                b.column("body").to_pylist(), length, dtype)
                 yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(h2)), pa.array(d), pa.array(s)], schema=schema)
 
     return run
@@ -253,16 +266,18 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     the same one.  Rows that repeat a doc are the same document, never repeats of
     each other.  Documents without a repeated window give no row.
     """
-    anchors = docs.mapInArrow(_anchor_rows(tokenise, length, gram, across), ANCHOR_SCHEMA)
+    anchors = docs.mapInArrow(_anchor_rows(tokenise, length, gram, across, SPLIT), ANCHOR_SCHEMA).repartition("ah")
     block, bucket = Window.partitionBy("ah", "ch"), Window.partitionBy("ah")
     at = F.struct("doc", "p")
-    first = F.min(F.col("doc") if across else at).over(block)
+    first = F.min(F.when(F.col("n") > 0, F.col("doc") if across else at)).over(block)
     judged = (anchors.withColumn("first", first)
-              .withColumn("kinds", F.min("ch").over(bucket) != F.max("ch").over(bucket))
+              .withColumn("wide", F.max(F.col("wide") & ~F.col("full")).over(bucket))
+              .withColumn("kinds", F.col("wide") | (F.min("ch").over(bucket) != F.max("ch").over(bucket)))
+              .filter("n > 0")
               .withColumn("dup", F.col("full") | ((F.col("doc") if across else at) > F.col("first")))
               .withColumn("size", F.sum(F.when(F.col("dup"), 0).otherwise(1)).over(bucket))
               .filter(F.col("dup") | F.col("kinds"))
-              .select("dup", (F.col("size") > HOT).alias("hot"), "ah", "doc", "p", "n"))
+              .select("dup", (F.col("wide") | (F.col("size") > HOT)).alias("hot"), "ah", "doc", "p", "n"))
     judged = C.save(judged, "repeat-blocks")
     whole = judged.filter("dup").select("doc", F.col("p").alias("s"), (F.col("p") + F.col("n") - 1 + length).alias("e"))
 

@@ -59,8 +59,10 @@ def kept(tokens, mask):
     return [t for t, m in zip(tokens, mask) if not m]
 
 
+@pytest.mark.parametrize("split", [64, 0])
 @pytest.mark.parametrize("which", ["docs", "odd"])
-def test_substring(which, request):
+def test_substring(which, split, request, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", split)  # 0: every bucket of a lot is split
     df = request.getfixturevalue(which)
     rows, first, want = plain(df), {}, {}
     for k, (_, t) in enumerate(rows):
@@ -79,10 +81,11 @@ def test_substring(which, request):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
-@pytest.mark.parametrize("hot", [2048, 0])
+@pytest.mark.parametrize("hot, split", [(2048, 64), (0, 64), (2048, 1)])
 @pytest.mark.parametrize("which", ["docs", "odd"])
-def test_suffix(which, hot, request, monkeypatch):
+def test_suffix(which, hot, split, request, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)  # 0: every bucket is dealt by window
+    monkeypatch.setattr(repeats, "SPLIT", split)
     df = request.getfixturevalue(which)
     seen, want = set(), {}
     for i, t in plain(df):
