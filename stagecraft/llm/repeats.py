@@ -180,7 +180,7 @@ def _block_rows(tokenise: Callable, length: int):
 
 
 def _window_hashes(doc, p, n, body, length: int, dtype):
-    """Per window: row index, document, start, two hashes."""
+    """Per window: document, start, two hashes."""
     tokens = np.frombuffer(b"".join(body), dtype=dtype)
     off = np.cumsum([0, *(len(b) // np.dtype(dtype).itemsize for b in body)])
     values = _values(tokens)
@@ -189,7 +189,7 @@ def _window_hashes(doc, p, n, body, length: int, dtype):
     start = off[row] + k
     h = C.mix(C.span(C.prefix(values), start, start + length))
     h2 = C.mix(C.span(C.prefix(C.mix(values + np.uint64(1))), start, start + length))
-    return row, doc[row], p[row] + k, h, h2
+    return doc[row], p[row] + k, h, h2
 
 
 def _runs(doc, s, length: int):
@@ -203,18 +203,23 @@ def _runs(doc, s, length: int):
     return doc[first], s[first], s[last] + length
 
 
+def _known(d, s, h, h2, across: bool):
+    """The windows of one lot in the order of their hashes, and which of them repeat
+    an earlier window of the lot."""
+    order = np.lexsort((s, d, h2, h))
+    h, h2, d, s = h[order], h2[order], d[order], s[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return d, s, h, h2, (d > d[head]) if across else (d != d[head]) | (s != s[head])
+
+
 def _refine(length: int, across: bool, dtype, limit: int = 8192):
     schema = pa.schema([("doc", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def judge(rows):
         ah, doc, p, n, body = rows
-        row, d, s, h, h2 = _window_hashes(doc, p, n, body, length, dtype)
-        order = np.lexsort((s, d, h2, h))
-        h, h2, d, s = h[order], h2[order], d[order], s[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        dup = (d > d[head]) if across else (d != d[head]) | (s != s[head])
+        d, s, _, _, dup = _known(*_window_hashes(doc, p, n, body, length, dtype), across)
         d, s = d[dup], s[dup]
         order = np.lexsort((s, d))
         cols = _runs(d[order], s[order], length)
@@ -244,16 +249,18 @@ def _refine(length: int, across: bool, dtype, limit: int = 8192):
     return run
 
 
-def _window_rows(length: int, dtype):
-    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("p", pa.int64())])
+def _window_rows(length: int, dtype, across: bool):
+    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("full", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 b = batch.slice(lo, 2048)
-                _, d, s, h, h2 = _window_hashes(b.column("doc").to_numpy(), b.column("p").to_numpy(), b.column("n").to_numpy(),
-                                                b.column("body").to_pylist(), length, dtype)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(h2)), pa.array(d), pa.array(s)], schema=schema)
+                d, s, h, h2, full = _known(*_window_hashes(b.column("doc").to_numpy(), b.column("p").to_numpy(), b.column("n").to_numpy(),
+                                                           b.column("body").to_pylist(), length, dtype), across)
+                # As with blocks, a window that is already judged goes anywhere.
+                h = np.where(full, C.mix(h + C.mix(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))), h)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(h2)), pa.array(d), pa.array(s), pa.array(full)], schema=schema)
 
     return run
 
@@ -292,10 +299,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     if not judged.filter(~F.col("dup") & F.col("hot")).isEmpty():
         windows = (bodies.withColumn("todo", F.filter("todo", lambda t: t["hot"])).filter(F.size("todo") > 0)
                    .mapInArrow(_block_rows(tokenise, length), BLOCK_SCHEMA)
-                   .mapInArrow(_window_rows(length, dtype), "h long, h2 long, doc long, p long"))
+                   .mapInArrow(_window_rows(length, dtype, across), "h long, h2 long, doc long, p long, full boolean"))
         same = Window.partitionBy("h", "h2")
         parts.append(windows.withColumn("first", F.min(F.col("doc") if across else at).over(same))
-                     .filter((F.col("doc") if across else at) > F.col("first"))
+                     .filter(F.col("full") | ((F.col("doc") if across else at) > F.col("first")))
                      .select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e")))
     spans = parts[0]
     for x in parts[1:]:
