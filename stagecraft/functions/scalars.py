@@ -59,14 +59,19 @@ def json_get(c: Column | str, path: str, type_: str = "string") -> Column:
     return F.try_variant_get(F.try_parse_json(_c(c)), path, type_)
 
 
-def json_unwrap(c: Column | str, depth: int = 3) -> Column:
-    """P5: decode JSON again while the decoded value is still a string
-    (values encoded twice or three times by a store).  Returns VARIANT."""
-    v = F.try_parse_json(_c(c))
-    for _ in range(depth):
+def json_unwrap(c: Column | str) -> Column:
+    """P5: decode JSON again for as long as the decoded value is a string
+    (values encoded any number of times by a store).  Returns VARIANT.
+
+    Every level puts a quote, as it is or escaped, at the head of the text, so
+    the head's length bounds the number of levels."""
+    col = _c(c)
+    head = F.length(F.regexp_extract(col, r'^[ \t\r\n"\\u0-9a-fA-Fnrt]*', 0))
+
+    def decode(v, _):
         inner = F.try_parse_json(F.try_variant_get(v, "$", "string"))
-        v = F.when(F.schema_of_variant(v) == F.lit("STRING"), inner).otherwise(v)
-    return v
+        return F.when(F.schema_of_variant(v) == F.lit("STRING"), inner).otherwise(v)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(head, F.lit(1))), F.try_parse_json(col), decode)
 
 
 def json_text(c: Column | str) -> Column:

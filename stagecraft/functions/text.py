@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stagecraft.session import broadcast_if_bounded
+from stagecraft.session import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the SQL oracle exactly)
@@ -276,21 +276,26 @@ def extract_map(text: Column | str, questions: Sequence[str], rules: dict | None
     return F.when(F.size(entries) > 0, F.to_json(F.map_from_entries(F.array_sort(entries))))
 
 
-def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str]) -> DataFrame:
+def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequence[str],
+                    idf: DataFrame | None = None) -> DataFrame:
     """(id, question, answer, score) -- the sentence with the largest sum of
     idf over the distinct question tokens it holds; ties -> earlier sentence;
     score 0 -> no row.
 
     Each sentence's tokens are intersected with the (config-sized) question
-    vocabulary before the explode, so only matching tokens become rows."""
+    vocabulary before the explode, so only matching tokens become rows.
+    ``idf`` (token, idf) replaces the weights of ``df`` itself, e.g. for a batch
+    of a stream, whose answers must not depend on the batch."""
     spark = df.sparkSession
     questions = list(dict.fromkeys(questions))
     q = spark.createDataFrame([(i, s) for i, s in enumerate(questions)], "q_ord int, question string")
     q_tokens = q.select("question", F.explode(F.array_distinct(tokens("question"))).alias("token"))
     vocab = config_tokens(q, "question")
-    idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
-    # <= (questions x their tokens) rows, known from the configuration
-    weights = broadcast_if_bounded(q_tokens.join(idf, "token"), len(questions) * max(1, len(vocab)))
+    if idf is None:
+        idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
+    # At most one row per question and token.  Written first, so the planner knows
+    # its size and joins by its own threshold.
+    weights = materialize(q_tokens.join(idf.select("token", "idf"), "token"), "x4")
     lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
     sent = sentences(df, id_col, text_col)
     st = (sent.select(id_col, "pos", "sentence",
@@ -314,10 +319,11 @@ DEFAULT_CATEGORIES = ["invoice", "contract", "receipt"]
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str],
-             seeds: dict[str, Sequence[str]] | None = None) -> DataFrame:
+             seeds: dict[str, Sequence[str]] | None = None, idf: DataFrame | None = None) -> DataFrame:
     """(id, category, score).  Score of a category = sum over its seed
     tokens of tf * idf; a category without seeds uses its own name's tokens;
-    best category wins (ties -> earlier category); no evidence -> no row."""
+    best category wins (ties -> earlier category); no evidence -> no row.
+    ``idf`` as in ``answer_sentence``."""
     spark = df.sparkSession
     seeds = seeds or {}
     rows = []
@@ -328,9 +334,10 @@ def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str
     cfg = spark.createDataFrame(rows, "c_ord int, category string, seed string")
     seed_tokens = cfg.select("c_ord", "category", F.explode(tokens("seed")).alias("token")).distinct()
     vocab = config_tokens(cfg, "seed")
-    idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
-    # <= (categories x seed tokens) rows, known from the configuration
-    weights = broadcast_if_bounded(seed_tokens.join(idf, "token"), len(rows) * max(1, len(vocab)))
+    if idf is None:
+        idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
+    # At most one row per category and seed token, written first as in X4.
+    weights = materialize(seed_tokens.join(idf.select("token", "idf"), "token"), "x5")
     lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
     # Only seed-token occurrences become rows (filtered inside the array).
     seed_occ = F.filter(tokens(text_col), lambda t: F.array_contains(lit_vocab, t))
@@ -384,12 +391,13 @@ def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, label, margin): margin = log P(1|d) - log P(0|d) up to a constant.
 
-    Token occurrences join the model directly and are summed per document:
-    one exchange of the token rows when the model is large (AQE splits hot
-    tokens), none when AQE finds the model small enough to broadcast.  Tokens
+    The model is written first, so it is built once and the planner knows its
+    size before the join: token rows stay in place when Spark's threshold lets
+    it broadcast the model, else they are shuffled (AQE splits hot tokens).  Tokens
     outside the model are ignored; a document with no known token takes the
     larger prior (``explode_outer`` and the left join keep it).
     """
+    model = materialize(model, "x6")
     pri = model.select(F.struct(F.first("prior0").alias("p0"), F.first("prior1").alias("p1"))).scalar()
     p0, p1 = pri.getField("p0"), pri.getField("p1")
     occ = docs.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("token"))
@@ -494,9 +502,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """(id, score_micro, sentiment).  Sum of lexicon weights (BIGINT
     micro-units) over the document's distinct tokens; > 0 positive, < 0
-    negative, else neutral.  Every input row gets a result."""
+    negative, else neutral.  Every input row gets a result.  The lexicon is
+    written first, so the planner knows its size before the join."""
     occ = df.select(F.col(id_col), F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
-    joined = occ.join(lexicon.select("token", "weight_micro"), "token", "left")
+    joined = occ.join(materialize(lexicon.select("token", "weight_micro"), "x8"), "token", "left")
     sums = joined.groupBy(id_col).agg(F.sum(F.coalesce("weight_micro", F.lit(0))).cast("bigint").alias("score_micro"))
     return sums.select(id_col, "score_micro",
                        F.when(F.col("score_micro") > 0, "positive")

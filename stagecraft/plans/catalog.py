@@ -64,6 +64,51 @@ def q_stored_pipeline(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Parse and summarize
 # ---------------------------------------------------------------------------
+BRANCH_SPEC = {
+    "database": "MY_DB", "schema": "PUBLIC",
+    "nodes": [{"id": "s", "type": "stage", "label": "Pages", "config": {}},
+              {"id": "p", "type": "ai_parse_document", "label": "Parse", "config": {}},
+              {"id": "m", "type": "ai_summarize", "label": "Short", "config": {}},
+              {"id": "t", "type": "table", "label": "Out", "config": {}}],
+    "edges": [{"source": "s", "target": "p"}, {"source": "p", "target": "m"},
+              {"source": "p", "target": "t"}, {"source": "m", "target": "t"}],
+}
+STAGES_SPEC = {
+    "database": "MY_DB", "schema": "PUBLIC",
+    "nodes": [{"id": "a", "type": "stage", "label": "Pages", "config": {}},
+              {"id": "b", "type": "stage", "label": "Docs", "config": {}},
+              {"id": "p", "type": "ai_parse_document", "label": "Parse", "config": {}},
+              {"id": "m", "type": "ai_summarize", "label": "Short", "config": {}},
+              {"id": "t", "type": "table", "label": "Out", "config": {}}],
+    "edges": [{"source": "a", "target": "p"}, {"source": "p", "target": "m"},
+              {"source": "b", "target": "m"}, {"source": "m", "target": "t"}],
+}
+
+
+@query("pipeline_branches", f"""
+WITH src AS (SELECT url AS FILE_NAME, {Q.layout_text('html')} AS content FROM pages),
+summ AS ({Q.summarize('src', 'FILE_NAME', 'content')})
+SELECT FILE_NAME, content AS PROCESSED_DATA, TIMESTAMP '{AS_OF}' AS PROCESSED_AT FROM src
+UNION ALL
+SELECT src.FILE_NAME, summ.summary, TIMESTAMP '{AS_OF}' FROM src LEFT JOIN summ ON src.FILE_NAME = summ.FILE_NAME
+""")
+def q_pipeline_branches(spark, sf_dir):
+    return run_pipeline(BRANCH_SPEC, {"PAGES": pages_stage(spark, sf_dir)}, as_of=AS_OF)
+
+
+@query("pipeline_two_stages", f"""
+WITH src AS (SELECT url AS FILE_NAME, {Q.layout_text('html')} AS content FROM pages
+             UNION ALL SELECT 'doc-' || doc_id, text FROM documents),
+summ AS ({Q.summarize('src', 'FILE_NAME', 'content')})
+SELECT src.FILE_NAME, summ.summary AS PROCESSED_DATA, TIMESTAMP '{AS_OF}' AS PROCESSED_AT
+FROM src LEFT JOIN summ ON src.FILE_NAME = summ.FILE_NAME
+""")
+def q_pipeline_two_stages(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("FILE_NAME"), F.col("text").alias("content"))
+    return run_pipeline(STAGES_SPEC, {"PAGES": pages_stage(spark, sf_dir), "DOCS": docs}, as_of=AS_OF)
+
+
 @query("parse_layout", Q.blocks("pages", "page_id", "html"))
 def q_parse_layout(spark, sf_dir):
     return X.parse_document(load(spark, sf_dir, "pages"), "page_id", "html", "LAYOUT")
@@ -924,6 +969,19 @@ def q_config_insert(spark, sf_dir):
     return out.select("ID", "NAME", F.to_json("CONFIG").alias("CONFIG"), "CREATED_AT")
 
 
+@query("config_nodes", """
+SELECT o_orderkey AS graph_id, 0 AS pos, 'n1' AS id, 'stage' AS type, o_orderpriority AS label, '' AS name FROM orders
+""")
+def q_config_nodes(spark, sf_dir):
+    from stagecraft.plans.specs import spec_tables
+    saved = _config_rows(spark, sf_dir)
+    for _ in range(5):                     # a store that encodes what it is given again
+        text = F.to_json(F.array("CONFIG"))
+        saved = saved.withColumn("CONFIG", F.substring(text, 2, 1 << 20)).withColumn(
+            "CONFIG", F.expr("left(CONFIG, length(CONFIG) - 1)"))
+    return spec_tables(saved, "o_orderkey", "CONFIG")[0]
+
+
 @query("not_null_check", """
 SELECT 'segment' AS column_name, count(*) FILTER (WHERE nullif(c_mktsegment, 'AUTOMOBILE') IS NULL) AS failing_rows FROM customer
 UNION ALL

@@ -103,17 +103,3 @@ def size_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 1
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     return n
-
-
-# Largest row count we hint as a broadcast; beyond it a plain join is planned
-# and AQE decides from measured sizes.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_bounded(df, rows_bound: int, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only when its row count is known to be at most
-    ``max_rows`` (``rows_bound`` comes from the call's configuration or the
-    partition count, never from the data); otherwise leave the join to the
-    planner (sort-merge or shuffled hash join, AQE skew handling)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if rows_bound <= max_rows else df

@@ -14,18 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _comparable(c, type_: str):
+    """VARIANT values are compared by their JSON text: they have no order."""
+    return F.to_json(c) if "variant" in type_ else c
+
+
 def changes(before: DataFrame, after: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """ST1 (STANDARD): rows with ``action`` INSERT/DELETE and ``is_update``.
 
     A full outer join on the key; rows whose whole image is equal (null-safe,
-    ``<=>`` on a struct of all columns) are dropped.  An update gives a DELETE
+    ``<=>`` on a struct of all columns, VARIANT as JSON text) are dropped.  An update gives a DELETE
     of the old image and an INSERT of the new one, both ``is_update``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     cols = [c for c in before.columns if c not in keys]
     b = before.select(*keys, F.struct(*cols).alias("__old"))
     a = after.select(*keys, F.struct(*cols).alias("__new"))
-    j = b.join(a, keys, "full_outer").filter(~F.col("__old").eqNullSafe(F.col("__new")))
+    types = dict(before.dtypes)
+
+    def image(side):
+        return F.struct(F.col(side).isNull().alias("gone"), *[_comparable(F.col(f"{side}.`{c}`"), types[c]).alias(c) for c in cols])
+    j = b.join(a, keys, "full_outer").filter(~image("__old").eqNullSafe(image("__new")))
     both = F.col("__old").isNotNull() & F.col("__new").isNotNull()
     ev = F.array(
         F.when(F.col("__old").isNotNull(), F.struct(F.lit("DELETE").alias("action"), F.col("__old").alias("img"))),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagecraft.sources.stage import _base
+from stagecraft.sources.stage import _base, relative
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -34,9 +34,9 @@ def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    base = _base(path)
+    base = _base(spark, path)
     df = r.load(path)
-    return df.select(F.regexp_replace("path", "^\\Q" + base + "\\E", "").alias("FILE_NAME"),
+    return df.select(relative(base).alias("FILE_NAME"),
                      F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
 
 

@@ -176,3 +176,58 @@ def test_view_takes_only_queries(spark):
     with pytest.raises(ParseException):
         create_view(spark, "v_statement", "DROP TABLE no_such_table")
     assert not spark.catalog.tableExists("v_statement")
+
+
+def _spec(nodes, edges):
+    return {"database": "D", "schema": "P", "nodes": [{"id": i, "type": t, "label": i, "config": c} for i, t, c in nodes],
+            "edges": [{"source": a, "target": b} for a, b in edges]}
+
+
+def test_rows_of_one_name_or_none_stay_apart(spark):
+    rows = spark.createDataFrame([("a", "one invoice"), ("a", "a contract here"), (None, "invoice"), (None, "invoice")],
+                                 "FILE_NAME string, content string")
+    spec = _spec([("s", "stage", {}), ("c", "ai_classify", {}), ("t", "table", {})], [("s", "c"), ("c", "t")])
+    got = sorted((str(r[0]), r[1]) for r in run_pipeline(spec, {"S": rows}, as_of=C.AS_OF).collect())
+    assert got == [("None", "invoice"), ("None", "invoice"), ("a", "contract"), ("a", "invoice")]
+
+
+def test_several_tables_declared_columns_and_lexicon(spark):
+    from stagecraft.functions.text import lexicon_from_pairs
+    from stagecraft.plans.pipeline import pipeline_outputs
+    rows = spark.createDataFrame([("a", "good day"), ("b", "bad day")], "FILE_NAME string, content string")
+    cols = [{"name": n, "type": t} for n, t in (("PROCESSED_DATA", "VARCHAR"), ("FILE_NAME", "VARCHAR"), ("NOTE", "INT"),
+                                                ("PROCESSED_AT", "DATE"))]
+    spec = _spec([("s", "stage", {}), ("f", "ai_sentiment", {"lexicon": "WORDS"}), ("t", "table", {}), ("u", "table", {"columns": cols})],
+                 [("s", "f"), ("s", "t"), ("f", "u")])
+    out = pipeline_outputs(spec, {"S": rows}, as_of=C.AS_OF, tables={"WORDS": lexicon_from_pairs(spark, [("good", 1.0), ("bad", -1.0)])})
+    assert sorted(out) == ["T", "U"]
+    assert sorted(tuple(r)[:2] for r in out["T"].collect()) == [("a", "good day"), ("b", "bad day")]
+    assert out["U"].columns == [c["name"] for c in cols]
+    assert sorted((r.FILE_NAME, r.PROCESSED_DATA, r.NOTE) for r in out["U"].collect()) == [("a", "positive", None), ("b", "negative", None)]
+    with pytest.raises(ValueError):
+        run_pipeline(spec, {"S": rows})            # two tables, no target
+    with pytest.raises(ValueError):
+        run_pipeline(spec, {"S": rows}, target="U")  # no such lexicon
+
+
+def test_stage_read_auto_over_a_mixed_folder(spark, tmpdir_fresh):
+    from stagecraft.sources.stage import stage_directory, stage_read
+    for name, text in (("a.CSV", "k,v\n1,x\n"), ("sub/b.jsonl", '{"k": "2", "v": "y"}\n'), ("c.json", '{"k": "3", "v": "z"}\n')):
+        os.makedirs(os.path.dirname(os.path.join(tmpdir_fresh, name)), exist_ok=True)
+        with open(os.path.join(tmpdir_fresh, name), "w") as f:
+            f.write(text)
+    assert sorted(map(tuple, stage_read(spark, tmpdir_fresh).select("k", "v").collect())) == [("1", "x"), ("2", "y"), ("3", "z")]
+    for path in (tmpdir_fresh, "file://" + tmpdir_fresh, "file:" + tmpdir_fresh + "/"):
+        assert sorted(r[0] for r in stage_directory(spark, path).collect()) == ["a.CSV", "c.json", "sub/b.jsonl"]
+    with open(os.path.join(tmpdir_fresh, "d.txt"), "w") as f:
+        f.write("x")
+    with pytest.raises(ValueError):
+        stage_read(spark, tmpdir_fresh)
+
+
+def test_changes_of_variant_rows(spark):
+    from stagecraft.streaming.changes import changes
+    before = spark.sql("SELECT * FROM VALUES (1, parse_json('1')), (2, parse_json('{\"a\": 1}')), (3, parse_json('1')) t(k, v)")
+    after = spark.sql("SELECT * FROM VALUES (1, parse_json('\"1\"')), (2, parse_json('{\"a\": 1}')) t(k, v)")
+    got = sorted((r.k, r.action, r.is_update) for r in changes(before, after, "k").select("k", "action", "is_update").collect())
+    assert got == [(1, "DELETE", True), (1, "INSERT", True), (3, "DELETE", False)]

@@ -69,3 +69,18 @@ def test_first_filled_and_label(spark):
 def test_split_lines_crlf(spark):
     df = spark.createDataFrame([("a\r\n  b \t\r\n\r\n",)], "t string")
     assert df.select(S.split_lines("t")).first()[0] == ["a", "b"]
+
+
+def test_json_unwrap_at_any_depth(spark):
+    import json
+    from pyspark.sql import functions as F
+    from stagecraft.functions import scalars as S
+    values = [{"k": 7}, [1], 5, "no json"]
+    rows = []
+    for v in values:
+        text = json.dumps(v)
+        for _ in range(6):
+            text = json.dumps(text)
+        rows.append((text,))
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(F.to_json(S.json_unwrap("c"))).collect()]
+    assert got == ['{"k":7}', "[1]", "5", None]
