@@ -212,14 +212,9 @@ class Utf8Stream:
         return out
 
 
-_loaded: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """One per worker and vocabulary, so its tables are reused."""
-    if path not in _loaded:
-        _loaded[path] = Transducer(load_ranks(path))
-    return _loaded[path]
+    return C.held(path, lambda: Transducer(load_ranks(path)))
 
 
 def _digest(path: str, pattern: str):

@@ -7,7 +7,10 @@ bit mixer.  Keys that decide a result join two independent 64-bit values.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +157,39 @@ def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray, lower: boo
     return out, woff, starts, ends
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """``make()``, kept by this worker for its next tasks of the same operator."""
+    if key not in _held:
+        forget()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Drops what an operator that ran before has left in this reused worker, and
+    gives memory that is free in its allocators back to the system."""
+    _held.clear()
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; its worker, which may wait or serve others next,
+    gives its memory back once a task's rows are through."""
+    def task(batches):
+        yield from run(batches)
+        forget()
+
+    return task
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -83,6 +83,7 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 def _signatures(batches):
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    C.forget()
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
         for lo, hi, data, off in C.chunks(batch.column("text")):
@@ -148,7 +149,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return (pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"))
+    return (pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(C.released(_linked), "a long, b long"))
 
 
 def _joined(part: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
@@ -178,7 +179,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of ``rest`` (b, label) in different components that share one of
     their rarest shingles; every pair at the threshold is among them."""
     lists = rest.join(texts, F.col("b") == F.col("doc")).select("b", "label", "text") \
-        .mapInArrow(_shingle_lists, "b long, label long, n long, s array<long>")
+        .mapInArrow(C.released(_shingle_lists), "b long, label long, n long, s array<long>")
     rows = C.save(lists.select("b", "label", "n", F.explode("s").alias("s")), "shingles")
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     order = Window.partitionBy("b").orderBy(F.coalesce("often", F.lit(1).cast("long")), "s")
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = C.keyed(docs, id_col, text_col)
     schema = "doc long, n long, d1 long, d2 long, bands array<long>"
-    signed = C.save(base.mapInArrow(_signatures, schema), "signatures")
+    signed = C.save(base.mapInArrow(C.released(_signatures), schema), "signatures")
     real = signed.filter((F.col("n") > 0) & (F.col("doc") != C.NULL_ID))
     classes = C.save(real.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc", "bands")).alias("m"))
                      .select("n", "d1", "d2", F.col("m.doc").alias("rep"), "m.bands"), "classes")

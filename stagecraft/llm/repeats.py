@@ -115,6 +115,7 @@ def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split
                         ("n", pa.int32()), ("full", pa.bool_()), ("wide", pa.bool_())])
 
     def run(batches):
+        C.forget()
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             found, size = [], 0
@@ -273,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     the same one.  Rows that repeat a doc are the same document, never repeats of
     each other.  Documents without a repeated window give no row.
     """
-    anchors = docs.mapInArrow(_anchor_rows(tokenise, length, gram, across, SPLIT), ANCHOR_SCHEMA).repartition("ah")
+    anchors = docs.mapInArrow(C.released(_anchor_rows(tokenise, length, gram, across, SPLIT)), ANCHOR_SCHEMA).repartition("ah")
     block, bucket = Window.partitionBy("ah", "ch"), Window.partitionBy("ah")
     at = F.struct("doc", "p")
     first = F.min(F.when(F.col("n") > 0, F.col("doc") if across else at)).over(block)
@@ -292,14 +293,14 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
             .groupBy("doc").agg(F.collect_list(F.struct("ah", "p", "n", "hot")).alias("todo")))
     bodies = (docs.join(todo, "doc").select("doc", "text", "todo"))
     calm = (bodies.withColumn("todo", F.filter("todo", lambda t: ~t["hot"]))
-            .mapInArrow(_block_rows(tokenise, length), BLOCK_SCHEMA)
+            .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)
             .repartition("ah").sortWithinPartitions("ah")
-            .mapInArrow(_refine(length, across, dtype), SPAN_SCHEMA))
+            .mapInArrow(C.released(_refine(length, across, dtype)), SPAN_SCHEMA))
     parts = [whole, calm]
     if not judged.filter(~F.col("dup") & F.col("hot")).isEmpty():
         windows = (bodies.withColumn("todo", F.filter("todo", lambda t: t["hot"])).filter(F.size("todo") > 0)
-                   .mapInArrow(_block_rows(tokenise, length), BLOCK_SCHEMA)
-                   .mapInArrow(_window_rows(length, dtype, across), "h long, h2 long, doc long, p long, full boolean"))
+                   .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)
+                   .mapInArrow(C.released(_window_rows(length, dtype, across)), "h long, h2 long, doc long, p long, full boolean"))
         same = Window.partitionBy("h", "h2")
         parts.append(windows.withColumn("first", F.min(F.col("doc") if across else at).over(same))
                      .filter(F.col("full") | ((F.col("doc") if across else at) > F.col("first")))

@@ -169,6 +169,7 @@ def _raw(spark, lexicon: dict[str, float]):
     @F.pandas_udf("raw double, n long")
     def raw(text: pd.Series) -> pd.DataFrame:
         if not made:
+            C.forget()
             made.append(automaton(shared.value))
         return pd.DataFrame([raw_score(made[0], t) for t in text], columns=["raw", "n"])
 
