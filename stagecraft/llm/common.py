@@ -209,5 +209,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def own_rows(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """(doc, sub, text), or with ``keep`` all columns and (doc, sub): the documents
+    are ordered by (doc, sub).  Rows that repeat an id and its text are one
+    document (``sub`` is the text's hash), other texts of the id are others.  A row
+    without id is a document of its own; these rows are numbered and written."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    doc, sub = ("__doc", "__sub") if keep else ("doc", "sub")
+
+    def rows(own, number):
+        return own.select(*([F.col(f"`{c}`") for c in own.columns] if keep else []),
+                          F.coalesce(ident.cast("long"), F.lit(NULL_ID)).alias(doc), number.cast("long").alias(sub),
+                          *([] if keep else [text.alias("text")]))
+
+    unnamed = save(rows(docs.filter(ident.isNull()), F.monotonically_increasing_id()), "unnamed")
+    return rows(docs.filter(ident.isNotNull()), F.xxhash64(text)).unionByName(unnamed)
+
+
 def original_id(name: str = "doc_id"):
     return F.when(F.col("doc") == NULL_ID, F.lit(None).cast("long")).otherwise(F.col("doc")).alias(name)

@@ -40,9 +40,9 @@ SPLIT = 64
 SEGMENT = 1 << 19
 #: Blocks that are pre-aggregated and sent together.
 FLUSH = 1 << 18
-ANCHOR_SCHEMA = "ah long, ch long, doc long, p long, n int, full boolean, wide boolean"
-BLOCK_SCHEMA = "ah long, doc long, p long, n int, body binary"
-SPAN_SCHEMA = "doc long, s long, e long"
+ANCHOR_SCHEMA = "ah long, ch long, doc long, sub long, p long, n int, full boolean, wide boolean"
+BLOCK_SCHEMA = "ah long, doc long, sub long, p long, n int, body binary"
+SPAN_SCHEMA = "doc long, sub long, s long, e long"
 
 
 def byte_tokens(data: np.ndarray, off: np.ndarray):
@@ -109,21 +109,25 @@ def owned_blocks(values: np.ndarray, off: np.ndarray, length: int, gram: int):
     return piece, start - off[piece], count, g[own], body
 
 
+def _place(doc, sub, p):
+    return C.mix((doc.astype(np.uint64) * np.uint64(31) + sub.astype(np.uint64)) * np.uint64(31) + p.astype(np.uint64))
+
+
 def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split: int):
     """One row for each block; ``n`` is 0 for the mark of a bucket that was split."""
-    schema = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()),
+    schema = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("p", pa.int64()),
                         ("n", pa.int32()), ("full", pa.bool_()), ("wide", pa.bool_())])
 
     def run(batches):
         C.forget()
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
             found, size = [], 0
             for lo, hi, data, off in C.chunks(batch.column("text")):
                 tokens, toff = tokenise(data, off)
                 for doc, base, part, poff in segments(tokens, toff, length):
                     piece, start, count, ah, ch = owned_blocks(_values(part), poff, length, gram)
-                    found.append((ah, ch, ids[lo + doc[piece]], start + base[piece], count))
+                    found.append((ah, ch, ids[lo + doc[piece]], subs[lo + doc[piece]], start + base[piece], count))
                     size += len(ah)
                     if size >= FLUSH:
                         yield rows(found)
@@ -132,56 +136,58 @@ def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split
                 yield rows(found)
 
     def rows(found):
-        ah, ch, doc, p, n = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((p, doc, ch, ah))
-        ah, ch, doc, p, n = ah[order], ch[order], doc[order], p[order], n[order]
+        ah, ch, doc, sub, p, n = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((p, sub, doc, ch, ah))
+        ah, ch, doc, sub, p, n = ah[order], ch[order], doc[order], sub[order], p[order], n[order]
         new = np.ones(len(ah), bool)
         new[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        full = (doc > doc[head]) if across else ~new & ((doc != doc[head]) | (p != p[head]))
+        other = (doc != doc[head]) | (sub != sub[head])
+        full = other if across else other | (p != p[head])
         # A row that is already judged goes anywhere: it must not make its bucket hot.
-        key = np.where(full, C.mix(ah + C.mix(doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64))), ah)
+        key = np.where(full, C.mix(ah + _place(doc, sub, p)), ah)
         bucket = np.ones(len(ah), bool)
         bucket[1:] = ah[1:] != ah[:-1]
         wide = (np.bincount(np.cumsum(bucket) - 1, weights=new) > split)[np.cumsum(bucket) - 1]
         key = np.where(wide & ~full, C.mix(ah ^ C.mix(ch)), key)
         mark = np.flatnonzero(bucket & wide)
-        at = np.concatenate([np.lexsort((p, doc)), mark])
+        at = np.concatenate([np.lexsort((p, sub, doc)), mark])
         key = np.concatenate([key[at[:len(ah)]], ah[mark]])
         marked = np.arange(len(at)) >= len(ah)
-        cols = [C.signed(key), C.signed(ch)[at], doc[at], p[at], np.where(marked, 0, n[at]).astype(np.int32), full[at] & ~marked, wide[at]]
+        cols = [C.signed(key), C.signed(ch)[at], doc[at], sub[at], p[at], np.where(marked, 0, n[at]).astype(np.int32), full[at] & ~marked, wide[at]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
 
 
 def _block_rows(tokenise: Callable, length: int):
-    schema = pa.schema([("ah", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("ah", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 
     def run(batches):
         for batch in batches:
             todo = batch.column("todo").to_pylist()
-            ids = batch.column("doc").to_pylist()
+            ids, subs = batch.column("doc").to_pylist(), batch.column("sub").to_pylist()
             for lo, hi, data, off in C.chunks(batch.column("text")):
                 tokens, toff = tokenise(data, off)
-                ah, doc, p, n, body = [], [], [], [], []
+                ah, doc, sub, p, n, body = [], [], [], [], [], []
                 for i in range(lo, hi):
                     text = tokens[toff[i - lo]:toff[i - lo + 1]]
                     for t in todo[i]:
                         if t["p"] + t["n"] - 1 + length <= len(text):
                             ah.append(t["ah"])
                             doc.append(ids[i])
+                            sub.append(subs[i])
                             p.append(t["p"])
                             n.append(t["n"])
                             body.append(text[t["p"]:t["p"] + t["n"] - 1 + length].tobytes())
                 if ah:
-                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(doc), pa.array(p), pa.array(n, pa.int32()), pa.array(body, pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(doc), pa.array(sub), pa.array(p), pa.array(n, pa.int32()), pa.array(body, pa.binary())], schema=schema)
 
     return run
 
 
-def _window_hashes(doc, p, n, body, length: int, dtype):
-    """Per window: document, start, two hashes."""
+def _window_hashes(doc, sub, p, n, body, length: int, dtype):
+    """Per window: document (two columns), start, two hashes."""
     tokens = np.frombuffer(b"".join(body), dtype=dtype)
     off = np.cumsum([0, *(len(b) // np.dtype(dtype).itemsize for b in body)])
     values = _values(tokens)
@@ -190,40 +196,41 @@ def _window_hashes(doc, p, n, body, length: int, dtype):
     start = off[row] + k
     h = C.mix(C.span(C.prefix(values), start, start + length))
     h2 = C.mix(C.span(C.prefix(C.mix(values + np.uint64(1))), start, start + length))
-    return doc[row], p[row] + k, h, h2
+    return doc[row], sub[row], p[row] + k, h, h2
 
 
-def _runs(doc, s, length: int):
+def _runs(doc, sub, s, length: int):
     """Spans of maximal runs of consecutive window starts (sorted by document, start)."""
     if not len(doc):
-        return doc, s, s
+        return doc, sub, s, s
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (s[1:] > s[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], s[first], s[last] + length
+    return doc[first], sub[first], s[first], s[last] + length
 
 
-def _known(d, s, h, h2, across: bool):
+def _known(d, sub, s, h, h2, across: bool):
     """The windows of one lot in the order of their hashes, and which of them repeat
     an earlier window of the lot."""
-    order = np.lexsort((s, d, h2, h))
-    h, h2, d, s = h[order], h2[order], d[order], s[order]
+    order = np.lexsort((s, sub, d, h2, h))
+    h, h2, d, sub, s = h[order], h2[order], d[order], sub[order], s[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return d, s, h, h2, (d > d[head]) if across else (d != d[head]) | (s != s[head])
+    other = (d != d[head]) | (sub != sub[head])
+    return d, sub, s, h, h2, other if across else other | (s != s[head])
 
 
 def _refine(length: int, across: bool, dtype, limit: int = 8192):
-    schema = pa.schema([("doc", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def judge(rows):
-        ah, doc, p, n, body = rows
-        d, s, _, _, dup = _known(*_window_hashes(doc, p, n, body, length, dtype), across)
-        d, s = d[dup], s[dup]
-        order = np.lexsort((s, d))
-        cols = _runs(d[order], s[order], length)
+        _, doc, sub, p, n, body = rows
+        d, sub, s, _, _, dup = _known(*_window_hashes(doc, sub, p, n, body, length, dtype), across)
+        d, sub, s = d[dup], sub[dup], s[dup]
+        order = np.lexsort((s, sub, d))
+        cols = _runs(d[order], sub[order], s[order], length)
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=schema)
 
     def run(batches):
@@ -231,67 +238,67 @@ def _refine(length: int, across: bool, dtype, limit: int = 8192):
         held: list = []
         size = 0
         for batch in batches:
-            held.append([batch.column("ah").to_numpy(), batch.column("doc").to_numpy(), batch.column("p").to_numpy(),
-                         batch.column("n").to_numpy(), batch.column("body").to_pylist()])
+            held.append([batch.column("ah").to_numpy(), batch.column("doc").to_numpy(), batch.column("sub").to_numpy(),
+                         batch.column("p").to_numpy(), batch.column("n").to_numpy(), batch.column("body").to_pylist()])
             size += batch.num_rows
             if size < limit:
                 continue
-            ah, doc, p, n = (np.concatenate([x[i] for x in held]) for i in range(4))
-            body = [b for x in held for b in x[4]]
+            ah, doc, sub, p, n = (np.concatenate([x[i] for x in held]) for i in range(5))
+            body = [b for x in held for b in x[5]]
             cut = int(np.searchsorted(ah, ah[-1], "left"))
             if cut:
-                yield judge((ah[:cut], doc[:cut], p[:cut], n[:cut], body[:cut]))
-            held = [[ah[cut:], doc[cut:], p[cut:], n[cut:], body[cut:]]]
+                yield judge((ah[:cut], doc[:cut], sub[:cut], p[:cut], n[:cut], body[:cut]))
+            held = [[ah[cut:], doc[cut:], sub[cut:], p[cut:], n[cut:], body[cut:]]]
             size = len(ah) - cut
         if size:
-            ah, doc, p, n = (np.concatenate([x[i] for x in held]) for i in range(4))
-            yield judge((ah, doc, p, n, [b for x in held for b in x[4]]))
+            ah, doc, sub, p, n = (np.concatenate([x[i] for x in held]) for i in range(5))
+            yield judge((ah, doc, sub, p, n, [b for x in held for b in x[5]]))
 
     return run
 
 
 def _window_rows(length: int, dtype, across: bool):
-    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("full", pa.bool_())])
+    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("p", pa.int64()), ("full", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 b = batch.slice(lo, 2048)
-                d, s, h, h2, full = _known(*_window_hashes(b.column("doc").to_numpy(), b.column("p").to_numpy(), b.column("n").to_numpy(),
-                                                           b.column("body").to_pylist(), length, dtype), across)
+                d, sub, s, h, h2, full = _known(*_window_hashes(b.column("doc").to_numpy(), b.column("sub").to_numpy(), b.column("p").to_numpy(),
+                                                                b.column("n").to_numpy(), b.column("body").to_pylist(), length, dtype), across)
                 # As with blocks, a window that is already judged goes anywhere.
-                h = np.where(full, C.mix(h + C.mix(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))), h)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(h2)), pa.array(d), pa.array(s), pa.array(full)], schema=schema)
+                h = np.where(full, C.mix(h + _place(d, sub, s)), h)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(C.signed(h2)), pa.array(d), pa.array(sub), pa.array(s), pa.array(full)], schema=schema)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable, across: bool, dtype) -> DataFrame:
-    """(doc, spans array<struct<s,e>>) of tokens covered by a repeated window.
+    """(doc, sub, spans array<struct<s,e>>) of tokens covered by a repeated window.
 
-    ``docs`` has (doc, text), see ``common.keyed``.  ``across``: a window repeats
-    if it also starts in a smaller document; else also if it starts earlier in
-    the same one.  Rows that repeat a doc are the same document, never repeats of
-    each other.  Documents without a repeated window give no row.
+    ``docs`` has (doc, sub, text), see ``common.own_rows``.  ``across``: a window
+    repeats if it also starts in a smaller document; else also if it starts earlier
+    in the same one.  Rows that repeat (doc, sub) are the same document, never
+    repeats of each other.  Documents without a repeated window give no row.
     """
     anchors = docs.mapInArrow(C.released(_anchor_rows(tokenise, length, gram, across, SPLIT)), ANCHOR_SCHEMA).repartition("ah")
     block, bucket = Window.partitionBy("ah", "ch"), Window.partitionBy("ah")
-    at = F.struct("doc", "p")
-    first = F.min(F.when(F.col("n") > 0, F.col("doc") if across else at)).over(block)
+    at = F.struct("doc", "sub") if across else F.struct("doc", "sub", "p")
+    first = F.min(F.when(F.col("n") > 0, at)).over(block)
     judged = (anchors.withColumn("first", first)
               .withColumn("wide", F.max(F.col("wide") & ~F.col("full")).over(bucket))
               .withColumn("kinds", F.col("wide") | (F.min("ch").over(bucket) != F.max("ch").over(bucket)))
               .filter("n > 0")
-              .withColumn("dup", F.col("full") | ((F.col("doc") if across else at) > F.col("first")))
+              .withColumn("dup", F.col("full") | (at > F.col("first")))
               .withColumn("size", F.sum(F.when(F.col("dup"), 0).otherwise(1)).over(bucket))
               .filter(F.col("dup") | F.col("kinds"))
-              .select("dup", (F.col("wide") | (F.col("size") > HOT)).alias("hot"), "ah", "doc", "p", "n"))
+              .select("dup", (F.col("wide") | (F.col("size") > HOT)).alias("hot"), "ah", "doc", "sub", "p", "n"))
     judged = C.save(judged, "repeat-blocks")
-    whole = judged.filter("dup").select("doc", F.col("p").alias("s"), (F.col("p") + F.col("n") - 1 + length).alias("e"))
+    whole = judged.filter("dup").select("doc", "sub", F.col("p").alias("s"), (F.col("p") + F.col("n") - 1 + length).alias("e"))
 
-    todo = (judged.filter(~F.col("dup")).dropDuplicates(["doc", "p", "ah"])
-            .groupBy("doc").agg(F.collect_list(F.struct("ah", "p", "n", "hot")).alias("todo")))
-    bodies = (docs.join(todo, "doc").select("doc", "text", "todo"))
+    todo = (judged.filter(~F.col("dup")).dropDuplicates(["doc", "sub", "p", "ah"])
+            .groupBy("doc", "sub").agg(F.collect_list(F.struct("ah", "p", "n", "hot")).alias("todo")))
+    bodies = (docs.join(todo, ["doc", "sub"]).select("doc", "sub", "text", "todo"))
     calm = (bodies.withColumn("todo", F.filter("todo", lambda t: ~t["hot"]))
             .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)
             .repartition("ah").sortWithinPartitions("ah")
@@ -300,15 +307,15 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     if not judged.filter(~F.col("dup") & F.col("hot")).isEmpty():
         windows = (bodies.withColumn("todo", F.filter("todo", lambda t: t["hot"])).filter(F.size("todo") > 0)
                    .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)
-                   .mapInArrow(C.released(_window_rows(length, dtype, across)), "h long, h2 long, doc long, p long, full boolean"))
+                   .mapInArrow(C.released(_window_rows(length, dtype, across)), "h long, h2 long, doc long, sub long, p long, full boolean"))
         same = Window.partitionBy("h", "h2")
-        parts.append(windows.withColumn("first", F.min(F.col("doc") if across else at).over(same))
-                     .filter(F.col("full") | ((F.col("doc") if across else at) > F.col("first")))
-                     .select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e")))
+        parts.append(windows.withColumn("first", F.min(at).over(same))
+                     .filter(F.col("full") | (at > F.col("first")))
+                     .select("doc", "sub", F.col("p").alias("s"), (F.col("p") + length).alias("e")))
     spans = parts[0]
     for x in parts[1:]:
         spans = spans.unionByName(x)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def covered(spans, n: int) -> list[tuple[int, int]]:

@@ -25,12 +25,12 @@ from stagecraft.llm import repeats as R
 LENGTH, GRAM = 50, 12
 
 
-def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, spans): word spans covered by a ``length``-word window that also
-    starts in a document with a smaller id.  Null text has no words; null ids are
-    one document after all others; rows that repeat an id are one document."""
-    return R.repeated_spans(C.keyed(docs, id_col, text_col), length, gram, R.word_tokens, True, np.uint64)
+def duplicate_words(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc, sub, spans) of ``common.own_rows``: word spans covered by a
+    ``length``-word window that also starts in a smaller document.  Documents are
+    ordered by id; the texts of one id by their hash; rows without id, each a
+    document of its own, come last as they are written.  Null text has no words."""
+    return R.repeated_spans(rows, length, gram, R.word_tokens, True, np.uint64)
 
 
 def _digest(batches):
@@ -60,8 +60,8 @@ def _digest(batches):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the SHA-256 of the kept words
     joined by one space.  An empty table gives an empty result."""
-    spans = duplicate_words(docs, id_col, text_col)
-    out = (C.keyed(docs, id_col, text_col).join(spans, "doc", "left").select("doc", "text", "spans")
+    rows = C.own_rows(docs, id_col, text_col)
+    out = (rows.join(duplicate_words(rows), ["doc", "sub"], "left").select("doc", "text", "spans")
            .mapInArrow(_digest, "doc long, n_words long, n_removed long, kept_sha256 string"))
     return out.select(C.original_id(), "n_words", "n_removed", "kept_sha256")
 
@@ -80,9 +80,10 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with duplicate spans cut from the text (layout of the rest kept)
     and ``length_col`` set anew; documents left without a word that had one go."""
-    spans = duplicate_words(docs, id_col, text_col).withColumnRenamed("doc", "__doc").withColumnRenamed("spans", "__spans")
-    own = F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID))
-    joined = docs.join(spans, own == F.col("__doc"), "left")
+    rows = C.own_rows(docs, id_col, text_col, keep=True)
+    spans = duplicate_words(rows.select(F.col("__doc").alias("doc"), F.col("__sub").alias("sub"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    spans = spans.select(F.col("doc").alias("__doc"), F.col("sub").alias("__sub"), F.col("spans").alias("__spans"))
+    joined = rows.join(spans, ["__doc", "__sub"], "left")
 
     @F.pandas_udf("string")
     def cut(text, found):
@@ -96,7 +97,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return text.combine(found, one)
 
     out = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans"))))
-    out = out.filter(F.col("__spans").isNull() | F.col(text_col).rlike(r"[^ \x09-\x0D]")).drop("__doc", "__spans")
+    out = out.filter(F.col("__spans").isNull() | F.col(text_col).rlike(r"[^ \x09-\x0D]")).drop("__doc", "__sub", "__spans")
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.length(text_col)).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)

@@ -46,22 +46,22 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], schema=schema)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, spans): byte spans covered by a ``length``-byte string that also
-    starts earlier (smaller id, or same document and earlier start).
+def repeated_bytes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc, sub, spans) of ``common.own_rows``: byte spans covered by a
+    ``length``-byte string that also starts earlier (smaller document, or same
+    document and earlier start).
 
-    Null text is empty.  Null ids are one document after all others; rows that
-    repeat an id are one document.  Texts under ``length`` bytes have no spans.
+    Documents are ordered by id; the texts of one id by their hash; rows without
+    id, each a document of its own, come last as they are written.  Null text is
+    empty.  Texts under ``length`` bytes have no spans.
     """
-    return R.repeated_spans(C.keyed(docs, id_col, text_col), length, gram, R.byte_tokens, False, np.uint8)
+    return R.repeated_spans(rows, length, gram, R.byte_tokens, False, np.uint8)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
     the SHA-256 of the bytes that stay.  An empty table gives an empty result."""
-    base = C.keyed(docs, id_col, text_col)
-    spans = repeated_bytes(docs, id_col, text_col)
-    out = (base.join(spans, "doc", "left").select("doc", "text", "spans")
+    rows = C.own_rows(docs, id_col, text_col)
+    out = (rows.join(repeated_bytes(rows), ["doc", "sub"], "left").select("doc", "text", "spans")
            .mapInArrow(_apply, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
     return out.select(C.original_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
