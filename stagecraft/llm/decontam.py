@@ -30,7 +30,7 @@ BLOCK_BYTES = 1 << 20
 class SuffixAutomaton:
     """Generalised suffix automaton over word hashes."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         self.window = window
@@ -52,7 +52,9 @@ class SuffixAutomaton:
                     at = state
                     while self.len[self.link[at]] >= size:
                         at = self.link[at]
-                    self.found[at, size].add(name)
+                    names = self.found[at, size]
+                    if name is not None:  # an item without id marks words but names nothing
+                        names.add(name)
         self.sizes = sorted({s for _, s in self.found}, reverse=True)
         words = sorted({w for _, x in items for w in x})
         self.vocabulary = np.array(words, np.uint64)
@@ -114,7 +116,7 @@ class SuffixAutomaton:
                 while self.len[self.link[at]] >= size:
                     at = self.link[at]
                 names = self.found.get((at, size))
-                if names:
+                if names is not None:
                     yield i + 1 - size, size, names
 
 
@@ -178,18 +180,18 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int = WIN
     ``BLOCK_BYTES``, so each is bounded however large the benchmark is."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = items.filter("item is not null and text is not null")
+    items = items.filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     out = []
     for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
+        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = []
         for r in own.toLocalIterator():
             data = np.frombuffer(r.text.encode(), np.uint8)
             h = C.word_hashes(data, np.array([0, len(data)]), C.ALNUM_WORD, lower=True)[0]
             rows.append((r.item, h.tolist()))
-        out.append(spark.sparkContext.broadcast(SuffixAutomaton(sorted(rows), window)))
+        out.append(spark.sparkContext.broadcast(SuffixAutomaton(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])), window)))
     return out
 
 
@@ -197,20 +199,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc, row (0 unless several blocks are merged), n_words,
     spans of hit words (may overlap), items.  Null text has no words; items
-    without id, text or words are left out; an empty benchmark hits nothing."""
+    without text or words are left out; items without id mark words but are not
+    named; an empty benchmark hits nothing."""
     base = C.keyed(docs, id_col, text_col)
     schema = "doc long, row long, n_words long, spans array<struct<s: long, e: long>>, items array<string>"
     autos = automata(benchmark, item_id, item_text)
     if len(autos) == 1:
         return base.withColumn("row", F.lit(0).cast("long")).mapInArrow(_stream(autos[0]), schema)
-    base = base.withColumn("row", F.xxhash64("text"))
+    # Numbered and written once: every block sees the same numbers, and no rows merge.
+    base = C.save(base.withColumn("row", F.monotonically_increasing_id()), "numbered")
     all_ = None
     for a in autos:
         one = base.mapInArrow(_stream(a), schema)
         all_ = one if all_ is None else all_.unionByName(one)
-    # Rows that repeat an id and its text are one row here.
-    return all_.groupBy("doc", "row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                          F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return all_.groupBy("row").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"),
+                                   F.flatten(F.collect_list("spans")).alias("spans"),
+                                   F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
