@@ -1,13 +1,9 @@
-"""Substring dedup of words by relative Lempel-Ziv parsing.
-
-The reference is made of blocks: every document's runs of 50-word windows,
-indexed by the anchor gram that owns them, each held by the smallest document
-that has it.  A document is parsed greedily from left to right against all
-blocks: neighbouring blocks that a smaller document holds join into one factor,
-others are literals.  A factor is at least one whole window long, so it is a
-duplicate span.  At factor boundaries, where a block is only partly known, the
-block's windows are checked one by one against the other blocks of its bucket.
-See ``repeats`` for the distributed index.
+"""Substring dedup of words by anchored window hashing.
+
+A word is a duplicate if a 50-word window that covers it also starts in a smaller
+document.  Runs of windows that one anchor gram owns are compared as a whole by
+hash, what is left window by window.  The dealt relative Lempel-Ziv parse is not
+built.  See ``repeats``.
 """
 
 from __future__ import annotations

@@ -1,12 +1,9 @@
-"""Suffix-array dedup of bytes by bucket-pointer refinement.
+"""Suffix dedup of bytes by anchored window hashing.
 
-Positions fall into buckets by an initial q-gram.  Only one position per run
-(the anchor that owns its 100-byte windows) carries the bucket; the rest of the
-run follows from it, which is the reuse of one position's order for its
-neighbours.  A bucket is refined by the identifiers of what stands at later
-offsets: first by the block identifier that covers all bytes up to the window's
-end (equal blocks need no further sorting), then, for the few blocks that differ,
-by the hash of each window.  See ``repeats``.
+A byte is a duplicate if a 100-byte window that covers it also starts earlier.
+Runs of windows that one anchor gram owns are compared as a whole by hash, what is
+left window by window.  The dealt bucket-pointer refinement is not built: no order
+of positions is made.  See ``repeats``.
 """
 
 from __future__ import annotations
