@@ -203,6 +203,20 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``save``, and the folder written, for ``discard``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stagecraft-llm/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark, path: str) -> None:
+    """Deletes a folder of ``written`` that no result reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text): other columns, and any clash of their names, are left behind."""
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc"),

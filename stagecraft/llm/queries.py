@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators (and the pipeline), each over its
+"""Registered queries of the operators (and the pipeline), each over its
 whole table with production parameters."""
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import bpe, decontam, langid, license, neardup, quality, sharding, substring, suffix, toxicity
+from stagecraft.llm import (bpe, decontam, filteraudit, htmltext, langid, license, neardup, quality, sharding, substring, suffix, toxicity,
+                            veccodes)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +79,27 @@ def q_suffix(spark, sf_dir):
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op11_main_text")
+def q_main_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op12_filter_audit")
+def q_filter_audit(spark, sf_dir):
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = filteraudit.SQL
+
+
+@query("op13_vector_codes")
+def q_vector_codes(spark, sf_dir):
+    return veccodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_vector_codes"] = veccodes.sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
