@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space to one space) and hashed.
-Per host, the distinct texts that hold a line are counted; copies of one text
-count once, so a copied document is no boilerplate by itself.  Lines in more than
-``MIN_TEXTS`` texts and more than ``SHARE`` of the host's texts are removed; a
-document that loses more than ``MAX_LOST`` percent of its words is depleted and
+Per host, the distinct documents that hold a line are counted (first by text, so
+that a copied text or a common line is no hot key).  Lines in more than
+``MIN_DOCS`` documents and more than ``SHARE`` of the host's documents are removed;
+a document that loses more than ``MAX_LOST`` percent of its words is depleted and
 rejected, next to the rules on one document.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stagecraft.llm import common as C
 
-MIN_TEXTS, SHARE, MAX_LOST = 20, 0.01, 70
+MIN_DOCS, SHARE, MAX_LOST = 20, 0.01, 70
 MIN_WORDS, MAX_REPEATED = 50, 50
 GAP = r"[ \x09-\x0D]+"
 
@@ -55,7 +55,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     n_repeat_words, n_common_words (words on removed lines), base_failed, kept.
 
     Null and empty texts have no words and fail; a null host is a host of its
-    own; rows that repeat an id and its text get the same result."""
+    own; rows that repeat an id and its text are one document and get the same
+    result; each row without id is a document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), text.alias("text"))
     rows = (rows.withColumn("words", F.filter(F.split("text", GAP), lambda w: w != ""))
@@ -72,17 +73,28 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     measured = C.save(measured, "quality")
 
     own = measured.select("doc_id", "host", "t1", "t2", "n_words", F.explode("lines").alias("x"))
-    # One row per (host, line, text): copies and repeated lines count once, and no key is hot.
-    held = measured.select("host", "t1", "t2", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
-    hosts = measured.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MIN_TEXTS)
+    # Rows that repeat an id and its text are one document.
+    same = ["doc_id", "host", "t1", "t2"]
+    many = C.save(measured.groupBy(*same).agg(F.count(F.lit(1)).alias("same")).filter("same > 1"), "repeated")
+    again = (many.filter(F.col("doc_id").isNotNull()).groupBy("host", "t1", "t2").agg(F.sum(F.col("same") - 1).alias("again"))
+             .select(F.col("host").alias("host_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), "again"))
+
+    def documents(rows: DataFrame) -> DataFrame:
+        """``n`` of (host, t1, t2) without what repeats."""
+        one = F.col("host").eqNullSafe(F.col("host_")) & (F.col("t1") == F.col("t1_")) & (F.col("t2") == F.col("t2_"))
+        return rows.join(again, one, "left").withColumn("n", F.col("n") - F.coalesce("again", F.lit(0))).drop("host_", "t1_", "t2_", "again")
+
+    # Copies are added up by (host, text) first, so neither a host nor a line is a hot key.
+    held = documents(measured.select("host", "t1", "t2", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+                     .groupBy("host", "t1", "t2", "h").agg(F.count(F.lit(1)).alias("n")))
+    hosts = documents(measured.groupBy("host", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))).groupBy("host").agg(F.sum("n").alias("docs"))
+    often = held.groupBy("host", "h").agg(F.sum("n").alias("n")).filter(F.col("n") > MIN_DOCS)
     often = (often.withColumnRenamed("host", "host_").join(hosts, F.col("host_").eqNullSafe(F.col("host")))
-             .filter(F.col("n") > SHARE * F.col("texts")).select("host_", F.col("h").alias("h_")))
+             .filter(F.col("n") > SHARE * F.col("docs")).select("host_", F.col("h").alias("h_")))
     lost = (own.join(often, F.col("host").eqNullSafe(F.col("host_")) & (F.col("x.h") == F.col("h_")))
             .select("host", "t1", "t2", "doc_id", "x.w")
             .groupBy("doc_id", "host", "t1", "t2").agg(F.sum("w").alias("sum"), F.count(F.lit(1)).alias("k")))
     # Rows that repeat are summed together above: take each row's share.
-    many = measured.groupBy("doc_id", "host", "t1", "t2").agg(F.count(F.lit(1)).alias("same")).filter("same > 1")
     lost = lost.alias("l").join(many.alias("m"), F.expr("l.doc_id <=> m.doc_id and l.host <=> m.host and l.t1 = m.t1 and l.t2 = m.t2"), "left") \
         .select("l.doc_id", "l.host", "l.t1", "l.t2", F.floor(F.col("l.sum") / F.coalesce("m.same", F.lit(1))).cast("long").alias("common"))
     out = measured.drop("lines").alias("a").join(lost.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.host <=> b.host and a.t1 = b.t1 and a.t2 = b.t2"), "left")
@@ -98,9 +110,9 @@ ln AS (SELECT doc_id, source, text, x, regexp_replace(lower(x), '[ \\x09-\\x0D]+
               len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS k
        FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d) u),
 li AS (SELECT doc_id, source, text, x, trim(norm, ' ') AS norm, k FROM ln WHERE k > 0),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
 often AS (SELECT li.source, norm FROM li JOIN hosts ON li.source IS NOT DISTINCT FROM hosts.source
-          GROUP BY li.source, norm, texts HAVING count(DISTINCT text) > {MIN_TEXTS} AND count(DISTINCT text) > {SHARE} * texts),
+          GROUP BY li.source, norm, docs HAVING count(DISTINCT doc_id) > {MIN_DOCS} AND count(DISTINCT doc_id) > {SHARE} * docs),
 lost AS (SELECT doc_id, sum(k) AS common FROM li JOIN often ON li.source IS NOT DISTINCT FROM often.source AND li.norm = often.norm GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM li GROUP BY doc_id),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
