@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from typing import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ from stagecraft.llm import common as C
 
 #: Labelled rows to learn from, at most about this many (chosen by a hash of the id).
 SAMPLE = 20_000
-#: Most terms of a lexicon, and of the candidates that are counted.
-MAX_TERMS, MAX_CANDIDATES = 5_000, 50_000
 #: Toxic documents that a term must stand in, and its least weight.
 MIN_DOCS, MIN_WEIGHT = 5, 1.0
 PREFIXES = range(4, 9)
@@ -133,28 +133,21 @@ def learn(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", tex
         return empty
 
     def present(batches):
-        for b in batches:
-            n: Counter = Counter()
-            for text in b["text"]:
-                n.update(_doc_terms(text).keys())
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())}, columns=["term", "n"])
-
-    toxic = first.filter("y = 1").select("text").mapInPandas(present, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    candidates = {r.term: r.n for r in toxic.filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    shared = spark.sparkContext.broadcast(frozenset(candidates))
-
-    def clean(batches):
-        for b in batches:
-            n: Counter = Counter()
-            for text in b["text"]:
-                n.update(shared.value & _doc_terms(text).keys())
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())}, columns=["term", "n"])
-
-    other = {r.term: r.n for r in first.filter("y = 0").select("text").mapInPandas(clean, "term string, n long")
-             .groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    weight = {t: math.log((n + 0.5) / (size[1] + 1)) - math.log((other.get(t, 0) + 0.5) / (size[0] + 1)) for t, n in candidates.items()}
-    best = sorted((t for t, w in weight.items() if w >= MIN_WEIGHT), key=lambda t: (-weight[t] * candidates[t], t))[:MAX_TERMS]
-    lexicon = {t: weight[t] for t in best}
+        """(term, toxic documents, clean documents) that have it, added up per batch."""
+        for batch in batches:
+            n: dict[str, list[int]] = {}
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                for t in _doc_terms(text):
+                    n.setdefault(t, [0, 0])[y == 1] += 1
+            counts = np.array(list(n.values()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(counts[:, 1]), pa.array(counts[:, 0])],
+                                             names=["term", "toxic", "clean"])
+
+    # The sample bounds the terms: those of MIN_DOCS toxic documents of it.
+    terms = (first.select("y", "text").mapInArrow(C.released(present), "term string, toxic long, clean long")
+             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= MIN_DOCS))
+    weight = {r.term: math.log((r.toxic + 0.5) / (size[1] + 1)) - math.log((r.clean + 0.5) / (size[0] + 1)) for r in terms.collect()}
+    lexicon = {t: w for t, w in sorted(weight.items()) if w >= MIN_WEIGHT}
     raw = rows.filter(~F.col("first")).select("y", _raw(spark, lexicon)("text").alias("r")).select("y", "r.*").toPandas()
     if raw["y"].nunique() < 2:
         raw = rows.select("y", _raw(spark, lexicon)("text").alias("r")).select("y", "r.*").toPandas()
@@ -164,26 +157,26 @@ def learn(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", tex
 
 def _raw(spark, lexicon: dict[str, float]):
     shared = spark.sparkContext.broadcast(lexicon)
-    made = []
 
     @F.pandas_udf("raw double, n long")
-    def raw(text: pd.Series) -> pd.DataFrame:
-        if not made:
-            C.forget()
-            made.append(automaton(shared.value))
-        return pd.DataFrame([raw_score(made[0], t) for t in text], columns=["raw", "n"])
+    def raw(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        terms = automaton(shared.value)
+        for text in parts:
+            yield pd.DataFrame([raw_score(terms, t) for t in text], columns=["raw", "n"])
+        C.forget()
 
     return raw
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` and ``toxic_score`` (0 to 1).  Null and empty texts have no match
-    and get the curve's value there."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
+    """``docs`` and a column ``name`` (0 to 1), which must not be there yet.  Null and
+    empty texts have no match and get the curve's value there."""
     b = model["curve"]
-    r = _raw(docs.sparkSession, model["lexicon"])(F.col(text_col))
-    raw, n = F.col("__r.raw"), F.col("__r.n")
+    r, = C.fresh(docs, "raw")
+    raw, n = F.col(f"{r}.raw"), F.col(f"{r}.n")
     z = F.lit(b[0]) + b[1] * F.log1p(raw) + b[2] * F.log1p(100 * raw / (n + 20))
-    return docs.withColumn("__r", r).withColumn("toxic_score", 1 / (1 + F.exp(-z))).drop("__r")
+    found = docs.withColumn(r, _raw(docs.sparkSession, model["lexicon"])(F.col(text_col)))
+    return found.withColumn(name, 1 / (1 + F.exp(-z))).drop(r)
 
 
 def crc_fold(column, folds: int):
@@ -203,4 +196,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those that score at or above ``threshold``."""
     model = learn(docs, labels, lambda c: crc_fold(c, 5) != 0)
-    return score(docs, model).filter(F.col("toxic_score") < threshold).select(*docs.columns)
+    name, = C.fresh(docs, "toxic_score")
+    return score(docs, model, name=name).filter(F.col(name) < threshold).select(*docs.columns)
