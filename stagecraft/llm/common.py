@@ -190,6 +190,17 @@ def released(run: Callable) -> Callable:
     return task
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that no column of ``df`` has in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -223,13 +234,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def own_rows(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
-    """(doc, sub, text), or with ``keep`` all columns and (doc, sub): the documents
+def own_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, str] | None = None) -> DataFrame:
+    """(doc, sub, text), or all columns and (doc, sub) under the names ``keep``: the documents
     are ordered by (doc, sub).  Rows that repeat an id and its text are one
     document (``sub`` is the text's hash), other texts of the id are others.  A row
     without id is a document of its own; these rows are numbered and written."""
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
-    doc, sub = ("__doc", "__sub") if keep else ("doc", "sub")
+    doc, sub = keep or ("doc", "sub")
 
     def rows(own, number):
         return own.select(*([F.col(f"`{c}`") for c in own.columns] if keep else []),

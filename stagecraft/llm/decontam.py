@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,7 +243,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     autos = automata(benchmark, "item_id", "text")
 
     @F.pandas_udf("string")
-    def clean(text):
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from stagecraft.llm.repeats import covered
         from stagecraft.llm.substring import cut_words
 
@@ -262,10 +264,13 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
             if sum(e - s for s, e in cut) > coverage * len(h):
                 return None
             return cut_words(raw, starts, ends, cut).decode()
-        return text.map(one)
+        for text in parts:
+            yield text.map(one)
+        C.forget()
 
-    out = docs.withColumn("__text", clean(F.col(text_col))).filter(F.col("__text").isNotNull() | F.col(text_col).isNull())
+    left, = C.fresh(docs, "left")
+    out = docs.withColumn(left, clean(F.col(text_col))).filter(F.col(left).isNotNull() | F.col(text_col).isNull())
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__text") == F.col(text_col), F.col(length_col))
-                             .otherwise(F.length("__text")).cast(docs.schema[length_col].dataType))
-    return out.withColumn(text_col, F.col("__text")).select(*docs.columns)
+        out = out.withColumn(length_col, F.when(F.col(left) == F.col(text_col), F.col(length_col))
+                             .otherwise(F.length(left)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.col(left)).select(*docs.columns)

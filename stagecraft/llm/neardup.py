@@ -233,6 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component."""
-    go = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(go, docs[id_col].cast("long") == F.col("__doc"), "left_anti")
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Rows are numbered and written first, and grouped by number: rows without id, and
+    rows that repeat an id, are documents like others (no id comes after all ids,
+    equal ids in their written order)."""
+    row, first = C.fresh(docs, "row", "first")
+    rows = C.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    # Only rows of groups of two or more are looked at again.
+    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    members = groups.join(many, "component_id").join(rows.select(row, F.col(f"`{id_col}`").cast("long").alias(first)), row)
+    members = C.save(members.select(row, "component_id", F.struct(F.col(first).isNull(), F.col(first), F.col(row)).alias("place")), "members")
+    best = members.groupBy("component_id").agg(F.min("place").alias("best"))
+    go = members.join(best, "component_id").filter(F.col("place") != F.col("best")).select(row)
+    return rows.join(go, row, "left_anti").select(*docs.columns)

@@ -9,8 +9,10 @@ built.  See ``repeats``.
 from __future__ import annotations
 
 import hashlib
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +78,14 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with duplicate spans cut from the text (layout of the rest kept)
     and ``length_col`` set anew; documents left without a word that had one go."""
-    rows = C.own_rows(docs, id_col, text_col, keep=True)
-    spans = duplicate_words(rows.select(F.col("__doc").alias("doc"), F.col("__sub").alias("sub"), F.col(f"`{text_col}`").cast("string").alias("text")))
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("sub").alias("__sub"), F.col("spans").alias("__spans"))
-    joined = rows.join(spans, ["__doc", "__sub"], "left")
+    doc, sub, marks = C.fresh(docs, "doc", "sub", "spans")
+    rows = C.own_rows(docs, id_col, text_col, keep=(doc, sub))
+    spans = duplicate_words(rows.select(F.col(doc).alias("doc"), F.col(sub).alias("sub"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    spans = spans.select(F.col("doc").alias(doc), F.col("sub").alias(sub), F.col("spans").alias(marks))
+    joined = rows.join(spans, [doc, sub], "left")
 
     @F.pandas_udf("string")
-    def cut(text, found):
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def one(t, f):
             if t is None or f is None or not len(f):
                 return t
@@ -90,10 +93,12 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             data = np.frombuffer(raw, np.uint8)
             starts, ends, _ = C.word_bounds(data, np.array([0, len(data)]), C.PLAIN_WORD)
             return cut_words(raw, starts, ends, R.covered(f, len(starts))).decode()
-        return text.combine(found, one)
+        for text, found in parts:
+            yield text.combine(found, one)
+        C.forget()
 
-    out = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans"))))
-    out = out.filter(F.col("__spans").isNull() | F.col(text_col).rlike(r"[^ \x09-\x0D]")).drop("__doc", "__sub", "__spans")
+    out = joined.withColumn(text_col, F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(marks))))
+    out = out.filter(F.col(marks).isNull() | F.col(text_col).rlike(r"[^ \x09-\x0D]")).drop(doc, sub, marks)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.length(text_col)).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)

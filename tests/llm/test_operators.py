@@ -233,10 +233,33 @@ def test_common_lines_deplete(spark):
     line = "subscribe to our daily letter and read more of these fine stories every day of the week " * 4
     rows = [(i, f"{line}\nown words number {i} here", "h") for i in range(40)]
     rows += [(100 + i, " ".join(f"w{i}x{k}" for k in range(60)), "h") for i in range(5)]
-    rows += [(200 + i, " ".join(f"copy{k}" for k in range(60)), "h") for i in range(40)]  # copies are no boilerplate
+    rows += [(200 + i, " ".join(f"copy{k}" for k in range(60)), "h") for i in range(40)]  # each copy is a document
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].n_common_words == 68 for i in range(40)) and not any(got[i].kept for i in range(40))
-    assert all(got[i].kept for i in got if i >= 100)
+    assert all(got[i].kept for i in got if 100 <= i < 200)
+    assert all(got[i].n_common_words == 60 and not got[i].kept for i in got if i >= 200)
+
+
+def test_common_lines_by_document(spark, odd, docs):
+    """Lines counted document by document, with rows that repeat and rows without id."""
+    rng = random.Random(9)
+    lines = [f"line {k} of the page" for k in range(12)]
+    made = [(i if i % 9 else None, "\n".join(rng.sample(lines, 3) + [f"own {rng.randrange(40)}"]), rng.choice(["h", "g", None])) for i in range(150)]
+    made += made[:30] + [(i, "Line 1  of the PAGE\nx", "rare") for i in [5] * 30 + [6]]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    for df in (frame, odd.withColumnRenamed("source", "old").withColumnRenamed("host", "source"), docs):
+        rows = [(r.doc_id, r.source, r.text or "") for r in df.collect()]
+        norm = lambda x: " ".join(PLAIN.findall(x.lower()))
+        seen, size = defaultdict(set), defaultdict(set)
+        for k, (i, host, t) in enumerate(rows):
+            own = (i, t) if i is not None else ("row", k)
+            size[host].add(own)
+            for x in t.split("\n"):
+                if PLAIN.search(x):
+                    seen[host, norm(x)].add(own)
+        common = {k for k, v in seen.items() if len(v) > 20 and len(v) > 0.01 * len(size[k[0]])}
+        want = Counter((i, sum(len(PLAIN.findall(x)) for x in t.split("\n") if (host, norm(x)) in common)) for i, host, t in rows)
+        assert Counter((r.doc_id, r.n_common_words) for r in quality.quality(df).collect()) == want
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
