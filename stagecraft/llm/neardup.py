@@ -232,19 +232,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _own_ids(docs: DataFrame, id_col: str, row: str) -> DataFrame:
+    """``docs`` and a column ``row`` that no two rows share: the id where one row
+    alone has it; rows without id, and rows that share one, are numbered above all
+    ids, or all rows are numbered if the ids leave no room there."""
+    ident = F.col(f"`{id_col}`").cast("long")
+    ids = docs.select(ident.alias("i"))
+    shared = C.save(ids.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or i is null").select("i"), "shared-ids")
+    top = ids.agg(F.max("i")).first()[0] or 0
+    if top >= 1 << 62:
+        return C.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    if shared.isEmpty():
+        return docs.withColumn(row, ident)
+    other, = C.fresh(docs, "shared")
+    marked = docs.join(shared.filter("i is not null").select(F.col("i").alias(other)), ident == F.col(other), "left")
+    number = F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()
+    return C.save(marked.withColumn(row, F.when(ident.isNull() | F.col(other).isNotNull(), number).otherwise(ident)).drop(other), "rows")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Rows are numbered and written first, and grouped by number: rows without id, and
-    rows that repeat an id, are documents like others (no id comes after all ids,
-    equal ids in their written order)."""
-    row, first = C.fresh(docs, "row", "first")
-    rows = C.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
-    # Only rows of groups of two or more are looked at again.
-    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    members = groups.join(many, "component_id").join(rows.select(row, F.col(f"`{id_col}`").cast("long").alias(first)), row)
-    members = C.save(members.select(row, "component_id", F.struct(F.col(first).isNull(), F.col(first), F.col(row)).alias("place")), "members")
-    best = members.groupBy("component_id").agg(F.min("place").alias("best"))
-    go = members.join(best, "component_id").filter(F.col("place") != F.col("best")).select(row)
+    Rows without id, and rows that repeat an id, are documents of their own; they
+    come after the other rows, in their written order."""
+    row, = C.fresh(docs, "row")
+    rows = _own_ids(docs, id_col, row)
+    go = near_duplicates(rows, row, text_col).filter("not kept").select(F.col("doc_id").alias(row))
     return rows.join(go, row, "left_anti").select(*docs.columns)

@@ -23,13 +23,15 @@ def test_one_document_of_each_group_stays(spark):
     rng = random.Random(1)
     a, b, c, d, top = (words(rng, 30) for _ in range(5))
     near = c.rsplit(" ", 1)[0] + " other"
-    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (7, near), (4, d), (4, d), (None, None), (None, ""), (9, None), ((1 << 63) - 1, top), (3, top)]
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (7, near), (4, d), (4, d), (None, None), (None, ""), (9, None), (30, top), (3, top)]
     got = neardup.drop_near_duplicates(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
         [(1, a), (2, b), (7, near), (4, d), (None, None), (None, ""), (9, None), (3, top)], key=str)
     assert got[0].asDict().keys() == {"doc_id", "text", "n_chars", *CLASH}
     assert all(r[k] == v for r in got for k, v in CLASH.items())
     assert neardup.drop_near_duplicates(frame(spark, rows).limit(0)).collect() == []
+    got = neardup.drop_near_duplicates(frame(spark, [((1 << 63) - 1, a), (-5, a), (1, b), (1, b), (None, c), (-(1 << 63), d)])).collect()
+    assert sorted(r.text for r in got) == sorted([a, b, c, d])
 
 
 def test_stages_keep_columns_of_any_name(spark):
