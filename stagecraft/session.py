@@ -87,7 +87,22 @@ def materialize(df, tag: str = "t", with_count: bool = False):
         df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path), int(obs.get["n"])
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_once(df, tag: str = "t"):
+    """(``materialize``, the folder written), for tables that ``remove`` deletes again."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stagecraft-mat/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote and no result reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def size_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20,

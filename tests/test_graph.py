@@ -92,3 +92,70 @@ def test_long_chain(spark):
                                   "graph_id long, source string, target string, epos int")
     lv = {r.id: r.level for r in GR.topological_levels(nodes, edges).collect()}
     assert lv == {f"n{i:02d}": i for i in range(n)}
+
+
+def _by_both(nodes, edges):
+    """Levels and unpeeled nodes, by whole graphs and by the level log."""
+    out = []
+    for whole in (GR.WHOLE, 0):
+        levels, never = GR._kahn(nodes, edges, carry=["pos"], whole=whole)
+        out.append(({(r.graph_id, r.id): (r.level, r.pos) for r in levels.collect()}, {(r.graph_id, r.id) for r in never.collect()}))
+    return out
+
+
+def test_whole_graphs_and_level_log_agree(spark, monkeypatch):
+    nodes, edges = _frames(spark)
+    monkeypatch.setattr(GR, "HUB", 2)
+    monkeypatch.setattr(GR, "TOGETHER", 3)
+    one, two = _by_both(nodes, edges)
+    assert one == two and one[1] == {(6, "b"), (6, "c"), (6, "d"), (7, "b")}
+    import random
+    rng = random.Random(4)
+    made = [(g, f"n{i}", i, "stage", "S") for g in (1, 2, None, 5) for i in range(40) if g is not None]
+    links = [(g, f"n{a}", f"n{b}", 0) for g in (1, 2, 5, 9) for a, b in ((rng.randrange(45), rng.randrange(45)) for _ in range(90)) if a < b or rng.random() < 0.01]
+    nodes = spark.createDataFrame(made + made[:5], "graph_id long, id string, pos int, type string, label string").repartition(5)
+    edges = spark.createDataFrame(links, "graph_id long, source string, target string, epos int").repartition(3)
+    one, two = _by_both(nodes, edges)
+    assert one == two and len(one[0]) + len(one[1]) == 120
+    want = {}
+    for g in (1, 2, 5):  # longest paths by relaxing, counted only where all sources are reached
+        inn = {f"n{i}": [a for gg, a, b, _ in links if gg == g and b == f"n{i}"] for i in range(40)}
+        left = dict(inn)
+        while True:
+            ready = [n for n, src in left.items() if all((g, a) in want for a in src)]
+            if not ready:
+                break
+            for n in ready:
+                want[g, n] = max((want[g, a] + 1 for a in left.pop(n)), default=0)
+    assert {k: v[0] for k, v in one[0].items()} == want
+
+
+def test_level_log_writes_a_row_per_edge_and_leaves_no_table(spark, monkeypatch):
+    from stagecraft import session
+    n, wrote = 40, []
+    write_once = session.write_once
+
+    def counted(df, tag):
+        out, path = write_once(df, tag)
+        wrote.append((tag, out.count(), path))
+        return out, path
+
+    monkeypatch.setattr(session, "write_once", counted)
+    nodes = spark.createDataFrame([(1, f"n{i}", i) for i in range(n)], "graph_id long, id string, pos int")
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(n - 1)], "graph_id long, source string, target string")
+    levels, never = GR._kahn(nodes, edges, whole=10)
+    assert {r.id: r.level for r in levels.collect()} == {f"n{i}": i for i in range(n)} and never.isEmpty()
+    assert sum(k for tag, k, _ in wrote if tag == "t1_log") == n - 1
+    import os
+    assert not any(os.path.exists(path.replace("file:", "")) for _, _, path in wrote)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stagecraft_t1")]
+
+
+def test_hub_edges_take_several_keys(spark, monkeypatch):
+    monkeypatch.setattr(GR, "HUB", 100)
+    nodes = spark.createDataFrame([(1, "hub", 0)] + [(1, f"n{i}", i) for i in range(1000)], "graph_id long, id string, pos int")
+    edges = spark.createDataFrame([(1, "hub", f"n{i}") for i in range(1000)], "graph_id long, source string, target string")
+    done, drop = GR._kahn_log(nodes, edges, [])
+    links = spark.read.parquet(next(p for p in drop if "t1_edges" in p))
+    assert links.select("salt").distinct().count() == 10
+    assert done.groupBy("level").count().orderBy("level").collect() == [(0, 1), (1, 1000)]
