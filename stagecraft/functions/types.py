@@ -68,6 +68,11 @@ def normalize_type(c: Column | str) -> Column:
     return F.struct(type_name(c).alias("name"), is_valid_type(c).alias("valid"))
 
 
+def type_base(declared: str) -> str:
+    """The declared type's name without its brackets, in upper case."""
+    return declared.strip().upper().split("(")[0].strip()
+
+
 def spark_type(declared: str) -> str:
     """Spark SQL type for a declared type string (driver-side, for schemas)."""
     s = declared.strip().upper()

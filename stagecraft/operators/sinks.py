@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecraft.functions.scalars import DEFAULT_COLUMNS
-from stagecraft.functions.types import IDENTIFIER, spark_type
+from stagecraft.functions.types import IDENTIFIER, SPARK_TYPES, spark_type, type_base
 
 import re
 
@@ -34,16 +34,42 @@ def _to_type(c: Column, t: str) -> Column:
         # JSON text becomes its value; other text becomes a JSON string value.
         return F.coalesce(F.try_parse_json(c.cast("string")),
                           F.try_variant_get(F.parse_json(F.to_json(F.array(c.cast("string")))), "$[0]", "variant"))
-    return c.cast(t)
+    text = c.cast("string")
+    if t == SPARK_TYPES["TIMESTAMP_TZ"]:
+        # The instant, and the offset it was written with (the session's zone without one).
+        zone = F.regexp_extract(text, ZONE, 1)
+        zone = F.when(zone == "", F.current_timezone()).when(F.upper(zone) == "Z", "+00:00").otherwise(
+            F.regexp_replace(F.regexp_replace(zone, "^UTC|^GMT", ""), r"^([+-])(\d\d):?(\d\d)?$", "$1$2:$3"))
+        zone = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
+        return F.when(c.isNotNull(), F.struct(text.cast("timestamp").alias("ts"), zone.alias("tz")))
+    if t in (SPARK_TYPES["OBJECT"], SPARK_TYPES["ARRAY"]):
+        return F.parse_json(text).cast(t)
+    if t == TIME:
+        parts = F.regexp_extract(F.trim(text), CLOCK, 0)
+        whole = F.when(F.length(parts) == 5, F.concat(parts, F.lit(":00"))).otherwise(parts)
+        return F.when(c.isNull(), None).when(parts == "", F.raise_error(F.concat(F.lit("no time of day: "), text))).otherwise(whole)
+    return c.cast("string" if t.startswith(("varchar", "char")) else t)
+
+
+#: A time of day stays text (Spark's own type for it is off by default), checked and
+#: with seconds; a declared TIME is told from plain text by its name.
+TIME = "time"
+CLOCK = r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?$"
+ZONE = r"\d\d:\d\d(?::\d\d(?:\.\d+)?)?\s*(Z|z|(?:UTC|GMT)?[+-]\d\d(?::?\d\d)?)$"
+
+
+def _declared_type(declared: str) -> str:
+    return TIME if type_base(declared) == "TIME" else spark_type(declared)
 
 
 def apply_schema(df: DataFrame, columns, source_names: Sequence[str] | None = None) -> DataFrame:
     """K1 (data side): project ``df`` onto the declared columns, casting each
-    (ANSI casts: a bad value fails the job).  ``source_names`` maps declared
+    (ANSI casts: a bad value, or a null in a NOT NULL column, fails the job).  ``source_names`` maps declared
     columns to input columns by position (default: same names)."""
     cols = _cols(columns)
     src = list(source_names) if source_names else [c["name"] for c in cols]
-    return df.select(*[_to_type(F.col(s), spark_type(c["type"])).alias(c["name"]) for s, c in zip(src, cols)])
+    out = df.select(*[_to_type(F.col(s), _declared_type(c["type"])).alias(c["name"]) for s, c in zip(src, cols)])
+    return enforce_not_null(out, [c["name"] for c in cols if not c["nullable"]])
 
 
 def violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,6 +90,10 @@ def enforce_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+#: Table property that names the NOT NULL columns, which plain Parquet tables do not keep.
+NOT_NULL = "stagecraft.not_null"
+
+
 def create_table(spark: SparkSession, name: str, columns, comment: str | None = None,
                  if_not_exists: bool = False, location: str | None = None) -> None:
     """K1/K2 (catalog side): CREATE TABLE with checked names and types.
@@ -81,6 +111,9 @@ def create_table(spark: SparkSession, name: str, columns, comment: str | None =
     sql = f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{name} ({defs}) USING parquet"
     if location:
         sql += " LOCATION '" + location.replace("'", "\\'") + "'"
+    needed = [c["name"] for c in cols if not c["nullable"]]
+    if needed:
+        sql += f" TBLPROPERTIES ('{NOT_NULL}' = '{','.join(needed)}')"
     if comment:
         sql += " COMMENT " + "'" + comment.replace("\\", "\\\\").replace("'", "\\'") + "'"
     spark.sql(sql)
@@ -93,7 +126,7 @@ def ensure_table(spark: SparkSession, name: str, columns=None, location: str | N
 
 def append_into(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> None:
     """K3: INSERT INTO table (cols) SELECT ... -- by name, cast to the table's
-    types.  Every call appends again (the reference re-reads the whole stage
+    types; a null in a column declared NOT NULL fails the write.  Every call appends again (the reference re-reads the whole stage
     each run, so rows repeat); K4 is the exactly-once form."""
     spark = df.sparkSession
     target = spark.table(table)
@@ -103,7 +136,9 @@ def append_into(df: DataFrame, table: str, columns: Sequence[str] | None = None)
     for n in target.columns:
         if n not in names:
             out = out.withColumn(n, F.lit(None).cast(types[n]))
-    out.select(*target.columns).write.insertInto(table)
+    properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    needed = [n for n in properties.get(NOT_NULL, "").split(",") if n]
+    enforce_not_null(out.select(*target.columns), needed).write.insertInto(table)
 
 
 def append_new(df: DataFrame, table: str, key: str = "FILE_NAME") -> None:

@@ -1011,6 +1011,111 @@ def q_rename_column(spark, sf_dir):
     return SK.rename_column(load(spark, sf_dir, "customer"), "c_name", "customer_name")
 
 
+from stagecraft.operators import versions as VS  # noqa: E402
+
+CUSTOMER_COLUMNS = [("c_custkey", "BIGINT", False), ("c_name", "VARCHAR(40)"), ("c_nationkey", "INT"), ("c_acctbal", "DOUBLE"),
+                    ("c_mktsegment", "TEXT", False)]
+
+
+def _stored_customer(spark, sf_dir, tag: str) -> tuple[DataFrame, str]:
+    """customer as a stored table: version 1 is empty, version 2 has its rows."""
+    _, root = _scratch(spark, tag)
+    VS.create_stored(spark, root, CUSTOMER_COLUMNS)
+    c = load(spark, sf_dir, "customer")
+    VS.write_stored(c, root)
+    return c, root
+
+
+@query("stored_add_column", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, 7::INT AS c_rating, NULL::VARCHAR AS c_note FROM customer
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, c_nationkey::INT, 'again' FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+def q_stored_add_column(spark, sf_dir):
+    c, root = _stored_customer(spark, sf_dir, "a1")
+    VS.add_stored_column(spark, root, "c_rating", "INT", nullable=False, default=7)
+    VS.add_stored_column(spark, root, "c_note", "TEXT")
+    VS.write_stored(c.filter("c_mktsegment = 'BUILDING'").withColumns({"c_rating": F.col("c_nationkey"), "C_NOTE": F.lit("again")}), root)
+    return VS.read_stored(spark, root)
+
+
+@query("stored_drop_column", """
+SELECT c_custkey, c_name, c_nationkey, c_mktsegment, NULL::VARCHAR AS c_acctbal FROM customer
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_mktsegment, 'new' FROM customer WHERE c_acctbal < 0
+""")
+def q_stored_drop_column(spark, sf_dir):
+    c, root = _stored_customer(spark, sf_dir, "a2")
+    VS.drop_stored_column(spark, root, "c_acctbal")
+    VS.add_stored_column(spark, root, "c_acctbal", "TEXT")     # the dropped values do not come back
+    VS.write_stored(c.filter("c_acctbal < 0").withColumn("c_acctbal", F.lit("new")), root)
+    return VS.read_stored(spark, root)
+
+
+@query("stored_rename_column", """
+SELECT c_custkey, c_name AS customer_name, c_nationkey, c_acctbal, c_mktsegment, 'now' AS version FROM customer
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, 'before' FROM customer
+""")
+def q_stored_rename_column(spark, sf_dir):
+    _, root = _stored_customer(spark, sf_dir, "a3")
+    VS.rename_stored_column(spark, root, "c_name", "customer_name")
+    now, before = VS.read_stored(spark, root), VS.read_stored(spark, root, version=2)
+    return now.withColumn("version", F.lit("now")).unionAll(before.withColumn("version", F.lit("before")))
+
+
+@query("stored_not_null", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, true AS refused FROM customer
+""")
+def q_stored_not_null(spark, sf_dir):
+    """A write with nulls in a NOT NULL column fails as a whole; the version before stays."""
+    c, root = _stored_customer(spark, sf_dir, "k1")
+    bad = c.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("AUTOMOBILE")))
+    refused = False
+    try:
+        VS.write_stored(bad, root)
+    except Exception as e:  # noqa: BLE001 - what the write's job raises
+        refused = "NOT NULL" in str(e)
+    return VS.read_stored(spark, root).withColumn("refused", F.lit(refused))
+
+
+# Text columns derived from events, and the type each is declared with.
+TYPED = [("id", "NUMBER(12,0)", False), ("amount", "DECIMAL(10,2)"), ("big", "BIGINT"), ("small", "SMALLINT"), ("tiny", "TINYINT"),
+         ("whole", "INTEGER"), ("ratio", "FLOAT"), ("flag", "BOOLEAN"), ("day", "DATE"), ("clock", "TIME"), ("at", "TIMESTAMP"),
+         ("at_tz", "TIMESTAMP_TZ"), ("doc", "VARIANT"), ("obj", "OBJECT"), ("list", "ARRAY"), ("name", "VARCHAR(20)"), ("code", "CHARACTER"),
+         ("raw", "VARBINARY")]
+
+
+@query("declared_types", """
+SELECT event_id::DECIMAL(12,0) AS id, value::DECIMAL(10,2) AS amount, event_id::BIGINT AS big, (user_id % 1000)::SMALLINT AS small,
+       (user_id % 100)::TINYINT AS tiny, user_id::INTEGER AS whole, value::DOUBLE AS ratio, event_type = 'click' AS flag, ts::DATE AS day,
+       strftime(ts, '%H:%M:%S') AS clock, date_trunc('second', ts) AS at, date_trunc('second', ts) - INTERVAL 2 HOUR AS at_utc, '+02:00' AS at_zone,
+       '{"k":' || (user_id % 7)::VARCHAR || '}' AS doc, '{"a":1,"u":' || user_id::VARCHAR || '}' AS obj, '[' || user_id::VARCHAR || ',"x"]' AS list,
+       event_type AS name, event_type AS code, hex(event_type) AS raw
+FROM events
+""")
+def q_declared_types(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    second = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    user = F.col("user_id").cast("string")
+    text = e.select(F.col("event_id").cast("string").alias("id"), F.col("value").cast("string").alias("amount"),
+                    F.concat(F.lit(" "), F.col("event_id").cast("string")).alias("big"), (F.col("user_id") % 1000).cast("string").alias("small"),
+                    (F.col("user_id") % 100).cast("string").alias("tiny"), user.alias("whole"), F.col("value").cast("string").alias("ratio"),
+                    F.when(F.col("event_type") == "click", "true").otherwise("false").alias("flag"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                    F.date_format("ts", "HH:mm:ss").alias("clock"), second.alias("at"), F.concat(second, F.lit("+02:00")).alias("at_tz"),
+                    F.concat(F.lit('{"k": '), (F.col("user_id") % 7).cast("string"), F.lit("}")).alias("doc"),
+                    F.concat(F.lit('{"u": '), user, F.lit(', "a": 1}')).alias("obj"), F.concat(F.lit("["), user, F.lit(', "x"]')).alias("list"),
+                    F.col("event_type").alias("name"), F.col("event_type").alias("code"), F.col("event_type").alias("raw"))
+    _, root = _scratch(spark, "types")
+    VS.create_stored(spark, root, TYPED)
+    VS.write_stored(text, root)
+    out = VS.read_stored(spark, root)
+    return out.select("id", "amount", "big", "small", "tiny", "whole", "ratio", "flag", "day", "clock", "at",
+                      F.col("at_tz.ts").cast("timestamp_ntz").alias("at_utc"), F.col("at_tz.tz").alias("at_zone"), F.to_json("doc").alias("doc"),
+                      F.to_json(F.map_from_entries(F.array_sort(F.map_entries("obj"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))).alias("obj"),
+                      F.to_json("list").alias("list"), "name", "code", F.hex("raw").alias("raw"))
+
+
 # ---------------------------------------------------------------------------
 # ST1-ST8: change tracking, stage streams, schedules
 # ---------------------------------------------------------------------------
