@@ -92,6 +92,46 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, distinct: bool = False
     return df.select(F.col(id_col), F.explode_outer(arr).alias("token")).filter(F.col("token").isNotNull())
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def token_counts(arr: Column) -> Column:
+    """ARRAY<STRUCT<token, tf>> of a row's tokens: sorted, then counted by the
+    starts of their runs.  Row-local: no shuffle brings a row's tokens together."""
+    def runs(s):
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return _once(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i - 1).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("tf"))))
+
+    return F.when(F.size(arr) > 0, _once(F.sort_array(arr), runs)).otherwise(F.array().cast("array<struct<token:string,tf:int>>"))
+
+
+def token_index(df: DataFrame, id_col: str, text_col: str, vocabulary: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """((id, token, tf), rows of ``df``): the inverted index of a corpus, written once.
+
+    One scan tokenises; all who need counts, document frequencies or a document's
+    tokens read the index.  Each token of a row is one index row; a row without
+    tokens has one with a null token.  ``vocabulary`` (from a call's configuration)
+    keeps only its tokens, before they become rows."""
+    from pyspark.sql import Observation
+    obs = Observation()
+    arr = tokens(text_col)
+    if vocabulary is not None:
+        words = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
+        arr = F.filter(arr, lambda t: F.array_contains(words, t))
+    seen = df.observe(obs, F.count(F.lit(1)).alias("n"))
+    rows = materialize(seen.select(F.col(id_col), F.inline_outer(token_counts(arr))), "index")
+    return rows, int(obs.get["n"])
+
+
+def index_frequency(index: DataFrame, n_docs: int) -> DataFrame:
+    """(token, df, idf) from ``token_index``."""
+    return (index.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+                 .withColumn("idf", F.log((F.lit(1) + F.lit(n_docs)) / (F.lit(1) + F.col("df"))) + F.lit(1.0)))
+
+
 def document_frequency(df: DataFrame, id_col: str, text_col: str,
                        vocabulary: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """(token, df, idf) over the corpus ``df``.
@@ -286,21 +326,27 @@ def answer_sentence(df: DataFrame, id_col: str, text_col: str, questions: Sequen
     vocabulary before the explode, so only matching tokens become rows.
     ``idf`` (token, idf) replaces the weights of ``df`` itself, e.g. for a batch
     of a stream, whose answers must not depend on the batch."""
+    from pyspark.sql import Observation
     spark = df.sparkSession
     questions = list(dict.fromkeys(questions))
     q = spark.createDataFrame([(i, s) for i, s in enumerate(questions)], "q_ord int, question string")
     q_tokens = q.select("question", F.explode(F.array_distinct(tokens("question"))).alias("token"))
     vocab = config_tokens(q, "question")
+    lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
+    # One scan: sentences that hold a question token, written with the row they are
+    # of, give both the document frequencies and the scores.
+    obs = Observation()
+    seen = df.observe(obs, F.count(F.lit(1)).alias("n")).withColumn("__row", F.monotonically_increasing_id())
+    sent = (seen.select("__row", F.col(id_col), F.posexplode_outer(sentence_array(text_col)).alias("pos", "raw"))
+                .select("__row", id_col, "pos", F.trim("raw").alias("sentence")).filter(F.col("sentence") != ""))
+    st = materialize(sent.select("__row", id_col, "pos", "sentence",
+                                 F.explode_outer(F.array_intersect(tokens("sentence"), lit_vocab)).alias("token"))
+                         .filter(F.col("token").isNotNull()), "x4_tokens")
     if idf is None:
-        idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
+        idf = index_frequency(st.select("__row", "token").distinct(), int(obs.get["n"]))
     # At most one row per question and token.  Written first, so the planner knows
     # its size and joins by its own threshold.
     weights = materialize(q_tokens.join(idf.select("token", "idf"), "token"), "x4")
-    lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
-    sent = sentences(df, id_col, text_col)
-    st = (sent.select(id_col, "pos", "sentence",
-                      F.explode_outer(F.array_intersect(tokens("sentence"), lit_vocab)).alias("token"))
-              .filter(F.col("token").isNotNull()))
     scored = (st.join(weights, "token")
                 .groupBy(id_col, "pos", "question")
                 .agg(F.sum("idf").alias("score"), F.any_value("sentence").alias("sentence")))
@@ -334,16 +380,13 @@ def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str
     cfg = spark.createDataFrame(rows, "c_ord int, category string, seed string")
     seed_tokens = cfg.select("c_ord", "category", F.explode(tokens("seed")).alias("token")).distinct()
     vocab = config_tokens(cfg, "seed")
+    # One scan: only seed tokens become rows; they give both counts.
+    tf, n_docs = token_index(df, id_col, text_col, vocab)
+    tf = tf.filter(F.col("token").isNotNull())
     if idf is None:
-        idf = document_frequency(df, id_col, text_col, vocabulary=vocab)
+        idf = index_frequency(tf, n_docs)
     # At most one row per category and seed token, written first as in X4.
     weights = materialize(seed_tokens.join(idf.select("token", "idf"), "token"), "x5")
-    lit_vocab = F.array(*[F.lit(t) for t in vocab]) if vocab else F.array().cast("array<string>")
-    # Only seed-token occurrences become rows (filtered inside the array).
-    seed_occ = F.filter(tokens(text_col), lambda t: F.array_contains(lit_vocab, t))
-    tf = (df.select(F.col(id_col), F.explode_outer(seed_occ).alias("token"))
-            .filter(F.col("token").isNotNull())
-            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
     per_cat = (tf.join(weights, "token")
                  .groupBy(id_col, "c_ord", "category")
                  .agg(F.sum(F.col("tf") * F.col("idf")).alias("score")))
@@ -357,22 +400,23 @@ def classify(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str
 # ---------------------------------------------------------------------------
 # Trained classification (multinomial naive Bayes)
 # ---------------------------------------------------------------------------
-def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, index: DataFrame | None = None) -> DataFrame:
     """Multinomial naive Bayes with Laplace smoothing (McCallum & Nigam 1998).
 
     Returns the model as a table ``(token, lp0, lp1)`` of log P(token | class),
     plus the class priors in columns ``prior0, prior1`` (same on every row).
     Counting is a grouped aggregate on (token): pre-aggregated per partition,
-    so frequent tokens do not skew the shuffle.
+    so frequent tokens do not skew the shuffle.  The counts are written, since
+    the totals and the model's rows both read them.  ``index`` is the table of
+    ``token_index`` over ``docs``; without it the labelled documents get their own.
     """
     lab = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y"))
-    # Labels are joined per document, before tokens are exploded, so the
-    # token rows never cross the network for the label.
-    occ = (docs.select(id_col, text_col).join(lab, id_col)
-               .select("y", F.explode_outer(tokens(text_col)).alias("token"))
-               .filter(F.col("token").isNotNull()))
-    counts = occ.groupBy("token").agg(
-        F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
+    if index is None:
+        index = token_index(docs.select(id_col, text_col).join(lab.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col)[0]
+    occ = index.filter(F.col("token").isNotNull()).join(lab, id_col)
+    counts = materialize(occ.groupBy("token").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("tf")).otherwise(0)).alias("c0"),
+        F.sum(F.when(F.col("y") == 1, F.col("tf")).otherwise(0)).alias("c1")), "x6_counts")
     # One scalar subquery for the three totals, one for the two class sizes.
     tot = counts.select(F.struct(F.count(F.lit(1)).alias("v"), F.sum("c0").alias("t0"),
                                  F.sum("c1").alias("t1"))).scalar()
@@ -388,23 +432,25 @@ def fit_nb(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         F.log(n1 / (n0 + n1)).alias("prior1"))
 
 
-def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, index: DataFrame | None = None) -> DataFrame:
     """(id, label, margin): margin = log P(1|d) - log P(0|d) up to a constant.
 
     The model is written first, so it is built once and the planner knows its
     size before the join: token rows stay in place when Spark's threshold lets
     it broadcast the model, else they are shuffled (AQE splits hot tokens).  Tokens
     outside the model are ignored; a document with no known token takes the
-    larger prior (``explode_outer`` and the left join keep it).
+    larger prior (its index row without a token and the left join keep it).
+    ``index`` as in ``fit_nb``, over all of ``docs``.
     """
     model = materialize(model, "x6")
     pri = model.select(F.struct(F.first("prior0").alias("p0"), F.first("prior1").alias("p1"))).scalar()
     p0, p1 = pri.getField("p0"), pri.getField("p1")
-    occ = docs.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("token"))
-    joined = occ.join(model.select("token", "lp0", "lp1"), "token", "left")
+    if index is None:
+        index = token_index(docs, id_col, text_col)[0]
+    joined = index.join(model.select("token", "lp0", "lp1"), "token", "left")
     sums = joined.groupBy(id_col).agg(
-        F.sum(F.coalesce("lp0", F.lit(0.0))).alias("s0"),
-        F.sum(F.coalesce("lp1", F.lit(0.0))).alias("s1"))
+        F.sum(F.coalesce(F.col("tf") * F.col("lp0"), F.lit(0.0))).alias("s0"),
+        F.sum(F.coalesce(F.col("tf") * F.col("lp1"), F.lit(0.0))).alias("s1"))
     margin = (F.col("s1") + p1) - (F.col("s0") + p0)
     return sums.select(id_col, F.when(margin > 0, 1).otherwise(0).alias("label"),
                        F.round(margin, OUT_DIGITS).alias("margin"))
@@ -474,17 +520,21 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
 # Sentiment with a lexicon
 # ---------------------------------------------------------------------------
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                  bad_col: str = "toxic", min_count: int = 5, min_weight: float = 2.0) -> DataFrame:
+                  bad_col: str = "toxic", min_count: int = 5, min_weight: float = 2.0,
+                  index: DataFrame | None = None) -> DataFrame:
     """(token, weight, weight_micro).  Document-presence log-odds of good
     against bad: ln((b+.5)/(nb-b+.5)) - ln((a+.5)/(na-a+.5)), where a of na bad
     and b of nb good documents hold the token.  Tokens in fewer than
     ``min_count`` labelled documents or with |weight| < ``min_weight`` are
     dropped.  ``weight_micro`` is the weight in BIGINT millionths, so document
-    sums are exact."""
+    sums are exact.  ``index`` is the table of ``token_index`` over ``docs``."""
     lab = labels.select(F.col(id_col), F.col(bad_col).cast("int").alias("bad"))
-    pres = (docs.select(id_col, text_col).join(lab, id_col)
-                .select("bad", F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
-                .filter(F.col("token").isNotNull()))
+    if index is None:
+        pres = (docs.select(id_col, text_col).join(lab, id_col)
+                    .select("bad", F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
+                    .filter(F.col("token").isNotNull()))
+    else:
+        pres = index.filter(F.col("token").isNotNull()).select(id_col, "token").join(lab, id_col)
     counts = pres.groupBy("token").agg(F.count_if(F.col("bad") == 1).alias("a"),
                                        F.count_if(F.col("bad") == 0).alias("b"))
     cls = lab.select(F.struct(F.count_if(F.col("bad") == 1).alias("na"),
@@ -499,12 +549,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                       F.round(F.col("w") * 1_000_000).cast("bigint").alias("weight_micro"))
 
 
-def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(id, score_micro, sentiment).  Sum of lexicon weights (BIGINT
     micro-units) over the document's distinct tokens; > 0 positive, < 0
     negative, else neutral.  Every input row gets a result.  The lexicon is
-    written first, so the planner knows its size before the join."""
-    occ = df.select(F.col(id_col), F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
+    written first, so the planner knows its size before the join.  ``index`` as in
+    ``learn_lexicon``."""
+    occ = index.select(id_col, "token") if index is not None else \
+        df.select(F.col(id_col), F.explode_outer(F.array_distinct(tokens(text_col))).alias("token"))
     joined = occ.join(materialize(lexicon.select("token", "weight_micro"), "x8"), "token", "left")
     sums = joined.groupBy(id_col).agg(F.sum(F.coalesce("weight_micro", F.lit(0))).cast("bigint").alias("score_micro"))
     return sums.select(id_col, "score_micro",

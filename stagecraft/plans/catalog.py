@@ -214,8 +214,9 @@ SELECT doc_id, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS label, round(margin, 6)
 """)
 def q_classify_trained(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    model = X.fit_nb(docs, load(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    return X.predict_nb(docs, model, "doc_id", "text")
+    index, _ = X.token_index(docs, "doc_id", "text")
+    model = X.fit_nb(docs, load(spark, sf_dir, "labels"), "doc_id", "text", "toxic", index)
+    return X.predict_nb(docs, model, "doc_id", "text", index)
 
 
 LEXICON_SQL = f"""
@@ -255,7 +256,10 @@ GROUP BY s.{id_col}"""
 
 @query("sentiment", f"WITH lex AS ({LEXICON_SQL}) {_sentiment_sql('documents', 'doc_id', 'text')}")
 def q_sentiment(spark, sf_dir):
-    return X.sentiment(load(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
+    docs = load(spark, sf_dir, "documents")
+    index, _ = X.token_index(docs, "doc_id", "text")
+    lexicon = X.learn_lexicon(docs, load(spark, sf_dir, "labels"), "doc_id", "text", "toxic", index=index)
+    return X.sentiment(docs, "doc_id", "text", lexicon, index)
 
 
 @query("text_chain", f"""

@@ -126,3 +126,17 @@ def test_summarize_long_sentence(spark):
     df = spark.createDataFrame([(1, f"{long}. w1 w1 w1.")], "id long, t string")
     assert X.summarize(df, "id", "t", k=1).collect()[0]["summary"] == _py_summary(f"{long}. w1 w1 w1.", 1)
     assert X.summarize(df, "id", "t", k=2).collect()[0]["summary"] == f"{long} w1 w1 w1"
+
+
+def test_token_index_counts(spark):
+    from collections import Counter
+    texts = [(1, "a b a. B c"), (2, None), (3, ""), (4, "..."), (5, "x" ), (1, "a"), (None, "z z z")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    rows, n = X.token_index(df, "id", "text")
+    assert n == len(texts)
+    assert Counter(map(tuple, rows.collect())) == Counter([(1, "a", 2), (1, "b", 2), (1, "c", 1), (2, None, None), (3, None, None), (4, None, None),
+                                                           (5, "x", 1), (1, "a", 1), (None, "z", 3)])
+    some, _ = X.token_index(df, "id", "text", ["b", "z"])
+    assert {tuple(r) for r in some.collect() if r.token} == {(1, "b", 2), (None, "z", 3)}
+    freq = {r.token: r.df for r in X.index_frequency(rows, n).collect()}
+    assert freq == {"a": 2, "b": 1, "c": 1, "x": 1, "z": 1}
