@@ -1144,14 +1144,17 @@ def q_changes_standard(spark, sf_dir):
     return CH.changes(before, after, "o_orderkey")
 
 
-@query("changes_compact", f"""
+COMPACT_SQL = f"""
 WITH {FX.CHANGE_LOG_SQL.strip()},
 g AS (SELECT user_id, arg_min(op, seq) AS first_op, arg_max(op, seq) AS last_op, count(*) AS n_ops,
              arg_max(value, seq) AS value, arg_max(props, seq) AS props FROM change_log GROUP BY user_id),
 a AS (SELECT *, CASE WHEN first_op = 'INSERT' AND last_op = 'DELETE' THEN NULL WHEN first_op = 'INSERT' THEN 'INSERT'
                      WHEN last_op = 'DELETE' THEN 'DELETE' ELSE 'UPDATE' END AS action FROM g)
 SELECT user_id, action, n_ops, value, props FROM a WHERE action IS NOT NULL
-""")
+"""
+
+
+@query("changes_compact", COMPACT_SQL)
 def q_changes_compact(spark, sf_dir):
     return CH.compact_log(FX.change_log(spark, sf_dir), "user_id", "seq")
 
@@ -1201,6 +1204,101 @@ def q_scheduled_runs(spark, sf_dir):
 
 
 
+# Three deliveries of events, by their time.
+DELIVERIES = ("ts < TIMESTAMP '2024-01-11'", "ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'", "ts >= TIMESTAMP '2024-01-21'")
+
+
+def _deliver(spark, tag: str, deliveries: list[DataFrame], stream, output_mode: str = "append") -> str:
+    """Puts each delivery into a stage folder and runs the task over what is new;
+    returns the task's output folder."""
+    _, loc = _scratch(spark, tag)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(loc + "/in")
+        LV.consume(stream(LV.table_stream(spark, loc + "/in", rows.schema)), loc + "/out", loc + "/ckpt", output_mode=output_mode).awaitTermination()
+    return loc + "/out"
+
+
+@query("live_changes", COMPACT_SQL)
+def q_live_changes(spark, sf_dir):
+    """Three deliveries of the log; the second and third bring all earlier rows again."""
+    e = load(spark, sf_dir, "events")
+    log = FX.change_log(spark, sf_dir).join(e.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    first, second, third = (log.filter(d) for d in DELIVERIES)
+    out = _deliver(spark, "st2", [first, second.unionByName(first), third.unionByName(second).unionByName(first)],
+                   lambda s: LV.net_changes(s, "user_id", "seq", "ts", "40 days"), "update")
+    return LV.current(spark, out, "user_id")
+
+
+@query("live_inserts", "SELECT event_id, ts, user_id, event_type, 'INSERT' AS action FROM events")
+def q_live_inserts(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    first, second, third = (e.filter(d) for d in DELIVERIES)
+    out = _deliver(spark, "st3", [first, second.unionByName(first), third.unionByName(second)],
+                   lambda s: LV.inserted_rows(s, "event_id", "ts", "40 days"))
+    return spark.read.parquet(out).select("event_id", "ts", "user_id", "event_type", "action")
+
+
+@query("scheduled_runs_live", """
+SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS run_start, time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE AS run_end,
+       count(*) AS rows FROM events GROUP BY 1, 2
+""")
+def q_scheduled_runs_live(spark, sf_dir):
+    """Hourly runs in append mode, each once its hour is behind the watermark.  The
+    second delivery brings the first's clicks of the days before its last again:
+    they are behind the watermark by then, so late, and are dropped.  A closing row
+    ends the last hours."""
+    e = load(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    first, second, third = (e.filter(d) for d in DELIVERIES)
+    late = first.filter("event_type = 'click' AND ts < TIMESTAMP '2024-01-10'")
+    out = _deliver(spark, "st6", [first, second.unionByName(late), third, LV.closing_row(e, "ts", "1 DAY")],
+                   lambda s: LV.scheduled_runs(s, "ts", "60 minutes", watermark="1 hour"))
+    return spark.read.parquet(out).select(F.col("run_start").cast("timestamp_ntz").alias("run_start"),
+                                          F.col("run_end").cast("timestamp_ntz").alias("run_end"), "rows")
+
+
+def _mixed_stage(spark, sf_dir, tag: str, statuses=("F", "O", "P"), loc: str | None = None) -> tuple[str, DataFrame]:
+    """orders as a stage of Parquet (F), CSV (O) and JSON (P) files in nested folders."""
+    loc = loc or _scratch(spark, tag)[1]
+    o = load(spark, sf_dir, "orders")
+    for status in statuses:
+        rows = o.filter(F.col("o_orderstatus") == status)
+        w = rows.write.mode("append")
+        if status == "F":
+            w.parquet(f"{loc}/in/a")
+        elif status == "O":
+            w.option("header", "true").csv(f"{loc}/in/b/c")
+        else:
+            w.json(f"{loc}/in/b")
+    return loc, o
+
+
+@query("stage_read_mixed", "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')")
+def q_stage_read_mixed(spark, sf_dir):
+    loc, o = _mixed_stage(spark, sf_dir, "s3")
+    return SG.stage_read(spark, loc + "/in", "auto", schema=o.schema)
+
+
+@query("stage_rows", "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')")
+def q_stage_rows(spark, sf_dir):
+    loc, o = _mixed_stage(spark, sf_dir, "st4r")
+    LV.consume(LV.stage_rows(spark, loc + "/in", o.schema, 2), loc + "/out", loc + "/ckpt").awaitTermination()
+    return spark.read.parquet(loc + "/out").select(*o.columns)
+
+
+@query("consume_rows_once", "SELECT o_orderstatus, count(*) AS orders, sum(o_totalprice)::DECIMAL(20,2)::DOUBLE AS price FROM orders "
+                            "WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus")
+def q_consume_rows_once(spark, sf_dir):
+    """New files of each format between runs of the task, and runs without any."""
+    _, loc = _scratch(spark, "st5r")
+    o = load(spark, sf_dir, "orders")
+    for status in ("F", "O", "P", None):
+        if status:
+            _mixed_stage(spark, sf_dir, "st5r", (status,), loc)
+        LV.consume(LV.stage_rows(spark, loc + "/in", o.schema), loc + "/out", loc + "/ckpt").awaitTermination()
+    out = spark.read.parquet(loc + "/out")
+    return out.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("price"))
+
+
 def _schedule_text():
     et = F.col("event_type")
     return (F.when(et == "view", F.concat(F.floor("value").cast("bigint").cast("string"), F.lit(" MINUTE")))

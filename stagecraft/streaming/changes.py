@@ -53,6 +53,14 @@ def apply_changes(before: DataFrame, delta: DataFrame, key: str | Sequence[str])
     return before.join(dels, keys, "left_anti").unionByName(ins)
 
 
+def net_action():
+    """The net change from columns ``first_op`` and ``last_op``; null if nothing is left."""
+    return (F.when((F.col("first_op") == "INSERT") & (F.col("last_op") == "DELETE"), F.lit(None))
+             .when(F.col("first_op") == "INSERT", "INSERT")
+             .when(F.col("last_op") == "DELETE", "DELETE")
+             .otherwise("UPDATE"))
+
+
 def compact_log(log: DataFrame, key: str, seq: str, op: str = "op",
                 images: Sequence[str] | None = None) -> DataFrame:
     """ST2: the net change per key between two reads of an operation log.
@@ -66,11 +74,7 @@ def compact_log(log: DataFrame, key: str, seq: str, op: str = "op",
     g = log.groupBy(key).agg(
         F.min_by(op, seq).alias("first_op"), F.max_by(op, seq).alias("last_op"),
         F.max_by(F.struct(*imgs), seq).alias("last_img"), F.count(F.lit(1)).alias("n_ops"))
-    action = (F.when((F.col("first_op") == "INSERT") & (F.col("last_op") == "DELETE"), F.lit(None))
-               .when(F.col("first_op") == "INSERT", "INSERT")
-               .when(F.col("last_op") == "DELETE", "DELETE")
-               .otherwise("UPDATE"))
-    return (g.withColumn("action", action).filter(F.col("action").isNotNull())
+    return (g.withColumn("action", net_action()).filter(F.col("action").isNotNull())
              .select(key, "action", "n_ops", *[F.col(f"last_img.{c}").alias(c) for c in imgs]))
 
 

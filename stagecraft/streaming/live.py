@@ -10,6 +10,9 @@
 * ST6 ``scheduled_runs``: rows handled by each run of an ``N MINUTE``
   schedule = tumbling windows; live, the same grouping runs with a
   processing-time trigger and a watermark.
+* Live change sets: ``net_changes`` (ST2) and ``inserted_rows`` (ST3) keep keyed
+  state, so rows that are delivered again count once; both drop rows older than
+  the watermark.
 * ST7 ``parse_schedule``: ``N MINUTE`` -> interval; ``USING CRON ...`` kept.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagecraft.sources.stage import _base, relative
+from stagecraft.sources.stage import EXTENSIONS, _any_case, _base, relative
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -40,6 +43,65 @@ def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
                      F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
 
 
+def stage_rows(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST4 over rows: the rows of new CSV (with a header), JSON and Parquet files
+    anywhere below a stage, each file read by its extension, all with one ``schema``.
+    A stream per format, united; the checkpoint keeps each one's files."""
+    out = None
+    for ext, fmt in EXTENSIONS.items():
+        r = (spark.readStream.format(fmt).schema(schema).option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", _any_case(ext)).option("header", "true"))
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        rows = r.load(path)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def inserted_rows(stream: DataFrame, key: str | list[str], ts: str, watermark: str) -> DataFrame:
+    """ST3 live: rows whose key has not come before, with ``action`` INSERT.  A key
+    is remembered until the watermark (``watermark`` behind the newest ``ts`` of the
+    batches before) passes its row; older rows are late and dropped, so state is
+    bounded by the rows of that time and a replay within it adds nothing."""
+    keys = [key] if isinstance(key, str) else list(key)
+    at = "__at"
+    seen = stream.withColumn(at, F.col(ts).cast("timestamp")).withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
+    return seen.drop(at).withColumn("action", F.lit("INSERT"))
+
+
+def net_changes(stream: DataFrame, key: str, seq: str, ts: str, watermark: str, op: str = "op",
+                images: list[str] | None = None) -> DataFrame:
+    """ST2 live: per key the net change of the log so far, for ``consume(...,
+    output_mode="update")``: a batch gives the keys it touched, ``action`` null where
+    nothing is left of an insert.  Log rows (key, seq) delivered again within the
+    watermark count once, older rows are late and dropped (see ``inserted_rows``).
+    First and last operation and the count are combinable aggregates kept by key, so
+    rows may come in any order and a key with a third of the log is pre-aggregated
+    before the shuffle."""
+    from stagecraft.streaming.changes import net_action
+    imgs = list(images) if images is not None else [c for c in stream.columns if c not in (key, seq, op, ts)]
+    rows = inserted_rows(stream, [key, seq], ts, watermark)
+    g = rows.groupBy(key).agg(F.min_by(op, seq).alias("first_op"), F.max_by(op, seq).alias("last_op"),
+                              F.max_by(F.struct(*imgs), seq).alias("img"), F.count(F.lit(1)).alias("n_ops"))
+    return g.select(key, net_action().alias("action"), "n_ops", *[F.col(f"img.{c}").alias(c) for c in imgs])
+
+
+def current(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row per key of a folder that ``consume`` wrote in update mode,
+    without keys that nothing is left of."""
+    rows = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/batch_id=*")
+    cols = [c for c in rows.columns if c not in (key, "batch_id")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id").cast("long")).alias("r"))
+    return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in cols]).filter(F.col("action").isNotNull())
+
+
+def closing_row(df: DataFrame, ts: str, after: str) -> DataFrame:
+    """One row ``after`` the newest ``ts``, all other columns null: read as a
+    stream's last row, it moves the watermark past every open window."""
+    last = df.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts)).filter(F.col(ts).isNotNull())
+    return last.select(*[F.col(ts).cast(t).alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+
+
 def table_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     """ST3 live (APPEND_ONLY on a table): rows of files added to a table
     folder since the stream's checkpoint, as a Structured Streaming source.
@@ -48,7 +110,8 @@ def table_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -
 
 
 def consume(stream: DataFrame, target_path: str, checkpoint: str, transform=None,
-            fmt: str = "parquet", available_now: bool = True, processing_time: str | None = None):
+            fmt: str = "parquet", available_now: bool = True, processing_time: str | None = None,
+            output_mode: str = "append"):
     """ST5: run a task over a stream into a table folder, exactly once.
 
     The checkpoint records which files each batch took; a batch replayed
@@ -62,7 +125,7 @@ def consume(stream: DataFrame, target_path: str, checkpoint: str, transform=None
         out = transform(batch) if transform is not None else batch
         out.write.mode("overwrite").format(fmt).save(f"{target_path.rstrip('/')}/batch_id={batch_id}")
 
-    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if processing_time:
         w = w.trigger(processingTime=processing_time)
     elif available_now:
