@@ -3,7 +3,8 @@
 * U3 SQL scalar functions and U4 SQL table functions are temporary SQL
   functions: Catalyst inlines their bodies into the calling plan, so they
   cost nothing at run time.
-* U5 Python functions become Arrow-batched pandas UDFs.
+* U5 Python functions become Arrow-batched pandas UDFs; Python table functions
+  become Arrow table functions over a (partitioned, ordered) table argument.
 Argument and return types are checked with the P9 type rules first.
 """
 
@@ -56,3 +57,17 @@ def define_python_udf(fn: Callable, returns: str, name: str | None = None,
     if name and spark is not None:
         spark.udf.register(name, udf)
     return udf
+
+
+def define_python_table_function(spark: SparkSession, name: str, handler: type, columns: Sequence[tuple[str, str]]) -> str:
+    """A Python table function for SQL: ``SELECT * FROM name(TABLE(t) PARTITION BY
+    k ORDER BY o)``.  ``handler`` is a class made anew for each partition; ``eval``
+    takes Arrow batches of its rows in their order and yields Arrow tables with
+    ``columns``, ``terminate`` may yield more at the partition's end.  For results
+    that hang on what came before; a partition's rows pass one task in batches."""
+    if not re.fullmatch(IDENTIFIER, name):
+        raise ValueError(f"Invalid function name: {name}")
+    if not callable(getattr(handler, "eval", None)):
+        raise ValueError("a table function needs eval")
+    spark.udtf.register(name, F.arrow_udtf(handler, returnType=_args(columns)))
+    return name

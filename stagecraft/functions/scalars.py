@@ -63,15 +63,17 @@ def json_unwrap(c: Column | str) -> Column:
     """P5: decode JSON again for as long as the decoded value is a string
     (values encoded any number of times by a store).  Returns VARIANT.
 
-    Every level puts a quote, as it is or escaped, at the head of the text, so
-    the head's length bounds the number of levels."""
+    Every level puts a quote before the head of the text and escapes the quotes
+    and backslashes in it, so the head (1, 3, 7, ... characters) at least doubles
+    and the logarithm of its length bounds the number of levels."""
     col = _c(c)
     head = F.length(F.regexp_extract(col, r'^[ \t\r\n"\\u0-9a-fA-Fnrt]*', 0))
 
     def decode(v, _):
         inner = F.try_parse_json(F.try_variant_get(v, "$", "string"))
         return F.when(F.schema_of_variant(v) == F.lit("STRING"), inner).otherwise(v)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(head, F.lit(1))), F.try_parse_json(col), decode)
+    levels = F.greatest(F.ceil(F.log2(head + 1)).cast("int"), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), F.coalesce(levels, F.lit(1))), F.try_parse_json(col), decode)
 
 
 def json_text(c: Column | str) -> Column:

@@ -52,11 +52,14 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     it to compare with SQL).
     """
     aggs = []
-    cols = [f for f in df.schema.fields if f.dataType.simpleString() not in ("variant",)]
+    cols = df.schema.fields
     for f in cols:
-        c = F.col(f"`{f.name}`")
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        nulls = F.count_if(c.isNull())
+        if kind.startswith(("map", "variant")):  # no order and no equality: by their text
+            c = F.to_json(c)
         dist = F.countDistinct(c) if exact else F.approx_count_distinct(c)
-        aggs += [F.count_if(c.isNull()).alias(f"{f.name}__nulls"), dist.cast("bigint").alias(f"{f.name}__distinct"),
+        aggs += [nulls.alias(f"{f.name}__nulls"), dist.cast("bigint").alias(f"{f.name}__distinct"),
                  F.min(c).cast("string").alias(f"{f.name}__min"), F.max(c).cast("string").alias(f"{f.name}__max")]
     one = df.agg(*aggs)
     stack = ", ".join(
@@ -65,6 +68,55 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return one.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, type, nulls, distinct_count, min_value, max_value)")
 
 
+def _text_of(c, kind: str):
+    """A value as text that is equal for equal values."""
+    if kind.startswith(("array", "map", "struct", "variant")):
+        return F.to_json(c)
+    return F.hex(c) if kind == "binary" else c.cast("string")
+
+
+def profile_sketches(df: DataFrame, table: str) -> DataFrame:
+    """G3 by parts: (table_name, column_name, type, rows, nulls, min_value, max_value,
+    sketch) of every column, map, array, struct and VARIANT included, from one pass.
+
+    ``sketch`` is an HLL sketch of the column's values (4 KB at most), ``min_value``
+    and ``max_value`` are null where values have no order and hold numbers as
+    DECIMAL text.  Stored per load of a table, the rows of all loads merge with
+    ``merged_profile``: no earlier data is read again."""
+    entries = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        value = c if kind in ("int", "bigint", "string", "binary") else _text_of(c, kind)
+        order = not kind.startswith(("array", "map", "struct", "variant", "binary"))
+        number = kind in ("float", "double") or kind.startswith("decimal")
+
+        def edge(agg):
+            if not order:
+                return F.lit(None).cast("string")
+            return (agg(c).cast("decimal(38,6)") if number else agg(c)).cast("string")
+
+        entries.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(kind).alias("type"), F.count(F.lit(1)).alias("rows"),
+                                F.count_if(c.isNull()).alias("nulls"), edge(F.min).alias("min_value"), edge(F.max).alias("max_value"),
+                                F.hll_sketch_agg(value).alias("sketch")))
+    return df.agg(F.array(*entries).alias("e")).select(F.lit(table).alias("table_name"), F.inline("e"))
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """(table_name, column_name, type, rows, nulls, min_value, max_value,
+    distinct_count) from the rows of ``profile_sketches``; the distinct count is the
+    merged sketch's estimate (within about 2 percent)."""
+    number = F.col("type").isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.col("type").startswith("decimal")
+    def edge(agg, name):  # numbers by value, the rest by text
+        return agg(F.when(F.col(name).isNotNull(), F.transform(F.array(name), lambda v: F.struct(
+            F.when(number, v.try_cast("decimal(38,6)")).alias("n"), v.alias("v")))[0]))["v"].alias(name)
+
+    merged = parts.groupBy("table_name", "column_name", "type").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), edge(F.min, "min_value"), edge(F.max, "max_value"),
+        F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("table_name", "column_name", "type", "rows", "nulls", "min_value", "max_value",
+                         F.hll_sketch_estimate("sketch").alias("distinct_count"))
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """Column description rows (name, type, nullable Y/N, default, comment)
     from a DataFrame's schema -- metadata only, no data is read.  The

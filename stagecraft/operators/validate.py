@@ -20,17 +20,21 @@ def _violations(df: DataFrame, keys: list[str], rules: list[tuple[str, F.Column]
 
 
 def validate_columns(columns: DataFrame, table: str = "table_name", name: str = "name",
-                     type_: str = "type") -> DataFrame:
-    """V2: (table, name, violation) for bad names and types, plus one row per
-    table that has no columns is impossible here (a table of columns has at
-    least one row per table); ``empty_name`` covers blank names."""
+                     type_: str = "type", tables: DataFrame | None = None) -> DataFrame:
+    """V2: (table, name, violation) for bad names and types; ``empty_name`` covers
+    blank names.  ``tables`` lists all table definitions: one without any column
+    gives ``no_columns`` with a null name."""
     nm = F.coalesce(F.col(name), F.lit(""))
     rules = [
         ("empty_name", nm == ""),
         ("invalid_name", (nm != "") & ~is_identifier(name)),
         ("invalid_type", ~is_valid_type(type_)),
     ]
-    return _violations(columns, [table, name], rules)
+    out = _violations(columns, [table, name], rules)
+    if tables is not None:
+        bare = tables.select(table).distinct().join(columns.select(table), table, "left_anti")
+        out = out.unionByName(bare.select(table, F.lit(None).cast("string").alias(name), F.lit("no_columns").alias("violation")))
+    return out
 
 
 def validate_pipelines(specs: DataFrame, nodes: DataFrame, key: str = "graph_id") -> DataFrame:

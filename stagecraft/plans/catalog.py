@@ -788,7 +788,45 @@ def q_column_profile(spark, sf_dir):
     return INV.column_profile(load(spark, sf_dir, "customer"), exact=True)
 
 
-@query("validate_columns", f"""
+# Columns of the given tables and their types (bigint where none is given).
+GIVEN_COLUMNS = {
+    "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey, o_custkey, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id, ts timestamp_ntz, user_id, event_type string, value double, props string",
+    "documents": "doc_id, text string, lang string, source string, n_chars", "embeddings": "vec_id, embedding array<float>, label int",
+    "pages": "page_id, url string, html string", "benchmark": "item_id, text string", "labels": "doc_id, quality int, toxic int",
+    "conversations": "conv_id, turn, role string, text string",
+}
+
+
+def _profile_sql() -> str:
+    parts = []
+    for t, cols in GIVEN_COLUMNS.items():
+        for name, kind in ((c.split() + ["bigint"])[:2] for c in cols.split(", ")):
+            edge = {"double": "{}({})::DECIMAL(38,6)::VARCHAR", "array<float>": "NULL::VARCHAR"}.get(kind, "{}({})::VARCHAR")
+            parts.append(f"SELECT '{t}' AS table_name, '{name}' AS column_name, '{kind}' AS type, count(*) AS rows, count(*) - count({name}) AS nulls, "
+                         f"{edge.format('min', name)} AS min_value, {edge.format('max', name)} AS max_value FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+@query("column_profiles", _profile_sql())
+def q_column_profiles(spark, sf_dir):
+    """All given tables, each in two loads whose sketches are stored and merged."""
+    from functools import reduce
+    _, loc = _scratch(spark, "g3")
+    for odd in (0, 1):
+        parts = [INV.profile_sketches(load(spark, sf_dir, t).filter(F.pmod(F.hash(cols.split(",")[0].split()[0]), F.lit(2)) == odd), t)
+                 for t, cols in GIVEN_COLUMNS.items()]
+        reduce(DataFrame.unionByName, parts).write.mode("append").parquet(loc)
+    return INV.merged_profile(spark.read.parquet(loc)).drop("distinct_count")
+
+
+VALIDATE_COLUMNS_SQL = f"""
 WITH {FX.COLUMN_DEFS_SQL.strip()},
 r AS (SELECT table_name, name,
              coalesce(name, '') = '' AS empty_name,
@@ -799,11 +837,22 @@ r AS (SELECT table_name, name,
 SELECT table_name, name, 'empty_name' AS violation FROM r WHERE empty_name
 UNION ALL SELECT table_name, name, 'invalid_name' FROM r WHERE invalid_name
 UNION ALL SELECT table_name, name, 'invalid_type' FROM r WHERE invalid_type
-""")
+"""
+
+
+@query("validate_columns", VALIDATE_COLUMNS_SQL)
 def q_validate_columns(spark, sf_dir):
     return VA.validate_columns(FX.column_defs(spark, sf_dir))
 
 
+@query("validate_tables", f"{VALIDATE_COLUMNS_SQL.strip()} UNION ALL SELECT n_name, NULL, 'no_columns' FROM nation")
+def q_validate_tables(spark, sf_dir):
+    """Definitions of the tables named by brands, which have columns, and nations, which have none."""
+    tables = FX.column_defs(spark, sf_dir).select("table_name").unionByName(
+        load(spark, sf_dir, "nation").select(F.col("n_name").alias("table_name")))
+    return VA.validate_columns(FX.column_defs(spark, sf_dir), tables=tables)
+
+
 def _specs(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("graph_id"),
@@ -979,11 +1028,52 @@ SELECT o_orderkey AS graph_id, 0 AS pos, 'n1' AS id, 'stage' AS type, o_orderpri
 def q_config_nodes(spark, sf_dir):
     from stagecraft.plans.specs import spec_tables
     saved = _config_rows(spark, sf_dir)
-    for _ in range(5):                     # a store that encodes what it is given again
-        text = F.to_json(F.array("CONFIG"))
-        saved = saved.withColumn("CONFIG", F.substring(text, 2, 1 << 20)).withColumn(
-            "CONFIG", F.expr("left(CONFIG, length(CONFIG) - 1)"))
-    return spec_tables(saved, "o_orderkey", "CONFIG")[0]
+    return spec_tables(_encoded(saved, 5), "o_orderkey", "CONFIG")[0]
+
+
+def _encoded(saved, times: int):
+    """CONFIG as a store keeps it that encodes what it is given again."""
+    for _ in range(times):
+        saved = saved.withColumn("CONFIG", F.to_json(F.array("CONFIG"))).withColumn(
+            "CONFIG", F.expr("substring(CONFIG, 2, length(CONFIG) - 2)"))
+    return saved
+
+
+# A label that makes the config of the dearest orders longer than 1 MiB.
+_LONG_LABEL = 1_200_000
+
+
+def _graph_configs(spark, sf_dir):
+    """Configs of two nodes and one edge or two, encoded three times."""
+    o = load(spark, sf_dir, "orders")
+    top = o.agg(F.max("o_totalprice").alias("m"))
+    o = o.join(top, o.o_totalprice == top.m, "left")
+    label = F.when(F.col("m").isNotNull(), F.repeat(F.lit("long "), _LONG_LABEL // 5)).otherwise(F.col("o_orderpriority"))
+    more = F.when(F.col("o_orderstatus") == "F", ', {"source": "n2", "target": "n3"}').otherwise("")
+    cfg = F.concat(F.lit('{"nodes": [{"id": "n1", "type": "stage", "label": "'), label,
+                   F.lit('"}, {"id": "n2", "type": "table", "label": "Out", "config": {"name": "T \\"1\\""}}], "edges": [{"source": "n1", "target": "n2"}'),
+                   more, F.lit("]}"))
+    return _encoded(o.select("o_orderkey", cfg.alias("CONFIG")), 3)
+
+
+@query("config_graph_nodes", f"""
+SELECT o_orderkey AS graph_id, 0 AS pos, 'n1' AS id, 'stage' AS type, '' AS name,
+       CASE WHEN o_totalprice = (SELECT max(o_totalprice) FROM orders) THEN {_LONG_LABEL} ELSE length(o_orderpriority) END::INT AS label_length FROM orders
+UNION ALL SELECT o_orderkey, 1, 'n2', 'table', 'T "1"', 3 FROM orders
+""")
+def q_config_graph_nodes(spark, sf_dir):
+    from stagecraft.plans.specs import spec_tables
+    nodes = spec_tables(_graph_configs(spark, sf_dir), "o_orderkey", "CONFIG")[0]
+    return nodes.select("graph_id", "pos", "id", "type", "name", F.length("label").alias("label_length"))
+
+
+@query("config_edges", """
+SELECT o_orderkey AS graph_id, 'n1' AS source, 'n2' AS target, 0 AS epos FROM orders
+UNION ALL SELECT o_orderkey, 'n2', 'n3', 1 FROM orders WHERE o_orderstatus = 'F'
+""")
+def q_config_edges(spark, sf_dir):
+    from stagecraft.plans.specs import spec_tables
+    return spec_tables(_graph_configs(spark, sf_dir), "o_orderkey", "CONFIG")[1]
 
 
 @query("not_null_check", """
@@ -1366,3 +1456,41 @@ def _name_length(s):
 def q_python_udf(spark, sf_dir):
     f = PR.define_python_udf(_name_length, "INT")
     return load(spark, sf_dir, "part").select("p_partkey", f("p_name").alias("name_length"))
+
+
+class PackedRuns:
+    """Table function: a user's events, in time order, packed into runs of at most
+    ``BUDGET`` value; where the budget breaks depends on all events before."""
+
+    BUDGET = 500.0
+
+    def __init__(self):
+        self.run, self.total = 1, 0.0
+
+    def eval(self, rows):
+        import pyarrow as pa
+        runs, totals = [], []
+        for value in rows.column("value").to_pylist():
+            if self.total > 0 and self.total + value > self.BUDGET:
+                self.run, self.total = self.run + 1, 0.0
+            self.total += value
+            runs.append(self.run)
+            totals.append(self.total)
+        yield pa.table({"user_id": rows.column("user_id"), "event_id": rows.column("event_id"),
+                        "run": pa.array(runs, pa.int32()), "total": pa.array(totals, pa.float64())})
+
+
+@query("python_table_function", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, event_id, n, run, total) AS (
+  SELECT user_id, event_id, n, 1, value FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN r.total > 0 AND r.total + e.value > 500 THEN r.run + 1 ELSE r.run END,
+         CASE WHEN r.total > 0 AND r.total + e.value > 500 THEN e.value ELSE r.total + e.value END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, run::INT AS run, round(total, 6) AS total FROM r
+""")
+def q_python_table_function(spark, sf_dir):
+    PR.define_python_table_function(spark, "packed_runs", PackedRuns, [("user_id", "BIGINT"), ("event_id", "BIGINT"), ("run", "INT"), ("total", "DOUBLE")])
+    TB.register_views(spark, sf_dir, ["events"])
+    return spark.sql("SELECT user_id, event_id, run, round(total, 6) AS total FROM packed_runs(TABLE(events) PARTITION BY user_id ORDER BY (ts, event_id))")

@@ -18,6 +18,7 @@ import contextlib
 import json
 import re
 from collections.abc import Callable, Sequence
+from collections import Counter
 from graphlib import CycleError, TopologicalSorter
 from typing import NamedTuple
 
@@ -229,6 +230,16 @@ def _checked(spec: dict) -> list[dict]:
     for n in nodes:
         if not re.fullmatch(IDENTIFIER, node_name(n)):
             raise ValueError(f"name of a {n['type']} not usable: {node_name(n)!r}")
+    tables = Counter(node_name(n) for n in nodes if n["type"] == "table")
+    for what, seen in (("id", Counter(n["id"] for n in nodes)), ("name of a table", tables)):
+        again = sorted(k for k, count in seen.items() if count > 1)
+        if again:
+            raise ValueError(f"{what} used more than once: {', '.join(again)}")
+    ids = {n["id"] for n in nodes}
+    for e in spec.get("edges") or []:
+        for end in ("source", "target"):
+            if e.get(end) not in ids:
+                raise ValueError(f"edge {end} is no node of the pipeline: {e.get(end)!r}")
     ordered = _order(nodes, spec.get("edges") or [])
     if len(ordered) != len(nodes):
         raise ValueError("pipeline graph has a cycle")

@@ -155,3 +155,35 @@ def test_consume_replay_after_failure_is_exactly_once(spark, tmpdir_fresh):
     q.awaitTermination()
     got = sorted(r.FILE_NAME for r in spark.read.parquet(out).collect())
     assert got == ["a.txt", "b.txt"]
+
+
+def _run(spark, base, rows, stream, mode="append"):
+    rows.write.mode("append").parquet(base + "/in")
+    LV.consume(stream(LV.table_stream(spark, base + "/in", rows.schema)), base + "/out", base + "/ckpt", output_mode=mode).awaitTermination()
+
+
+def test_live_changes_out_of_order_replayed_and_late(spark, tmpdir_fresh):
+    from datetime import datetime
+    schema = "k int, seq int, op string, v string, ts timestamp_ntz"
+    at = lambda d: datetime(2024, 1, d)
+    one = [(1, 2, "UPDATE", "b", at(10)), (1, 1, "INSERT", "a", at(9)), (2, 1, "INSERT", "x", at(10)), (3, 5, "DELETE", None, at(10))]
+    two = one + [(2, 2, "DELETE", None, at(11)), (1, 3, "UPDATE", "c", at(11)), (3, 4, "UPDATE", "w", at(10))]
+    three = [(4, 1, "INSERT", "late", at(1)), (3, 6, "INSERT", "z", at(12))]  # day 1 is behind the watermark by now
+    for rows in (one, two, three):
+        _run(spark, tmpdir_fresh, spark.createDataFrame(rows, schema), lambda s: LV.net_changes(s, "k", "seq", "ts", "5 days"), "update")
+    got = sorted(map(tuple, LV.current(spark, tmpdir_fresh + "/out", "k").collect()))
+    assert got == [(1, "INSERT", 3, "c"), (3, "UPDATE", 3, "z")]
+
+
+def test_live_inserts_drop_replays_and_late_rows(spark, tmpdir_fresh):
+    from datetime import datetime
+    schema = "k int, ts timestamp_ntz"
+    at = lambda d: datetime(2024, 1, d)
+    for rows in ([(1, at(10)), (1, at(10)), (2, at(9))], [(2, at(9)), (3, at(12))], [(4, at(2)), (3, at(12)), (5, at(11))]):
+        _run(spark, tmpdir_fresh, spark.createDataFrame(rows, schema), lambda s: LV.inserted_rows(s, "k", "ts", "4 days"))
+    assert sorted(r.k for r in spark.read.parquet(tmpdir_fresh + "/out").collect()) == [1, 2, 3, 5]
+
+
+def test_closing_row_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id int, ts timestamp_ntz")
+    assert LV.closing_row(empty, "ts", "1 DAY").collect() == []
