@@ -95,11 +95,12 @@ def create_stored(spark: SparkSession, root: str, columns) -> int:
     return _commit(spark, root, {"version": 1, "next": len(cols), "parts": [], "columns": [_column(c, 1, i) for i, c in enumerate(cols)]})
 
 
-def write_stored(df: DataFrame, root: str, source_names: Sequence[str] | None = None, overwrite: bool = False) -> int:
+def write_stored(df: DataFrame, root: str, source_names: Sequence[str] | None = None, overwrite: bool = False, described=None) -> int:
     """Appends ``df`` (or puts it in place of all rows) as the next version: columns
     by name, or by position from ``source_names``, cast to their declared types.  A
     null in a NOT NULL column, or a value that does not fit, fails the write and
-    leaves the version before.  Columns that ``df`` lacks take their default."""
+    leaves the version before.  Columns that ``df`` lacks take their default.
+    ``described(part)`` may add facts about the written part to the version."""
     spark = df.sparkSession
     meta = describe(spark, root)
     names = list(source_names) if source_names else [c["name"] for c in meta["columns"]]
@@ -115,10 +116,12 @@ def write_stored(df: DataFrame, root: str, source_names: Sequence[str] | None =
     part = f"{root.rstrip('/')}/part-{uuid.uuid4().hex[:12]}"
     try:
         enforce_not_null(df.select(*out), needed).write.parquet(part)
-        return _commit(spark, root, meta | {"version": meta["version"] + 1, "parts": ([] if overwrite else meta["parts"])
-                                            + [{"path": part.rsplit("/", 1)[1], "since": meta["version"] + 1}]})
+        name = part.rsplit("/", 1)[1]
+        own = {"path": name, "since": meta["version"] + 1} | (described(name) if described else {})
+        return _commit(spark, root, meta | {"version": meta["version"] + 1, "parts": ([] if overwrite else meta["parts"]) + [own]})
     except Exception:
         remove(spark, part)
+        remove(spark, f"{root.rstrip('/')}/_keys/{part.rsplit('/', 1)[1]}")
         raise
 
 
@@ -199,3 +202,95 @@ def rename_stored_column(spark: SparkSession, root: str, old: str, new: str) ->
         meta["columns"][at]["name"] = new
 
     return _changed(spark, root, change)
+
+
+# ---------------------------------------------------------------------------
+# K4: append only what is new, by key filters of the parts
+# ---------------------------------------------------------------------------
+#: Bits of a filter block (128 BIGINT words), bits a key gets, and bits set per key.
+BLOCK_BITS, BITS_A_KEY, BITS_SET = 8192, 12, 4
+
+
+def _places(key, blocks: int) -> tuple:
+    """(block, [(word, bit), ...]) of a key in a filter of ``blocks`` blocks."""
+    text = key.cast("string")
+    second = F.xxhash64(text, F.lit(1))
+    at = [F.shiftright(second, 13 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(BITS_SET)]
+    return F.pmod(F.xxhash64(text), F.lit(blocks)), [(F.shiftright(a, 6).cast("int"), a.bitwiseAND(F.lit(63)).cast("int")) for a in at]
+
+
+def key_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """(block, words ARRAY<BIGINT>): a blocked Bloom filter, built by combinable ORs."""
+    block, places = _places(F.col(key), blocks)
+    spots = F.array(*[F.struct(w.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), b).alias("bit")) for w, b in places])
+    words = (keys.filter(F.col(key).isNotNull()).select(block.alias("block"), F.inline(spots)).groupBy("block", "w").agg(F.bit_or("bit").alias("bit")))
+    own = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bit"))).alias("m"))  # 128 words at most
+    return own.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)),
+                                           lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("words"))
+
+
+def append_new_stored(df: DataFrame, root: str, key: str) -> dict:
+    """K4 on a stored table: appends the rows of ``df`` whose key no row has yet.
+
+    Every part written here keeps a Bloom filter of its keys.  The new keys are
+    joined with the filters' blocks; a key that no filter may hold is new without a
+    look at the table.  Only parts that may hold a key have their key column read,
+    and only for those keys, so the result is exact.  Rows of one new key are all
+    appended; a null key is always new.  Returns {"version" (null if nothing was
+    new), "appended", "parts", "read"}.
+    """
+    from stagecraft.session import materialize
+    spark = df.sparkSession
+    meta = describe(spark, root)
+    column = meta["columns"][_place(meta, key)]
+    inner, plain = column["inner"], _plain(column["spark"])
+    base = root.rstrip("/")
+    cast = _to_type(F.col(f"`{next(c for c in df.columns if c.upper() == key.upper())}`"), column["spark"]).cast(plain)
+    keys = materialize(df.select(cast.alias("k")).filter("k is not null").distinct(), "k4_keys")
+    maybe, read = [], [p for p in meta["parts"] if p.get("keys") != inner and p["since"] >= column["since"]]
+    sized: dict[int, list[dict]] = {}
+    for p in meta["parts"]:
+        if p.get("keys") == inner:
+            sized.setdefault(p["blocks"], []).append(p)
+    for blocks, parts in sized.items():  # sizes are powers of two: few
+        filters = spark.read.schema("part string, block bigint, words array<bigint>").parquet(*[f"{base}/_keys/{p['path']}" for p in parts])
+        block, places = _places(F.col("k"), blocks)
+        hit = filters.join(keys.withColumn("b", block), F.col("b") == F.col("block"))
+        for w, bit in places:
+            hit = hit.filter(F.getbit(F.element_at("words", w + 1), bit) == 1)
+        maybe.append(hit.select("part", "k"))
+    known = keys.limit(0)
+    if maybe:
+        found = maybe[0]
+        for m in maybe[1:]:
+            found = found.unionAll(m)
+        found = materialize(found, "k4_maybe")
+        named = {r.part for r in found.select("part").distinct().collect()}  # names of parts only
+        some = [p for p in meta["parts"] if p["path"] in named]
+        if some:
+            known = known.unionAll(_keys_of(spark, base, some, inner, plain).join(found.select("k").distinct(), "k", "left_semi"))
+        read = read + some
+    plain_parts = [p for p in read if p.get("keys") != inner]
+    if plain_parts:
+        known = known.unionAll(_keys_of(spark, base, plain_parts, inner, plain).join(keys, "k", "left_semi"))
+    if any(p["since"] < column["since"] for p in meta["parts"]) and column["default"] is not None:
+        known = known.unionAll(spark.range(1).select(_to_type(F.lit(column["default"]), column["spark"]).cast(plain).alias("k")))
+    fresh = materialize(df.join(known.distinct().withColumnRenamed("k", "__k"), cast == F.col("__k"), "left_anti"), "k4_fresh")
+    rows, out = fresh.count(), {"version": None, "parts": len(meta["parts"]), "read": len(read)}
+    if rows:
+        blocks = 1
+        while blocks * BLOCK_BITS < BITS_A_KEY * rows:
+            blocks *= 2
+
+        def keep(part: str) -> dict:
+            own = spark.read.schema(f"{inner} {plain}").parquet(f"{base}/{part}")
+            key_filter(own, inner, blocks).select(F.lit(part).alias("part"), F.col("block").cast("bigint").alias("block"), "words") \
+                .write.parquet(f"{base}/_keys/{part}")
+            return {"keys": inner, "blocks": blocks}
+
+        out["version"] = write_stored(fresh, root, described=keep)
+    return out | {"appended": rows}
+
+
+def _keys_of(spark: SparkSession, base: str, parts: list[dict], inner: str, plain: str) -> DataFrame:
+    return spark.read.schema(f"{inner} {plain}").parquet(*[f"{base}/{p['path']}" for p in parts]).select(F.col(inner).alias("k"))

@@ -1173,6 +1173,17 @@ def q_stored_not_null(spark, sf_dir):
     return VS.read_stored(spark, root).withColumn("refused", F.lit(refused))
 
 
+@query("append_new_stored", f"{_DOC_ROWS_SQL}")
+def q_append_new_stored(spark, sf_dir):
+    """English documents, then all, then all again: a key is appended once."""
+    _, root = _scratch(spark, "k4s")
+    VS.create_stored(spark, root, [("FILE_NAME", "TEXT", False), ("PROCESSED_DATA", "TEXT"), ("PROCESSED_AT", "TIMESTAMP")])
+    rows = _doc_rows(spark, sf_dir).withColumn("PROCESSED_DATA", F.col("PROCESSED_DATA").cast("string"))
+    for part in (rows.filter(F.col("PROCESSED_DATA") == "en"), rows, rows):
+        VS.append_new_stored(part, root, "FILE_NAME")
+    return VS.read_stored(spark, root)
+
+
 # Text columns derived from events, and the type each is declared with.
 TYPED = [("id", "NUMBER(12,0)", False), ("amount", "DECIMAL(10,2)"), ("big", "BIGINT"), ("small", "SMALLINT"), ("tiny", "TINYINT"),
          ("whole", "INTEGER"), ("ratio", "FLOAT"), ("flag", "BOOLEAN"), ("day", "DATE"), ("clock", "TIME"), ("at", "TIMESTAMP"),

@@ -89,3 +89,36 @@ def test_types_from_text(spark):
             cast(declared, bad)
     from stagecraft.functions.types import TYPE_NAMES
     assert all(SK._declared_type(t) for t in TYPE_NAMES)
+
+
+def test_only_new_keys_are_appended_and_only_likely_parts_read(spark, tmpdir_fresh):
+    root = f"{tmpdir_fresh}/t"
+    VS.create_stored(spark, root, [("K", "TEXT"), ("N", "BIGINT")])
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("concat('k', id) AS k", "id AS n").repartition(3)
+    seen = [VS.append_new_stored(rows(lo, lo + 500), root, "K") for lo in (0, 500, 1000)]
+    assert [(x["appended"], x["parts"]) for x in seen] == [(500, 0), (500, 1), (500, 2)]
+    new = VS.append_new_stored(rows(5000, 5020), root, "k")  # of 60 filter tests hardly one errs
+    assert new["appended"] == 20 and new["read"] <= 1
+    again = VS.append_new_stored(rows(600, 610), root, "K")
+    assert again["appended"] == 0 and again["version"] is None and again["read"] <= 2 and again["parts"] == 4
+    mixed = spark.createDataFrame([("k1", 0), ("new", 1), ("new", 2), (None, 3)], "k string, n long")
+    assert VS.append_new_stored(mixed, root, "K")["appended"] == 3
+    assert VS.append_new_stored(mixed, root, "K")["appended"] == 1  # a null key is always new
+    VS.write_stored(spark.createDataFrame([("plain", 9)], "K string, N long"), root)  # a part without a filter is read
+    assert VS.append_new_stored(spark.createDataFrame([("plain", 9)], "K string, N long"), root, "K")["appended"] == 0
+    table = VS.read_stored(spark, root)
+    assert table.count() == 1520 + 3 + 1 + 1 and table.select("K").distinct().count() == 1520 + 1 + 1 + 1
+
+
+def test_key_filter_holds_every_key(spark):
+    keys = spark.range(3000).selectExpr("concat('k', id) AS k")
+    filters = VS.key_filter(keys, "k", 8)
+    block, places = VS._places(VS.F.col("k"), 8)
+
+    def hits(df):
+        j = filters.join(df.withColumn("b", block), VS.F.col("b") == VS.F.col("block"))
+        for w, bit in places:
+            j = j.filter(VS.F.getbit(VS.F.element_at("words", w + 1), bit) == 1)
+        return j.count()
+
+    assert hits(keys) == 3000 and hits(spark.range(10000, 13000).selectExpr("concat('k', id) AS k")) < 150
