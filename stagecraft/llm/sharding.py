@@ -1,17 +1,23 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
-Documents with equal texts are linked.  A group's label state is how many of its
-documents each shard holds, and a group of any size is one row.  Linked documents
-start in group order, in blocks that follow the shards' capacities, so most
-groups start whole.  In each round a group that is split picks, among the shards
-with room, the one that holds most of it; its documents in shards that hold fewer
-ask to move there.  Requests for a shard are granted in a fixed random order until
-its room is used.  Every granted move joins a smaller part with a larger one, so
-fewer links are cut each round.  Documents without links then fill the room that
-is left: counts are at most one apart (the law ``rows``).
+Documents with equal texts are linked.  Every linked document starts with a label
+of its own that knows nothing of its group: its place in a hash order, modulo the
+shards.  A group's label state is how many of its documents each shard holds, and
+a group of any size is one row.  In each round a group that is split picks the
+shard that holds most of it, and its documents in shards that hold fewer ask to
+move there.
+
+Counts stay within the shards' quotas: a move is granted against the room that
+unlinked documents leave, or in exchange along a cycle of requests between shards,
+which changes no count.  What is granted between two shards goes to the groups in a
+fixed random order.  Every move joins a smaller part with a larger one, so the sum
+of the squared parts grows with each and the rounds end by themselves, when nothing
+can move.  Documents without links then fill the room that is left: counts are at
+most one apart (the law ``rows``).
 
 Running sums over groups and documents go by hash bucket: sums per bucket, then
-within a bucket, so no group and no shard has to fit one task.
+within a bucket, so no group and no shard has to fit one task.  The driver sees
+one number per pair of shards and round.
 """
 
 from __future__ import annotations
@@ -22,8 +28,6 @@ from pyspark.sql import functions as F
 from stagecraft.llm import common as C
 
 SHARDS = 16
-#: Rounds end when nothing moves, or after this many.
-ROUNDS = 12
 
 
 def _offsets(rows: DataFrame, part: list[str], amounts: list[str], order: list[str]) -> DataFrame:
@@ -47,41 +51,75 @@ def _loads(groups: DataFrame, shards: int) -> list[int]:
     return [int(x) for x in row]
 
 
-def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(k1, k2, m, bucket, held array<long>) after the moves."""
-    shards = len(capacity)
+def exchange(asked: list[list[int]], room: list[int]) -> list[list[int]]:
+    """Moves granted from shard to shard, of those asked for: along cycles of
+    requests, which leave all counts as they are, then into the room there is."""
+    left, granted, k = [row[:] for row in asked], [[0] * len(room) for _ in room], len(room)
+    for size in range(2, k + 1):  # short cycles first
+        while (cycle := _cycle(left, size)) is not None:
+            steps = list(zip(cycle, cycle[1:] + cycle[:1]))
+            n = min(left[s][t] for s, t in steps)
+            for s, t in steps:
+                left[s][t] -= n
+                granted[s][t] += n
+    for t in range(k):
+        free = room[t]
+        for s in sorted(range(k), key=lambda s: (room[s], s)):  # out of the fullest first
+            n = max(0, min(free, left[s][t]))
+            granted[s][t] += n
+            free -= n
+    return granted
+
+
+def _cycle(left: list[list[int]], size: int) -> list[int] | None:
+    """A cycle of at most ``size`` shards with requests all along, by breadth from each."""
+    k = len(left)
+    for start in range(k):
+        before, row = {start: None}, [start]
+        for _ in range(size):
+            reached = []
+            for s in row:
+                for t in range(k):
+                    if left[s][t] > 0:
+                        if t == start:
+                            path = [s]
+                            while before[path[-1]] is not None:
+                                path.append(before[path[-1]])
+                            return path[::-1]
+                        if t not in before:
+                            before[t] = s
+                            reached.append(t)
+            row = reached
+    return None
+
+
+def propagate(groups: DataFrame, capacity: list[int]) -> DataFrame:
+    """(k1, k2, m, bucket, held array<long>) once nothing can move any more."""
+    shards, zero = len(capacity), F.lit(0).cast("long")
     groups = C.save(groups, "labels")
-    for _ in range(rounds):
+    while True:
+        # The shard that holds most of the group; ties go to the smaller number.
+        best = groups.withColumn("best", F.array_max(F.transform("held", lambda n, s: F.struct(n.alias("n"), (-s).alias("s")))))
+        best = best.select("k1", "k2", "m", "bucket", "held", (-F.col("best")["s"]).alias("to"))
+        asks = best.select("*", F.posexplode("held").alias("from", "ask")).filter((F.col("ask") > 0) & (F.col("from") != F.col("to")))
+        matrix = [[0] * shards for _ in capacity]
+        for r in asks.groupBy("from", "to").agg(F.sum("ask").alias("n")).collect():
+            matrix[r["from"]][r["to"]] = r["n"]
         room = [c - x for c, x in zip(capacity, _loads(groups, shards))]
-        free = _longs(room)
-        # The shard with room that holds most of the group; ties go to the smaller number.
-        ranked = F.transform("held", lambda n, s: F.struct(
-            F.when((F.element_at(free, s + 1) > 0) & (n > 0), n).otherwise(F.lit(-1)).alias("n"), (-s).alias("s")))
-        best = groups.withColumn("best", F.array_max(ranked))
-        best = best.withColumn("to", -F.col("best")["s"]).withColumn("most", F.col("best")["n"])
-        moving = F.transform("held", lambda n, s: F.when((F.col("most") > 0) & (s != F.col("to")) & (n > 0) & (
-            (n < F.col("most")) | ((n == F.col("most")) & (s > F.col("to")))), n).otherwise(F.lit(0).cast("long")))
-        best = best.withColumn("moving", moving).withColumn("ask", F.aggregate("moving", F.lit(0).cast("long"), lambda a, x: a + x))
-        best = best.select("k1", "k2", "m", "bucket", "held", "to", "moving", "ask")
-        asked = _offsets(best.filter("ask > 0"), ["to"], ["ask"], ["k1", "k2"])
-        granted = F.greatest(F.lit(0).cast("long"), F.least(F.col("ask"), F.element_at(free, F.col("to") + 1) - F.col("before_ask")))
-        asked = asked.withColumn("granted", granted)
-        # Take the granted number from the parts that move, lower shards first.
-        taken = F.transform("moving", lambda x, s: F.greatest(F.lit(0).cast("long"), F.least(x, F.col("granted") - F.aggregate(
-            F.slice("moving", F.lit(1), s), F.lit(0).cast("long"), lambda a, y: a + y))))
-        asked = asked.withColumn("taken", taken)
-        new = F.zip_with(F.transform("held", lambda n, s: n + F.when(s == F.col("to"), F.col("granted")).otherwise(F.lit(0).cast("long"))),
-                         "taken", lambda n, x: n - x)
-        moved = asked.select("k1", "k2", "m", "bucket", new.alias("held"), "granted")
-        still = best.filter("ask = 0").select("k1", "k2", "m", "bucket", "held", F.lit(0).cast("long").alias("granted"))
-        state = C.save(moved.unionByName(still), "labels")
-        groups = state.drop("granted")
-        if state.filter("granted > 0").isEmpty():
-            break
-    return groups
-
-
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+        granted = exchange(matrix, room)
+        if not any(map(any, granted)):
+            return groups
+        asks = _offsets(asks.drop("held", "m"), ["from", "to"], ["ask"], ["k1", "k2"])
+        quota = F.element_at(_longs(x for row in granted for x in row), F.col("from") * shards + F.col("to") + 1)
+        asks = asks.withColumn("n", F.greatest(zero, F.least(F.col("ask"), quota - F.col("before_ask")))).filter("n > 0")
+        out = asks.groupBy("k1", "k2").agg(F.array(*[F.sum(F.when(F.col("from") == s, F.col("n")).otherwise(zero)) for s in range(shards)]).alias("out"))
+        out = out.withColumn("sum", F.aggregate("out", zero, lambda a, x: a + x))
+        held = F.transform("held", lambda n, s: n - F.element_at("out", s + 1) + F.when(s == F.col("to"), F.col("sum")).otherwise(zero))
+        groups = C.save(best.join(out, ["k1", "k2"], "left").select(
+            "k1", "k2", "m", "bucket", F.when(F.col("out").isNull(), F.col("held")).otherwise(held).alias("held")), "labels")
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null
     under the law ``rows``), group_size.  Null text counts as empty; repeated rows
     are rows of their own; an empty table gives an empty result."""
@@ -94,14 +132,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = max(256, n // 50_000)
     groups = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    groups = C.save(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))).withColumn("one", F.lit(0)), "groups")
-    dealt = _offsets(groups, ["one"], ["m"], ["k1", "k2"])
-    # Blocks in proportion to the capacities: none holds more than its shard can.
-    total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    bounds = [sum(capacity[:s]) * total // max(n, 1) for s in range(shards + 1)]
-    held = F.array(*[F.greatest(F.lit(0), F.least(F.col("before_m") + F.col("m"), F.lit(hi)) - F.greatest(F.col("before_m"), F.lit(lo))).cast("long")
-                     for lo, hi in zip(bounds, bounds[1:])])
-    state = propagate(dealt.select("k1", "k2", "m", "bucket", held.alias("held")), capacity, rounds)
+    groups = C.save(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))), "groups")
+    # Linked documents, numbered in hash order whatever their group: label = number modulo shards.
+    linked = rows.join(groups.select("k1", "k2"), ["k1", "k2"]).select(
+        "k1", "k2", F.lit(0).alias("one"), F.lit(1).alias("unit"), F.xxhash64("doc_id", F.lit(2)).alias("place"))
+    linked = C.save(linked.withColumn("bucket", F.pmod(F.xxhash64("place", "k1"), F.lit(buckets))), "linked")
+    dealt = _offsets(linked, ["one"], ["unit"], ["place", "k1", "k2"]).select("k1", "k2", F.pmod("before_unit", F.lit(shards)).alias("label"))
+    held = dealt.groupBy("k1", "k2").agg(F.array(*[F.count_if(F.col("label") == s) for s in range(shards)]).alias("held"))
+    state = propagate(groups.join(held, ["k1", "k2"]).select("k1", "k2", "m", "bucket", "held"), capacity)
 
     # Where each group's part of a shard begins, and where the unlinked documents begin.
     loads = _loads(state, shards)
@@ -109,7 +147,6 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     parts = _offsets(parts, ["one"], [f"h{s}" for s in range(shards)], ["k1", "k2"])
     parts = C.save(parts.select("k1", "k2", "m", "held", F.array(*[F.col(f"before_h{s}") for s in range(shards)]).alias("base")), "parts")
     room = [c - x for c, x in zip(capacity, loads)]
-    alone = F.struct(_longs(room).alias("held"), _longs(loads).alias("base"))
 
     # Unlinked documents are one group of their own, numbered by bucket like the others.
     mark = F.col("m").isNotNull()
@@ -119,10 +156,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         F.pmod(F.xxhash64("doc_id", "k1"), F.lit(buckets)).alias("bucket"), F.lit(1).alias("unit"))
     grouped = C.save(grouped, "grouped")
     numbered = _offsets(grouped, ["linked", "g1", "g2"], ["unit"], ["doc_id"]).withColumnRenamed("before_unit", "rank")
-    numbered = numbered.join(parts.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "held", "base", F.lit(True).alias("linked")),
-                             ["linked", "g1", "g2"], "left")
-    numbered = numbered.withColumn("held", F.when(F.col("linked"), F.col("held")).otherwise(alone["held"])) \
-        .withColumn("base", F.when(F.col("linked"), F.col("base")).otherwise(alone["base"]))
+    # Only linked documents look up their group's parts; the others share one layout.
+    inside = numbered.filter("linked").join(parts.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "held", "base"), ["g1", "g2"])
+    outside = numbered.filter("not linked").withColumn("held", _longs(room)).withColumn("base", _longs(loads))
+    numbered = inside.unionByName(outside)
     ends = F.transform("held", lambda x, s: F.aggregate(F.slice("held", F.lit(1), s + 1), F.lit(0).cast("long"), lambda a, y: a + y))
     placed = numbered.withColumn("ends", ends)
     placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
