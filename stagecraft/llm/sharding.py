@@ -1,18 +1,18 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
-Documents with equal texts are linked.  Every linked document starts with a label
-of its own that knows nothing of its group: its place in a hash order, modulo the
-shards.  A group's label state is how many of its documents each shard holds, and
-a group of any size is one row.  In each round a group that is split picks the
-shard that holds most of it, and its documents in shards that hold fewer ask to
-move there.
+Documents with equal texts are linked.  A group's label state is how many of its
+documents each shard holds, and a group of any size is one row.  Linked documents
+start in group order, in blocks that follow the shards' capacities, so most
+groups start whole.  In each round a group that is split picks the shard that holds
+most of it (a shard that it fills alone is done with), and its documents in shards
+that hold fewer ask to move there.
 
 Counts stay within the shards' quotas: a move is granted against the room that
 unlinked documents leave, or in exchange along a cycle of requests between shards,
 which changes no count.  What is granted between two shards goes to the groups in a
 fixed random order.  Every move joins a smaller part with a larger one, so the sum
-of the squared parts grows with each and the rounds end by themselves, when nothing
-can move.  Documents without links then fill the room that is left: counts are at
+of the squared parts grows with each and the rounds end by themselves, when
+``DRAWS`` draws of the ties in a row let nothing move.  Documents without links then fill the room that is left: counts are at
 most one apart (the law ``rows``).
 
 Running sums over groups and documents go by hash bucket: sums per bucket, then
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from stagecraft.llm import common as C
 
 SHARDS = 16
+#: Rounds in a row, each with ties drawn anew, that must grant nothing before the end.
+DRAWS = 4
 
 
 def _offsets(rows: DataFrame, part: list[str], amounts: list[str], order: list[str]) -> DataFrame:
@@ -97,18 +99,26 @@ def propagate(groups: DataFrame, capacity: list[int]) -> DataFrame:
     """(k1, k2, m, bucket, held array<long>) once nothing can move any more."""
     shards, zero = len(capacity), F.lit(0).cast("long")
     groups = C.save(groups, "labels")
+    draw = idle = 0
     while True:
-        # The shard that holds most of the group; ties go to the smaller number.
-        best = groups.withColumn("best", F.array_max(F.transform("held", lambda n, s: F.struct(n.alias("n"), (-s).alias("s")))))
-        best = best.select("k1", "k2", "m", "bucket", "held", (-F.col("best")["s"]).alias("to"))
-        asks = best.select("*", F.posexplode("held").alias("from", "ask")).filter((F.col("ask") > 0) & (F.col("from") != F.col("to")))
+        # The shard that holds most of the group; ties are drawn anew in each round, so
+        # that requests do not all run one way and what was stuck may find a cycle.
+        draw += 1
+        best = groups.withColumn("best", F.array_max(F.transform("held", lambda n, s: F.struct(
+            F.when(n < F.element_at(_longs(capacity), s + 1), n).otherwise(F.lit(-1)).alias("n"), F.xxhash64("k1", s, F.lit(draw)).alias("any"), s.alias("s")))))
+        best = best.select("k1", "k2", "m", "bucket", "held", F.col("best")["s"].alias("to"))
+        asks = best.select("*", F.posexplode("held").alias("from", "ask")).filter(
+            (F.col("ask") > 0) & (F.col("from") != F.col("to")) & (F.col("ask") < F.element_at(_longs(capacity), F.col("from") + 1)))
         matrix = [[0] * shards for _ in capacity]
         for r in asks.groupBy("from", "to").agg(F.sum("ask").alias("n")).collect():
             matrix[r["from"]][r["to"]] = r["n"]
         room = [c - x for c, x in zip(capacity, _loads(groups, shards))]
         granted = exchange(matrix, room)
-        if not any(map(any, granted)):
+        idle = 0 if any(map(any, granted)) else idle + 1
+        if idle == DRAWS or not any(map(any, matrix)):
             return groups
+        if idle:
+            continue
         asks = _offsets(asks.drop("held", "m"), ["from", "to"], ["ask"], ["k1", "k2"])
         quota = F.element_at(_longs(x for row in granted for x in row), F.col("from") * shards + F.col("to") + 1)
         asks = asks.withColumn("n", F.greatest(zero, F.least(F.col("ask"), quota - F.col("before_ask")))).filter("n > 0")
@@ -133,13 +143,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     buckets = max(256, n // 50_000)
     groups = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     groups = C.save(groups.withColumn("bucket", F.pmod("k1", F.lit(buckets))), "groups")
-    # Linked documents, numbered in hash order whatever their group: label = number modulo shards.
-    linked = rows.join(groups.select("k1", "k2"), ["k1", "k2"]).select(
-        "k1", "k2", F.lit(0).alias("one"), F.lit(1).alias("unit"), F.xxhash64("doc_id", F.lit(2)).alias("place"))
-    linked = C.save(linked.withColumn("bucket", F.pmod(F.xxhash64("place", "k1"), F.lit(buckets))), "linked")
-    dealt = _offsets(linked, ["one"], ["unit"], ["place", "k1", "k2"]).select("k1", "k2", F.pmod("before_unit", F.lit(shards)).alias("label"))
-    held = dealt.groupBy("k1", "k2").agg(F.array(*[F.count_if(F.col("label") == s) for s in range(shards)]).alias("held"))
-    state = propagate(groups.join(held, ["k1", "k2"]).select("k1", "k2", "m", "bucket", "held"), capacity)
+    dealt = _offsets(groups.withColumn("one", F.lit(0)), ["one"], ["m"], ["k1", "k2"])
+    # Start labels: blocks in proportion to the capacities, so none holds more than its shard can.
+    total = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    bounds = [sum(capacity[:s]) * total // max(n, 1) for s in range(shards + 1)]
+    held = F.array(*[F.greatest(F.lit(0), F.least(F.col("before_m") + F.col("m"), F.lit(hi)) - F.greatest(F.col("before_m"), F.lit(lo))).cast("long")
+                     for lo, hi in zip(bounds, bounds[1:])])
+    state = propagate(dealt.select("k1", "k2", "m", "bucket", held.alias("held")), capacity)
 
     # Where each group's part of a shard begins, and where the unlinked documents begin.
     loads = _loads(state, shards)
