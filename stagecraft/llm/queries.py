@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import (bpe, decontam, filteraudit, htmltext, langid, license, neardup, quality, sharding, substring, suffix, toxicity,
+from stagecraft.llm import (bpe, decontam, filteraudit, htmltext, langid, license, neardup, oracle, quality, sharding, substring, suffix, toxicity,
                             veccodes)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,12 @@ def q_vector_codes(spark, sf_dir):
 SQL["op13_vector_codes"] = veccodes.sql()
 
 
+SQL["op2_near_duplicates"] = oracle.NEAR_DUPLICATES
+SQL["op3_substring_dedup"] = oracle.SUBSTRING
+SQL["op8_decontamination"] = oracle.DECONTAMINATION
+SQL["op9_suffix_dedup"] = oracle.SUFFIX
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
