@@ -36,6 +36,8 @@ LEAST = 0.3
 HOLDS = 0.8
 #: A path with this share of link characters is a list of links.
 LINKS = 0.6
+#: Characters of a block by which a form is taken for the page's own frame.
+FRAME = 200
 #: Weight of a related path's score by its distance (steps between the paths).
 NEAR = {1: 0.25, 2: 0.125}
 
@@ -52,7 +54,7 @@ ENDS = {k: (set(a.split()), set(b.split())) for k, (a, b) in ENDS.items()}
 #: Start tags that end an open paragraph.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
              "main menu nav ol p pre search section table ul li dt dd".split())
-NO_TEXT = RAW | set("head nav aside footer form button select template svg math object audio video canvas dialog menu search datalist map".split())
+NO_TEXT = RAW | set("head nav aside footer button select template svg math object audio video canvas dialog menu search datalist map".split())
 NO_ROLE = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
 NO_WORD = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget rail related recommended recommendations "
               "notice cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement advertising sponsor sponsored promo "
@@ -65,6 +67,7 @@ _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|$)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
+_MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -100,6 +103,7 @@ class Page:
         self._paths: dict[tuple[int, str], int] = {}
         self._open_tags: Counter = Counter()
         self._mains = 0  # open main and article elements
+        self.mains: set[int] = set()  # main and article elements, by tag or role
         self.kept: set[int] = set()  # elements that hold a title or a main element
         self.blocks: list[tuple[int, str, int]] = []
         self._stack: list[int] = [0]  # open block elements
@@ -127,7 +131,7 @@ class Page:
         self._flush()
         for e in self._stack[depth:]:
             self._open_tags[self.tag[e]] -= 1
-            self._mains -= self.tag[e] in ("main", "article") and not self.other[e]
+            self._mains -= e in self.mains
         del self._stack[depth:]
         self._inline, self._in_link, self._in_other = {}, 0, 0
 
@@ -162,7 +166,7 @@ class Page:
         self.other.append(names_other(tag, attrs))
         self._stack.append(len(self.tag) - 1)
         self._open_tags[tag] += 1
-        own = tag in ("main", "article") and not self.other[-1]
+        own = self._main(len(self.tag) - 1, attrs)
         self._mains += own
         if own or tag == "h1" and self._mains:
             for e in reversed(self._stack):
@@ -170,6 +174,12 @@ class Page:
                     break
                 self.kept.add(e)
 
+    def _main(self, e: int, attrs: str) -> bool:
+        own = not self.other[e] and (self.tag[e] in ("main", "article") or "role" in attrs and _MAIN_ROLE.search(attrs) is not None)
+        if own:
+            self.mains.add(e)
+        return own
+
     def _close(self, tag: str):
         if not self._open_tags[tag]:
             return
@@ -260,9 +270,16 @@ def main_text(source: str | None, least: float = LEAST) -> str:
     if not source:
         return ""
     page = Page(source)
+    longest = [0] * len(page.tag)  # of the paragraphs inside
+    for e, text, _ in page.blocks:
+        if page.tag[e] == "p":
+            longest[e] = max(longest[e], len(text))
+    for e in range(len(page.tag) - 1, 0, -1):
+        longest[page.parent[e]] = max(longest[page.parent[e]], longest[e])
     shut = [False] * len(page.tag)
     for e in range(1, len(page.tag)):  # parents come first
-        shut[e] = shut[page.parent[e]] or (e not in page.kept and (page.other[e] or page.tag[e] == "header"))
+        tag = page.tag[e]
+        shut[e] = shut[page.parent[e]] or (e not in page.kept and (page.other[e] or tag == "header" or tag == "form" and longest[e] < FRAME))
     blocks = [b for b in page.blocks if not shut[b[0]]]
     if not blocks:
         return ""
@@ -271,7 +288,7 @@ def main_text(source: str | None, least: float = LEAST) -> str:
     chars = sum(len(t) for _, t, _ in blocks)
     mean = sum(len(t) * scores[p][0] for p, (_, t, _) in zip(paths, blocks)) / chars
     # Paths beside the page's main or article elements stand back.
-    landmarks = {e for e in range(len(page.tag)) if page.tag[e] in ("main", "article") and not shut[e]}
+    landmarks = {e for e in page.mains if not shut[e]}
     inside = [False] * len(page.tag)
     for e in range(1, len(page.tag)):
         inside[e] = inside[page.parent[e]] or e in landmarks

@@ -27,6 +27,8 @@ PAGES = {
         f"Head <one>\n{LINE * 3}link more.\nSub\none\ntwo\na\nb\nQuote.\nEnd of it.",
     f"<body><div><a href=1>Home</a> <a href=2>About</a></div><div><h1>Title</h1><p>{LINE * 4}</p><p>Short.</p></div></body>": f"Title\n{LINE * 4}".strip() + "\nShort.",
     "hello &lt;world&gt;  x\n y": "hello <world> x y",
+    f"<form id=f><div role=main><p>{LINE * 3}</p><p>Two.</p></div><div><p>Out.</p></div></form>": f"{LINE * 3}".strip() + "\nTwo.",
+    f"<p>{LINE * 3}</p><form><p>Your name, please:</p><input><label>Mail</label></form>": f"{LINE * 3}".strip(),
     "": "", "<nav>a</nav>": "", "<p>  </p>": "",
     "<article><p>Abc def.</p><p>cut off <a hre": "Abc def.\ncut off",
     "<p>3 < 4 and 5 > 2 <b>bold</b> x<br>y</p>": "3 < 4 and 5 > 2 bold x y",
