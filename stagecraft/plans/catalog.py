@@ -1216,7 +1216,7 @@ def q_declared_types(spark, sf_dir):
     VS.write_stored(text, root)
     out = VS.read_stored(spark, root)
     return out.select("id", "amount", "big", "small", "tiny", "whole", "ratio", "flag", "day", "clock", "at",
-                      F.col("at_tz.ts").cast("timestamp_ntz").alias("at_utc"), F.col("at_tz.tz").alias("at_zone"), F.to_json("doc").alias("doc"),
+                      (F.expr("TIMESTAMP_NTZ'1970-01-01'") + F.make_dt_interval(secs=F.unix_seconds("at_tz.ts").cast("decimal(18,6)"))).alias("at_utc"), F.col("at_tz.tz").alias("at_zone"), F.to_json("doc").alias("doc"),
                       F.to_json(F.map_from_entries(F.array_sort(F.map_entries("obj"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))).alias("obj"),
                       F.to_json("list").alias("list"), "name", "code", F.hex("raw").alias("raw"))
 
