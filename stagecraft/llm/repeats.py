@@ -10,9 +10,10 @@ run of windows that it owns.
 1. Blocks equal to an earlier block are repeats as a whole (two 64-bit hashes).
 2. First blocks in a bucket with one kind of block only have no earlier equal
    window; they are dropped.
-3. The rest (the ends of repeated passages) are refined window by window on
-   their own tokens, inside their bucket.  Buckets with more than ``HOT`` blocks
-   are dealt by window hash instead, so no bucket has to fit one task.
+3. The rest (the ends of repeated passages) are judged on their own tokens, a whole
+   bucket at a time, by the operator's method: ``substring.factors`` parses them
+   greedily, ``suffix.refined`` refines their buckets.  Buckets with more than ``HOT``
+   blocks are dealt by window hash instead, so no bucket has to fit one task.
 
 Blocks are pre-aggregated by the quarter million (a lot), so a passage that a third
 of all documents share sends one row for each of these.  Where a passage ends, each
@@ -199,7 +200,7 @@ def _window_hashes(doc, sub, p, n, body, length: int, dtype):
     return doc[row], sub[row], p[row] + k, h, h2
 
 
-def _runs(doc, sub, s, length: int):
+def runs(doc, sub, s, length: int):
     """Spans of maximal runs of consecutive window starts (sorted by document, start)."""
     if not len(doc):
         return doc, sub, s, s
@@ -222,16 +223,12 @@ def _known(d, sub, s, h, h2, across: bool):
     return d, sub, s, h, h2, other if across else other | (s != s[head])
 
 
-def _refine(length: int, across: bool, dtype, limit: int = 8192):
+def _refine(judge: Callable, limit: int):
+    """Spans that ``judge`` finds in lots of whole buckets, of ``limit`` blocks or somewhat more."""
     schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
-    def judge(rows):
-        _, doc, sub, p, n, body = rows
-        d, sub, s, _, _, dup = _known(*_window_hashes(doc, sub, p, n, body, length, dtype), across)
-        d, sub, s = d[dup], sub[dup], s[dup]
-        order = np.lexsort((s, sub, d))
-        cols = _runs(d[order], sub[order], s[order], length)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=schema)
+    def spans(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in judge(*rows[1:])], schema=schema)
 
     def run(batches):
         """Rows come sorted by bucket; whole buckets are judged together."""
@@ -247,12 +244,12 @@ def _refine(length: int, across: bool, dtype, limit: int = 8192):
             body = [b for x in held for b in x[5]]
             cut = int(np.searchsorted(ah, ah[-1], "left"))
             if cut:
-                yield judge((ah[:cut], doc[:cut], sub[:cut], p[:cut], n[:cut], body[:cut]))
+                yield spans((ah[:cut], doc[:cut], sub[:cut], p[:cut], n[:cut], body[:cut]))
             held = [[ah[cut:], doc[cut:], sub[cut:], p[cut:], n[cut:], body[cut:]]]
             size = len(ah) - cut
         if size:
             ah, doc, sub, p, n = (np.concatenate([x[i] for x in held]) for i in range(5))
-            yield judge((ah, doc, sub, p, n, [b for x in held for b in x[5]]))
+            yield spans((ah, doc, sub, p, n, [b for x in held for b in x[5]]))
 
     return run
 
@@ -273,13 +270,16 @@ def _window_rows(length: int, dtype, across: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable, across: bool, dtype) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable, across: bool, dtype,
+                   judge: Callable, lot: int) -> DataFrame:
     """(doc, sub, spans array<struct<s,e>>) of tokens covered by a repeated window.
 
     ``docs`` has (doc, sub, text), see ``common.own_rows``.  ``across``: a window
     repeats if it also starts in a smaller document; else also if it starts earlier
     in the same one.  Rows that repeat (doc, sub) are the same document, never
     repeats of each other.  Documents without a repeated window give no row.
+    ``judge`` gets (doc, sub, p, n, bodies) of the blocks of some whole buckets, about
+    ``lot`` at once, and returns arrays (doc, sub, start, end) of their repeated tokens.
     """
     anchors = docs.mapInArrow(C.released(_anchor_rows(tokenise, length, gram, across, SPLIT)), ANCHOR_SCHEMA).repartition("ah")
     block, bucket = Window.partitionBy("ah", "ch"), Window.partitionBy("ah")
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     calm = (bodies.withColumn("todo", F.filter("todo", lambda t: ~t["hot"]))
             .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)
             .repartition("ah").sortWithinPartitions("ah")
-            .mapInArrow(C.released(_refine(length, across, dtype)), SPAN_SCHEMA))
+            .mapInArrow(C.released(_refine(judge, lot)), SPAN_SCHEMA))
     parts = [whole, calm]
     if not judged.filter(~F.col("dup") & F.col("hot")).isEmpty():
         windows = (bodies.withColumn("todo", F.filter("todo", lambda t: t["hot"])).filter(F.size("todo") > 0)

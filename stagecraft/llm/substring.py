@@ -1,14 +1,21 @@
-"""Substring dedup of words by anchored window hashing.
+"""Substring dedup of words by a relative Lempel-Ziv parse.
 
 A word is a duplicate if a 50-word window that covers it also starts in a smaller
-document.  Runs of windows that one anchor gram owns are compared as a whole by
-hash, what is left window by window.  The dealt relative Lempel-Ziv parse is not
-built.  See ``repeats``.
+document.  ``repeats`` cuts all documents into reference blocks (the windows owned by
+one 12-word gram) and brings the blocks of a gram together.  A block that equals one
+of a smaller document is a factor as a whole; every other block is parsed greedily
+against all blocks of smaller documents (``factors``): at each window the longest
+match among them is one factor, and the next one starts with the first window that
+reaches beyond it, so windows across the border of two factors are looked up too.
+Factors have 50 words or more; words in none are literals.  Buckets too large for a
+task (``repeats.HOT``) are dealt by the hash of the window, where a factor is one
+window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from typing import Iterator
 
 import numpy as np
@@ -21,6 +28,77 @@ from stagecraft.llm import common as C
 from stagecraft.llm import repeats as R
 
 LENGTH, GRAM = 50, 12
+#: Blocks that are parsed together.
+LOT = 2048
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Number of equal words (8 bytes each) at the start."""
+    n = min(len(a), len(b)) // 8
+    other = np.frombuffer(a, np.uint64, n) != np.frombuffer(b, np.uint64, n)
+    return int(other.argmax()) if other.any() else n
+
+
+def factors(doc, body, length: int):
+    """Greedy factors of blocks against all blocks of smaller documents.
+
+    ``doc`` numbers the documents of the blocks, ascending; ``body`` holds their words
+    as 8-byte hashes.  Returns arrays (block, start, end, reference block, start
+    there), in block order; of equally long references any may be named.  The index
+    holds, for each window that stands in several documents, what follows from there
+    in its block, sorted: the longest match is a neighbour.
+    """
+    words = np.frombuffer(b"".join(body), np.uint64)
+    off = np.cumsum([0, *(len(b) // 8 for b in body)])
+    n = np.maximum(np.diff(off) - length + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = off[row] + at
+    h = C.mix(C.span(C.prefix(words), start, start + length))
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    head = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1])[:len(h)])
+    size = np.diff(np.append(head, len(h)))
+    shared = doc[row[order[head]]] != doc[row[order[head + size - 1]]]
+    kind = np.full(len(h), -1, np.int64)
+    kind[order] = np.repeat(np.where(shared, np.arange(len(head)), -1), size)
+    found = np.flatnonzero(kind >= 0)
+    out: list[tuple[int, int, int, int, int]] = []
+    index: dict[int, list[tuple[bytes, int, int]]] = {}
+    held: list[tuple[int, bytes, int, int]] = []
+    own, last, free = None, -1, 0
+    for r, k, c in zip(row[found].tolist(), at[found].tolist(), kind[found].tolist()):
+        if r != last:
+            if doc[r] != own:
+                for window, rest, block, first in held:
+                    known = index.setdefault(window, [])
+                    place = bisect_left(known, (rest,))
+                    if place == len(known) or known[place][0] != rest:
+                        known.insert(place, (rest, block, first))
+                held, own = [], doc[r]
+            last, free = r, 0
+        rest = body[r][8 * k:]
+        held.append((c, rest, r, k))
+        if k < free or c not in index:
+            continue
+        known = index[c]
+        place = bisect_left(known, (rest,))
+        best, block, first = max((_common(rest, x), b, f) for x, b, f in known[max(place - 1, 0):place + 1])
+        if best >= length:
+            out.append((r, k, k + best, block, first))
+            free = k + best - length + 1
+    return tuple(np.array(out, np.int64).reshape(-1, 5).T)
+
+
+def _judge(length: int):
+    def judge(doc, sub, p, n, body):
+        order = np.lexsort((p, sub, doc))
+        doc, sub, p = doc[order], sub[order], p[order]
+        number = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])))
+        block, s, e, _, _ = factors(number, [body[i] for i in order], length)
+        return doc[block], sub[block], p[block] + s, p[block] + e
+
+    return judge
 
 
 def duplicate_words(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -28,7 +106,7 @@ def duplicate_words(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ``length``-word window that also starts in a smaller document.  Documents are
     ordered by id; the texts of one id by their hash; rows without id, each a
     document of its own, come last as they are written.  Null text has no words."""
-    return R.repeated_spans(rows, length, gram, R.word_tokens, True, np.uint64)
+    return R.repeated_spans(rows, length, gram, R.word_tokens, True, np.uint64, _judge(length), LOT)
 
 
 def _digest(batches):

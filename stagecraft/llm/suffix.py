@@ -1,9 +1,13 @@
-"""Suffix dedup of bytes by anchored window hashing.
+"""Suffix dedup of bytes by bucket-pointer refinement.
 
-A byte is a duplicate if a 100-byte window that covers it also starts earlier.
-Runs of windows that one anchor gram owns are compared as a whole by hash, what is
-left window by window.  The dealt bucket-pointer refinement is not built: no order
-of positions is made.  See ``repeats``.
+A byte is a duplicate if a 100-byte string that covers it also starts earlier.
+``repeats`` samples 32-byte grams and groups the strings by them; whole blocks of
+strings that equal an earlier block are judged there.  The positions of the other
+blocks are ordered here as far as needed: initial buckets by their first 32 bytes,
+then refined by sorting on the bucket pointers of later offsets (32 -> 64 -> 100
+bytes), every pass using the pointers of the pass before.  A position alone in its
+bucket is final and drops out, with all that reach into it.  Buckets too large for
+a task (``repeats.HOT``) are dealt by the hash of the whole string instead.
 """
 
 from __future__ import annotations
@@ -19,6 +23,58 @@ from stagecraft.llm import common as C
 from stagecraft.llm import repeats as R
 
 LENGTH, GRAM = 100, 32
+#: Blocks that are refined together.
+LOT = 8192
+
+
+def bucket_pointers(at: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` positions the place of the last member of its bucket when
+    the positions ``at`` are sorted by ``key``; -1 for those alone or not in ``at``."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    count = np.diff(np.append(head, len(key)))
+    out = np.full(size, -1, np.int64)
+    out[at[order]] = np.repeat(np.where(count > 1, head + count - 1, -1), count)
+    return out
+
+
+def refined(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Bucket pointers of all positions of the texts ``data[off[i]:off[i + 1]]`` by the
+    ``length`` bytes that start there; -1 where no other position has the same (or
+    fewer bytes are left)."""
+    size = len(data)
+    left = np.repeat(off[1:], np.diff(off)) - np.arange(size)
+    at = np.flatnonzero(left >= gram)
+    pointer = bucket_pointers(at, C.mix(C.rolling(C.prefix(C.BYTE_VALUE[data]), gram))[at], size)
+    depth = gram
+    while depth < length:
+        step = min(depth, length - depth)
+        at = np.flatnonzero((left >= depth + step) & (pointer >= 0))
+        at = at[pointer[at + step] >= 0]
+        pointer = bucket_pointers(at, pointer[at] * size + pointer[at + step], size)
+        depth += step
+    return pointer
+
+
+def _judge(length: int, gram: int):
+    def judge(doc, sub, p, n, body):
+        """Spans of strings that are not the first of their refined bucket."""
+        data = np.frombuffer(b"".join(body), np.uint8)
+        off = np.cumsum([0, *map(len, body)])
+        pointer = refined(data, off, length, min(gram, length))
+        at = np.flatnonzero(pointer >= 0)
+        row = np.searchsorted(off, at, "right") - 1
+        bucket, doc, sub, s = pointer[at], doc[row], sub[row], p[row] + at - off[row]
+        order = np.lexsort((s, sub, doc, bucket))
+        bucket, doc, sub, s = bucket[order], doc[order], sub[order], s[order]
+        head = np.searchsorted(bucket, bucket, "left")
+        later = (doc != doc[head]) | (sub != sub[head]) | (s != s[head])
+        doc, sub, s = doc[later], sub[later], s[later]
+        order = np.lexsort((s, sub, doc))
+        return R.runs(doc[order], sub[order], s[order], length)
+
+    return judge
 
 
 def _apply(batches):
@@ -52,7 +108,7 @@ def repeated_bytes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     id, each a document of its own, come last as they are written.  Null text is
     empty.  Texts under ``length`` bytes have no spans.
     """
-    return R.repeated_spans(rows, length, gram, R.byte_tokens, False, np.uint8)
+    return R.repeated_spans(rows, length, gram, R.byte_tokens, False, np.uint8, _judge(length, gram), LOT)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
