@@ -50,6 +50,7 @@ class Transducer:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
+        self.shown = {i: str(i) for i in self.token}
         self.moves: dict[int, int] = {}  # (state << 8 | byte) -> state; the trie's own moves first
         self.above, self.byte, self.depth = array("i", [0]), bytearray(1), array("H", [0])
         self.whole: dict[int, int] = {}  # node -> token
@@ -179,6 +180,8 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) < LOOKAHEAD:
+            return self._encode_short(data)
         steps, out = self.steps, []
         state, done, last = 0, 0, []  # last[i]: last token of data[:done + i + 1]
         at = 0  # len(last)
@@ -207,6 +210,37 @@ class Transducer:
                 at = len(last)
         return out + self._back(len(data), done, last)
 
+    def _encode_short(self, data: bytes) -> list[int]:
+        """A piece that ends before anything has to be emitted: the states are read
+        byte by byte, and last tokens are settled only where the end builds on them."""
+        steps, ends, state = self.steps, [()], 0
+        for b in data:
+            got = steps.get(state | b)
+            state, options = self._step(state | b) if got is None else got
+            ends.append(options)
+        last: list[int | None] = [None] * len(ends)
+        asked = [len(data)]
+        while asked:
+            at = asked[-1]
+            for n, t, known in ends[at]:
+                if n != at:  # else the prefix is one token
+                    before = last[at - n]
+                    if before is None:
+                        asked.append(at - n)
+                        break
+                    ok = known.get(before)
+                    if not ok and (ok is not None or not self._learn(before, t)):
+                        continue
+                last[at] = t
+                asked.pop()
+                break
+        tokens, end = [], len(data)
+        while end:
+            t = last[end]
+            tokens.append(t)
+            end -= self.length[t]
+        return tokens[::-1]
+
     def _back(self, end: int, done: int, last: list[int]) -> list[int]:
         tokens = []
         while end > done:
@@ -243,7 +277,7 @@ class Transducer:
         got = self._older.get(text)
         if got is None:
             ids = self.encode_piece(text.encode("utf-8"))
-            got = (len(ids), " ".join(map(str, ids)), b"".join(map(self.token.__getitem__, ids)))
+            got = (len(ids), " ".join(map(self.shown.__getitem__, ids)), b"".join(map(self.token.__getitem__, ids)))
         if len(text) <= 64:
             if len(self._pieces) >= CACHE:
                 self._older, self._pieces = self._pieces, {}

@@ -83,3 +83,19 @@ def test_refined_of_nothing():
     none = np.zeros(0, np.uint8)
     assert len(suffix.refined(none, np.zeros(1, np.int64), 100, 32)) == 0
     assert suffix.refined(np.zeros(20, np.uint8), np.array([0, 20]), 100, 32).tolist() == [-1] * 20
+
+
+def test_short_pieces_settle_as_long_ones(monkeypatch):
+    """The lazy path of short pieces and the emitting path give the merges' own tokens."""
+    import public_tokenizers
+    from stagecraft.llm import bpe
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    lazy, eager = bpe.Transducer(ranks), bpe.Transducer(ranks)
+    rng = random.Random(11)
+    pieces = [bytes(rng.choice(b"abcdefghinorstu") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    pieces += [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30))) for _ in range(200)] + [b"a" * 900, "naïve 😀é".encode() * 9, b"   \n" * 50]
+    got = [lazy.encode_piece(p) for p in pieces]
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 1)
+    assert got == [eager.encode_piece(p) for p in pieces]
+    assert got == [[ranks[x] for x in lazy.merged(p)] if p not in ranks else [ranks[p]] for p in pieces]
