@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from stagecraft.llm import common as C
 
 #: Pieces kept per worker, in each of two generations.
-CACHE = 1 << 17
+CACHE = 1 << 18
 #: Token pairs whose fit is remembered.
 PAIRS = 1 << 18
 #: Positions that may wait before agreed tokens are emitted.
