@@ -25,6 +25,7 @@ BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by
 
 # Well-known sentences of public licenses, in normalised words.
 NOTICES = {
+    "the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "licensed under the apache license version 2 0 you may not use this file except in compliance with the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
@@ -51,18 +52,21 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) < K, F.array().cast("array<bigint>")).otherwise(grams)
 
 
-def templates(spark) -> DataFrame:
+def templates(spark, phrases: dict[str, str] = BASE) -> DataFrame:
     """(gram, tid, tpos, n_grams, label, base): one row per template position."""
-    rows = [(i, label, text, base) for base, group in ((True, BASE), (False, NOTICES))
-            for i, (text, label) in enumerate(group.items(), 0 if base else len(BASE))]
+    short = [p for p in phrases if len(p.split()) < K]
+    if short:
+        raise ValueError(f"phrases of fewer than {K} words: {', '.join(short)}")
+    rows = [(i, label, text, base) for base, group in ((True, phrases), (False, NOTICES))
+            for i, (text, label) in enumerate(group.items(), 0 if base else len(phrases))]
     t = spark.createDataFrame(rows, "tid int, label string, text string, base boolean")
     t = t.withColumn("g", _grams(words_of(F.col("text"))))
     return t.select("tid", "label", "base", F.size("g").alias("n_grams"), F.posexplode("g").alias("tpos", "gram"))
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = BASE) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels, score.  Null text is empty; documents without a label have empty
+    labels, score.  ``phrases`` are the base phrases and their labels.  Null text is empty; documents without a label have empty
     strings, null places and score 0; rows that repeat an id and its text get the
     same result."""
     spark = docs.sparkSession
@@ -71,7 +75,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.size("words").cast("long").alias("n_words"), _grams(F.col("words")).alias("g"))
     # One more element per row, joined like a gram, brings every row through the same pass.
     grams = rows.select("doc_id", "th", "n_words", F.posexplode(F.concat("g", F.array(F.lit(None).cast("bigint")))).alias("pos", "gram"))
-    at = templates(spark)
+    at = templates(spark, phrases)
     found = grams.join(F.broadcast(at.withColumnRenamed("gram", "tgram")), F.col("gram") == F.col("tgram"), "left") \
         .filter(F.col("gram").isNull() | F.col("tid").isNotNull()).drop("tgram", "gram")
     found = C.save(found, "license-hits")
@@ -81,7 +85,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
              .groupBy("doc_id", "th", "tid", "label", "base", "n_grams", "diagonal")
              .agg(F.collect_set("tpos").alias("tset"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
     places = votes.filter(F.col("base") & (F.size("tset") == F.col("n_grams"))) \
-        .select("doc_id", "th", "label", F.col("diagonal").cast("long").alias("place"))
+        .select("doc_id", "th", "tid", "label", F.col("diagonal").cast("long").alias("place"))
     line = Window.partitionBy("doc_id", "th", "tid").orderBy("diagonal")
     merged = (votes.filter(~F.col("base"))
               .withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1))
@@ -91,7 +95,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = merged.withColumn("share", F.col("hit") / F.col("n_grams")) \
         .filter((F.col("share") >= COVERAGE) & (F.col("hi") - F.col("lo") + K <= STRETCH * (F.col("n_grams") + K)))
     found_base = places.groupBy("doc_id", "th").agg(
-        F.count_distinct("label", "place").alias("n_base"), F.min("place").alias("first_word"), F.max("place").alias("last_word"),
+        F.count_distinct("tid", "place").alias("n_base"), F.min("place").alias("first_word"), F.max("place").alias("last_word"),
         F.collect_set("label").alias("b"))
     found_more = spans.groupBy("doc_id", "th").agg(F.collect_set("label").alias("m"), F.max("share").alias("share"))
     same = "a.doc_id <=> {0}.doc_id and a.th = {0}.th"

@@ -229,6 +229,24 @@ def test_license_notice_with_changed_words(spark):
     assert (r.base_labels, r.labels) == ("", "bsd") and 0.6 <= r.score < 1
 
 
+def test_licenses_query_phrases(spark, tmp_path):
+    """op4 by its contract: the first phrase is "under the mit license"."""
+    phrases = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
+    rng = random.Random(4)
+    words = ["under", "the", "MIT", "License", "Apache", "version", "2", "cc", "by", "nc", "É", "\u212a", "x"]
+    texts = [None, "", "--", "the mit license", "Under the MIT-License, under the mit license", "x under the mit license cc by nc"]
+    texts += [rng.choice([" ", ", ", "\x00", "-"]).join(rng.choices(words, [4, 4, 4, 4, 2, 2, 2, 2, 2, 2, 1, 1, 1], k=rng.randrange(60))) for _ in range(150)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.queries()["op4_licenses"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and any(r.n_base > 1 for r in got)
+    for r in got:
+        w = ALNUM.findall((texts[r.doc_id] or "").translate(LOW))
+        at = [(p, v) for k, v in phrases.items() for p in range(len(w) - len(k) + 1) if tuple(w[p:p + len(k)]) == k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
+            len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({v for _, v in at})))
+    assert [(r.base_labels, r.labels, r.score) for r in got if r.doc_id == 3] == [("", "mit", 1.0)]
+
+
 def test_common_lines_deplete(spark):
     line = "subscribe to our daily letter and read more of these fine stories every day of the week " * 4
     rows = [(i, f"{line}\nown words number {i} here", "h") for i in range(40)]
