@@ -468,52 +468,68 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     sentence holding one of its tokens has its weight doubled.
 
     Plan: the raw documents are hash-partitioned by id ONCE (one exchange of
-    the input size; none at all when the table is stored bucketed by id);
-    sentences, tokens, the frequency windows, the per-sentence aggregate, the
-    rank window and the final aggregate all reuse that partitioning.  A
-    document is one row, so no group is larger than one document.
+    the input size; none at all when the table is stored bucketed by id), texts
+    of one id are brought together there, and the rest is row-local: words and
+    sentences never become rows, so nothing but the texts is shuffled or sorted.
+    Rows that share an id are one document: sentences at the same place share
+    their words, and one of them stands for the place.
     ``keep_all`` keeps documents without any token (summary null) so a
     pipeline step needs no join back.
     """
-    docs = df.select(F.col(id_col), F.col(text_col)).repartition(id_col)
-    outer = keep_all
-    gen = F.posexplode_outer(sentence_array(text_col)).alias("pos", "raw")
-    sent = docs.select(id_col, gen).select(id_col, "pos", F.trim("raw").alias("sentence"))
-    if not outer:
-        sent = sent.filter(F.col("sentence") != "")
-    # A sentence's first token row alone carries its text, so rows stay linear in its length.
-    st = (sent.select(id_col, "pos", "sentence", F.posexplode_outer(tokens("sentence")).alias("i", "token"))
-              .select(id_col, "pos", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("sentence")).alias("sentence"), "token"))
-    if not outer:
-        st = st.filter(F.col("token").isNotNull())
-    w_doc_tok = Window.partitionBy(id_col, "token")
-    w_doc = Window.partitionBy(id_col)
-    freq = (st.withColumn("tf", F.count("token").over(w_doc_tok))
-              .withColumn("n", F.count("token").over(w_doc)))
-    aggs = [F.sum(F.when(F.col("token").isNotNull(), F.col("tf"))).alias("sum_tf"),
-            F.count("token").alias("len"), F.any_value("n").alias("n"),
-            F.any_value("sentence", True).alias("sentence")]
+    hits = None
     if prompt:
         spark = df.sparkSession
-        ptoks = config_tokens(spark.createDataFrame([(prompt,)], "p string"), "p")
-        aggs.append(F.max(F.col("token").isin(ptoks).cast("int")).alias("hit"))
-    per_sent = freq.groupBy(id_col, "pos").agg(*aggs)
-    weight = F.col("sum_tf") / (F.col("len") * F.col("n"))
-    if prompt:
-        weight = weight * (F.lit(1) + F.col("hit"))
-    has = F.col("len") > 0
-    ranked = per_sent.withColumn(
-        "rk", F.row_number().over(Window.partitionBy(id_col).orderBy(
-            has.desc(), F.round(weight, SCORE_DIGITS).desc(), "pos")))
-    pick = F.when(has & (F.col("rk") <= k), F.struct("pos", "sentence"))
-    chosen = F.array_sort(F.collect_list(pick))        # at most k per document
-    out = ranked.groupBy(id_col).agg(chosen.alias("__c"))
-    summary = F.array_join(F.transform("__c", lambda x: x["sentence"]), " ")
-    if keep_all:
-        summary = F.when(F.size("__c") > 0, summary)
-    else:
-        out = out.filter(F.size("__c") > 0)
-    return out.select(id_col, summary.alias("summary"))
+        hits = config_tokens(spark.createDataFrame([(prompt,)], "p string"), "p")
+    docs = df.select(F.col(id_col), F.col(text_col)).repartition(id_col)
+    docs = docs.groupBy(id_col).agg(F.sort_array(F.collect_list(text_col)).alias("__texts"))
+    # explode_outer of one value: a filter on the summary must not compute it twice.
+    out = docs.select(id_col, F.explode_outer(F.array(_summary(F.col("__texts"), k, hits))).alias("summary"))
+    return out if keep_all else out.filter(F.col("summary").isNotNull())
+
+
+def _runs(arr: Column, key) -> Column:
+    """ARRAY<STRUCT<at, n>> of the runs of equal ``key`` in a sorted array; ``at`` from 1."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(arr)), lambda i: (i == 1) | (key(F.get(arr, i - 1)) != key(F.get(arr, i - 2))))
+    runs = _once(starts, lambda at: F.transform(at, lambda i, j: F.struct(
+        i.alias("at"), (F.coalesce(F.get(at, j + 1), F.size(arr) + 1) - i).alias("n"))))
+    return F.when(F.size(arr) > 0, runs).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+
+
+def _summary(texts: Column, k: int, hits: Sequence[str] | None) -> Column:
+    """The summary of one document's texts, null without a token: its words are
+    sorted to count them, and sorted back to their sentences with their counts."""
+    def parts(text):
+        split = F.transform(sentence_array(text), lambda s, i: F.struct(
+            i.alias("pos"), F.trim(s).alias("sentence"), tokens(s).alias("words")))
+        return F.filter(split, lambda s: F.size(s["words"]) > 0)
+
+    def counted(words):      # (pos, tf, hit) of every word, by place
+        def of(r):
+            hit = F.get(words, r["at"] - 1)["word"].isin(list(hits)) if hits else F.lit(False)
+            return F.transform(F.slice(words, r["at"], r["n"]), lambda w: F.struct(
+                w["pos"].alias("pos"), r["n"].cast("bigint").alias("tf"), hit.cast("int").alias("hit")))
+        return F.sort_array(F.flatten(F.transform(_runs(words, lambda w: w["word"]), of)))
+
+    def ranked(words):
+        def weigh(r):
+            def of(own):
+                tf = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, w: a + w["tf"])
+                weight = tf / (r["n"].cast("bigint") * F.size(words).cast("bigint"))
+                if hits is not None:
+                    weight = weight * (F.lit(1) + F.exists(own, lambda w: w["hit"] == 1).cast("int"))
+                return F.struct((-F.round(weight, SCORE_DIGITS)).alias("w"), F.get(own, F.lit(0))["pos"].alias("pos"))
+            return _once(F.slice(words, r["at"], r["n"]), of)
+        return F.slice(F.sort_array(F.transform(_runs(words, lambda w: w["pos"]), weigh)), 1, max(k, 0))
+
+    def chosen(sents):
+        words = F.flatten(F.transform(sents, lambda s: F.transform(
+            s["words"], lambda w: F.struct(w.alias("word"), s["pos"].alias("pos")))))
+        best = _once(_once(F.sort_array(words), counted), ranked)
+        return F.transform(F.sort_array(F.transform(best, lambda b: b["pos"])), lambda p: F.get(
+            F.filter(sents, lambda s: s["pos"] == p), F.lit(0))["sentence"])
+
+    picked = _once(F.flatten(F.transform(texts, parts)), chosen)
+    return _once(picked, lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")))
 
 
 # ---------------------------------------------------------------------------
