@@ -231,3 +231,15 @@ def test_changes_of_variant_rows(spark):
     after = spark.sql("SELECT * FROM VALUES (1, parse_json('\"1\"')), (2, parse_json('{\"a\": 1}')) t(k, v)")
     got = sorted((r.k, r.action, r.is_update) for r in changes(before, after, "k").select("k", "action", "is_update").collect())
     assert got == [(1, "DELETE", True), (1, "INSERT", True), (3, "DELETE", False)]
+
+
+def test_two_stages_summary_rows_stay_documents(spark):
+    """The rows of both stages are summarised in place: no window over their words."""
+    from stagecraft.plans.catalog import STAGES_SPEC
+    pages = spark.createDataFrame([("p", "<p>one two. two</p>")], "FILE_NAME string, content string")
+    docs = spark.createDataFrame([("d", "x y. x. z z"), ("d", "x y. x. z z"), (None, "")], "FILE_NAME string, content string")
+    from stagecraft.plans.pipeline import run_pipeline
+    out = run_pipeline(STAGES_SPEC, {"PAGES": pages, "DOCS": docs}, as_of="2024-02-01 00:00:00")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((str(r.FILE_NAME), r.PROCESSED_DATA) for r in out.collect())
+    assert [x[0] for x in got] == ["None", "d", "d", "p"] and got[1] == got[2] and got[1][1] == "x y x z z" and got[0][1] is None
