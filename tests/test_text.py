@@ -140,3 +140,24 @@ def test_token_index_counts(spark):
     assert {tuple(r) for r in some.collect() if r.token} == {(1, "b", 2), (None, "z", 3)}
     freq = {r.token: r.df for r in X.index_frequency(rows, n).collect()}
     assert freq == {"a": 2, "b": 1, "c": 1, "x": 1, "z": 1}
+
+
+def test_summarize_rows_stay_documents(spark):
+    """Words never become rows: no window, one exchange, of the texts; rows of one id are one document."""
+    df = spark.createDataFrame([(1, "A b. C d d! e"), (1, "A b. C d d! e"), (2, None), (3, " ... "), (None, "x y\nx"), (4, "É é. É\t z?? z")], "id long, t string")
+    out = X.summarize(df, "id", "t", k=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r.id: r.summary for r in out.collect()}
+    assert got == {1: _py_summary("A b. C d d! e", 2), None: "x y x", 4: _py_summary("É é. É\t z?? z", 2)}
+    kept = {r.id: r.summary for r in X.summarize(df, "id", "t", k=2, keep_all=True).collect()}
+    assert kept == got | {2: None, 3: None}
+
+
+def test_text_chain_summary_rows_stay_documents(spark):
+    from stagecraft.plans.pipeline import text_chain
+    df = spark.createDataFrame([("a", "good day. bad"), ("a", "bad bad. good"), (None, None)], "k string, t string")
+    lex = X.lexicon_from_pairs(spark, [("good", 1.0), ("bad", -2.0)])
+    out = text_chain(df, "k", "t", [("ai_summarize", {"k": 1}), ("ai_sentiment", {"lexicon": lex})])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [("a", "positive"), ("a", "negative"), (None, "neutral")]))
