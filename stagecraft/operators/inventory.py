@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagecraft.session import spread
 from stagecraft.sources.stage import stage_directory
 from stagecraft.sources.tables import table_path
 
@@ -41,16 +42,15 @@ def table_inventory(spark: SparkSession, sf_dir: str, names: list[str]) -> DataF
 
 
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """(column, type, nulls, distinct, min, max) for every column, from ONE
-    aggregate pass over the table, then unpivoted with ``stack``.
+    """(column, type, nulls, distinct, min, max) for every column.
 
     ``exact=False`` (the default) uses HyperLogLog++ (``approx_count_distinct``):
-    fixed-size sketches merged per partition, one pass, no extra shuffle.
-    ``exact=True`` counts distinct values; Spark plans several distinct
-    aggregates with an Expand that copies every row once per column before the
-    shuffle, so keep it for narrow tables or checks (the registered query uses
-    it to compare with SQL).
+    fixed-size sketches merged per partition, ONE aggregate pass over the table, then
+    unpivoted with ``stack``.  ``exact=True`` groups each column by its values (see
+    ``_exact_profile``).
     """
+    if exact:
+        return _exact_profile(df)
     aggs = []
     cols = df.schema.fields
     for f in cols:
@@ -58,8 +58,7 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
         nulls = F.count_if(c.isNull())
         if kind.startswith(("map", "variant")):  # no order and no equality: by their text
             c = F.to_json(c)
-        dist = F.countDistinct(c) if exact else F.approx_count_distinct(c)
-        aggs += [nulls.alias(f"{f.name}__nulls"), dist.cast("bigint").alias(f"{f.name}__distinct"),
+        aggs += [nulls.alias(f"{f.name}__nulls"), F.approx_count_distinct(c).cast("bigint").alias(f"{f.name}__distinct"),
                  F.min(c).cast("string").alias(f"{f.name}__min"), F.max(c).cast("string").alias(f"{f.name}__max")]
     one = df.agg(*aggs)
     stack = ", ".join(
@@ -68,6 +67,27 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return one.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, type, nulls, distinct_count, min_value, max_value)")
 
 
+def _exact_profile(df: DataFrame, per: int = 500_000) -> DataFrame:
+    """``column_profile`` with exact distinct counts: the table is spread by its rows
+    once, so that a task's groups stay few, then each column is grouped by value and
+    profiled from its groups.  Unlike several distinct counts in one aggregate, no row
+    is copied once per column."""
+    fields = df.schema.fields
+    plain = [F.col(f"`{f.name}`") for f in fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    df = spread(df, df.count(), *plain, per=per)
+    parts = []
+    for f in fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind.startswith(("map", "variant")):  # no order and no equality: by their text
+            c = F.to_json(c)
+        values = df.select(c.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(values.agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+                                F.count("v").alias("distinct_count"), F.min("v").cast("string").alias("min_value"),
+                                F.max("v").cast("string").alias("max_value"))
+                     .select(F.lit(f.name).alias("column_name"), F.lit(kind).alias("type"), "nulls", "distinct_count", "min_value", "max_value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _text_of(c, kind: str):
     """A value as text that is equal for equal values."""
     if kind.startswith(("array", "map", "struct", "variant")):

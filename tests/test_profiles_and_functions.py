@@ -90,3 +90,15 @@ def test_table_function_registration(spark):
     for name, columns in (("bad name", [("n", "INT")]), ("ok", [("1n", "INT")]), ("ok", [("n", "NOTYPE")])):
         with pytest.raises(ValueError):
             PR.define_python_table_function(spark, name, Doubler, columns)
+
+
+def test_exact_profile_copies_no_rows(spark):
+    """Exact distinct counts column by column, without an Expand of the rows."""
+    rows = [(k % 7 if k % 5 else None, f"s{k % 11}" if k % 3 else None, float(k % 4)) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string, `c.d` double")
+    for out in (INV.column_profile(df, exact=True), INV._exact_profile(df, per=20)):
+        assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.column_name: tuple(r)[1:] for r in out.collect()}
+        assert got == {"a": ("int", 60, 7, "0", "6"), "b": ("string", 100, 11, "s0", "s9"), "c.d": ("double", 0, 4, "0.0", "3.0")}
+    empty = INV.column_profile(df.limit(0), exact=True).collect()
+    assert [tuple(r) for r in empty] == [("a", "int", 0, 0, None, None), ("b", "string", 0, 0, None, None), ("c.d", "double", 0, 0, None, None)]
