@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from stagecraft.functions.scalars import object_name
 from stagecraft.operators.ranking import row_numbers
-from stagecraft.session import remove
+from stagecraft.session import remove, spread
 
 G, ID = "graph_id", "id"
 
@@ -217,10 +217,11 @@ def cyclic_nodes(nodes: DataFrame, edges: DataFrame, levels: DataFrame | None =
     return nodes.select(G, ID).join(levels.select(G, ID), [G, ID], "left_anti")
 
 
-def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, id, in_degree) with 0 for nodes without in-edges."""
-    deg = edges.groupBy(G, F.col("target").alias(ID)).agg(F.count(F.lit(1)).alias("in_degree"))
-    return (nodes.select(G, ID).join(deg, [G, ID], "left")
+def in_degree(nodes: DataFrame, edges: DataFrame, rows: int = 0) -> DataFrame:
+    """(graph_id, id, in_degree) with 0 for nodes without in-edges.  ``rows``,
+    the number of nodes if known, spreads large graphs over tasks (``spread``)."""
+    deg = spread(edges.select(G, F.col("target").alias(ID)), rows, G, ID).groupBy(G, ID).agg(F.count(F.lit(1)).alias("in_degree"))
+    return (spread(nodes.select(G, ID), rows, G, ID).join(deg, [G, ID], "left")
                  .select(G, ID, F.coalesce("in_degree", F.lit(0)).cast("bigint").alias("in_degree")))
 
 

@@ -356,7 +356,7 @@ GROUP BY n.graph_id, n.id
 """)
 def q_in_degree(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return GR.in_degree(nodes, edges)
+    return GR.in_degree(nodes, edges, FX.graph_size(spark, sf_dir))
 
 
 _KIND_SQL = ("CASE WHEN type IN ('stage', 'table', 'task', 'stream') THEN type "

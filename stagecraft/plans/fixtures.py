@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagecraft.session import spread
 from stagecraft.sources.tables import load
 
 # Node type by line number.
@@ -36,9 +37,15 @@ def _type_expr() -> F.Column:
     return c.otherwise("table")
 
 
+def graph_size(spark: SparkSession, sf_dir: str) -> int:
+    """Rows that the graphs are made of, from the files' footers."""
+    return load(spark, sf_dir, "lineitem").count()
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = (load(spark, sf_dir, "lineitem")
-          .groupBy(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("pos"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_returnflag")
+    # Spread before they are grouped: most rows are groups of their own.
+    li = (spread(lines, graph_size(spark, sf_dir), "graph_id", "pos").groupBy("graph_id", "pos")
           .agg(F.min("l_partkey").alias("partkey"), F.bool_or(F.col("l_returnflag") == "R").alias("flag_r")))
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_name").alias("label"))
     return (li.join(part, "partkey", "left")
@@ -48,11 +55,13 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     n = nodes if nodes is not None else graph_nodes(spark, sf_dir)
+    rows = graph_size(spark, sf_dir)
     a = n.select("graph_id", F.col("id").alias("source"), F.col("pos").alias("spos"))
     b = n.select("graph_id", F.col("id").alias("target"), F.col("pos").alias("tpos"), "flag_r")
-    nxt = a.join(b, (a.graph_id == b.graph_id) & (b.tpos == a.spos + 1)).select(a.graph_id, "source", "target", "spos", "tpos")
+    nxt = (spread(a.withColumn("tpos", F.col("spos") + 1), rows, "graph_id", "tpos")
+           .join(spread(b.drop("flag_r"), rows, "graph_id", "tpos"), ["graph_id", "tpos"]).select("graph_id", "source", "target", "spos", "tpos"))
     a1 = a.filter(F.col("spos") == 1)
-    fan = (a1.join(b.filter((F.col("tpos") >= 3) & F.col("flag_r")), "graph_id")
+    fan = (spread(a1, rows, "graph_id").join(spread(b.filter((F.col("tpos") >= 3) & F.col("flag_r")), rows, "graph_id"), "graph_id")
              .select("graph_id", "source", "target", "spos", "tpos"))
     return (nxt.unionByName(fan)
                .select("graph_id", "source", "target", (F.col("spos") * 16 + F.col("tpos")).alias("epos")))

@@ -2,6 +2,8 @@
 roots, double edge, cycle, node behind a cycle, edge from an unknown node,
 empty graph -- all in one table of graphs."""
 
+import random
+
 from stagecraft.operators import graph as GR
 
 NODES = [
@@ -159,3 +161,17 @@ def test_hub_edges_take_several_keys(spark, monkeypatch):
     links = spark.read.parquet(next(p for p in drop if "t1_edges" in p))
     assert links.select("salt").distinct().count() == 10
     assert done.groupBy("level").count().orderBy("level").collect() == [(0, 1), (1, 1000)]
+
+
+def test_in_degree_of_many_rows_is_spread(spark):
+    """With many rows known the tasks are sized by rows, not by compressed bytes."""
+    rng = random.Random(3)
+    nodes = [(g, f"n{k}") for g in range(40) for k in range(rng.randrange(6))] + [(1, "n0"), (None, "x")]
+    edges = [(rng.randrange(42), "s", f"n{rng.randrange(6)}") for _ in range(300)] + [(None, "s", "x")]
+    n = spark.createDataFrame(nodes, "graph_id long, id string")
+    e = spark.createDataFrame(edges, "graph_id long, source string, target string")
+    out = GR.in_degree(n, e, 20_000_000)
+    assert "40), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    want = sorted((g, i, sum((x, z) == (g, i) for x, _, z in edges)) for g, i in nodes if g is not None)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(r for r in got if r[0] is not None) == want and [r for r in got if r[0] is None] == [(None, "x", 0)]
