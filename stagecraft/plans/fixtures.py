@@ -217,13 +217,13 @@ after AS (SELECT o_orderkey, o_custkey, o_orderstatus,
                    AS o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT')"""
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, seq, op, value, props): signup -> INSERT, error -> DELETE,
-    anything else -> UPDATE."""
+def change_log(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(user_id, seq, op, value, props) and the columns ``more`` of the events:
+    signup -> INSERT, error -> DELETE, anything else -> UPDATE."""
     e = load(spark, sf_dir, "events")
     op = (F.when(F.col("event_type") == "signup", "INSERT")
            .when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE"))
-    return e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), "value", "props")
+    return e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), "value", "props", *more)
 
 
 CHANGE_LOG_SQL = """

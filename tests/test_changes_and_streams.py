@@ -187,3 +187,13 @@ def test_live_inserts_drop_replays_and_late_rows(spark, tmpdir_fresh):
 def test_closing_row_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id int, ts timestamp_ntz")
     assert LV.closing_row(empty, "ts", "1 DAY").collect() == []
+
+
+def test_change_log_with_time_joins_nothing(spark):
+    """The log's time comes with its rows: no join of the events with themselves."""
+    from stagecraft.plans import fixtures as FX
+    log = FX.change_log(spark, "/root/testdata/sf0.001", "ts")
+    assert log.columns == ["user_id", "seq", "op", "value", "props", "ts"]
+    assert "Join" not in log._jdf.queryExecution().executedPlan().toString()
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert log.select("seq", "ts").exceptAll(events.select("event_id", "ts")).count() == 0 and log.count() == events.count()
