@@ -41,7 +41,7 @@ SPLIT = 64
 SEGMENT = 1 << 19
 #: Blocks that are pre-aggregated and sent together.
 FLUSH = 1 << 18
-ANCHOR_SCHEMA = "ah long, ch long, doc long, sub long, p long, n int, full boolean, wide boolean"
+ANCHOR_SCHEMA = "ah long, ch long, run long, doc long, sub long"
 BLOCK_SCHEMA = "ah long, doc long, sub long, p long, n int, body binary"
 SPAN_SCHEMA = "doc long, sub long, s long, e long"
 
@@ -114,10 +114,28 @@ def _place(doc, sub, p):
     return C.mix((doc.astype(np.uint64) * np.uint64(31) + sub.astype(np.uint64)) * np.uint64(31) + p.astype(np.uint64))
 
 
+def _count_bits(length: int, gram: int) -> int:
+    """Bits of a block's number of windows."""
+    return (length - gram + 1).bit_length()
+
+
+def _run(p, n, full, wide, bits: int):
+    """``p``, ``n`` (of ``bits`` bits), ``full`` and ``wide`` of a block as one number: these
+    rows are the largest shuffle, and four columns of a few bits take 32 bytes of each."""
+    return ((p << bits | n) << 2) | (full.astype(np.int64) << 1) | wide
+
+
+def _of_run(bits: int) -> dict:
+    """The columns that ``_run`` has packed."""
+    run = F.col("run")
+    return {"p": F.shiftright(run, bits + 2), "n": F.shiftright(run, 2).bitwiseAND((1 << bits) - 1).cast("int"),
+            "full": run.bitwiseAND(2) != 0, "wide": run.bitwiseAND(1) != 0}
+
+
 def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split: int):
-    """One row for each block; ``n`` is 0 for the mark of a bucket that was split."""
-    schema = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("p", pa.int64()),
-                        ("n", pa.int32()), ("full", pa.bool_()), ("wide", pa.bool_())])
+    """One row for each block; its number of windows is 0 for the mark of a bucket that was split."""
+    schema = pa.schema([(c, pa.int64()) for c in ("ah", "ch", "run", "doc", "sub")])
+    bits = _count_bits(length, gram)
 
     def run(batches):
         C.forget()
@@ -155,7 +173,8 @@ def _anchor_rows(tokenise: Callable, length: int, gram: int, across: bool, split
         at = np.concatenate([np.lexsort((p, sub, doc)), mark])
         key = np.concatenate([key[at[:len(ah)]], ah[mark]])
         marked = np.arange(len(at)) >= len(ah)
-        cols = [C.signed(key), C.signed(ch)[at], doc[at], sub[at], p[at], np.where(marked, 0, n[at]).astype(np.int32), full[at] & ~marked, wide[at]]
+        packed = _run(p[at], np.where(marked, 0, n[at]), full[at] & ~marked, wide[at], bits)
+        cols = [C.signed(key), C.signed(ch)[at], packed, doc[at], sub[at]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
@@ -282,6 +301,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
     ``lot`` at once, and returns arrays (doc, sub, start, end) of their repeated tokens.
     """
     anchors = docs.mapInArrow(C.released(_anchor_rows(tokenise, length, gram, across, SPLIT)), ANCHOR_SCHEMA).repartition("ah")
+    anchors = anchors.select("ah", "ch", "doc", "sub", *[c.alias(k) for k, c in _of_run(_count_bits(length, gram)).items()])
     block, bucket = Window.partitionBy("ah", "ch"), Window.partitionBy("ah")
     at = F.struct("doc", "sub") if across else F.struct("doc", "sub", "p")
     first = F.min(F.when(F.col("n") > 0, at)).over(block)
@@ -298,6 +318,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, tokenise: Callable,
 
     todo = (judged.filter(~F.col("dup")).dropDuplicates(["doc", "sub", "p", "ah"])
             .groupBy("doc", "sub").agg(F.collect_list(F.struct("ah", "p", "n", "hot")).alias("todo")))
+    # Callers join ``docs`` with the spans by the same keys: both joins read one shuffle of
+    # the texts, as long as no filter (here, for keys that may be null) tells them apart.
     bodies = (docs.join(todo, ["doc", "sub"]).select("doc", "sub", "text", "todo"))
     calm = (bodies.withColumn("todo", F.filter("todo", lambda t: ~t["hot"]))
             .mapInArrow(C.released(_block_rows(tokenise, length)), BLOCK_SCHEMA)

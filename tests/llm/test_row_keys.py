@@ -3,6 +3,7 @@ their own: found as repeats of each other, and never cut at each other's places.
 
 import random
 
+import numpy as np
 import pytest
 
 from stagecraft.llm import repeats, substring, suffix
@@ -63,3 +64,33 @@ def test_pipeline_stage_cuts_only_the_rows_that_repeat(odd_ids):
     assert sorted(i for i, t in got if t == whole) == [7, 7]
     clean = [x for k, x in enumerate(given) if k in (0, 1, 4, 5)]
     assert all(x in got for x in clean) and len(got) == 12
+
+
+@pytest.mark.parametrize("query", [substring.substring_dedup, suffix.suffix_dedup])
+def test_texts_are_shuffled_once(spark, query):
+    """Blocks and removed spans are joined with the texts in two joins on one shuffle."""
+    # (the digits differ, so buckets hold several kinds of blocks)
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, text + " a"), (2, "b " + text + " c"), (2, text), (None, text), (3, None)], "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = query(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("xxhash64(text") == 1 and "ReusedExchange" in plan
+        removed = [(r.doc_id, r.n_removed > 0) for r in out.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(removed, key=str) == sorted([(1, False), (2, True), (2, True), (3, False), (None, True)], key=str)
+
+
+def test_packed_block_columns(spark):
+    p = np.array([0, 5, 1 << 40], np.int64)
+    n = np.array([0, 69, 17], np.int64)
+    full, wide = np.array([True, False, False]), np.array([False, True, False])
+    bits = repeats._count_bits(100, 32)
+    packed = repeats._run(p, n, full, wide, bits)
+    rows = spark.createDataFrame([(int(x),) for x in packed], "run long").select(*[c.alias(k) for k, c in repeats._of_run(bits).items()])
+    assert [tuple(r) for r in rows.collect()] == list(zip(p.tolist(), n.tolist(), full.tolist(), wide.tolist()))
