@@ -460,7 +460,7 @@ def predict_nb(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, in
 # summarize
 # ---------------------------------------------------------------------------
 def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
-              prompt: str | None = None, keep_all: bool = False) -> DataFrame:
+              prompt: str | None = None, keep_all: bool = False, unique: bool = False) -> DataFrame:
     """(id, summary).  SumBasic weights (Nenkova & Vanderwende 2005)
     without the update step: a sentence's weight is the mean, over its tokens,
     of the token's relative frequency in the document.  The ``k`` best
@@ -474,16 +474,21 @@ def summarize(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     Rows that share an id are one document: sentences at the same place share
     their words, and one of them stands for the place.
     ``keep_all`` keeps documents without any token (summary null) so a
-    pipeline step needs no join back.
+    pipeline step needs no join back.  ``unique`` says that no two rows share an id:
+    rows are spread by the same exchange, but no texts are sorted to be grouped.
     """
     hits = None
     if prompt:
         spark = df.sparkSession
         hits = config_tokens(spark.createDataFrame([(prompt,)], "p string"), "p")
     docs = df.select(F.col(id_col), F.col(text_col)).repartition(id_col)
-    docs = docs.groupBy(id_col).agg(F.sort_array(F.collect_list(text_col)).alias("__texts"))
+    if unique:
+        texts = F.array_compact(F.array(text_col))
+    else:
+        docs = docs.groupBy(id_col).agg(F.sort_array(F.collect_list(text_col)).alias("__texts"))
+        texts = F.col("__texts")
     # explode_outer of one value: a filter on the summary must not compute it twice.
-    out = docs.select(id_col, F.explode_outer(F.array(_summary(F.col("__texts"), k, hits))).alias("summary"))
+    out = docs.select(id_col, F.explode_outer(F.array(_summary(texts, k, hits))).alias("summary"))
     return out if keep_all else out.filter(F.col("summary").isNotNull())
 
 

@@ -102,7 +102,8 @@ def summarize_step(config: dict, tables: dict) -> KeyedStep:
     k = int(config.get("k", 3))
 
     def run(df: DataFrame) -> DataFrame:
-        s = X.summarize(df, KEY, TEXT, k=k, prompt=prompt, keep_all=True)
+        # a key is one row (``_fix``, ``_union``)
+        s = X.summarize(df, KEY, TEXT, k=k, prompt=prompt, keep_all=True, unique=True)
         return s.select(KEY, F.col("summary").alias(TEXT))
     return run
 

@@ -243,3 +243,15 @@ def test_two_stages_summary_rows_stay_documents(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((str(r.FILE_NAME), r.PROCESSED_DATA) for r in out.collect())
     assert [x[0] for x in got] == ["None", "d", "d", "p"] and got[1] == got[2] and got[1][1] == "x y x z z" and got[0][1] is None
+
+
+def test_two_stages_summaries_sort_no_texts(spark):
+    """A row of a pipeline is one document: its text is not sorted into groups."""
+    from stagecraft.plans.catalog import STAGES_SPEC
+    from stagecraft.plans.pipeline import run_pipeline
+    pages = spark.createDataFrame([("p", "<p>one two. two</p>"), ("d", "<p>x y</p>"), (None, None)], "FILE_NAME string, content string")
+    docs = spark.createDataFrame([("d", "x y. x. z z"), ("d", "x y"), (None, "")], "FILE_NAME string, content string")
+    out = run_pipeline(STAGES_SPEC, {"PAGES": pages, "DOCS": docs}, as_of="2024-02-01 00:00:00")
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((str(r.FILE_NAME), str(r.PROCESSED_DATA)) for r in out.collect())
+    assert got == [("None", "None"), ("None", "None"), ("d", "x y"), ("d", "x y"), ("d", "x y x z z"), ("p", "one two two")]
