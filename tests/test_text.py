@@ -161,3 +161,21 @@ def test_text_chain_summary_rows_stay_documents(spark):
     out = text_chain(df, "k", "t", [("ai_summarize", {"k": 1}), ("ai_sentiment", {"lexicon": lex})])
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [("a", "positive"), ("a", "negative"), (None, "neutral")]))
+
+
+def test_summarize_unique_ids_sorts_no_texts(spark):
+    """Ids that are said to be unique: the same summaries without an aggregate."""
+    df = spark.createDataFrame([(1, "A b. C d d! e"), (2, None), (3, " ... "), (None, "x y\nx"), (4, "É é. É\t z?? z"), (5, "")], "id long, t string")
+    for more in ({}, {"prompt": "z d"}, {"keep_all": True}, {"k": 1}):
+        out = X.summarize(df, "id", "t", unique=True, **more)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Sort" not in plan and plan.count("Exchange hashpartitioning") == 1
+        assert sorted(map(str, out.collect())) == sorted(map(str, X.summarize(df, "id", "t", **more).collect()))
+
+
+def test_text_chain_summaries_sort_no_texts(spark):
+    from stagecraft.plans.pipeline import text_chain
+    df = spark.createDataFrame([("a", "one. two two"), ("a", "one. two two"), (None, "x"), (None, "x"), ("b", None)], "k string, t string")
+    out = text_chain(df, "k", "t", [("ai_summarize", {"k": 1})])
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [("a", "two two")] * 2 + [(None, "x")] * 2 + [("b", None)]))
