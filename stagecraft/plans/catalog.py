@@ -884,6 +884,7 @@ def q_validate_pipelines(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Stages, scans, views, previews
 # ---------------------------------------------------------------------------
+from stagecraft.sources import parts as PT  # noqa: E402
 from stagecraft.sources import stage as SG  # noqa: E402
 from stagecraft.sources import tables as TB  # noqa: E402
 
@@ -1273,6 +1274,10 @@ def _file_digest(batch):
     return batch.select("FILE_NAME", "size", F.md5("content").alias("md5"))
 
 
+def _parts_digest(batch):
+    return PT.md5_of_parts(batch, "FILE_NAME")
+
+
 _LISTING_SQL = f"""
 SELECT replace(filename, '{ORACLE_DIR}/', '') AS FILE_NAME, size::BIGINT AS size, md5(content) AS md5
 FROM read_blob('{ORACLE_DIR}/*.parquet')"""
@@ -1290,7 +1295,7 @@ def q_stage_stream(spark, sf_dir):
 def q_consume_once(spark, sf_dir):
     name, loc = _scratch(spark, "st5")
     for _ in range(2):   # a second run of the task finds nothing new: no repeats
-        q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet"), loc + "/out", loc + "/ckpt", _file_digest)
+        q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet", part_bytes=PT.PART_BYTES), loc + "/out", loc + "/ckpt", _parts_digest)
         q.awaitTermination()
     return spark.read.parquet(loc + "/out").select("FILE_NAME", "size", "md5")
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stagecraft.sources.parts import read_parts
 from stagecraft.sources.stage import EXTENSIONS, _any_case, _base, relative
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -30,8 +31,10 @@ BINARY_FILE_SCHEMA = T.StructType([
 
 
 def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST4: streaming rows (FILE_NAME, size, last_modified, content) of new files."""
+                 max_files_per_trigger: int | None = None, part_bytes: int | None = None) -> DataFrame:
+    """ST4: streaming rows (FILE_NAME, size, last_modified, content) of new files.
+    With ``part_bytes``, for files of any size, rows (FILE_NAME, size, last_modified,
+    offset, content) of their parts in order (see ``sources.parts``)."""
     r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -39,8 +42,9 @@ def stage_stream(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     base = _base(spark, path)
     df = r.load(path)
-    return df.select(relative(base).alias("FILE_NAME"),
-                     F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
+    out = df.select(relative(base).alias("FILE_NAME"), F.col("length").alias("size"),
+                    F.col("modificationTime").alias("last_modified"), "content" if part_bytes is None else "path")
+    return out if part_bytes is None else read_parts(out, "path", "size", part_bytes).drop("path")
 
 
 def stage_rows(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
