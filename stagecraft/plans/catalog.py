@@ -903,8 +903,8 @@ SELECT replace(filename, '{ORACLE_DIR}/', '') AS relative_path, size::BIGINT AS
 FROM read_blob('{ORACLE_DIR}/*.parquet')
 """)
 def q_stage_files(spark, sf_dir):
-    d = SG.stage_files(spark, sf_dir, glob="*.parquet")
-    return d.select("relative_path", "size", F.md5("content").alias("md5"))
+    d = SG.stage_files(spark, sf_dir, glob="*.parquet", part_bytes=PT.PART_BYTES)
+    return PT.md5_of_parts(d, "relative_path")
 
 
 @query("stage_read", "SELECT * FROM orders")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagecraft.sources.parts import read_parts
+
 
 def _base(spark: SparkSession, path: str) -> str:
     """The folder as the file sources report it: qualified by its own file system."""
@@ -41,12 +43,15 @@ def stage_directory(spark: SparkSession, path: str, glob: str | None = None,
     return out if enabled else out.limit(0)
 
 
-def stage_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """The listing plus ``content`` (BINARY) -- ``TO_FILE`` per row."""
+def stage_files(spark: SparkSession, path: str, glob: str | None = None, part_bytes: int | None = None) -> DataFrame:
+    """The listing plus ``content`` (BINARY) -- ``TO_FILE`` per row.  A value ends at
+    2 GB and its task holds it several times over; with ``part_bytes`` files of any size
+    come as rows (listing, ``offset``, ``content``) of their parts in order (``sources.parts``)."""
     df = _files(spark, path, glob)
     rel = relative(_base(spark, path))
-    return df.select(rel.alias("relative_path"), F.col("length").alias("size"),
-                     F.col("modificationTime").alias("last_modified"), "content")
+    out = df.select(rel.alias("relative_path"), F.col("length").alias("size"),
+                    F.col("modificationTime").alias("last_modified"), "content" if part_bytes is None else "path")
+    return out if part_bytes is None else read_parts(out, "path", "size", part_bytes).drop("path")
 
 
 # Formats a stage may declare, and file extensions for "auto".

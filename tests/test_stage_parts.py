@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stagecraft.plans.catalog import REGISTRY
 from stagecraft.sources import parts as PT
+from stagecraft.sources import stage as SG
 from stagecraft.streaming import live as LV
 
 
@@ -48,6 +49,22 @@ def test_consume_once_reads_files_beyond_a_value(spark, tmpdir_fresh):
     _files_beyond_a_value(spark, tmpdir_fresh, "consume_once")
 
 
+def test_stage_files_reads_files_beyond_a_value(spark, tmpdir_fresh):
+    _files_beyond_a_value(spark, tmpdir_fresh, "stage_files")
+
+
+def test_parts_of_stage_files_are_the_contents(spark, tmpdir_fresh):
+    _stage(tmpdir_fresh, (1, 100, 101, 2500), ".bin")
+    whole = {r.relative_path: r for r in SG.stage_files(spark, tmpdir_fresh).collect()}
+    got = {}
+    for r in SG.stage_files(spark, tmpdir_fresh, part_bytes=100).orderBy("relative_path", "offset").collect():
+        of = whole[r.relative_path]
+        assert (r["size"], r.last_modified) == (of["size"], of.last_modified) and 0 < len(r.content) <= 100
+        assert r.offset == len(got.setdefault(r.relative_path, b""))
+        got[r.relative_path] += r.content
+    assert got == {k: bytes(r.content) for k, r in whole.items()}
+
+
 def test_streamed_parts_are_bounded_and_new_files_come_once(spark, tmpdir_fresh):
     stage, out, ckpt = (os.path.join(tmpdir_fresh, x) for x in ("stage", "out", "ckpt"))
     os.makedirs(stage)
