@@ -1271,10 +1271,6 @@ def q_changes_append_only(spark, sf_dir):
 
 
 def _file_digest(batch):
-    return batch.select("FILE_NAME", "size", F.md5("content").alias("md5"))
-
-
-def _parts_digest(batch):
     return PT.md5_of_parts(batch, "FILE_NAME")
 
 
@@ -1286,7 +1282,7 @@ FROM read_blob('{ORACLE_DIR}/*.parquet')"""
 @query("stage_stream", _LISTING_SQL)
 def q_stage_stream(spark, sf_dir):
     name, loc = _scratch(spark, "st4")
-    q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet"), loc + "/out", loc + "/ckpt", _file_digest)
+    q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet", part_bytes=PT.PART_BYTES), loc + "/out", loc + "/ckpt", _file_digest)
     q.awaitTermination()
     return spark.read.parquet(loc + "/out").select("FILE_NAME", "size", "md5")
 
@@ -1295,7 +1291,7 @@ def q_stage_stream(spark, sf_dir):
 def q_consume_once(spark, sf_dir):
     name, loc = _scratch(spark, "st5")
     for _ in range(2):   # a second run of the task finds nothing new: no repeats
-        q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet", part_bytes=PT.PART_BYTES), loc + "/out", loc + "/ckpt", _parts_digest)
+        q = LV.consume(LV.stage_stream(spark, sf_dir, glob="*.parquet", part_bytes=PT.PART_BYTES), loc + "/out", loc + "/ckpt", _file_digest)
         q.awaitTermination()
     return spark.read.parquet(loc + "/out").select("FILE_NAME", "size", "md5")
 

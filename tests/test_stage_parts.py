@@ -49,6 +49,10 @@ def test_consume_once_reads_files_beyond_a_value(spark, tmpdir_fresh):
     _files_beyond_a_value(spark, tmpdir_fresh, "consume_once")
 
 
+def test_stage_stream_reads_files_beyond_a_value(spark, tmpdir_fresh):
+    _files_beyond_a_value(spark, tmpdir_fresh, "stage_stream")
+
+
 def test_stage_files_reads_files_beyond_a_value(spark, tmpdir_fresh):
     _files_beyond_a_value(spark, tmpdir_fresh, "stage_files")
 
